@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readspan.llm import chat_format, exact_dedup, packing, sharding
+from readspan.llm import chat_format, exact_dedup, media, packing, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every whole document, learned from labelled rows that aren't held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform shuffle of all documents into eight shards of equal row counts."""
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), 8).select(
@@ -52,6 +59,17 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a stored image; a page that shows it names it by digest, and the join resolves what was read back."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("digest", F.sha2(F.encode("text", "UTF-8"), 256))
+    features = media.media_features(media.store_media(docs, "digest", "text"))
+    page = F.concat(F.lit('<figure><img src="digest:'), F.col("digest"), F.lit('"><figcaption>'), F.col("doc_id").cast("string"), F.lit("</figcaption></figure>"))
+    items = media.page_items(docs.select("doc_id", page.alias("html")), "doc_id", "html")
+    item = F.explode(F.filter("items", lambda x: x["kind"] == "media"))
+    return media.interleave(items, features).select(item.alias("i")).select(F.col("i.caption").cast("long").alias("doc_id"), "i.media.*")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -60,7 +78,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_media_columns": op8_media_columns,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
