@@ -25,15 +25,15 @@ class Settings:
     it counts in the average. ``decay`` pulls trained rows towards zero.
     """
 
-    rows: int = 4000
+    rows: int = 10_000
     chars: int = 20_000
     buckets: int = 1 << 18
-    dim: int = 8
+    dim: int = 4
     shortest: int = 3
     longest: int = 6
-    least_docs: int = 4
+    least_docs: int = 8
     decay: float = 0.0
-    epochs: int = 10
+    epochs: int = 6
     batch: int = 64
     rate: float = 0.5
     seed: int = 5
