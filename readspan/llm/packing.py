@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -13,16 +18,24 @@ from pyspark.sql import functions as F
 
 from readspan.llm.common import cut
 
-#: Entries that a task's memo of tokenized words holds before it starts anew.
-MEMO_WORDS = 400_000
+#: Words that a Python worker remembers before it starts anew.
+MEMO_WORDS = 600_000
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
+#: Below this code point letters, digits and lower case are alike in every Unicode version and nothing combines.
+_SIMPLE_END = 0x250
+_ODD = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]")
+_CHARS = {kind: "".join(map(re.escape, (c for c in map(chr, range(_SIMPLE_END)) if unicodedata.category(c)[0] == kind))) for kind in "LN"}
+_WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_CHARS['L']}]+|[{_CHARS['N']}]|[^\s{_CHARS['L']}{_CHARS['N']}]+")
+_PLAIN = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+_BYTES = _PLAIN | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
-class WordMemo:
-    """Ids of texts by a tokenizer that drops white space and never joins words across it.
 
-    A text is split at ASCII white space only; whatever else a word holds is left to the tokenizer, so the ids
-    are those of the whole text. Frequent words are looked up.
+class WordIds:
+    """Ids of texts, as little-endian 32-bit numbers, by a tokenizer of lower-case words that drops white space.
+
+    Such a tokenizer treats each of its words by itself, so a word's ids are looked up once they are known. Texts
+    with characters on which Unicode versions differ, or that may combine, are left to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -30,38 +43,45 @@ class WordMemo:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        words, memo = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), self.memo
-        new = [w for w in set(words) if w not in memo]
-        if new:
+        self.memo: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        if _ODD.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        memo, words = self.memo, _WORD.findall(text.lower())
+        try:
+            return b"".join(map(memo.__getitem__, words))
+        except KeyError:
             if len(memo) > MEMO_WORDS:
                 memo.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                memo[w] = e.ids
-        out: list[int] = []
-        for w in words:
-            out += memo[w]
-        return np.array(out, dtype="<u4")
+            tokenize = self.tokenizer.model.tokenize
+            for w in set(words).difference(memo):
+                shown = w if w.isascii() else "".join(map(_BYTES.__getitem__, w.encode()))
+                ids = [t.id for t in tokenize(shown)]
+                memo[w] = struct.pack(f"<{len(ids)}I", *ids)
+            return b"".join(map(memo.__getitem__, words))
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, which serves many tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordIds(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: each document's ids and ``end_id``, cut at every ``size`` tokens."""
+    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordMemo(tokenizer)
+        known = word_ids(tokenizer)
         for batch in batches:
             rows = []
             for i, text in zip(batch["id"].to_numpy(), batch["t"].to_numpy(), strict=True):
-                ids = np.append(words.ids(text), np.uint32(end_id)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), size)):
-                    piece = ids[at : at + size]
-                    rows.append((i, k, at, len(piece), zlib.crc32(piece.tobytes())))
+                ids = known.ids(text) + end
+                for k, at in enumerate(range(0, len(ids), 4 * size)):
+                    piece = ids[at : at + 4 * size]
+                    rows.append((i, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(run, _PIECES)
