@@ -23,8 +23,9 @@ MEMO_WORDS = 600_000
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 #: Below this code point letters, digits and lower case are alike in every Unicode version and nothing combines.
-_SIMPLE_END = 0x250
-_ODD = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]")
+_SIMPLE_END = 0x180
+#: Control characters, the soft hyphen, the capital whose lower case is two characters, and all beyond.
+_ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\xad\u0130\u0180-\U0010ffff]")
 _CHARS = {kind: "".join(map(re.escape, (c for c in map(chr, range(_SIMPLE_END)) if unicodedata.category(c)[0] == kind))) for kind in "LN"}
 _WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_CHARS['L']}]+|[{_CHARS['N']}]|[^\s{_CHARS['L']}{_CHARS['N']}]+")
 _PLAIN = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
