@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space ends a word; every other byte belongs to one.
@@ -37,12 +37,15 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def on_key(key: str) -> Column:
-    """A long key in a form that no earlier partitioning matches.
+#: Ids (8 bytes each) up to which dropped rows are broadcast rather than joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
-    A join on it shuffles both sides by itself, and AQE may then split a hot key of the larger side.
-    """
-    return F.bitwise_not(F.col(key))
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in the one column of ``dropped``; rows with a null id stay."""
+    dropped = cut(dropped.toDF("__dropped").distinct())
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, docs[id_col].cast("long") == dropped["__dropped"], "left_anti")
 
 
 # ---------------------------------------------------------------- hashes of words, on the bytes of Arrow columns

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readspan.llm.common import cut
+from readspan.llm.common import cut, without
 
+#: Characters of a text that splitters hold.
+PREFIX = 64
 _RUNS = "id long, keep_id long, group_size long, text_sha256 string, edge boolean, head boolean"
 
 
@@ -49,8 +51,9 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=None) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
-    Sampled splitters deal (text, id) into ranges; within a range Spark's external sort puts equal texts side by
-    side and neighbours are compared in full. The id belongs to the splitters too, so that a group of any size
+    Sampled splitters deal texts into ranges, ordered by their first PREFIX characters and then by hash, so that
+    the sample of long texts stays small; within a range Spark's external sort puts equal texts side by side and
+    neighbours are compared in full. The id belongs to the splitters too, so that a group of any size
     is spread over ranges; the first and last run of each range (two rows a range, the only ones that can go on
     in another range) are then joined by their hash.
 
@@ -62,8 +65,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = normalise(text) if normalise else text
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"))
     order = F.col("id").asc() if keep == "smallest" else F.col("id").desc()
-    ranged = rows.repartitionByRange(F.col("t").asc(), order).sortWithinPartitions(F.col("t").asc(), order)
-    runs = cut(ranged.select("id", "t", F.sha2(F.encode("t", "UTF-8"), 256).alias("sha")).mapInPandas(_runs, _RUNS))
+    rows = rows.withColumns({"sha": F.sha2(F.encode("t", "UTF-8"), 256), "start": F.left("t", F.lit(PREFIX))})
+    ranged = rows.repartitionByRange("start", "sha", order).sortWithinPartitions("start", "sha", "t", order)
+    runs = cut(ranged.select("id", "t", "sha").mapInPandas(_runs, _RUNS))
     best = F.min("keep_id") if keep == "smallest" else F.max("keep_id")
     joined = runs.where("edge and head").groupBy("text_sha256").agg(best.alias("k"), F.sum("group_size").alias("n"))
     out = runs.join(F.broadcast(joined), "text_sha256", "left")  # at most two rows a range
@@ -80,5 +84,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rows that repeat an id stay or go together."""
-    kept = exact_duplicates(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long") == kept["__kept_id"], "left_semi")
+    copies = exact_duplicates(docs, id_col, text_col, keep).where("not kept").select(id_col)
+    return without(docs, copies, id_col)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readspan.llm.common import components, cut, mix, seeded, slices
+from readspan.llm.common import components, cut, mix, seeded, slices, without
 
 #: Words in a shingle.
 WORDS = 5
@@ -196,5 +196,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each class, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col, **settings).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long") == kept["__kept_id"], "left_semi")
+    copies = near_duplicates(docs, id_col, text_col, **settings).where("not kept").select(id_col)
+    return without(docs, copies, id_col)
