@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readspan.llm.common import components, cut, mix, seeded, slices, without
+from readspan.llm.common import components, cut, folder, mix, seeded, slices, without
 
 #: Words in a shingle.
 WORDS = 5
@@ -19,8 +19,6 @@ LEAST = 0.8
 BANDS, ROWS = 25, 5
 #: Tasks over which the members of one group are spread for verification.
 SALTS = 256
-#: Rows of (long, int, long, int) up to which the ends of pairs are broadcast to the texts rather than joined by a shuffle.
-BROADCAST_ROWS = 100_000
 
 _ONE = np.uint64(1)
 
@@ -108,20 +106,48 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return rows_.mapInArrow(run, "id long, digest binary, words long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def bucketed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, t)`` of the documents in ``ids``, written to the shared folder: the only shuffle of all texts."""
+    path = folder(docs.sparkSession, "bucketed")
+    docs.select("id", F.coalesce("text", F.lit("")).alias("t")).join(ids.distinct(), "id", "left_semi").write.parquet(path)
+    return docs.sparkSession.read.schema("id long, t string").parquet(path)
+
+
+def loners(texts: DataFrame, least: float) -> DataFrame:
+    """``id`` of texts that can't reach ``least`` with any other of ``texts``: too many of their shingles are in no other.
+
+    A partner holds only shingles that some other text holds, so of n shingles with u unique ones the
+    similarity is (n - u) / n at most. One aggregation over shingles, without pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for lo, _, words in slices(batch.column("t")):
+                hashes, owner = words.shingles(WORDS)
+                by = np.lexsort((hashes, owner))
+                hashes, owner = hashes[by], owner[by]
+                new = np.ones(len(hashes), bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                hashes, owner = hashes[new], owner[new]
+                n = np.bincount(owner, minlength=words.n)[owner] if len(owner) else owner
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + owner]), pa.array(n.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["id", "n", "s"])
+
+    rows = texts.mapInArrow(run, "id long, n int, s long")
+    alone = rows.groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.min("n").alias("n")).where("c = 1")
+    return alone.groupBy("id").agg(F.count("*").alias("u"), F.min("n").alias("n")).where((F.col("n") - F.col("u")) < least * F.col("n")).select("id")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The ``(a, b)`` of ``pairs`` whose sets of shingles have a Jaccard similarity of ``least``.
 
-    Texts are shuffled once to the pairs' ends; then each ``a`` meets its ``b`` in sorted partitions, spread by a
+    ``texts`` (id, t) are joined with the pairs' ends; then each ``a`` meets its ``b`` in sorted partitions, spread by a
     salt so that an ``a`` with very many partners is no single task. A task holds one ``a`` and a slice of text.
     """
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
     ends = pairs.select("a", "salt", F.col("b").alias("id"), F.lit(1).alias("kind")).unionByName(
         pairs.select("a", "salt", F.col("a").alias("id"), F.lit(0).alias("kind")).distinct()
     )
-    ends = cut(ends)
-    if ends.count() <= BROADCAST_ROWS:
-        ends = F.broadcast(ends)
-    texts = docs.select("id", F.coalesce("text", F.lit("")).alias("t"))
     rows = texts.join(ends, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -150,6 +176,13 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return rows.select("a", "id", "kind", "t").mapInArrow(run, "a long, b long").distinct()
 
 
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """The rows ``(key, id, label)`` of buckets that hold several labels."""
+    several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    several = several.select(F.bitwise_not("key").alias("k"))
+    return labelled.withColumn("k", F.bitwise_not("key")).join(several, "k").select("key", "id", "label")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: ``(id, class_id, n_links, kept)``; ``class_id`` is the smallest id of its class.
 
@@ -159,8 +192,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text, ``kept`` marks a class's smallest id.
 
     Equal texts count as one from the start. In each bucket of a band every text is compared with the bucket's
-    smallest; texts that this leaves in different classes are then compared with each other, pair by pair, so no
-    link inside a bucket is missed while a large group of copies costs one comparison a member and bucket.
+    smallest. Of texts that this leaves in different classes, those with so many shingles of their own that no
+    partner can exist are set aside by one count over shingles; the others are compared with each other. So no
+    link inside a bucket is missed, while a large group of copies costs one comparison a member and bucket.
 
     Null text counts as empty. Texts without words are linked only with equal texts. Rows that repeat an id are
     one document with several rows. An empty table gives no rows; other columns are ignored.
@@ -173,18 +207,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     linked = members.withColumn("k", F.bitwise_not("key")).join(buckets.select(F.bitwise_not("key").alias("k"), "a", "n"), "k")
     linked = cut(linked.select("key", "id", "a", "n"))
+    texts = bucketed_texts(docs, linked.select("id"))
     stars = linked.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = cut(verified(stars, docs, least))
+    links = cut(verified(stars, texts, least))
     classes = components(links)
     # what the stars leave apart within a bucket
     labelled = linked.where("n > 2").join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
-    labelled = cut(labelled.select("key", "id", "a", F.coalesce("component", "id").alias("label")))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.bitwise_not("key").alias("k"))
-    rest = cut(labelled.where("id <> a").withColumn("k", F.bitwise_not("key")).join(mixed, "k").select("key", "id", "label"))
+    labelled = cut(labelled.select("key", "id", F.coalesce("component", "id").alias("label")))
+    rest = cut(_mixed(labelled))
+    alone = loners(texts.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), least)
+    rest = cut(_mixed(rest.join(alone, "id", "left_anti")))
     other = rest.select("key", F.col("id").alias("b"), F.col("label").alias("label_b"))
     pairs = rest.join(other, "key").where("label <> label_b and id < b").select(F.col("id").alias("a"), "b").distinct()
     pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    more = verified(pairs, docs, least)
+    more = verified(pairs, texts, least)
     links = cut(links.unionByName(more))
     classes = components(links)
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count()
