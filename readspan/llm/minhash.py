@@ -19,6 +19,8 @@ LEAST = 0.8
 BANDS, ROWS = 25, 5
 #: Tasks over which the members of one group are spread for verification.
 SALTS = 256
+#: Further leaders that a bucket with texts of several classes is compared with, before its pairs are.
+LEADERS = 0
 
 _ONE = np.uint64(1)
 
@@ -113,11 +115,11 @@ def bucketed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.sparkSession.read.schema("id long, t string").parquet(path)
 
 
-def loners(texts: DataFrame, least: float) -> DataFrame:
-    """``id`` of texts that can't reach ``least`` with any other of ``texts``: too many of their shingles are in no other.
+def held_elsewhere(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(id, n, c)``: of a text's n different shingles, c are also in a text of another label; texts without any are left out.
 
-    A partner holds only shingles that some other text holds, so of n shingles with u unique ones the
-    similarity is (n - u) / n at most. One aggregation over shingles, without pairs.
+    Only those can be shared with a partner of another label, so two such texts with o = min(c, c') have a
+    similarity of o / (o + (n - c) + (n' - c')) at most. One aggregation over shingles, without pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +135,9 @@ def loners(texts: DataFrame, least: float) -> DataFrame:
                 n = np.bincount(owner, minlength=words.n)[owner] if len(owner) else owner
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo + owner]), pa.array(n.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["id", "n", "s"])
 
-    rows = texts.mapInArrow(run, "id long, n int, s long")
-    alone = rows.groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.min("n").alias("n")).where("c = 1")
-    return alone.groupBy("id").agg(F.count("*").alias("u"), F.min("n").alias("n")).where((F.col("n") - F.col("u")) < least * F.col("n")).select("id")
+    rows = cut(texts.mapInArrow(run, "id long, n int, s long").join(labels, "id"))
+    shared = rows.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.bitwise_not("s").alias("k"))
+    return rows.withColumn("k", F.bitwise_not("s")).join(shared, "k").groupBy("id").agg(F.min("n").alias("n"), F.countDistinct("s").alias("c"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -192,9 +194,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text, ``kept`` marks a class's smallest id.
 
     Equal texts count as one from the start. In each bucket of a band every text is compared with the bucket's
-    smallest. Of texts that this leaves in different classes, those with so many shingles of their own that no
-    partner can exist are set aside by one count over shingles; the others are compared with each other. So no
-    link inside a bucket is missed, while a large group of copies costs one comparison a member and bucket.
+    smallest. Texts that this leaves in different classes are compared with further leaders of their bucket, and
+    those still apart with each other, but for pairs that can't reach ``least`` because too few of their shingles are in any text of another class, as one count over
+    shingles tells. So no link inside a bucket is missed, while a large group of copies costs one comparison a
+    member and bucket.
 
     Null text counts as empty. Texts without words are linked only with equal texts. Rows that repeat an id are
     one document with several rows. An empty table gives no rows; other columns are ignored.
@@ -215,14 +218,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = linked.where("n > 2").join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
     labelled = cut(labelled.select("key", "id", F.coalesce("component", "id").alias("label")))
     rest = cut(_mixed(labelled))
-    alone = loners(texts.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), least)
-    rest = cut(_mixed(rest.join(alone, "id", "left_anti")))
-    other = rest.select("key", F.col("id").alias("b"), F.col("label").alias("label_b"))
-    pairs = rest.join(other, "key").where("label <> label_b and id < b").select(F.col("id").alias("a"), "b").distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    more = verified(pairs, texts, least)
-    links = cut(links.unionByName(more))
-    classes = components(links)
+    labels = cut(rest.select("id", "label").distinct())
+    held = cut(held_elsewhere(texts.join(labels.select("id"), "id", "left_semi"), labels).where(F.col("c") >= least * F.col("n")))
+    rest = cut(_mixed(rest.join(held.select("id"), "id", "left_semi")).join(held, "id"))
+    done = stars
+    for turn in range(LEADERS + 1):
+        if rest.isEmpty():
+            break
+        if turn < LEADERS:  # the text with the fewest shingles of its own leads its bucket
+            other = rest.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("c"), "id", "label", "n", "c")).alias("l"))
+            other = other.select(F.bitwise_not("key").alias("k"), *(F.col(f"l.{c}").alias(f"{c}_b") for c in ("id", "label", "n", "c")))
+            met = rest.withColumn("k", F.bitwise_not("key")).join(other, "k")
+        else:  # the rest, pair by pair
+            other = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "c")))
+            met = rest.join(other, "key").where("id < id_b")
+        most = F.least("c", "c_b")
+        possible = most >= least * (most + F.col("n") - F.col("c") + F.col("n_b") - F.col("c_b"))
+        pairs = met.where((F.col("label") != F.col("label_b")) & possible)
+        pairs = pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        links = cut(links.unionByName(verified(pairs, texts, least)))
+        classes = components(links)
+        if turn < LEADERS:
+            done = done.unionByName(pairs)
+            labels = rest.drop("label").join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
+            labels = cut(labels.select("key", "id", "n", "c", F.coalesce("component", "id").alias("label")))
+            rest = cut(_mixed(labels).join(held, "id"))
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count()
     per_text = copies.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").join(ends.select(F.col("id").alias("rep"), "count"), "rep", "left")
     per_text = cut(per_text.select("digest", F.coalesce("component", "rep").alias("class_id"), F.coalesce("count", F.lit(0)).cast("long").alias("n_links")))

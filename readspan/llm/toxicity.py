@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ class Settings:
     it counts in the average. ``decay`` pulls trained rows towards zero.
     """
 
-    rows: int = 10_000
+    rows: int = 6000
     chars: int = 20_000
     buckets: int = 1 << 18
     dim: int = 4
@@ -39,12 +40,13 @@ class Settings:
     seed: int = 5
 
 
-def subwords(word: str, s: Settings) -> list[int]:
+@lru_cache(maxsize=50_000)
+def subwords(word: str, s: Settings) -> tuple[int, ...]:
     """Buckets of a word's character n-grams, its ends marked, and of the word itself."""
     marked = f"<{word}>"
     n = len(marked)
     grams = [marked[i : i + k] for k in range(s.shortest, s.longest + 1) for i in range(n - k + 1)] or [marked]
-    return [zlib.crc32(g.encode()) % s.buckets for g in grams]
+    return tuple(zlib.crc32(g.encode()) % s.buckets for g in grams)
 
 
 def words(text: str) -> list[str]:
@@ -70,7 +72,7 @@ class Model:
                     new = set(ws)
                 for w in new:
                     ids = subwords(w, self.settings)
-                    memo[w] = (float(self.bucket_logit[ids].sum()), len(ids))
+                    memo[w] = (float(self.bucket_logit[list(ids)].sum()), len(ids))
             total = n = 0
             for a, b in map(memo.__getitem__, ws):
                 total += a
@@ -79,6 +81,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.array(out, dtype=np.float64), -700, 700)))
 
 
+def _bag(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and their shares of all its n-grams."""
+    ids = [k for w in words(text) for k in subwords(w, s)]
+    u, c = np.unique(np.array(ids, np.int32), return_counts=True)
+    return u, (c / max(len(ids), 1)).astype(np.float32)
+
+
 def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
     """Embeddings and softmax together, by mini-batches with Adagrad. Without rows of both labels the score is the label's share."""
     labels = np.asarray(labels, dtype=np.int64)
@@ -87,17 +96,14 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
         return Model(s, np.zeros(s.buckets), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(s.seed)
     order = rng.permutation(len(texts))
-    known: dict[str, np.ndarray] = {}
-    bags, held = [], np.zeros(s.buckets, np.int32)
+    held = np.zeros(s.buckets, np.int32)
     for i in order:
-        bag = [known[w] if w in known else known.setdefault(w, np.array(subwords(w, s), np.int32)) for w in words(texts[i])]
-        u, c = np.unique(np.concatenate(bag) if bag else np.zeros(0, np.int32), return_counts=True)
-        held[u] += 1
-        bags.append((u.astype(np.int32), (c / max(c.sum(), 1)).astype(np.float32)))
+        held[_bag(texts[i], s)[0]] += 1
     batches = []
     for lo in range(0, len(order), s.batch):
         ids, weights, docs = [], [], []
-        for d, (u, c) in enumerate(bags[lo : lo + s.batch]):
+        for d, i in enumerate(order[lo : lo + s.batch]):
+            u, c = _bag(texts[i], s)
             often = held[u] >= s.least_docs
             ids.append(u[often])
             weights.append(c[often])
@@ -106,8 +112,6 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
         by = np.argsort(flat, kind="stable").astype(np.int32)
         starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[by]) > 0))) if len(flat) else np.zeros(0, np.int64)
         batches.append((flat[by], weight[by], doc[by], starts, labels[order[lo : lo + s.batch]]))
-    known.clear()
-    bags.clear()
     table = rng.normal(0, 0.1, (s.buckets, s.dim)).astype(np.float32)
     out = rng.normal(0, 0.1, (s.dim, 2)).astype(np.float32)
     bias = np.array([np.log(1 - share), np.log(share)], np.float32)
