@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readspan.llm import chat_format, exact_dedup, media, minhash, packing, sharding, substring_dedup, toxicity
+from readspan.llm import chat_format, exact_dedup, html_extract, media, minhash, packing, sentencepiece_codec, sharding, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal whole texts, unchanged; the largest doc_id stays."""
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
@@ -57,6 +63,14 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and what they decode to."""
+    coded = sentencepiece_codec.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("long").alias("decoded_chars"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform shuffle of all documents into eight shards of equal row counts."""
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), 8).select(
@@ -87,9 +101,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_html_extraction": op2_html_extraction,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_sharding": op7_sharding,
     "op8_media_columns": op8_media_columns,
     "op9_best_fit_packing": op9_best_fit_packing,
