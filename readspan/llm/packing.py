@@ -133,7 +133,7 @@ def best_fit_pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
     The driver sees one number for each length of each range (lengths plus ranges at most) and plans on the sums.
     An empty table gives no rows; rows that repeat an id and piece take slots of their own.
     """
-    ranged = pieces.repartitionByRange("length", "id", "piece").sortWithinPartitions("length", "id", "piece")
+    ranged = cut(pieces).repartitionByRange("length", "id", "piece").sortWithinPartitions("length", "id", "piece")
     ranged = cut(ranged.withColumn("range", F.spark_partition_id()))
     before: dict[tuple[int, int], int] = {}
     counts: dict[int, int] = {}
