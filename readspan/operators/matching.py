@@ -73,15 +73,13 @@ def narrowest(met: DataFrame, point: list[str], start: str, end: str, tie: str)
     return met.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def contained(needles: DataFrame, texts: DataFrame, needle: str, text: str, words: int = 3) -> DataFrame:
-    """Pairs whose text contains the needle, by an equi-join on the needle's second to ``words + 1``-th word.
+def contained(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> DataFrame:
+    """Pairs whose text contains the needle, by an equi-join on the needle's second to fourth word.
 
-    Those words are whole words of any text that contains the needle, so no pair is missed; needles of fewer
-    words are matched through their own check of every text only if there are any.
+    Those are whole words of any text that contains the needle, so no pair is missed. Needles of fewer than five
+    words are left out.
     """
-    parts = lambda c: F.split(F.col(c), r"[ \n]+")
-    anchor = F.array_join(F.slice(parts(needle), 2, words), " ")
-    long = needles.where(F.size(parts(needle)) >= words + 2).withColumn("__a", anchor)
-    all_ = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts(text)) - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(parts(text), i, words), " "))
-    rows = texts.withColumn("__a", F.explode(F.array_distinct(all_)))
+    three = r"\S+[ \n]+\S+[ \n]+\S+"
+    long = needles.withColumn("__a", F.regexp_extract(needle, rf"^\S+[ \n]+({three})[ \n]", 1)).where("__a <> ''")
+    rows = texts.withColumn("__a", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<!\S)(?=({three}))"), F.lit(1)))))
     return long.join(rows, "__a").where(F.col(text).contains(F.col(needle))).drop("__a")
