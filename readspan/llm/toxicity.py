@@ -6,7 +6,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,13 +39,12 @@ class Settings:
     seed: int = 5
 
 
-@lru_cache(maxsize=50_000)
-def subwords(word: str, s: Settings) -> tuple[int, ...]:
+def subwords(word: str, s: Settings) -> list[int]:
     """Buckets of a word's character n-grams, its ends marked, and of the word itself."""
     marked = f"<{word}>"
     n = len(marked)
     grams = [marked[i : i + k] for k in range(s.shortest, s.longest + 1) for i in range(n - k + 1)] or [marked]
-    return tuple(zlib.crc32(g.encode()) % s.buckets for g in grams)
+    return [zlib.crc32(g.encode()) % s.buckets for g in grams]
 
 
 def words(text: str) -> list[str]:
@@ -72,7 +70,7 @@ class Model:
                     new = set(ws)
                 for w in new:
                     ids = subwords(w, self.settings)
-                    memo[w] = (float(self.bucket_logit[list(ids)].sum()), len(ids))
+                    memo[w] = (float(self.bucket_logit[ids].sum()), len(ids))
             total = n = 0
             for a, b in map(memo.__getitem__, ws):
                 total += a
@@ -81,11 +79,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.array(out, dtype=np.float64), -700, 700)))
 
 
-def _bag(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares of all its n-grams."""
-    ids = [k for w in words(text) for k in subwords(w, s)]
-    u, c = np.unique(np.array(ids, np.int32), return_counts=True)
-    return u, (c / max(len(ids), 1)).astype(np.float32)
+def _bags(texts: list[str], s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its buckets and their shares of all its n-grams."""
+    known: dict[str, list[int]] = {}
+    for text in texts:
+        if len(known) > 50_000:
+            known.clear()
+        ids: list[int] = []
+        for w in words(text):
+            if w not in known:
+                known[w] = subwords(w, s)
+            ids += known[w]
+        u, c = np.unique(np.array(ids, np.int32), return_counts=True)
+        yield u, (c / max(len(ids), 1)).astype(np.float32)
 
 
 def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
@@ -96,14 +102,14 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
         return Model(s, np.zeros(s.buckets), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(s.seed)
     order = rng.permutation(len(texts))
-    held = np.zeros(s.buckets, np.int32)
-    for i in order:
-        held[_bag(texts[i], s)[0]] += 1
+    held, bags = np.zeros(s.buckets, np.int32), []
+    for bag in _bags([texts[i] for i in order], s):
+        held[bag[0]] += 1
+        bags.append(bag)
     batches = []
     for lo in range(0, len(order), s.batch):
         ids, weights, docs = [], [], []
-        for d, i in enumerate(order[lo : lo + s.batch]):
-            u, c = _bag(texts[i], s)
+        for d, (u, c) in enumerate(bags[lo : lo + s.batch]):
             often = held[u] >= s.least_docs
             ids.append(u[often])
             weights.append(c[often])
@@ -112,6 +118,7 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
         by = np.argsort(flat, kind="stable").astype(np.int32)
         starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[by]) > 0))) if len(flat) else np.zeros(0, np.int64)
         batches.append((flat[by], weight[by], doc[by], starts, labels[order[lo : lo + s.batch]]))
+    bags.clear()
     table = rng.normal(0, 0.1, (s.buckets, s.dim)).astype(np.float32)
     out = rng.normal(0, 0.1, (s.dim, 2)).astype(np.float32)
     bias = np.array([np.log(1 - share), np.log(share)], np.float32)
