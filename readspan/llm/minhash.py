@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ LEAST = 0.8
 BANDS, ROWS = 25, 5
 #: Tasks over which the members of one group are spread for verification.
 SALTS = 256
-#: Further leaders that a bucket with texts of several classes is compared with, before its pairs are.
-LEADERS = 0
+#: Texts of a bucket that meet as many others at a time.
+BLOCK = 256
 
 _ONE = np.uint64(1)
 
@@ -116,7 +117,7 @@ def bucketed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def held_elsewhere(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(id, n, c)``: of a text's n different shingles, c are also in a text of another label; texts without any are left out.
+    """``(id, n, c, shared)``: of a text's n different shingles, the c in ``shared`` are also in a text of another label; texts without any are left out.
 
     Only those can be shared with a partner of another label, so two such texts with o = min(c, c') have a
     similarity of o / (o + (n - c) + (n' - c')) at most. One aggregation over shingles, without pairs.
@@ -137,7 +138,41 @@ def held_elsewhere(texts: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = cut(texts.mapInArrow(run, "id long, n int, s long").join(labels, "id"))
     shared = rows.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.bitwise_not("s").alias("k"))
-    return rows.withColumn("k", F.bitwise_not("s")).join(shared, "k").groupBy("id").agg(F.min("n").alias("n"), F.countDistinct("s").alias("c"))
+    met = rows.withColumn("k", F.bitwise_not("s")).join(shared, "k").groupBy("id")
+    return met.agg(F.min("n").alias("n"), F.collect_set("s").alias("shared")).withColumn("c", F.size("shared"))
+
+
+def linked_in_blocks(rest: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """``(a, b)`` of different labels in one bucket whose similarity is ``least``; no pairs but those are rows.
+
+    A bucket is cut into blocks of about BLOCK texts and every two blocks meet in one group, whose common
+    shingles are counted for all pairs at once by a product of incidence matrices.
+    """
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select(F.bitwise_not("key").alias("k"), "blocks")
+    rows = rest.withColumn("k", F.bitwise_not("key")).join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("id", "label", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).join(held, "id")
+
+    def run(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        ids, labels, n = (group[c].to_numpy() for c in ("id", "label", "n"))
+        count = group["shared"].map(len).to_numpy()
+        flat, owner = np.concatenate(group["shared"].to_list()), np.repeat(np.arange(len(group)), count)
+        _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+        several = often[code] > 1
+        code, owner = np.unique(code[several], return_inverse=True)[1], owner[several]
+        left, right = (np.flatnonzero(group["own"].to_numpy() == k) for k in (keys[1], keys[2]))
+        both = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(code.max()) + 1 if len(code) else 0, 4096):
+            part = (code >= lo) & (code < lo + 4096)
+            held_by = np.zeros((len(group), 4096), np.float32)
+            held_by[owner[part], code[part] - lo] = 1
+            both += held_by[left] @ held_by[right].T
+        near = (both > 0) & (both >= least * (n[left][:, None] + n[right][None] - both)) & (labels[left][:, None] != labels[right][None])
+        i, j = np.nonzero(near)
+        a, b = ids[left[i]], ids[right[j]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("key", "x", "y").applyInPandas(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -194,10 +229,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text, ``kept`` marks a class's smallest id.
 
     Equal texts count as one from the start. In each bucket of a band every text is compared with the bucket's
-    smallest. Texts that this leaves in different classes are compared with further leaders of their bucket, and
-    those still apart with each other, but for pairs that can't reach ``least`` because too few of their shingles are in any text of another class, as one count over
-    shingles tells. So no link inside a bucket is missed, while a large group of copies costs one comparison a
-    member and bucket.
+    smallest. Texts that this leaves in different classes are compared with each other in blocks, but for those
+    that can't reach ``least`` because too few of their shingles are in any text of another class, as one count
+    over shingles tells. So no link inside a bucket is missed, while a large group of copies costs one
+    comparison a member and bucket.
 
     Null text counts as empty. Texts without words are linked only with equal texts. Rows that repeat an id are
     one document with several rows. An empty table gives no rows; other columns are ignored.
@@ -220,30 +255,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = cut(_mixed(labelled))
     labels = cut(rest.select("id", "label").distinct())
     held = cut(held_elsewhere(texts.join(labels.select("id"), "id", "left_semi"), labels).where(F.col("c") >= least * F.col("n")))
-    rest = cut(_mixed(rest.join(held.select("id"), "id", "left_semi")).join(held, "id"))
-    done = stars
-    for turn in range(LEADERS + 1):
-        if rest.isEmpty():
-            break
-        if turn < LEADERS:  # the text with the fewest shingles of its own leads its bucket
-            other = rest.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("c"), "id", "label", "n", "c")).alias("l"))
-            other = other.select(F.bitwise_not("key").alias("k"), *(F.col(f"l.{c}").alias(f"{c}_b") for c in ("id", "label", "n", "c")))
-            met = rest.withColumn("k", F.bitwise_not("key")).join(other, "k")
-        else:  # the rest, pair by pair
-            other = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "c")))
-            met = rest.join(other, "key").where("id < id_b")
-        most = F.least("c", "c_b")
-        possible = most >= least * (most + F.col("n") - F.col("c") + F.col("n_b") - F.col("c_b"))
-        pairs = met.where((F.col("label") != F.col("label_b")) & possible)
-        pairs = pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        links = cut(links.unionByName(verified(pairs, texts, least)))
-        classes = components(links)
-        if turn < LEADERS:
-            done = done.unionByName(pairs)
-            labels = rest.drop("label").join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
-            labels = cut(labels.select("key", "id", "n", "c", F.coalesce("component", "id").alias("label")))
-            rest = cut(_mixed(labels).join(held, "id"))
+    rest = cut(_mixed(rest.join(held.select("id"), "id", "left_semi")))
+    links = cut(links.unionByName(linked_in_blocks(rest, held, least)))
+    classes = components(links)
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count()
     per_text = copies.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").join(ends.select(F.col("id").alias("rep"), "count"), "rep", "left")
     per_text = cut(per_text.select("digest", F.coalesce("component", "rep").alias("class_id"), F.coalesce("count", F.lit(0)).cast("long").alias("n_links")))
