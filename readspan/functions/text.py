@@ -63,7 +63,7 @@ def is_cjk(text: Column) -> Column:
 
 def authors(line: Column) -> Column:
     """Names of an author line: parted by ``&``, ``;`` or an ideographic comma, a single ``Surname, Given`` flipped."""
-    parts = F.filter(F.transform(F.split(line, "[&;、]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(line, "[&;、]"), lambda x: F.trim(x)), lambda x: x != "")
     flip = lambda x: F.regexp_replace(x, r"^([^,]+),\s*([^,]+)$", "$2 $1")
     suffix = r"(?i),\s*(jr|sr|ii|iii|iv|phd|md)\.?$"
     return F.transform(parts, lambda x: F.when(is_cjk(x) | x.rlike(suffix), x).otherwise(flip(x)))

@@ -17,13 +17,13 @@ KINDS = {
 
 
 def read_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``block``, one row a block: the separator ends a record, so a file is split over tasks; an unended last block is dropped."""
+    """``block``, one row a block: the separator ends a record, so a file is split over tasks; what follows the last one is a block too."""
     return spark.read.text(paths, lineSep=SEPARATOR).select(F.col("value").alias("block"))
 
 
 def parse_blocks(blocks: DataFrame, block: str = "block") -> DataFrame:
     """``blocks`` with title, author, kind, page, start, end, at and body; blocks of under three or over 64 lines are dropped."""
-    text = F.regexp_replace(F.regexp_replace(F.col(block), "[\\uFEFF\\r]", ""), r"^\n+|\n+$", "")
+    text = F.regexp_replace(F.regexp_replace(F.col(block), "[\\uFEFF\\r]", ""), r"^\n|\n$", "")
     lines = F.split(text, "\n")
     rows = blocks.withColumn("__l", lines).where((F.size("__l") >= 3) & (F.size("__l") <= BLOCK_CAP))
     head, label = F.trim(F.get("__l", F.lit(0))), F.get("__l", F.lit(1))
