@@ -38,7 +38,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     (parts x shards numbers); each part permutes its rows by a seeded key and cuts that order at the drawn
     counts; the rows are exchanged and each shard is permuted again by a second key. That last sort goes by
     ranges of the key, so that a shard is never one task. Only ids, sizes and checksums are shuffled. Everything
-    depends on ids and seed alone, so a recomputed task gives the same rows.
+    depends on the rows and the seed alone, so a recomputed task gives the same rows.
 
     Null text has no bytes: size 1. Rows that repeat an id are rows of their own. Null ids are one part. An
     empty table gives no rows; other columns are ignored.
@@ -58,7 +58,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     counts = dict(dealt.groupBy("part").count().collect())
     matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], shards, seed)
     bounds = docs.sparkSession.createDataFrame([(p, [int(x) for x in row]) for p, row in enumerate(np.cumsum(matrix, 1))], "part long, bounds array<long>")
-    local = dealt.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("k1", "id")))
+    local = dealt.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("k1", "id", "text_crc32", "size")))
     sent = local.join(F.broadcast(bounds), "part").select(  # one row a part, of `shards` numbers
         "id", "size", "text_crc32", "k2", F.size(F.filter("bounds", lambda b: b < F.col("r"))).alias("shard")
     )
@@ -66,7 +66,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     sent = sent.withColumn("range", F.floor((F.shiftrightunsigned("k2", 32) * ranges) / F.lit(2**32)).cast("int"))
     held = sent.groupBy("shard", "range").count()
     before = held.select("shard", "range", (F.sum("count").over(Window.partitionBy("shard").orderBy("range")) - F.col("count")).alias("before"))
-    order = Window.partitionBy("shard", "range").orderBy("k2", "id")
+    order = Window.partitionBy("shard", "range").orderBy("k2", "id", "text_crc32", "size")
     return sent.withColumn("place", F.row_number().over(order)).join(F.broadcast(before), ["shard", "range"]).select(
         F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot")
     )
