@@ -22,7 +22,7 @@ class Settings:
     """``rows`` and ``chars`` bound the labelled sample that training reads; scoring reads whole texts.
 
     A bucket that fewer than ``least_docs`` sampled texts hold is not trained: it adds nothing to a score, though
-    it counts in the average. ``decay`` pulls trained rows towards zero.
+    it counts in the average. ``decay`` pulls trained rows towards zero. Small samples are passed more often, for ``least_steps`` mini-batches.
     """
 
     rows: int = 6000
@@ -34,6 +34,7 @@ class Settings:
     least_docs: int = 8
     decay: float = 0.0
     epochs: int = 6
+    least_steps: int = 700
     batch: int = 64
     rate: float = 0.5
     seed: int = 5
@@ -123,7 +124,7 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
     out = rng.normal(0, 0.1, (s.dim, 2)).astype(np.float32)
     bias = np.array([np.log(1 - share), np.log(share)], np.float32)
     sum_table, sum_out, sum_bias = np.full(s.buckets, 1e-8, np.float32), np.full_like(out, 1e-8), np.full_like(bias, 1e-8)
-    for _ in range(s.epochs):
+    for _ in range(max(s.epochs, -(-s.least_steps // len(batches)))):
         for k in rng.permutation(len(batches)):
             flat, weight, doc, starts, y = batches[k]
             if not len(flat):
