@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,8 @@ class Settings:
     """``rows`` and ``chars`` bound the labelled sample that training reads; scoring reads whole texts.
 
     A bucket that fewer than ``least_docs`` sampled texts hold is not trained: it adds nothing to a score, though
-    it counts in the average. ``decay`` pulls trained rows towards zero. Small samples are passed more often, for ``least_steps`` mini-batches.
+    it counts in the average. The average runs over the n-grams of a text's different words and ``padding`` empty
+    ones, so that neither a word said a hundred times nor a text of few words decides by itself. ``decay`` pulls trained rows towards zero. Small samples are passed more often, for ``least_steps`` mini-batches.
     """
 
     rows: int = 6000
@@ -32,11 +34,13 @@ class Settings:
     shortest: int = 3
     longest: int = 6
     least_docs: int = 8
+    padding: int = 300
     decay: float = 0.0
     epochs: int = 6
     least_steps: int = 700
     batch: int = 64
-    rate: float = 0.5
+    rate: float = 1.5
+    calibration: int = 5
     seed: int = 5
 
 
@@ -63,12 +67,12 @@ class Model:
     def score(self, texts: Iterator[str], memo: dict[str, tuple[float, int]]) -> np.ndarray:
         out = []
         for text in texts:
-            ws = words(text)
-            new = [w for w in set(ws) if w not in memo]
+            ws = list(dict.fromkeys(words(text)))
+            new = [w for w in ws if w not in memo]
             if new:
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
-                    new = set(ws)
+                    new = ws
                 for w in new:
                     ids = subwords(w, self.settings)
                     memo[w] = (float(self.bucket_logit[ids].sum()), len(ids))
@@ -76,26 +80,49 @@ class Model:
             for a, b in map(memo.__getitem__, ws):
                 total += a
                 n += b
-            out.append(total / max(n, 1) + self.bias)
+            out.append(total / max(n + self.settings.padding, 1) + self.bias)
         return 1 / (1 + np.exp(-np.clip(np.array(out, dtype=np.float64), -700, 700)))
 
 
 def _bags(texts: list[str], s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text its buckets and their shares of all its n-grams."""
-    known: dict[str, list[int]] = {}
+    """For each text its buckets and their shares of the average."""
+    known: dict[str, np.ndarray] = {}
     for text in texts:
         if len(known) > 50_000:
             known.clear()
-        ids: list[int] = []
-        for w in words(text):
+        parts = [np.zeros(0, np.int32)]
+        for w in dict.fromkeys(words(text)):
             if w not in known:
-                known[w] = subwords(w, s)
-            ids += known[w]
-        u, c = np.unique(np.array(ids, np.int32), return_counts=True)
-        yield u, (c / max(len(ids), 1)).astype(np.float32)
+                known[w] = np.array(subwords(w, s), np.int32)
+            parts.append(known[w])
+        ids = np.concatenate(parts)
+        u, c = np.unique(ids, return_counts=True)
+        yield u, (c / max(len(ids) + s.padding, 1)).astype(np.float32)
 
 
 def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
+    """A network trained on most rows; every ``calibration``-th row sets the bias instead.
+
+    The bias is moved to the middle of the logits between which the cut makes the fewest errors on those rows.
+    """
+    apart = np.arange(len(texts)) % s.calibration == 0
+    labels = np.asarray(labels, dtype=np.int64)
+    model = fit_network([t for t, a in zip(texts, apart, strict=True) if not a], labels[~apart], s)
+    y = labels[apart]
+    if len(y) < 100 or y.min() == y.max():
+        return model
+    p = np.clip(model.score((t for t, a in zip(texts, apart, strict=True) if a), {}), 1e-300, 1 - 1e-16)
+    logit = np.log(p / (1 - p))
+    by = np.argsort(logit, kind="stable")
+    logit, y = logit[by], y[by]
+    errors = np.concatenate(([0], np.cumsum(y))) + (len(y) - y.sum()) - np.concatenate(([0], np.cumsum(1 - y)))
+    best = np.flatnonzero(errors == errors.min())
+    edge = np.concatenate(([logit[0] - 1], logit, [logit[-1] + 1]))
+    cut = float(np.median([(edge[k] + edge[k + 1]) / 2 for k in best]))
+    return Model(s, model.bucket_logit, model.bias - cut)
+
+
+def fit_network(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
     """Embeddings and softmax together, by mini-batches with Adagrad. Without rows of both labels the score is the label's share."""
     labels = np.asarray(labels, dtype=np.int64)
     share = (labels.sum() + 1) / (len(labels) + 2)
@@ -103,14 +130,14 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
         return Model(s, np.zeros(s.buckets), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(s.seed)
     order = rng.permutation(len(texts))
-    held, bags = np.zeros(s.buckets, np.int32), []
-    for bag in _bags([texts[i] for i in order], s):
-        held[bag[0]] += 1
-        bags.append(bag)
-    batches = []
+    # two passes over the texts: a bag is kept only in its frequent buckets
+    ordered, held = [texts[i] for i in order], np.zeros(s.buckets, np.int32)
+    for u, _ in _bags(ordered, s):
+        held[u] += 1
+    bags, batches = _bags(ordered, s), []
     for lo in range(0, len(order), s.batch):
         ids, weights, docs = [], [], []
-        for d, (u, c) in enumerate(bags[lo : lo + s.batch]):
+        for d, (u, c) in enumerate(islice(bags, s.batch)):
             often = held[u] >= s.least_docs
             ids.append(u[often])
             weights.append(c[often])
@@ -119,7 +146,6 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
         by = np.argsort(flat, kind="stable").astype(np.int32)
         starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[by]) > 0))) if len(flat) else np.zeros(0, np.int64)
         batches.append((flat[by], weight[by], doc[by], starts, labels[order[lo : lo + s.batch]]))
-    bags.clear()
     table = rng.normal(0, 0.1, (s.buckets, s.dim)).astype(np.float32)
     out = rng.normal(0, 0.1, (s.dim, 2)).astype(np.float32)
     bias = np.array([np.log(1 - share), np.log(share)], np.float32)
