@@ -113,6 +113,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_format": r"""
+        with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as t from conversations
+                   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        f as (select *, coalesce(lag(role) over w = role, false) as before, coalesce(lead(role) over w = role, false) as after,
+                len(regexp_extract_all(t, '[<\[]\\*(/?s>|/?INST\]|/?SYS>|<SYS>>|</SYS>>|\|[A-Za-z0-9_]*\|>)')) as escapes
+              from c window w as (partition by conv_id order by turn, role, t))
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn, role, t)) as turns_sha256,
+          cast(coalesce(sum(length(t)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+          sha256(coalesce(string_agg(t, '' order by turn, role, t) filter (where role = 'assistant'), '')) as loss_sha256,
+          cast(sum(case when before then 11 else 13 + length(role) end + length(t) + escapes + case when after then 0 else 11 end) as bigint) as formatted_chars
+        from f group by conv_id
+    """,
     "op3_exact_dedup": """
         with d as (select doc_id, coalesce(text, '') as t from documents)
         select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
