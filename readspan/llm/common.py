@@ -104,7 +104,7 @@ class Words:
         n = len(self.hash)
         total = np.zeros(n, np.uint64)
         for j in range(k):
-            total[: n - j] += self.hash[j:] * factor[j]
+            total[: max(n - j, 0)] += self.hash[j:] * factor[j]
         whole = np.zeros(n, bool)
         if n >= k:
             whole[: n - k + 1] = self.doc[: n - k + 1] == self.doc[k - 1 :]

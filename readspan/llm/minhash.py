@@ -66,7 +66,8 @@ def dart_signatures(elements: np.ndarray, owner: np.ndarray, n: int, k: int, wei
             gaps = -np.log(_uniform(h))
             if width is not None:
                 gaps /= width[active][:, None]
-            ranks = rank[:, None] + np.cumsum(gaps, 1)
+            gaps[:, 0] += rank  # one dart after the other from the carried rank, so that step changes no bit of a rank
+            ranks = np.cumsum(gaps, 1)
             met = ranks <= reach[owner[active]][:, None]
             if weight is not None:
                 at = low[active][:, None] + width[active][:, None] * _uniform(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))

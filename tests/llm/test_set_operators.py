@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 import corpus_pipeline
@@ -65,6 +66,23 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert one.shape == (1, 64) and twice.shape == (1, 64)
 
 
+def test_dart_signatures_do_not_depend_on_the_slice():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in (3, 9, 12, 20, 40, 90)]
+    texts += [" ".join(f"w{x}" for x in rng.integers(0, 10**6, rng.integers(20, 900))) for _ in range(250)]
+
+    def signed(some, weighted=False):
+        ((lo, hi, words),) = common.slices(pa.array(some))
+        hashes, owner = words.shingles(minhash.WORDS)
+        weights = (hashes % np.uint64(7)).astype(np.float64) + 0.3 if weighted else None
+        return minhash.dart_signatures(hashes, owner, hi - lo, 125, weights)
+
+    together, weighted = signed(texts), signed(texts, True)
+    for i in range(8):
+        assert (signed([texts[i]])[0] == together[i]).all() and (signed([texts[i]], True)[0] == weighted[i]).all()
+        assert (signed([texts[i], texts[i + 1]])[0] == together[i]).all()
+
+
 def edited(rng, w, n):
     w = list(w)
     for _ in range(n):
