@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readspan.llm import minhash
 from readspan.llm.common import Words, components, cut, mix, seeded, slices
 
 #: Words in a shingle and in a paragraph, and shingles from which each paragraph start is chosen. A passage of 51
@@ -21,6 +22,8 @@ ROWS = 2
 LEAST = 0.8
 #: Rows up to which ids, spans or requests (tens of bytes each) are broadcast to the texts rather than joined by a shuffle.
 BROADCAST_ROWS = 300_000
+#: Contents of a key up to which all its pairs are compared at once.
+SMALL = 64
 _SHINGLES = PARAGRAPH - WORDS + 1
 
 
@@ -123,29 +126,82 @@ def _jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def near_contents(classes: DataFrame, docs: DataFrame, least: float, rounds: int = 3) -> DataFrame:
-    """Links ``(a, b)`` between different contents that share a band key and have Jaccard similarity ``least``.
+def near_contents(members: DataFrame, keepers: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b)`` between contents of ``members`` (key, content) that share a key and have Jaccard similarity ``least``.
 
-    In each round every content of a key is compared with the key's smallest that is still alone; contents that
-    found it leave the key. Contents left after ``rounds`` differ from all those and are linked by equality only.
+    Linked contents are all those, up to components: in keys of up to SMALL contents all pairs are compared. In larger
+    ones every content meets the key's smallest; those that this and the other keys leave in different components are
+    compared in blocks, but for those of whose shingles too few are in a content of the key in another component.
+    ``keepers`` (content, id, pos) tells where a content stands.
     """
-    mixed = classes.groupBy("key").agg(F.min("lo").alias("k_lo"), F.max("hi").alias("k_hi"), F.count("*").alias("n")).where("n > 1 and k_lo < k_hi")
-    some = cut(classes.join(mixed.select("key"), "key").select("key", "content", F.col("keeper.id").alias("id"), F.col("keeper.pos").alias("pos")))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("key").alias("k"), "n")
+    some = cut(members.withColumn("k", F.bitwise_not("key")).join(sizes, "k").select("key", "content", "n"))
     if some.isEmpty():
-        return some.select(F.col("content").alias("a"), F.col("content").alias("b")).limit(0)
-    sets = cut(_shingle_sets(docs, some.dropDuplicates(["content"])).dropDuplicates(["content"]))
-    left, links = cut(some.select("key", "content").join(sets, "content")), None
-    for _ in range(rounds):
-        lead = left.groupBy("key").agg(F.min("content").alias("a"), F.count("*").alias("n")).where("n > 1")
-        lead = lead.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("base")), "a").select(F.bitwise_not("key").alias("k"), "a", "base")
-        met = left.withColumn("k", F.bitwise_not("key")).join(lead, "k").where("content <> a")
-        met = cut(met.select("key", "content", "shingles", "a", (_jaccard(F.col("shingles"), F.col("base")) >= least).alias("near")))
-        found = met.where("near").select("a", F.col("content").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        left = met.where("not near").select("key", "content", "shingles")
-        if left.isEmpty():
-            break
-    return links.distinct()
+        return some.select(F.col("content").alias("a"), F.col("content").alias("b"))
+    asked = keepers.join(some.select("content").distinct(), "content").select("id", "pos", "content")
+    sets = cut(_shingle_sets(docs, asked).dropDuplicates(["content"]))
+    links = cut(_linked_in_small(some.where(F.col("n") <= SMALL).select("key", "content").join(sets, "content"), least))
+    large = cut(some.where(F.col("n") > SMALL).select("key", "content"))
+    if large.isEmpty():
+        return links
+    lead = large.groupBy("key").agg(F.min("content").alias("a")).select(F.bitwise_not("key").alias("k"), "a")
+    stars = large.withColumn("k", F.bitwise_not("key")).join(lead, "k").where("content <> a").select("a", F.col("content").alias("b")).distinct()
+    stars = stars.join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("own")), "b").withColumn("k", F.bitwise_not("a"))
+    stars = stars.join(sets.select(F.bitwise_not("content").alias("k"), F.col("shingles").alias("base")), "k").where(_jaccard(F.col("own"), F.col("base")) >= least)
+    links = cut(links.unionByName(stars.select("a", "b")))
+    labelled = large.join(components(links).select(F.col("node").alias("content"), "component"), "content", "left")
+    rest = cut(minhash._mixed(labelled.select("key", F.col("content").alias("id"), F.coalesce("component", "content").alias("label"))))
+    held = sets.select(F.col("content").alias("id"), F.size("shingles").alias("n"), F.col("shingles").alias("shared"))
+    # a pair's common shingles are in contents of two components of the key
+    rows = cut(rest.join(held, "id").select("key", "id", "label", "n", F.explode("shared").alias("s")).withColumn("k", F.xxhash64("key", "s")))
+    shared = rows.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.bitwise_not("k").alias("j"))
+    able = rows.withColumn("j", F.bitwise_not("k")).join(shared, "j").groupBy("key", "id", "label").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+    rest = cut(minhash._mixed(able.where(F.col("c") >= least * F.col("n")).select("key", "id", "label")))
+    return cut(links.unionByName(minhash.linked_in_blocks(rest, held, least)))
+
+
+def _linked_in_small(rows: DataFrame, least: float) -> DataFrame:
+    """``(a, b)`` of all pairs of ``rows`` (key, content, shingles) in one key whose similarity is ``least``; many keys at a time in sorted partitions."""
+
+    def linked(part: pa.Table) -> pa.RecordBatch:
+        key, content = part.column("key").to_numpy(), part.column("content").to_numpy()
+        shingles = part.column("shingles").combine_chunks()
+        size = np.diff(shingles.offsets.to_numpy())
+        row = np.repeat(np.arange(len(key)), size)
+        sets = np.zeros((len(key), _SHINGLES), np.int64)
+        sets[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = shingles.flatten().to_numpy()
+        blank = _SHINGLES - size
+        a, b, apart = [], [], 1
+        while True:
+            left = np.flatnonzero(key[:-apart] == key[apart:])
+            if not len(left):
+                break
+            for i in np.array_split(left, -(-len(left) // 8192)):
+                j = i + apart
+                both = (sets[i][:, :, None] == sets[j][:, None, :]).sum((1, 2)) - blank[i] * blank[j]
+                near = both >= least * (size[i] + size[j] - both)
+                a.append(np.minimum(content[i], content[j])[near])
+                b.append(np.maximum(content[i], content[j])[near])
+            apart += 1
+        pairs = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = part if wait is None else pa.concat_tables([wait, part])
+            key = part.column("key").to_numpy()
+            if len(key):
+                whole = int(np.searchsorted(key, key[-1]))
+                wait = part.slice(whole)
+                if whole:
+                    yield linked(part.slice(0, whole))
+        if wait is not None and wait.num_rows:
+            yield linked(wait)
+
+    rows = rows.select("key", "content", "shingles").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
@@ -190,7 +246,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flat = cut(flat.withColumn("k", F.bitwise_not("key")).join(busy, "k").select("id", "pos", "key", "content"))
     classes = flat.groupBy("content").agg(F.min("key").alias("key"), F.min(F.struct("id", "pos")).alias("keeper"), F.max("id").alias("hi"))
     classes = cut(classes.select("content", "key", "keeper", F.col("keeper.id").alias("lo"), "hi"))
-    links = near_contents(classes, docs, least)
+    mixed = classes.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo < hi").select("key")
+    members = classes.join(mixed, "key").select("key", "content")
+    links = near_contents(members, classes.select("content", "keeper.id", "keeper.pos"), docs, least)
     near = components(links)
     grouped = classes.join(near.select(F.col("node").alias("content"), "component"), "content", "left")
     grouped = cut(grouped.select("content", "keeper", "lo", "hi", F.coalesce("component", "content").alias("component")))

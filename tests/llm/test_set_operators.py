@@ -127,6 +127,45 @@ def test_substring_dedup(spark):
         assert got[i].text == before.rstrip(" ") + after and 0 <= got[i].class_ids[0] < i
 
 
+def test_near_contents_against_all_pairs(spark):
+    rng = random.Random(9)
+    fresh = lambda n: [f"n{rng.randrange(10**7)}" for _ in range(n)]
+    n, texts = substring_dedup.PARAGRAPH, {}
+    for cluster in range(6):  # more clusters in one key than a few rounds of leaders reach
+        base = fresh(n)
+        for _ in range(3):
+            texts[len(texts)] = [*fresh(1), *base[1:]] if rng.random() < 0.7 else [*base[:-1], *fresh(1)]
+    a = fresh(n)
+    b, c = [*fresh(1), *a[1:]], [*a[:-2], *fresh(2)]
+    chain = [a, [*fresh(2), *a[2:]], c, b]
+    for w in chain:
+        texts[len(texts)] = w
+    for _ in range(90):
+        texts[len(texts)] = fresh(n)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(n - 4)} for i, w in texts.items()}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "id long, t string")
+    keepers = spark.createDataFrame([(i, i, 0) for i in texts], "content long, id long, pos int")
+
+    def classes(pairs):
+        up = {i: i for i in texts}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in pairs:
+            x, y = sorted((find(x), find(y)))
+            up[y] = x
+        return {i: find(i) for i in texts}
+
+    for last in (22, len(texts)):  # a small key and a large one
+        members = spark.createDataFrame([(7, i) for i in range(last)], "key long, content long")
+        links = [tuple(r) for r in substring_dedup.near_contents(members, keepers, docs, 0.8).collect()]
+        want = [(x, y) for x in range(last) for y in range(x) if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+        assert want and classes(links) == classes(want) and {tuple(sorted(p, reverse=True)) for p in links} <= set(want)
+
+
 def test_substring_dedup_of_the_fixture(spark):
     texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{FIXTURE}/documents.parquet").to_pylist()}
     got = {r.doc_id: r.text for r in queries.op10_substring_dedup(spark, FIXTURE).collect()}
