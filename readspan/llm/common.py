@@ -37,6 +37,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder. A checkpoint keeps Spark's estimated sizes, which multiply at every join; a table has its own."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Ids (8 bytes each) up to which dropped rows are broadcast rather than joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readspan.llm import minhash
-from readspan.llm.common import Words, components, cut, mix, seeded, slices
+from readspan.llm.common import Words, components, cut, mix, seeded, slices, stored
 
 #: Words in a shingle and in a paragraph, and shingles from which each paragraph start is chosen. A passage of 51
 #: words holds a whole paragraph wherever it stands: 24 + 4 words until the first start, 23 in the paragraph.
 WORDS, PARAGRAPH, CHOICE = 5, 23, 24
-#: Rows of the band: the key joins the smallest shingles by two hashes, as a single one is often a common phrase.
-#: Equal paragraphs always share it, those at 0.8 with probability 0.64; paragraphs overlap, so a passage has several.
-ROWS = 2
+#: A paragraph's bands join two each of its SMALLEST smallest different shingles: a single one is often a common phrase.
+#: Of two paragraphs at 0.8, each of different shingles, neither has more than two of 19 that the other lacks, so the two
+#: smallest common ones are among both's four smallest and the two share a band for certain. Where shingles repeat within
+#: a paragraph three may lack; then a band is shared with probability 0.996 at least.
+SMALLEST = 4
 #: Jaccard similarity of paragraphs that count as one.
 LEAST = 0.8
 #: Rows up to which ids, spans or requests (tens of bytes each) are broadcast to the texts rather than joined by a shuffle.
@@ -25,6 +28,8 @@ BROADCAST_ROWS = 300_000
 #: Contents of a key up to which all its pairs are compared at once.
 SMALL = 64
 _SHINGLES = PARAGRAPH - WORDS + 1
+_BANDS = list(combinations(range(SMALLEST), 2))
+_NONE = np.uint64(2**64 - 1)
 
 
 def _least_of(x: np.ndarray, n: int) -> np.ndarray:
@@ -36,14 +41,14 @@ def _least_of(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(doc, position, key, content)`` of each paragraph: the text's index, the first word's place, the band key and a hash of all words.
+    """``(doc, position, keys, content)`` of each paragraph: the text's index, the first word's place, the band keys and a hash of all words.
 
     A paragraph starts at each shingle that has the smallest hash of some CHOICE shingles in a row, so equal
-    passages are cut alike whatever stands around them. The key is the MinHash band of its shingles.
+    passages are cut alike whatever stands around them. ``keys`` has a row a paragraph; a band without shingles is 0.
     """
     n = len(words.hash)
     if n < PARAGRAPH:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros((0, len(_BANDS)), np.uint64), np.zeros(0, np.uint64))
     factor = seeded(WORDS, 23) | np.uint64(1)
     total = np.zeros(n - WORDS + 1, np.uint64)
     for j in range(WORDS):
@@ -63,31 +68,89 @@ def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         starts = np.flatnonzero(chosen)
     starts = starts[starts + PARAGRAPH <= n]
     starts = starts[doc[starts] == doc[starts + PARAGRAPH - 1]]
-    key = np.zeros(len(starts), np.uint64)
-    for seed in seeded(ROWS, 43):
-        key = mix(key + _least_of(mix(shingle + seed), _SHINGLES)[starts])
+    ranks = mix(shingle + np.uint64(43))
+    own = np.sort(np.lib.stride_tricks.sliding_window_view(ranks, _SHINGLES)[starts], axis=1)
+    own[:, 1:][own[:, 1:] == own[:, :-1]] = _NONE
+    own = np.sort(own, axis=1)[:, :SMALLEST] if (own[:, 1:] == _NONE).any() else own[:, :SMALLEST]
+    keys = np.zeros((len(starts), len(_BANDS)), np.uint64)
+    for k, (i, j) in enumerate(_BANDS):
+        keys[:, k] = mix(mix(own[:, i]) + own[:, j])
+        # a single shingle is one band
+        keys[(own[:, i] == _NONE) | (own[:, j] == _NONE) & (i + j > 1), k] = 0
     powers = seeded(PARAGRAPH, 29) | np.uint64(1)
     content = np.zeros(len(starts), np.uint64)
     for j in range(PARAGRAPH):
         content += words.hash[starts + j] * powers[j]
-    return doc[starts], starts - words.first[doc[starts]], key, mix(content)
+    return doc[starts], starts - words.first[doc[starts]], keys, mix(content)
 
 
 def cut_paragraphs(docs: DataFrame) -> DataFrame:
-    """``(id, paragraphs)``: an array of (pos, key, content), for documents that have any."""
-    schema = pa.schema([("id", pa.int64()), ("pos", pa.list_(pa.int32())), ("key", pa.list_(pa.int64())), ("content", pa.list_(pa.int64()))])
+    """``(id, pos, content)`` of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words in slices(batch.column("t")):
-                doc, pos, key, content = paragraphs(words)
-                count = np.bincount(doc, minlength=hi - lo)
-                ends = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (pos.astype(np.int32), key.view(np.int64), content.view(np.int64))]
-                out = pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), *lists], schema=schema)
-                yield out.filter(pa.array(count > 0))
+            ids = batch.column("id").to_numpy()
+            for lo, _, words in slices(batch.column("t")):
+                doc, pos, _, content = paragraphs(words)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + doc]), pa.array(pos.astype(np.int32)), pa.array(content.view(np.int64))], names=["id", "pos", "content"])
+
+    return docs.mapInArrow(run, "id long, pos int, content long")
+
 
-    return docs.mapInArrow(run, "id long, pos array<int>, key array<long>, content array<long>")
+def shared_bands(docs: DataFrame) -> DataFrame:
+    """``(key, content)``: different contents of each band key that several contents and several documents have.
+
+    A key's rows stand together in sorted partitions and pass as a stream, so that bands cost one shuffle.
+    """
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for lo, _, words in slices(batch.column("t")):
+                doc, _, keys, content = paragraphs(words)
+                row, band = np.nonzero(keys)
+                columns = keys[row, band].view(np.int64), content[row].view(np.int64), ids[lo + doc[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "content", "id"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of an open key: its first content and id, its last content, and whether other contents and documents came
+        open_key = first = first_id = last = None
+        contents = documents = False
+        wait = np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, content, ids = (batch.column(c).to_numpy() for c in ("key", "content", "id"))
+            held = np.zeros(0, np.int64)
+            if open_key is not None and key[0] == open_key and not (contents and documents):
+                held = wait
+            elif open_key is None or key[0] != open_key:
+                contents = documents = False
+                open_key, first, first_id, last = key[0], content[0], ids[0], None
+            carried = len(held)
+            key = np.concatenate((np.full(carried, open_key), key))
+            content = np.concatenate((held, content))
+            ids = np.concatenate((np.full(carried, first_id), ids))
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.concatenate((begin, [len(key)])))
+            a, b = np.repeat(content[begin], size), np.repeat(ids[begin], size)
+            a[: size[0]], b[: size[0]] = first, first_id
+            more = np.logical_or.reduceat(content != a, begin)
+            apart = np.logical_or.reduceat(ids != b, begin)
+            more[0] |= contents
+            apart[0] |= documents
+            new = np.concatenate(([carried > 0 or last is None or bool(content[0] != last)], (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
+            good = np.repeat(more & apart, size)
+            yield pa.RecordBatch.from_arrays([pa.array(key[good & new]), pa.array(content[good & new])], names=["key", "content"])
+            at = begin[-1]
+            open_key, last, contents, documents = key[-1], content[-1], bool(more[-1]), bool(apart[-1])
+            if len(begin) > 1:
+                first, first_id = content[at], ids[at]
+            # what a key not yet known to be shared would hand on later: one content, or contents of one document
+            wait = np.unique(content[at:]) if not (contents and documents) else np.zeros(0, np.int64)
+
+    rows = docs.mapInArrow(bands, "key long, content long, id long").repartition("key").sortWithinPartitions("key", "content")
+    return rows.mapInArrow(several, "key long, content long")
 
 
 def _with_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -139,8 +202,8 @@ def near_contents(members: DataFrame, keepers: DataFrame, docs: DataFrame, least
     if some.isEmpty():
         return some.select(F.col("content").alias("a"), F.col("content").alias("b"))
     asked = keepers.join(some.select("content").distinct(), "content").select("id", "pos", "content")
-    sets = cut(_shingle_sets(docs, asked).dropDuplicates(["content"]))
-    links = cut(_linked_in_small(some.where(F.col("n") <= SMALL).select("key", "content").join(sets, "content"), least))
+    sets = stored(_shingle_sets(docs, asked).dropDuplicates(["content"]), "sets")
+    links = stored(_linked_in_small(some.where(F.col("n") <= SMALL).select("key", "content").join(sets, "content"), least), "links")
     large = cut(some.where(F.col("n") > SMALL).select("key", "content"))
     if large.isEmpty():
         return links
@@ -148,7 +211,7 @@ def near_contents(members: DataFrame, keepers: DataFrame, docs: DataFrame, least
     stars = large.withColumn("k", F.bitwise_not("key")).join(lead, "k").where("content <> a").select("a", F.col("content").alias("b")).distinct()
     stars = stars.join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("own")), "b").withColumn("k", F.bitwise_not("a"))
     stars = stars.join(sets.select(F.bitwise_not("content").alias("k"), F.col("shingles").alias("base")), "k").where(_jaccard(F.col("own"), F.col("base")) >= least)
-    links = cut(links.unionByName(stars.select("a", "b")))
+    links = stored(links.unionByName(stars.select("a", "b")), "links")
     labelled = large.join(components(links).select(F.col("node").alias("content"), "component"), "content", "left")
     rest = cut(minhash._mixed(labelled.select("key", F.col("content").alias("id"), F.coalesce("component", "content").alias("label"))))
     held = sets.select(F.col("content").alias("id"), F.size("shingles").alias("n"), F.col("shingles").alias("shared"))
@@ -156,8 +219,8 @@ def near_contents(members: DataFrame, keepers: DataFrame, docs: DataFrame, least
     rows = cut(rest.join(held, "id").select("key", "id", "label", "n", F.explode("shared").alias("s")).withColumn("k", F.xxhash64("key", "s")))
     shared = rows.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.bitwise_not("k").alias("j"))
     able = rows.withColumn("j", F.bitwise_not("k")).join(shared, "j").groupBy("key", "id", "label").agg(F.count("*").alias("c"), F.min("n").alias("n"))
-    rest = cut(minhash._mixed(able.where(F.col("c") >= least * F.col("n")).select("key", "id", "label")))
-    return cut(links.unionByName(minhash.linked_in_blocks(rest, held, least)))
+    rest = stored(minhash._mixed(able.where(F.col("c") >= least * F.col("n")).select("key", "id", "label")), "rest")
+    return stored(links.unionByName(minhash.linked_in_blocks(rest, held, least)), "links")
 
 
 def _linked_in_small(rows: DataFrame, least: float) -> DataFrame:
@@ -240,20 +303,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents share costs one row a document, and no pairs of documents are made.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("id is not null")
-    flat = cut_paragraphs(docs).select("id", F.explode(F.arrays_zip("pos", "key", "content")).alias("p")).select("id", "p.pos", "p.key", "p.content")
-    # only paragraphs whose key several documents hold go on
-    busy = flat.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.bitwise_not("key").alias("k"))
-    flat = cut(flat.withColumn("k", F.bitwise_not("key")).join(busy, "k").select("id", "pos", "key", "content"))
-    classes = flat.groupBy("content").agg(F.min("key").alias("key"), F.min(F.struct("id", "pos")).alias("keeper"), F.max("id").alias("hi"))
-    classes = cut(classes.select("content", "key", "keeper", F.col("keeper.id").alias("lo"), "hi"))
-    mixed = classes.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo < hi").select("key")
-    members = classes.join(mixed, "key").select("key", "content")
-    links = near_contents(members, classes.select("content", "keeper.id", "keeper.pos"), docs, least)
+    flat = cut_paragraphs(docs)
+    members = stored(shared_bands(docs), "members")
+    alike = members.select("content").distinct().withColumn("alike", F.lit(True))
+    # only contents that several documents have, or that share a band, go on
+    classes = flat.groupBy("content").agg(F.min(F.struct("id", "pos")).alias("keeper"), F.max("id").alias("hi")).join(alike, "content", "left")
+    classes = cut(classes.select("content", "keeper", F.col("keeper.id").alias("lo"), "hi", "alike").where("alike or lo < hi"))
+    links = near_contents(members, classes.where("alike").select("content", "keeper.id", "keeper.pos"), docs, least)
     near = components(links)
     grouped = classes.join(near.select(F.col("node").alias("content"), "component"), "content", "left")
     grouped = cut(grouped.select("content", "keeper", "lo", "hi", F.coalesce("component", "content").alias("component")))
     best = grouped.groupBy("component").agg(F.min("keeper").alias("best"), F.max("hi").alias("top")).where("best.id < top")
-    kept = grouped.join(best, "component").select(F.bitwise_not("content").alias("c"), "best")
+    # equal words of the kept document are the nearest occurrence, else the component's first
+    kept = grouped.join(best, "component").select(F.bitwise_not("content").alias("c"), F.when(F.col("lo") == F.col("best.id"), F.col("keeper")).otherwise(F.col("best")).alias("best"))
     hits = flat.withColumn("c", F.bitwise_not("content")).join(kept, "c").where("id <> best.id")
     hits = hits.select("id", F.col("pos").alias("start"), (F.col("pos") + PARAGRAPH).alias("end"), F.col("best.id").alias("k_id"), F.col("best.pos").alias("k_pos"))
     runs = cut(_merged(hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "k_id", "k_pos"))).alias("s"))))

@@ -166,6 +166,52 @@ def test_near_contents_against_all_pairs(spark):
         assert want and classes(links) == classes(want) and {tuple(sorted(p, reverse=True)) for p in links} <= set(want)
 
 
+def test_paragraphs_at_the_threshold_share_a_band():
+    rng = random.Random(10)
+    fresh = lambda n: [f"r{rng.randrange(10**7)}" for _ in range(n)]
+    n, keys = substring_dedup.PARAGRAPH, {}
+    for i in range(400):
+        base = fresh(60)
+        for side, text in enumerate((base, [*base[:21], *fresh(39)], [*fresh(2), *base[2:23], *fresh(37)])):
+            ((_, _, words),) = common.slices(pa.array([" ".join(text)]))
+            starts = substring_dedup.paragraphs(words)
+            for p, k in zip(starts[1], starts[2], strict=True):
+                w = text[p : p + n]
+                keys[i, side, int(p)] = {tuple(w[j : j + 5]) for j in range(n - 4)}, set(k.tolist()) - {0}
+    near = met = 0
+    for (i, side, _), (a, ka) in keys.items():
+        if side:
+            for (j, other, _), (b, kb) in [(q, keys[q]) for q in keys_of(keys, i, 0)]:
+                if len(a & b) >= 0.8 * len(a | b):
+                    near, met = near + 1, met + bool(ka & kb)
+    assert near > 20 and met == near
+
+
+def keys_of(keys, i, side):
+    return [(i, side, p) for p in range(60) if (i, side, p) in keys]
+
+
+def test_shared_bands_over_batches(spark):
+    rng = random.Random(12)
+    base = [f"s{rng.randrange(10**7)}" for _ in range(200)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice([0, 2, 9, 30])).split())) for i in range(25)] + [(30, " ".join(["one two three four five six seven"] * 12))]
+    docs, want = spark.createDataFrame(rows, "id long, t string"), {}
+    for i, t in rows:
+        ((_, _, words),) = common.slices(pa.array([t]))
+        _, _, keys, content = substring_dedup.paragraphs(words)
+        for k, c in zip(keys.view(np.int64), content.view(np.int64), strict=True):
+            for x in set(k.tolist()) - {0}:
+                want.setdefault(x, set()).add((int(c), i))
+    want = sorted((k, c) for k, v in want.items() if len({c for c, _ in v}) > 1 and len({i for _, i in v}) > 1 for c in {c for c, _ in v})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "2", "7", before):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert want and sorted(map(tuple, substring_dedup.shared_bands(docs).collect())) == want
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_substring_dedup_of_the_fixture(spark):
     texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{FIXTURE}/documents.parquet").to_pylist()}
     got = {r.doc_id: r.text for r in queries.op10_substring_dedup(spark, FIXTURE).collect()}
