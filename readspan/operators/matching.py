@@ -73,13 +73,22 @@ def narrowest(met: DataFrame, point: list[str], start: str, end: str, tie: str)
     return met.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+#: Short needles up to which they are broadcast to the texts.
+SHORT_NEEDLES = 10_000
+
+
 def contained(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> DataFrame:
-    """Pairs whose text contains the needle, by an equi-join on the needle's second to fourth word.
+    """Pairs whose text contains the needle, any that isn't empty.
 
-    Those are whole words of any text that contains the needle, so no pair is missed. Needles of fewer than five
-    words are left out.
+    Needles of five words and more meet by an equi-join on their second to fourth word, which are whole words of any
+    text that contains the needle. Others (shorter, or with other white space) have no such key and are looked for in
+    every text, by a broadcast while they are few.
     """
     three = r"\S+[ \n]+\S+[ \n]+\S+"
-    long = needles.withColumn("__a", F.regexp_extract(needle, rf"^\S+[ \n]+({three})[ \n]", 1)).where("__a <> ''")
+    needles = needles.where(F.col(needle) != "").withColumn("__a", F.regexp_extract(needle, rf"^\S+[ \n]+({three})[ \n]", 1))
     rows = texts.withColumn("__a", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<!\S)(?=({three}))"), F.lit(1)))))
-    return long.join(rows, "__a").where(F.col(text).contains(F.col(needle))).drop("__a")
+    long = needles.where("__a <> ''").join(rows, "__a").where(F.col(text).contains(F.col(needle))).drop("__a")
+    short = needles.where("__a = ''").drop("__a")
+    few = short.limit(SHORT_NEEDLES + 1).count() <= SHORT_NEEDLES
+    met = (F.broadcast(short) if few else short).join(texts, F.col(text).contains(F.col(needle)))
+    return long.unionByName(met)
