@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readspan.llm import minhash
@@ -23,10 +24,15 @@ WORDS, PARAGRAPH, CHOICE = 5, 23, 24
 SMALLEST = 4
 #: Jaccard similarity of paragraphs that count as one.
 LEAST = 0.8
-#: Rows up to which ids, spans or requests (tens of bytes each) are broadcast to the texts rather than joined by a shuffle.
-BROADCAST_ROWS = 300_000
+#: Numbers (8 bytes each) in rows up to which ids, spans or requests are broadcast to the texts rather than joined by a shuffle.
+BROADCAST_NUMBERS = 2_000_000
 #: Contents of a key up to which all its pairs are compared at once.
 SMALL = 64
+#: A content's sketch: the last byte of each of its SKETCH smallest shingles in order, then its band. Of two contents at 0.8
+#: neither has more than three shingles that the other lacks, so SKETCH - 3 of these bytes agree for certain.
+SKETCH, AGREE = 7, 4
+#: Contents of a key up to which a task compares all sketches; a larger key is first divided by a third shingle.
+LARGE = 1024
 _SHINGLES = PARAGRAPH - WORDS + 1
 _BANDS = list(combinations(range(SMALLEST), 2))
 _NONE = np.uint64(2**64 - 1)
@@ -40,15 +46,15 @@ def _least_of(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - width)], x[n - width :]) if width < n else x
 
 
-def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(doc, position, keys, content)`` of each paragraph: the text's index, the first word's place, the band keys and a hash of all words.
+def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(doc, position, keys, content, sketch)`` of each paragraph: the text's index, the first word's place, the band keys, a hash of all words and SKETCH bytes.
 
     A paragraph starts at each shingle that has the smallest hash of some CHOICE shingles in a row, so equal
     passages are cut alike whatever stands around them. ``keys`` has a row a paragraph; a band without shingles is 0.
     """
     n = len(words.hash)
     if n < PARAGRAPH:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros((0, len(_BANDS)), np.uint64), np.zeros(0, np.uint64))
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros((0, len(_BANDS)), np.uint64), np.zeros(0, np.uint64), np.zeros((0, SKETCH), np.uint8))
     factor = seeded(WORDS, 23) | np.uint64(1)
     total = np.zeros(n - WORDS + 1, np.uint64)
     for j in range(WORDS):
@@ -71,7 +77,8 @@ def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     ranks = mix(shingle + np.uint64(43))
     own = np.sort(np.lib.stride_tricks.sliding_window_view(ranks, _SHINGLES)[starts], axis=1)
     own[:, 1:][own[:, 1:] == own[:, :-1]] = _NONE
-    own = np.sort(own, axis=1)[:, :SMALLEST] if (own[:, 1:] == _NONE).any() else own[:, :SMALLEST]
+    own = np.sort(own, axis=1)[:, :SKETCH] if (own[:, 1:] == _NONE).any() else own[:, :SKETCH]
+    sketch = (own & np.uint64(255)).astype(np.uint8)
     keys = np.zeros((len(starts), len(_BANDS)), np.uint64)
     for k, (i, j) in enumerate(_BANDS):
         keys[:, k] = mix(mix(own[:, i]) + own[:, j])
@@ -81,7 +88,7 @@ def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     content = np.zeros(len(starts), np.uint64)
     for j in range(PARAGRAPH):
         content += words.hash[starts + j] * powers[j]
-    return doc[starts], starts - words.first[doc[starts]], keys, mix(content)
+    return doc[starts], starts - words.first[doc[starts]], keys, mix(content), sketch
 
 
 def cut_paragraphs(docs: DataFrame) -> DataFrame:
@@ -91,72 +98,181 @@ def cut_paragraphs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for lo, _, words in slices(batch.column("t")):
-                doc, pos, _, content = paragraphs(words)
+                doc, pos, _, content, _ = paragraphs(words)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo + doc]), pa.array(pos.astype(np.int32)), pa.array(content.view(np.int64))], names=["id", "pos", "content"])
 
     return docs.mapInArrow(run, "id long, pos int, content long")
 
 
-def shared_bands(docs: DataFrame) -> DataFrame:
-    """``(key, content)``: different contents of each band key that several contents and several documents have.
-
-    A key's rows stand together in sorted partitions and pass as a stream, so that bands cost one shuffle.
+_ROWS = "key long, content long, id long, sketch long, large boolean"
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether AGREE of the bytes of each ``x`` (..., SKETCH) are in ``y``; some may agree by chance, none is missed."""
+    return (x[..., :, None] == y[..., None, :]).any(-1).sum(-1) >= AGREE
+
+
+class _Contents:
+    """Rows sorted by key and content, one a content: its key, least and greatest document and sketch."""
+
+    def __init__(self, key: np.ndarray, content: np.ndarray, lo: np.ndarray, hi: np.ndarray, sketch: np.ndarray):
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])))) if len(key) else np.zeros(0, np.int64)
+        self.key, self.content, self.sketch = key[first], content[first], sketch[first]
+        self.lo, self.hi = (np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)) if len(first) else (lo, hi)
+
+    def part(self, lo: int, hi: int) -> _Contents:
+        return _Contents(*(x[lo:hi] for x in (self.key, self.content, self.lo, self.hi, self.sketch)))
+
+    def joined(self, key: np.ndarray, content: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> _Contents:
+        old = self.key, self.content, self.lo, self.hi, self.sketch
+        return _Contents(*(np.concatenate(x) for x in zip(old, (key, content, ids, ids, sketch), strict=True)))
+
+    def rows(self) -> pa.RecordBatch:
+        """One row a content and document that ``lo`` and ``hi`` name."""
+        two = np.flatnonzero(self.lo < self.hi)
+        at = np.concatenate((np.arange(len(self.key)), two))
+        columns = self.key[at], self.content[at], np.concatenate((self.lo, self.hi[two])), self.sketch[at]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.ones(len(at), bool))], names=["key", "content", "id", "sketch", "large"])
+
+    def split(self, large: int) -> tuple[_Contents, _Contents]:
+        """Keys of up to ``large`` contents, and larger ones."""
+        begin = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1]))) if len(self.key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(self.key)))
+        if not (size > large).any():
+            return self, self.part(0, 0)
+        over = np.repeat(size > large, size)
+        return tuple(_Contents(*(x[some] for x in (self.key, self.content, self.lo, self.hi, self.sketch))) for some in (~over, over))
+
+    def partnered(self) -> pa.RecordBatch:
+        """The contents whose sketch agrees with that of another content of the key in another document."""
+        found = np.zeros(len(self.key), bool)
+        begin = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1]))) if len(self.key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(self.key)))
+        sketch = np.ascontiguousarray(self.sketch).view(np.uint8).reshape(-1, 8)[:, :SKETCH]
+        apart = lambda i, j: (self.lo[i] != self.lo[j]) | (self.hi[i] != self.hi[j]) | (self.lo[i] != self.hi[i])
+        some = np.repeat((size > 1) & (size <= SMALL), size)
+        step = 1
+        left = np.flatnonzero(some)
+        while len(left):
+            left = left[left + step < len(self.key)]
+            left = left[self.key[left] == self.key[left + step]]
+            for i in np.array_split(left, -(-len(left) // 16384)) if len(left) else ():
+                j = i + step
+                met = _agree(sketch[i], sketch[j]) & apart(i, j)
+                found[i[met]] = True
+                found[j[met]] = True
+            step += 1
+        for a, n in zip(begin[size > SMALL], size[size > SMALL], strict=True):
+            every = np.arange(a, a + n)
+            for i in np.array_split(every, -(-n // 64)):
+                met = _agree(sketch[i][:, None], sketch[every][None]) & apart(i[:, None], every[None]) & (i[:, None] != every[None])
+                found[i] |= met.any(1)
+        key, content = self.key[found], self.content[found]
+        nothing = pa.nulls(len(key), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), nothing, nothing, pa.array(np.zeros(len(key), bool))], names=["key", "content", "id", "sketch", "large"])
+
+
+def _met(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and content. Of keys up to ``large`` contents the partnered ones go on; rows of larger keys go on as they are, marked."""
+    empty = np.zeros(0, np.int64)
+    wait, over = _Contents(empty, empty, empty, empty, empty), None
+    for batch in batches:
+        key, content, ids, sketch = (batch.column(c).to_numpy() for c in ("key", "content", "id", "sketch"))
+        if over is not None:
+            n = int(np.searchsorted(key, over, "right"))
+            if n:
+                yield _Contents(key[:n], content[:n], ids[:n], ids[:n], sketch[:n]).rows()
+            key, content, ids, sketch = key[n:], content[n:], ids[n:], sketch[n:]
+        if not len(key):
+            continue
+        over = None
+        wait = wait.joined(key, content, ids, sketch)
+        last = int(np.searchsorted(wait.key, wait.key[-1]))
+        if last:
+            few, many = wait.part(0, last).split(large)
+            yield few.partnered()
+            yield many.rows()
+            wait = wait.part(last, len(wait.key))
+        if len(wait.key) > large:
+            over = wait.key[-1]
+            yield wait.rows()
+            wait = wait.part(0, 0)
+    yield wait.partnered()
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.select("key", "content", "id", "sketch").repartition("key").sortWithinPartitions("key", "content")
+
+
+def shared_bands(docs: DataFrame, large: int = LARGE) -> DataFrame:
+    """``(key, content)``: contents that share a band key with one of another document that their sketch doesn't rule out.
+
+    A key's rows stand together in sorted partitions and pass as a stream, so that bands cost one shuffle. A slice of
+    text hands on two rows a content at most, whatever its copies. A key of over ``large`` contents is divided by a third
+    shingle, which near contents share too, before sketches are compared; what is still as large goes on whole.
     """
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for lo, _, words in slices(batch.column("t")):
-                doc, _, keys, content = paragraphs(words)
-                row, band = np.nonzero(keys)
-                columns = keys[row, band].view(np.int64), content[row].view(np.int64), ids[lo + doc[row]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "content", "id"])
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of an open key: its first content and id, its last content, and whether other contents and documents came
-        open_key = first = first_id = last = None
-        contents = documents = False
-        wait = np.zeros(0, np.int64)
+                doc, _, keys, content, sketch = paragraphs(words)
+                if not len(doc):
+                    continue
+                own = ids[lo + doc]
+                by = np.lexsort((own, content))
+                new = np.concatenate(([True], content[by][1:] != content[by][:-1]))
+                end = np.append(new[1:], True)
+                by = by[new | (end & (own[by] != own[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]))]
+                row, band = np.nonzero(keys[by])
+                row = by[row]
+                packed = np.concatenate((sketch[row], band[:, None].astype(np.uint8)), 1)
+                columns = keys[row, band].view(np.int64), content[row].view(np.int64), own[row], np.ascontiguousarray(packed).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "content", "id", "sketch"])
+
+    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = np.array(_BANDS)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, content, ids = (batch.column(c).to_numpy() for c in ("key", "content", "id"))
-            held = np.zeros(0, np.int64)
-            if open_key is not None and key[0] == open_key and not (contents and documents):
-                held = wait
-            elif open_key is None or key[0] != open_key:
-                contents = documents = False
-                open_key, first, first_id, last = key[0], content[0], ids[0], None
-            carried = len(held)
-            key = np.concatenate((np.full(carried, open_key), key))
-            content = np.concatenate((held, content))
-            ids = np.concatenate((np.full(carried, first_id), ids))
-            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.diff(np.concatenate((begin, [len(key)])))
-            a, b = np.repeat(content[begin], size), np.repeat(ids[begin], size)
-            a[: size[0]], b[: size[0]] = first, first_id
-            more = np.logical_or.reduceat(content != a, begin)
-            apart = np.logical_or.reduceat(ids != b, begin)
-            more[0] |= contents
-            apart[0] |= documents
-            new = np.concatenate(([carried > 0 or last is None or bool(content[0] != last)], (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
-            good = np.repeat(more & apart, size)
-            yield pa.RecordBatch.from_arrays([pa.array(key[good & new]), pa.array(content[good & new])], names=["key", "content"])
-            at = begin[-1]
-            open_key, last, contents, documents = key[-1], content[-1], bool(more[-1]), bool(apart[-1])
-            if len(begin) > 1:
-                first, first_id = content[at], ids[at]
-            # what a key not yet known to be shared would hand on later: one content, or contents of one document
-            wait = np.unique(content[at:]) if not (contents and documents) else np.zeros(0, np.int64)
-
-    rows = docs.mapInArrow(bands, "key long, content long, id long").repartition("key").sortWithinPartitions("key", "content")
-    return rows.mapInArrow(several, "key long, content long")
+            key, sketch = batch.column("key").to_numpy(), batch.column("sketch").to_numpy()
+            parts = np.ascontiguousarray(sketch).view(np.uint8).reshape(-1, 8)
+            own = pair[parts[:, SKETCH]]
+            for k in range(SMALLEST + 2):  # the three smallest common shingles are among both's six smallest
+                some = np.flatnonzero((own != k).all(1))
+                third = mix(key[some].view(np.uint64) + mix(parts[some, k].astype(np.uint64) + np.uint64(53)))
+                part = batch.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([pa.array(third.view(np.int64)), part.column("content"), part.column("id"), part.column("sketch")], names=["key", "content", "id", "sketch"])
+
+    rows = docs.mapInArrow(bands, "key long, content long, id long, sketch long")
+    met = partial(_met, large=large)
+    first = stored(_sorted(rows).mapInArrow(met, _ROWS), "met")
+    many = first.where("large")
+    if many.isEmpty():
+        return first.select("key", "content")
+    parts = many.select("key", "content", "id", "sketch").mapInArrow(divided, "key long, content long, id long, sketch long")
+    second = stored(_sorted(parts).mapInArrow(met, _ROWS).select("key", "content").distinct(), "met")
+    return first.where("not large").select("key", "content").unionByName(second)
+
+
+def _few(rows: DataFrame, lists: Column) -> bool:
+    """Whether ``rows`` (cut or stored) and the ``lists`` in them hold BROADCAST_NUMBERS numbers at most."""
+    rows_, items = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
+    return 2 * rows_ + 4 * items <= BROADCAST_NUMBERS
 
 
 def _with_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``docs`` joined with ``asked`` (one row an id): by broadcast if ``asked`` has few rows, else by a shuffle."""
+    """``docs`` joined with ``asked`` (one row an id): by broadcast if ``asked`` is small, else by a shuffle."""
     asked = cut(asked)
-    return docs.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "id")
+    return docs.join(F.broadcast(asked) if _few(asked, F.col("asked")) else asked, "id")
+
+
+def _requests(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, pa.StructArray]:
+    """The requests of rows ``lo`` to ``hi``: the row of each, from 0, and the requests."""
+    part = column.slice(lo, hi - lo)
+    return np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy())), part.flatten()
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
 
 
 def _shingle_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -164,22 +280,21 @@ def _shingle_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
     rows = _with_texts(docs, asked.groupBy("id").agg(F.collect_list(F.struct("pos", "content")).alias("asked")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor = seeded(WORDS, 23) | np.uint64(1)
         for batch in batches:
-            wanted = batch.column("asked")
-            for lo, _, words in slices(batch.column("t")):
-                content, sets = [], []
-                for i in range(words.n):
-                    for x in wanted[lo + i].as_py():
-                        at = words.first[i] + x["pos"]
-                        own = words.hash[at : at + PARAGRAPH]
-                        factor = seeded(WORDS, 23) | np.uint64(1)
-                        total = np.zeros(max(0, len(own) - WORDS + 1), np.uint64)
-                        for j in range(WORDS):
-                            total += own[j : len(own) - WORDS + 1 + j] * factor[j]
-                        content.append(x["content"])
-                        sets.append(np.unique(total).view(np.int64))
-                if content:
-                    yield pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["content", "shingles"])
+            for lo, hi, words in slices(batch.column("t")):
+                row, asked_ = _requests(batch.column("asked"), lo, hi)
+                if not len(row):
+                    continue
+                at = words.first[row] + asked_.field("pos").to_numpy()
+                own = words.hash[at[:, None] + np.arange(PARAGRAPH)]
+                total = np.zeros((len(row), _SHINGLES), np.uint64)
+                for j in range(WORDS):
+                    total += own[:, j : j + _SHINGLES] * factor[j]
+                total.sort(axis=1)
+                new = np.ones(total.shape, bool)
+                new[:, 1:] = total[:, 1:] != total[:, :-1]
+                yield pa.RecordBatch.from_arrays([asked_.field("content"), _lists(total[new].view(np.int64), new.sum(1))], names=["content", "shingles"])
 
     return rows.select("t", "asked").mapInArrow(run, "content long, shingles array<long>")
 
@@ -270,23 +385,21 @@ def _linked_in_small(rows: DataFrame, least: float) -> DataFrame:
 def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
     """``(id, at, side, context)``: hashes of up to CHOICE + WORDS words left (``side`` -1, nearest first) or right of place ``at``."""
     rows = _with_texts(docs, ends.groupBy("id").agg(F.collect_list(F.struct("at", "side")).alias("asked")))
-    reach = CHOICE + WORDS
+    reach = np.arange(CHOICE + WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, wanted = batch.column("id"), batch.column("asked")
-            for lo, _, words in slices(batch.column("t")):
-                out = []
-                for i in range(words.n):
-                    own = words.hash[words.first[i] : words.first[i + 1]].view(np.int64)
-                    for x in wanted[lo + i].as_py():
-                        at = x["at"]
-                        part = own[max(0, at - reach) : at][::-1] if x["side"] < 0 else own[at : at + reach]
-                        out.append((ids[lo + i].as_py(), at, x["side"], part))
-                if out:
-                    columns = list(zip(*out, strict=True))
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "at", "side", "context"])
+            ids = batch.column("id").to_numpy()
+            for lo, hi, words in slices(batch.column("t")):
+                row, asked = _requests(batch.column("asked"), lo, hi)
+                if not len(row):
+                    continue
+                at, side = asked.field("at").to_numpy(), asked.field("side").to_numpy()
+                place = np.where(side[:, None] < 0, at[:, None] - 1 - reach, at[:, None] + reach)
+                inside = (place >= 0) & (place < words.count[row][:, None])
+                context = words.hash[np.where(inside, words.first[row][:, None] + place, 0)].view(np.int64)
+                columns = pa.array(ids[lo + row]), asked.field("at"), asked.field("side"), _lists(context[inside], inside.sum(1))
+                yield pa.RecordBatch.from_arrays(list(columns), names=["id", "at", "side", "context"])
 
     return rows.select("id", "t", "asked").mapInArrow(run, "id long, at int, side int, context array<long>")
 
@@ -318,7 +431,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = grouped.join(best, "component").select(F.bitwise_not("content").alias("c"), F.when(F.col("lo") == F.col("best.id"), F.col("keeper")).otherwise(F.col("best")).alias("best"))
     hits = flat.withColumn("c", F.bitwise_not("content")).join(kept, "c").where("id <> best.id")
     hits = hits.select("id", F.col("pos").alias("start"), (F.col("pos") + PARAGRAPH).alias("end"), F.col("best.id").alias("k_id"), F.col("best.pos").alias("k_pos"))
-    runs = cut(_merged(hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "k_id", "k_pos"))).alias("s"))))
+    runs = cut(_merged(hits))
     # carry each end on while the words agree with those beside the kept occurrence
     left = runs.select("id", F.col("start").alias("at"), F.lit(-1).alias("side"), F.col("l_id").alias("k_id"), F.col("l_pos").alias("k_at"))
     right = runs.select("id", F.col("end").alias("at"), F.lit(1).alias("side"), F.col("r_id").alias("k_id"), (F.col("r_pos") + PARAGRAPH).alias("k_at"))
@@ -350,18 +463,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _merged(hits: DataFrame) -> DataFrame:
     """``(id, start, end, l_id, l_pos, r_id, r_pos)``: hits of a document that touch or overlap, as one, with the kept places of its first and last."""
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,l_id:bigint,l_pos:int,r_id:bigint,r_pos:int>>)")
-
-    def join(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        new = lambda start, l_id, l_pos: F.array(
-            F.struct(start.alias("start"), x["end"].alias("end"), l_id.alias("l_id"), l_pos.alias("l_pos"), x["k_id"].alias("r_id"), x["k_pos"].alias("r_pos"))
-        )
-        return F.when(last["end"] >= x["start"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), new(last["start"], last["l_id"], last["l_pos"]))).otherwise(
-            F.concat(acc, new(x["start"], x["k_id"], x["k_pos"]))
-        )
-
-    return hits.select("id", F.explode(F.aggregate("s", empty, join)).alias("r")).select("id", "r.*")
+    w = Window.partitionBy("id").orderBy("start", "k_id", "k_pos")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = hits.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("long"))
+    rows = rows.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("id", "run").agg(F.min(F.struct("start", "k_id", "k_pos")).alias("l"), F.max(F.struct("end", "k_id", "k_pos")).alias("r"))
+    return runs.select("id", "l.start", "r.end", F.col("l.k_id").alias("l_id"), F.col("l.k_pos").alias("l_pos"), F.col("r.k_id").alias("r_id"), F.col("r.k_pos").alias("r_pos"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -369,11 +476,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     White space before a removed passage goes with it; all other characters stay. Null text counts as empty and
     stays null; documents without repeats are unchanged; a document that is nothing but repeats becomes empty.
-    Rows that repeat an id are cut alike. Columns of ``docs`` are kept as they are.
+    Rows that repeat an id are cut alike, rows with a null id stay whole. Other columns are kept as they are; raises if
+    ``docs`` has a column by one of the three new names. An empty table gives no rows.
     """
+    clash = {"n_removed_words", "n_spans", "class_ids"}.intersection(map(str.lower, docs.columns))
+    if clash:
+        raise ValueError(f"docs has columns by the names of new ones: {sorted(clash)}")
     spans = repeated_spans(docs, id_col, text_col, least)
-    per_doc = cut(spans.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"), F.sort_array(F.collect_set("class_id")).alias("class_ids")))
-    per_doc = F.broadcast(per_doc) if per_doc.count() <= BROADCAST_ROWS else per_doc
+    per_doc = spans.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"), F.sort_array(F.collect_set("class_id")).alias("__classes"))
+    per_doc = cut(per_doc)
+    per_doc = F.broadcast(per_doc) if _few(per_doc, F.col("__spans")) else per_doc
     joined = docs.join(per_doc, docs[id_col].cast("long") == per_doc["__id"], "left")
 
     def cut_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -395,6 +507,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out.append((b"".join(parts) + data[at:]).decode("utf-8"))
             yield pa.array(out, pa.string())
 
-    changed = F.arrow_udf(cut_out, "string")(F.col(text_col), F.col("__spans"))
+    changed = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.arrow_udf(cut_out, "string")(F.col(text_col), F.col("__spans")))
     n = F.aggregate(F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")), F.lit(0), lambda a, s: a + s["end"] - s["start"])
-    return joined.withColumns({text_col: changed, "n_removed_words": n, "n_spans": F.greatest(F.size("__spans"), F.lit(0)), "class_ids": F.coalesce("class_ids", F.array().cast("array<long>"))}).drop("__id", "__spans")
+    more = {text_col: changed, "n_removed_words": n, "n_spans": F.greatest(F.size("__spans"), F.lit(0)), "class_ids": F.coalesce("__classes", F.array().cast("array<long>"))}
+    return joined.withColumns(more).drop("__id", "__spans", "__classes")

@@ -6,6 +6,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from readspan.llm import common, exact_dedup, minhash, packing, queries, sharding, substring_dedup, toxicity
@@ -192,24 +194,50 @@ def keys_of(keys, i, side):
 
 
 def test_shared_bands_over_batches(spark):
+    """Near contents of different documents meet under a key, whatever the batches and however a large key is divided."""
     rng = random.Random(12)
     base = [f"s{rng.randrange(10**7)}" for _ in range(200)]
-    rows = [(i, " ".join(edited(rng, base, rng.choice([0, 2, 9, 30])).split())) for i in range(25)] + [(30, " ".join(["one two three four five six seven"] * 12))]
-    docs, want = spark.createDataFrame(rows, "id long, t string"), {}
+    rows = [(i, " ".join(edited(rng, base, rng.choice([1, 3, 6, 9, 30])).split())) for i in range(60)] + [(50, " ".join(["one two three four five six seven"] * 12))]
+    docs, keys_of_content, sets, docs_of = spark.createDataFrame(rows, "id long, t string"), {}, {}, {}
     for i, t in rows:
         ((_, _, words),) = common.slices(pa.array([t]))
-        _, _, keys, content = substring_dedup.paragraphs(words)
-        for k, c in zip(keys.view(np.int64), content.view(np.int64), strict=True):
-            for x in set(k.tolist()) - {0}:
-                want.setdefault(x, set()).add((int(c), i))
-    want = sorted((k, c) for k, v in want.items() if len({c for c, _ in v}) > 1 and len({i for _, i in v}) > 1 for c in {c for c, _ in v})
+        _, pos, keys, content, _ = substring_dedup.paragraphs(words)
+        w = t.split()
+        for p, k, c in zip(pos, keys.view(np.int64), content.view(np.int64), strict=True):
+            own = w[p : p + substring_dedup.PARAGRAPH]
+            sets[int(c)] = {tuple(own[j : j + 5]) for j in range(len(own) - 4)}
+            keys_of_content[int(c)] = set(k.tolist()) - {0}
+            docs_of.setdefault(int(c), set()).add(i)
+    near = [
+        (a, b)
+        for a in sets
+        for b in sets
+        if a < b and keys_of_content[a] & keys_of_content[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and len(docs_of[a] | docs_of[b]) > 1
+    ]
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    for size in ("1", "2", "7", before):
+    for size, large in (("1", 1024), ("2", 3), ("7", 2), (before, 1024), (before, 5)):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
         try:
-            assert want and sorted(map(tuple, substring_dedup.shared_bands(docs).collect())) == want
+            members: dict[int, set[int]] = {}
+            for r in substring_dedup.shared_bands(docs, large).collect():
+                members.setdefault(r.key, set()).add(r.content)
         finally:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        met = {tuple(sorted((a, b))) for group in members.values() for a in group for b in group if a != b}
+        assert len(near) > 50 and not [p for p in near if p not in met]
+        if large > 1000:
+            assert all(any(k in keys_of_content[c] for c in group) for k, group in members.items())
+
+
+def test_substring_dedup_edge_cases(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    other = lambda i: " ".join(f"o{i}x{j}" for j in range(40))
+    rows = [(1, other(1) + " " + passage), (2, passage + " " + other(2)), (2, passage + " " + other(2)), (None, passage), (3, "w" * 500_000 + " " + passage), (4, " ".join(f"l{j}" for j in range(200_000)))]
+    got = sorted((r.doc_id or 0, len(r.text), r.n_spans) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted([(0, len(passage), 0), (1, len(rows[0][1]), 0), (2, len(other(2)) + 1, 1), (2, len(other(2)) + 1, 1), (3, 500_000, 1), (4, len(rows[5][1]), 0)])
+    assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
+    with pytest.raises(ValueError, match="class_ids"):
+        substring_dedup.remove_repeats(frame(spark, rows).withColumn("class_ids", F.lit(1)))
 
 
 def test_substring_dedup_of_the_fixture(spark):
