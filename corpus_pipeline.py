@@ -15,7 +15,7 @@ from readspan.llm.queries import tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores under 0.5; it learns from the labelled rows that aren't held out."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("score < 0.5").drop("score")
+    return docs.where(toxicity.score_of(docs, model) < 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

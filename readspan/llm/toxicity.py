@@ -6,7 +6,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -15,12 +14,12 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\w+")
 #: Words whose sums a task remembers before it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``rows`` and ``chars`` bound the labelled sample that training reads; scoring reads whole texts.
+    """``rows`` bounds the labelled sample that training reads; texts are read whole there and in scoring.
 
     A bucket that fewer than ``least_docs`` sampled texts hold is not trained: it adds nothing to a score, though
     it counts in the average. The average runs over the n-grams of a text's different words and ``padding`` empty
@@ -28,7 +27,6 @@ class Settings:
     """
 
     rows: int = 6000
-    chars: int = 20_000
     buckets: int = 1 << 18
     dim: int = 4
     shortest: int = 3
@@ -84,32 +82,50 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.array(out, dtype=np.float64), -700, 700)))
 
 
-def _bags(texts: list[str], s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text its buckets and their shares of the average."""
-    known: dict[str, np.ndarray] = {}
-    for text in texts:
-        if len(known) > 50_000:
-            known.clear()
-        parts = [np.zeros(0, np.int32)]
-        for w in dict.fromkeys(words(text)):
-            if w not in known:
-                known[w] = np.array(subwords(w, s), np.int32)
-            parts.append(known[w])
-        ids = np.concatenate(parts)
-        u, c = np.unique(ids, return_counts=True)
-        yield u, (c / max(len(ids) + s.padding, 1)).astype(np.float32)
+class Vocabulary:
+    """The different words of some texts and the buckets of each, in one flat array; texts are arrays of word numbers."""
+
+    def __init__(self, texts: list[str], s: Settings):
+        number: dict[str, int] = {}
+        parts: list[np.ndarray] = []
+        self.texts: list[np.ndarray] = []
+        for text in texts:
+            own = list(dict.fromkeys(words(text)))
+            for w in own:
+                if w not in number:
+                    number[w] = len(number)
+                    parts.append(np.array(subwords(w, s), np.int32))
+            self.texts.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
+        self.grams = np.fromiter(map(len, parts), np.int64, len(parts))
+        self._set(np.concatenate(parts) if parts else np.zeros(0, np.int32), self.grams)
+
+    def _set(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.first = flat, np.concatenate(([0], np.cumsum(sizes)))
+
+    def buckets(self, ws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of some words, and for each the place of its word in ``ws``."""
+        sizes = self.first[ws + 1] - self.first[ws]
+        owner = np.repeat(np.arange(len(ws)), sizes)
+        return self.flat[np.arange(len(owner)) + np.repeat(self.first[ws] - (np.cumsum(sizes) - sizes), sizes)], owner
+
+    def keep(self, often: np.ndarray) -> None:
+        """Only the buckets that ``often`` marks; ``grams`` still counts all."""
+        some = often[self.flat]
+        owner = np.repeat(np.arange(len(self.grams)), np.diff(self.first))
+        self._set(self.flat[some], np.bincount(owner[some], minlength=len(self.grams)))
 
 
 def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
     """A network trained on most rows; every ``calibration``-th row sets the bias instead.
 
-    The bias is moved to the middle of the logits between which the cut makes the fewest errors on those rows.
+    The bias is moved to the middle of the logits between which the cut makes the fewest errors on those rows; they
+    say nothing if they are of one label.
     """
     apart = np.arange(len(texts)) % s.calibration == 0
     labels = np.asarray(labels, dtype=np.int64)
     model = fit_network([t for t, a in zip(texts, apart, strict=True) if not a], labels[~apart], s)
     y = labels[apart]
-    if len(y) < 100 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return model
     p = np.clip(model.score((t for t, a in zip(texts, apart, strict=True) if a), {}), 1e-300, 1 - 1e-16)
     logit = np.log(p / (1 - p))
@@ -123,40 +139,36 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
 
 
 def fit_network(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
-    """Embeddings and softmax together, by mini-batches with Adagrad. Without rows of both labels the score is the label's share."""
+    """Embeddings and softmax together, by mini-batches with Adagrad. Without rows of both labels the score is the label's share.
+
+    A text is kept as its different words and a word as its buckets, so memory goes with the vocabulary.
+    """
     labels = np.asarray(labels, dtype=np.int64)
     share = (labels.sum() + 1) / (len(labels) + 2)
     if not len(labels) or labels.min() == labels.max():
         return Model(s, np.zeros(s.buckets), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(s.seed)
-    order = rng.permutation(len(texts))
-    # two passes over the texts: a bag is kept only in its frequent buckets
-    ordered, held = [texts[i] for i in order], np.zeros(s.buckets, np.int32)
-    for u, _ in _bags(ordered, s):
-        held[u] += 1
-    bags, batches = _bags(ordered, s), []
-    for lo in range(0, len(order), s.batch):
-        ids, weights, docs = [], [], []
-        for d, (u, c) in enumerate(islice(bags, s.batch)):
-            often = held[u] >= s.least_docs
-            ids.append(u[often])
-            weights.append(c[often])
-            docs.append(np.full(int(often.sum()), d, np.int32))
-        flat, weight, doc = map(np.concatenate, (ids, weights, docs))
-        by = np.argsort(flat, kind="stable").astype(np.int32)
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[by]) > 0))) if len(flat) else np.zeros(0, np.int64)
-        batches.append((flat[by], weight[by], doc[by], starts, labels[order[lo : lo + s.batch]]))
+    known, held = Vocabulary(texts, s), np.zeros(s.buckets, np.int32)
+    for ws in known.texts:
+        held[np.unique(known.buckets(ws)[0])] += 1
+    weight = np.array([1 / max(int(known.grams[ws].sum()) + s.padding, 1) for ws in known.texts], np.float32)
+    known.keep(held >= s.least_docs)
     table = rng.normal(0, 0.1, (s.buckets, s.dim)).astype(np.float32)
     out = rng.normal(0, 0.1, (s.dim, 2)).astype(np.float32)
     bias = np.array([np.log(1 - share), np.log(share)], np.float32)
     sum_table, sum_out, sum_bias = np.full(s.buckets, 1e-8, np.float32), np.full_like(out, 1e-8), np.full_like(bias, 1e-8)
-    for _ in range(max(s.epochs, -(-s.least_steps // len(batches)))):
-        for k in rng.permutation(len(batches)):
-            flat, weight, doc, starts, y = batches[k]
-            if not len(flat):
-                continue
-            rows = table[flat] * weight[:, None]
-            h = np.stack([np.bincount(doc, rows[:, j], len(y)) for j in range(s.dim)], 1).astype(np.float32)
+    steps = -(-len(texts) // s.batch)
+    for _ in range(max(s.epochs, -(-s.least_steps // steps))):
+        order = rng.permutation(len(texts))
+        for lo in range(0, len(order), s.batch):
+            batch = order[lo : lo + s.batch]
+            y, size = labels[batch], np.array([len(known.texts[i]) for i in batch])
+            ws, place = np.unique(np.concatenate([known.texts[i] for i in batch]), return_inverse=True)
+            doc, share_of = np.repeat(np.arange(len(batch)), size), np.repeat(weight[batch], size)
+            ids, owner = known.buckets(ws)
+            at = np.flatnonzero(np.bincount(ids, minlength=s.buckets))
+            word = np.stack([np.bincount(owner, table[ids, j], len(ws)) for j in range(s.dim)], 1)
+            h = np.stack([np.bincount(doc, word[place, j] * share_of, len(batch)) for j in range(s.dim)], 1).astype(np.float32)
             logits = h @ out + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -164,8 +176,8 @@ def fit_network(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
             g[np.arange(len(y)), y] -= 1
             g /= len(y)
             d_out, d_bias, d_h = h.T @ g, g.sum(0), g @ out.T
-            at = flat[starts]
-            d_rows = np.add.reduceat(d_h[doc] * weight[:, None], starts) + s.decay * table[at]
+            d_word = np.stack([np.bincount(place, d_h[doc, j] * share_of, len(ws)) for j in range(s.dim)], 1)
+            d_rows = np.stack([np.bincount(ids, d_word[owner, j], s.buckets)[at] for j in range(s.dim)], 1).astype(np.float32) + s.decay * table[at]
             sum_table[at] += (d_rows**2).mean(1)
             table[at] -= s.rate * d_rows / np.sqrt(sum_table[at])[:, None]
             sum_out += d_out**2
@@ -185,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     """Train on at most ``settings.rows`` labelled rows that aren't held out, chosen by a hash of their id.
 
     The sample, whose size is bounded, is trained on in one task, so that the driver only gets one number a bucket.
-    Rows without a label or text are left out; the first ``settings.chars`` characters of a text are read.
+    Rows without a label or text are left out; of rows that repeat an id the smallest text and the largest label count.
     """
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -194,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
         .orderBy(F.xxhash64("i"), "i")
         .limit(settings.rows)
     )
-    rows = docs.select(F.col(id_col).alias("i"), F.left(F.col(text_col), F.lit(settings.chars)).alias("t")).join(F.broadcast(chosen), "i")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i")
     sample = rows.where("t is not null").groupBy("i", "y").agg(F.min("t").alias("t")).repartition(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,143 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     return Model(settings, np.frombuffer(made["logits"], np.float64), made["bias"])
 
 
-def score(self, texts: Iterator[str], memo: dict[str, tuple[float, int]]) -> np.ndarray:
-        out = []
-        for text in texts:
-            ws = list(dict.fromkeys(words(text)))
-            new = [w for w in ws if w not in memo]
-            if new:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                    new = ws
-                for w in new:
-                    ids = subwords(w, self.settings)
-                    memo[w] = (float(self.bucket_logit[ids].sum()), len(ids))
-            total = n = 0
-            for a, b in map(memo.__getitem__, ws):
-                total += a
-                n += b
-            out.append(total / max(n + self.settings.padding, 1) + self.bias)
-        return 1 / (1 + np.exp(-np.clip(np.array(out, dtype=np.float64), -700, 700)))
-
-
-def _bags(texts: list[str], s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text its buckets and their shares of the average."""
-    known: dict[str, np.ndarray] = {}
-    for text in texts:
-        if len(known) > 50_000:
-            known.clear()
-        parts = [np.zeros(0, np.int32)]
-        for w in dict.fromkeys(words(text)):
-            if w not in known:
-                known[w] = np.array(subwords(w, s), np.int32)
-            parts.append(known[w])
-        ids = np.concatenate(parts)
-        u, c = np.unique(ids, return_counts=True)
-        yield u, (c / max(len(ids) + s.padding, 1)).astype(np.float32)
-
-
-def train(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
-    """A network trained on most rows; every ``calibration``-th row sets the bias instead.
-
-    The bias is moved to the middle of the logits between which the cut makes the fewest errors on those rows.
-    """
-    apart = np.arange(len(texts)) % s.calibration == 0
-    labels = np.asarray(labels, dtype=np.int64)
-    model = fit_network([t for t, a in zip(texts, apart, strict=True) if not a], labels[~apart], s)
-    y = labels[apart]
-    if len(y) < 100 or y.min() == y.max():
-        return model
-    p = np.clip(model.score((t for t, a in zip(texts, apart, strict=True) if a), {}), 1e-300, 1 - 1e-16)
-    logit = np.log(p / (1 - p))
-    by = np.argsort(logit, kind="stable")
-    logit, y = logit[by], y[by]
-    errors = np.concatenate(([0], np.cumsum(y))) + (len(y) - y.sum()) - np.concatenate(([0], np.cumsum(1 - y)))
-    best = np.flatnonzero(errors == errors.min())
-    edge = np.concatenate(([logit[0] - 1], logit, [logit[-1] + 1]))
-    cut = float(np.median([(edge[k] + edge[k + 1]) / 2 for k in best]))
-    return Model(s, model.bucket_logit, model.bias - cut)
-
-
-def fit_network(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
-    """Embeddings and softmax together, by mini-batches with Adagrad. Without rows of both labels the score is the label's share."""
-    labels = np.asarray(labels, dtype=np.int64)
-    share = (labels.sum() + 1) / (len(labels) + 2)
-    if not len(labels) or labels.min() == labels.max():
-        return Model(s, np.zeros(s.buckets), float(np.log(share / (1 - share))))
-    rng = np.random.default_rng(s.seed)
-    order = rng.permutation(len(texts))
-    # two passes over the texts: a bag is kept only in its frequent buckets
-    ordered, held = [texts[i] for i in order], np.zeros(s.buckets, np.int32)
-    for u, _ in _bags(ordered, s):
-        held[u] += 1
-    bags, batches = _bags(ordered, s), []
-    for lo in range(0, len(order), s.batch):
-        ids, weights, docs = [], [], []
-        for d, (u, c) in enumerate(islice(bags, s.batch)):
-            often = held[u] >= s.least_docs
-            ids.append(u[often])
-            weights.append(c[often])
-            docs.append(np.full(int(often.sum()), d, np.int32))
-        flat, weight, doc = map(np.concatenate, (ids, weights, docs))
-        by = np.argsort(flat, kind="stable").astype(np.int32)
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[by]) > 0))) if len(flat) else np.zeros(0, np.int64)
-        batches.append((flat[by], weight[by], doc[by], starts, labels[order[lo : lo + s.batch]]))
-    table = rng.normal(0, 0.1, (s.buckets, s.dim)).astype(np.float32)
-    out = rng.normal(0, 0.1, (s.dim, 2)).astype(np.float32)
-    bias = np.array([np.log(1 - share), np.log(share)], np.float32)
-    sum_table, sum_out, sum_bias = np.full(s.buckets, 1e-8, np.float32), np.full_like(out, 1e-8), np.full_like(bias, 1e-8)
-    for _ in range(max(s.epochs, -(-s.least_steps // len(batches)))):
-        for k in rng.permutation(len(batches)):
-            flat, weight, doc, starts, y = batches[k]
-            if not len(flat):
-                continue
-            rows = table[flat] * weight[:, None]
-            h = np.stack([np.bincount(doc, rows[:, j], len(y)) for j in range(s.dim)], 1).astype(np.float32)
-            logits = h @ out + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            g = p
-            g[np.arange(len(y)), y] -= 1
-            g /= len(y)
-            d_out, d_bias, d_h = h.T @ g, g.sum(0), g @ out.T
-            at = flat[starts]
-            d_rows = np.add.reduceat(d_h[doc] * weight[:, None], starts) + s.decay * table[at]
-            sum_table[at] += (d_rows**2).mean(1)
-            table[at] -= s.rate * d_rows / np.sqrt(sum_table[at])[:, None]
-            sum_out += d_out**2
-            out -= s.rate * d_out / np.sqrt(sum_out)
-            sum_bias += d_bias**2
-            bias -= s.rate * 0.1 * d_bias / np.sqrt(sum_bias)
-    table[held < s.least_docs] = 0
-    return Model(s, (table.astype(np.float64) @ (out[:, 1] - out[:, 0]).astype(np.float64)), float(bias[1] - bias[0]))
-
-
-def held_out(id_col: str = "doc_id") -> Column:
-    """Rows that training never sees: crc32 of the id as text is a multiple of five."""
-    return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 5 == 0
-
-
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on at most ``settings.rows`` labelled rows that aren't held out, chosen by a hash of their id.
-
-    The sample, whose size is bounded, is trained on in one task, so that the driver only gets one number a bucket.
-    Rows without a label or text are left out; the first ``settings.chars`` characters of a text are read.
-    """
-    chosen = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-        .groupBy(F.col(id_col).alias("i"))
-        .agg(F.max((F.col(label_col) == 1).cast("int")).alias("y"))
-        .orderBy(F.xxhash64("i"), "i")
-        .limit(settings.rows)
-    )
-    rows = docs.select(F.col(id_col).alias("i"), F.left(F.col(text_col), F.lit(settings.chars)).alias("t")).join(F.broadcast(chosen), "i")
-    got = rows.where("t is not null").groupBy("i", "y").agg(F.min("t").alias("t")).toPandas().sort_values("i")
-    return train(got["t"].tolist(), got["y"].to_numpy(), settings)
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1), from whole texts alone. Null and empty texts score as no words: the bias."""
+def score_of(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """The score (0 to 1) of ``text_col`` as a column. Null and empty texts score as no words: the bias."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -353,4 +230,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for texts in batches:
             yield pd.Series(shared.value.score(("" if t is None else t for t in texts), memo))
 
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col(text_col)))
+    return F.pandas_udf(run, "double")(F.col(text_col))
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col``, from whole texts alone; raises if ``docs`` has a column of that name."""
+    if score_col.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"{score_col} is a column already; name another score_col")
+    return docs.withColumn(score_col, score_of(docs, model, text_col))
