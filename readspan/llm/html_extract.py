@@ -22,16 +22,18 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)|([^<]+|<)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(("article", "main"))
 _ASIDE = frozenset("nav header footer aside form button dialog menu head title".split())
-#: Words in a class, id or role that mark what isn't the article.
+#: A class, id or role marks what isn't the article if it is one of these words, or if its first or last part (split at - and _) is.
 _MARKS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies contentinfo footer header menu nav navbar navigation newsletter notice popup promo related "
     "search share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary".split()
 )
+#: Not so if one of these is a part of it: "has-sidebar" says what stands beside.
+_BESIDE = frozenset("has no not non with without".split())
 #: These end an open paragraph, whose end tag may be left out.
 _BLOCKS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
@@ -39,19 +41,30 @@ _BLOCKS = frozenset("address article aside blockquote details div dl fieldset fi
 def blocks(page: str) -> list[tuple[str, int, str]]:
     """A page's blocks in order: (text, state, path). State 1: in the article; 0: in a marked other part; -1: undecided.
 
-    ``path`` names the open elements with their classes; equal parts of a site's template have equal paths.
+    Tags such as ``nav`` always mark their part. A mark by class, id or role holds over an ``article`` or ``main``
+    inside it only if the page has another one that stands in no such part. ``path`` names the open elements with
+    their classes; equal parts of a site's template have equal paths.
     """
     out: list[tuple[str, int, str]] = []
-    stack: list[tuple[str, str, int]] = []  # tag, shown, state that it sets (-1 none)
+    stack: list[tuple[str, str, str]] = []  # tag, shown, what it sets: "t" other part by tag, "n" by name, "m" main, "" nothing
     text: list[str] = []
+    within = False  # blocks whose main stands in a part marked by name
+    alone = False  # blocks whose main stands free
 
     def close() -> None:
+        nonlocal within, alone
         if text:
             said = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if said:
-                states = [s for _, _, s in stack]
-                state = 0 if 0 in states else 1 if 1 in states else -1
+                sets = "".join(s for _, _, s in stack)
+                if "t" in sets or "n" in sets[sets.rfind("m") + 1 :]:
+                    state = 0
+                elif "n" in sets:
+                    state, within = 2, True
+                else:
+                    state = 1 if sets else -1
+                    alone = alone or state == 1
                 out.append((said, state, "/".join(shown for _, shown, _ in stack)))
 
     for m in _TOKEN.finditer(page):
@@ -62,9 +75,9 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
         if not tag:
             continue
         if tag in _INLINE:
-            if not m[2] and m[4] and _marked(m[4]):
+            if not m[2] and m[4] and _marked(_names(m[4])):
                 close()
-                stack.append((tag, tag, 0))
+                stack.append((tag, tag, "n"))
             elif m[2] and stack and stack[-1][0] == tag:
                 close()
                 stack.pop()
@@ -87,23 +100,32 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
         if (m[4] or "").rstrip().endswith("/"):
             continue
         names = _names(m[4]) if m[4] else ()
-        inside = any(s == 1 for _, _, s in stack)
-        if tag in _ASIDE and not (tag == "header" and inside) or _MARKS.intersection(names):
-            state = 0
+        inside = any(s == "m" for _, _, s in stack)
+        if tag in _ASIDE and not (tag == "header" and inside):
+            sets = "t"
+        elif tag in _MAIN:
+            sets = "n" if names and names[0] in _MARKS else "m"  # <article class="comment">, but not class="post share"
         else:
-            state = 1 if tag in _MAIN else -1
-        stack.append((tag, ".".join((tag, *names)), state))
+            sets = "n" if tag not in ("html", "body") and _marked(names) else ""
+        stack.append((tag, ".".join((tag, *names)), sets))
     close()
+    if within:
+        out = [(said, state if state != 2 else 0 if alone else 1, path) for said, state, path in out]
     return out
 
 
 def _names(attributes: str) -> tuple[str, ...]:
-    found = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
-    return tuple(x for x in re.split(r"[\s_-]+", found) if x)
+    """The words of class, id and role, the class's first."""
+    found = sorted(_NAMES.findall(attributes), key=lambda x: x[0].lower() != "class")
+    return tuple(" ".join(a or b or c for _, a, b, c in found).lower().split())
 
 
-def _marked(attributes: str) -> bool:
-    return bool(_MARKS.intersection(_names(attributes)))
+def _marked(names: tuple[str, ...]) -> bool:
+    for name in names:
+        parts = [x for x in re.split(r"[_-]+", name) if x]
+        if parts and (parts[0] in _MARKS or parts[-1] in _MARKS) and not _BESIDE.intersection(parts):
+            return True
+    return False
 
 
 def _tokens(found: list[tuple[str, int, str]]) -> list[tuple[int, str]]:
@@ -181,6 +203,8 @@ def repeated_runs(parsed: DataFrame) -> DataFrame:
         for batch in batches:
             streams = [list(x) for x in batch["stream"]]
             stream, place, group = suffix_windows(streams)
+            if not len(stream):
+                continue
             rows = pd.DataFrame({"host": batch["host"].to_numpy()[stream], "page": batch["uid"].to_numpy()[stream], "group": group, "stream": stream, "place": place})
             found = rows.groupby(["host", "group"], sort=False).agg(lo=("page", "min"), hi=("page", "max"), stream=("stream", "first"), place=("place", "first")).reset_index()
             runs = [_SEP.join(streams[s][p : p + RUN]) for s, p in zip(found["stream"], found["place"], strict=True)]
@@ -196,7 +220,7 @@ def extract_main_text(pages: DataFrame, page_col: str = "page_id", url_col: str
     Blocks in ``article`` or ``main`` are main text; blocks in parts that their tag, class, id or role marks as
     navigation, header, footer, advert, notice, form or comments are not, nor are scripts and styles. A block
     that neither says anything about is boilerplate if all its tokens lie in runs of RUN tokens that repeat on
-    another page of its host; else it is kept whole. Character references are decoded, white space in a block
+    another page of its host (the longest repeated runs are just the unions of these); else it is kept whole. Character references are decoded, white space in a block
     is one space, inline elements don't end a block. Null or empty html gives an empty text, a page without url
     belongs to the host of no name, unclosed and stray tags are borne. Rows that repeat a page are pages of
     their own.
@@ -225,4 +249,4 @@ def extract_main_text(pages: DataFrame, page_col: str = "page_id", url_col: str
 
     rest = open_.join(hit, "uid", "left").select("page_id", "url", "texts", "states", "stream_block", "at")
     out = sure.unionByName(rest.mapInPandas(keep, "page_id string, url string, text string"))
-    return out.select(F.col("page_id").cast("long").alias("page_id"), "url", "text")
+    return out.select(F.col("page_id").cast(pages.schema[page_col].dataType).alias("page_id"), "url", "text")

@@ -82,6 +82,24 @@ def test_html_marks_and_stray_tags():
     assert [t for t, s, _ in html_extract.blocks(page) if s == 1] == ["A <b>", "one", "two inline", "x", "y", "tail"]
 
 
+def test_html_marks_by_class_names():
+    shown = lambda page: [t for t, s, _ in html_extract.blocks(page) if s == 1]
+    for outer in ("<body class='has-sidebar'>", "<div class='no-sidebar'>", "<div id='content-with-sidebar'>", "<div class=sidebar>", "<div data-role='menu' data-id=ad>", "<body id=header>"):
+        assert shown(f"{outer}<article class='post social-share'><p>text</p><div class='share-buttons'>s</div></article>") == ["text"]
+    page = "<main><p>story</p><div class='ad-slot'>a</div><span class=sponsored>s</span>end<div class='post has-ads'>kept</div></main><div class='related'><article>other</article></div><ol><article class='comment odd'>c</article></ol>"
+    assert shown(page) == ["story", "end", "kept"]
+    assert shown("<aside><article>x</article></aside><article>y</article>") == ["y"]
+
+
+def test_html_empty_table_and_long_page(spark):
+    schema = "page_id string, url string, html string"
+    assert html_extract.extract_main_text(spark.createDataFrame([], schema)).count() == 0
+    long = "<p>" + "word &amp; " * 300_000 + "</p>" + "<div>" * 3000 + "deep"
+    rows = [("a", "http://h/1", long), (None, "http://h/2", "<p>few words"), ("b", "http://h/2", "")]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, schema)).collect()}
+    assert got["a"] == ("word & " * 300_000).strip() + "\ndeep" and got[None] == "few words" and got["b"] == ""
+
+
 def test_suffix_windows_against_all_windows():
     rng = np.random.default_rng(3)
     streams = [[str(x) for x in rng.integers(0, 3, n)] for n in (0, 5, 8, 40, 60)]
