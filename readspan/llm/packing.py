@@ -12,14 +12,14 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readspan.llm.common import cut
 
 #: Words that a Python worker remembers before it starts anew.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 #: Below this code point letters, digits and lower case are alike in every Unicode version and nothing combines.
@@ -71,21 +71,23 @@ def word_ids(path: str) -> WordIds:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, piece, start, length, ids_crc32)``: each document's ids and ``end_id``, cut at every ``size`` tokens."""
+    """``(id, piece, start, length, ids_crc32)``: each document's ids and ``end_id``, cut at every ``size`` tokens. Ids may be null."""
     end = struct.pack("<I", end_id)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(tokenizer)
         for batch in batches:
             rows = []
-            for i, text in zip(batch["id"].to_numpy(), batch["t"].to_numpy(), strict=True):
-                ids = known.ids(text) + end
+            for i, text in enumerate(batch.column("t")):
+                ids = known.ids(text.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     piece = ids[at : at + 4 * size]
                     rows.append((i, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+            if rows:
+                of, piece, start, length, crc = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(of), piece.cast(pa.int32()), start, length, crc], names=["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(run, _PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, _PIECES)
 
 
 def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -131,25 +133,31 @@ def best_fit_pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
     Pieces are sorted by (length, id, piece) over ranges, so that no length, however frequent, is one task; a
     piece's rank within its length follows from its place and from how many of its length earlier ranges hold.
     The driver sees one number for each length of each range (lengths plus ranges at most) and plans on the sums.
-    An empty table gives no rows; rows that repeat an id and piece take slots of their own.
+    An empty table gives no rows; rows that repeat an id and piece take slots of their own, null ids too. Raises if a
+    column has the name of a new one, or if a length is null, under 1 or over ``size``.
     """
+    clash = {"sequence_id", "offset"}.intersection(map(str.lower, pieces.columns))
+    if clash:
+        raise ValueError(f"pieces has columns by the names of new ones: {sorted(clash)}")
     ranged = cut(pieces).repartitionByRange("length", "id", "piece").sortWithinPartitions("length", "id", "piece")
-    ranged = cut(ranged.withColumn("range", F.spark_partition_id()))
+    ranged = cut(ranged.withColumn("__range", F.spark_partition_id()))
     before: dict[tuple[int, int], int] = {}
     counts: dict[int, int] = {}
-    for part, n, c in sorted(map(tuple, ranged.groupBy("range", "length").count().collect())):
+    for part, n, c in sorted(map(tuple, ranged.groupBy("__range", "length").count().collect())):
+        if n is None or not 0 < n <= size:
+            raise ValueError(f"a piece has length {n}; sequences hold {size}")
         before[part, n] = counts.get(n, 0)
         counts[n] = counts.get(n, 0) + c
     plan = np.array(sorted(best_fit_plan(counts, size)), dtype=np.int64).reshape(-1, 6)
     keys = plan[:, 0] << 44 | plan[:, 1]  # lengths and ranks together
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            n = batch["length"].to_numpy()
-            part = int(batch["range"].iloc[0])
+            n = batch.column("length").to_numpy().astype(np.int64)
+            part = batch.column("__range")[0].as_py()
             starts = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))
             sizes = np.diff(np.append(starts, len(n)))
             base = []
@@ -160,9 +168,11 @@ def best_fit_pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
             rank = np.repeat(base, sizes) + np.arange(len(n)) - np.repeat(starts, sizes)
             slot = plan[np.searchsorted(keys, n << 44 | rank, "right") - 1]
             rest = rank - slot[:, 1]
-            yield batch.drop(columns="range").assign(sequence_id=slot[:, 2] + rest // slot[:, 4], offset=slot[:, 3] + rest % slot[:, 4] * n)
+            more = slot[:, 2] + rest // slot[:, 4], slot[:, 3] + rest % slot[:, 4] * n
+            kept = batch.drop_columns(["__range"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, more)], names=[*kept.schema.names, "sequence_id", "offset"])
 
-    return ranged.mapInPandas(place, ", ".join(f"{c} {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long")
+    return ranged.mapInArrow(place, ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
