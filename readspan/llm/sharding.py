@@ -34,17 +34,17 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
 def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
     """``(id, size, text_crc32, shard, slot)``: a uniform shuffle whose shards' row counts differ by one at most.
 
-    Rows are dealt to parts by a hash of their id and counted; the driver draws the exact part-to-shard counts
+    Rows are dealt to parts by a hash of id and text and counted; the driver draws the exact part-to-shard counts
     (parts x shards numbers); each part permutes its rows by a seeded key and cuts that order at the drawn
     counts; the rows are exchanged and each shard is permuted again by a second key. That last sort goes by
     ranges of the key, so that a shard is never one task. Only ids, sizes and checksums are shuffled. Everything
     depends on the rows and the seed alone, so a recomputed task gives the same rows.
 
-    Null text has no bytes: size 1. Rows that repeat an id are rows of their own. Null ids are one part. An
+    Null text has no bytes: size 1. Rows that repeat an id are rows of their own, null ids too. An
     empty table gives no rows; other columns are ignored.
     """
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    key = lambda salt: F.xxhash64(F.col(id_col), F.lit(seed), F.lit(salt))
+    key = lambda salt: F.xxhash64(F.col(id_col), F.crc32(text), F.lit(seed), F.lit(salt))
     total = docs.count()
     parts = max(16, -(-total // ROWS_A_PART))
     dealt = docs.select(
