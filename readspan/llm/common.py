@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +19,15 @@ SLICE_BYTES = 1 << 20
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``; only where none is set (as in tests) take a folder of our own."""
+    """Keep the cluster's ``spark.checkpoint.dir``; only a local session that has none (as in tests) takes a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            path = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,8 +39,6 @@ def cut(df: DataFrame) -> DataFrame:
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     use_checkpoints(spark)
-    import uuid
-
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 

@@ -259,7 +259,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = cut(_mixed(rest.join(held.select("id"), "id", "left_semi")))
     links = cut(links.unionByName(linked_in_blocks(rest, held, least)))
     classes = components(links)
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count()
+    # a star's centre ends very many links: they are counted in parts first
+    ends = links.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("o")))
+    ends = ends.groupBy("id", F.pmod(F.xxhash64("o"), F.lit(SALTS)).alias("salt")).count().groupBy("id").agg(F.sum("count").alias("count"))
     per_text = copies.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").join(ends.select(F.col("id").alias("rep"), "count"), "rep", "left")
     per_text = cut(per_text.select("digest", F.coalesce("component", "rep").alias("class_id"), F.coalesce("count", F.lit(0)).cast("long").alias("n_links")))
     out = sigs.select("id", "digest").join(per_text, "digest")
