@@ -143,11 +143,29 @@ def held_elsewhere(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return met.agg(F.min("n").alias("n"), F.collect_set("s").alias("shared")).withColumn("c", F.size("shared"))
 
 
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a part of the true cells that still links all that they link: fewer than rows plus columns."""
+    rows, columns = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    open_rows, open_columns = near.any(1), near.any(0)
+    while open_rows.any():
+        edge = np.flatnonzero(open_rows)[:1]
+        open_rows[edge] = False
+        while len(edge):
+            new = np.flatnonzero(near[edge].any(0) & open_columns)
+            open_columns[new] = False
+            rows, columns = np.append(rows, edge[near[np.ix_(edge, new)].argmax(0)]) if len(new) else rows, np.append(columns, new)
+            edge = np.flatnonzero(near[:, new].any(1) & open_rows)
+            open_rows[edge] = False
+            rows, columns = np.append(rows, edge), np.append(columns, new[near[np.ix_(edge, new)].argmax(1)]) if len(edge) else columns
+    return rows, columns
+
+
 def linked_in_blocks(rest: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """``(a, b)`` of different labels in one bucket whose similarity is ``least``; no pairs but those are rows.
+    """``(a, b)`` of different labels in one bucket whose similarity is ``least``, as many of them as join what they all join.
 
     A bucket is cut into blocks of about BLOCK texts and every two blocks meet in one group, whose common
-    shingles are counted for all pairs at once by a product of incidence matrices.
+    shingles are counted for all pairs at once by a product of incidence matrices. A group hands on a spanning forest,
+    fewer links than it has texts.
     """
     sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select(F.bitwise_not("key").alias("k"), "blocks")
     rows = rest.withColumn("k", F.bitwise_not("key")).join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -169,7 +187,7 @@ def linked_in_blocks(rest: DataFrame, held: DataFrame, least: float) -> DataFram
             held_by[owner[part], code[part] - lo] = 1
             both += held_by[left] @ held_by[right].T
         near = (both > 0) & (both >= least * (n[left][:, None] + n[right][None] - both)) & (labels[left][:, None] != labels[right][None])
-        i, j = np.nonzero(near)
+        i, j = spanning(near)
         a, b = ids[left[i]], ids[right[j]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -226,8 +244,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents are linked if their texts are equal, or if the sets of their five-word shingles (ASCII case
     folded, split at white space; a shorter text is one shingle) reach ``least`` and they share a band. Classes
-    are the components of links; ``n_links`` counts the links found between different texts of a document's
-    text, ``kept`` marks a class's smallest id.
+    are the components of links; ``n_links`` counts the links that were found between a document's text and different
+    ones (enough to join each class, not all there are), ``kept`` marks a class's smallest id.
 
     Equal texts count as one from the start. In each bucket of a band every text is compared with the bucket's
     smallest. Texts that this leaves in different classes are compared with each other in blocks, but for those

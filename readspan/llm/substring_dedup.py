@@ -144,12 +144,12 @@ class _Contents:
         return tuple(_Contents(*(x[some] for x in (self.key, self.content, self.lo, self.hi, self.sketch))) for some in (~over, over))
 
     def partnered(self) -> pa.RecordBatch:
-        """The contents whose sketch agrees with that of another content of the key in another document."""
+        """The contents whose sketch agrees with that of another content of the key that is first in another document."""
         found = np.zeros(len(self.key), bool)
         begin = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1]))) if len(self.key) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(self.key)))
         sketch = np.ascontiguousarray(self.sketch).view(np.uint8).reshape(-1, 8)[:, :SKETCH]
-        apart = lambda i, j: (self.lo[i] != self.lo[j]) | (self.hi[i] != self.hi[j]) | (self.lo[i] != self.hi[i])
+        apart = lambda i, j: self.lo[i] != self.lo[j]
         some = np.repeat((size > 1) & (size <= SMALL), size)
         step = 1
         left = np.flatnonzero(some)
@@ -205,7 +205,10 @@ def _sorted(rows: DataFrame) -> DataFrame:
 
 
 def shared_bands(docs: DataFrame, large: int = LARGE) -> DataFrame:
-    """``(key, content)``: contents that share a band key with one of another document that their sketch doesn't rule out.
+    """``(key, content)``: contents that share a band key with one first held by another document that their sketch doesn't rule out.
+
+    Contents that the same document holds first are mostly one passage cut a word or two apart. To link them would change
+    nothing, as that document keeps both and all others lose both.
 
     A key's rows stand together in sorted partitions and pass as a stream, so that bands cost one shuffle. A slice of
     text hands on two rows a content at most, whatever its copies. A key of over ``large`` contents is divided by a third
@@ -307,19 +310,19 @@ def _jaccard(a: Column, b: Column) -> Column:
 def near_contents(members: DataFrame, keepers: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Links ``(a, b)`` between contents of ``members`` (key, content) that share a key and have Jaccard similarity ``least``.
 
-    Linked contents are all those, up to components: in keys of up to SMALL contents all pairs are compared. In larger
-    ones every content meets the key's smallest; those that this and the other keys leave in different components are
-    compared in blocks, but for those of whose shingles too few are in a content of the key in another component.
-    ``keepers`` (content, id, pos) tells where a content stands.
+    Linked contents are all those, up to components, that different documents hold first: in keys of up to LARGE contents
+    all pairs are compared. In larger ones every content meets the key's smallest; those that this and the other keys
+    leave in different components are compared in blocks, but for those of whose shingles too few are in a content of the
+    key in another component. ``keepers`` (content, id, pos) tells where a content stands first.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("key").alias("k"), "n")
     some = cut(members.withColumn("k", F.bitwise_not("key")).join(sizes, "k").select("key", "content", "n"))
     if some.isEmpty():
         return some.select(F.col("content").alias("a"), F.col("content").alias("b"))
     asked = keepers.join(some.select("content").distinct(), "content").select("id", "pos", "content")
-    sets = stored(_shingle_sets(docs, asked).dropDuplicates(["content"]), "sets")
-    links = stored(_linked_in_small(some.where(F.col("n") <= SMALL).select("key", "content").join(sets, "content"), least), "links")
-    large = cut(some.where(F.col("n") > SMALL).select("key", "content"))
+    sets = stored(_shingle_sets(docs, asked).dropDuplicates(["content"]).join(asked.select("content", F.col("id").alias("lo")), "content"), "sets")
+    links = stored(_linked_in_small(some.where(F.col("n") <= LARGE).select("key", "content").join(sets, "content"), least), "links")
+    large = cut(some.where(F.col("n") > LARGE).select("key", "content"))
     if large.isEmpty():
         return links
     lead = large.groupBy("key").agg(F.min("content").alias("a")).select(F.bitwise_not("key").alias("k"), "a")
@@ -339,10 +342,14 @@ def near_contents(members: DataFrame, keepers: DataFrame, docs: DataFrame, least
 
 
 def _linked_in_small(rows: DataFrame, least: float) -> DataFrame:
-    """``(a, b)`` of all pairs of ``rows`` (key, content, shingles) in one key whose similarity is ``least``; many keys at a time in sorted partitions."""
+    """``(a, b)`` of all pairs of ``rows`` (key, content, shingles, lo) in one key whose similarity is ``least`` and whose ``lo`` differs.
+
+    Many keys are compared at a time in sorted partitions; one of over SMALL contents by itself, and hands on as many
+    pairs as join its classes.
+    """
 
     def linked(part: pa.Table) -> pa.RecordBatch:
-        key, content = part.column("key").to_numpy(), part.column("content").to_numpy()
+        key, content, first = (part.column(c).to_numpy() for c in ("key", "content", "lo"))
         shingles = part.column("shingles").combine_chunks()
         size = np.diff(shingles.offsets.to_numpy())
         row = np.repeat(np.arange(len(key)), size)
@@ -350,11 +357,24 @@ def _linked_in_small(rows: DataFrame, least: float) -> DataFrame:
         sets[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = shingles.flatten().to_numpy()
         blank = _SHINGLES - size
         a, b, apart = [], [], 1
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.append(begin, len(key)))
+        few = np.repeat(n <= SMALL, n)
+        for at, many in zip(begin[n > SMALL], n[n > SMALL], strict=True):
+            j = np.arange(at, at + many)
+            near = np.zeros((many, many), bool)
+            for i in np.array_split(j, -(-many // 16)):
+                both = (sets[i][:, None, :, None] == sets[j][None, :, None, :]).sum((2, 3)) - blank[i][:, None] * blank[j]
+                near[i - at] = (both >= least * (size[i][:, None] + size[j] - both)) & (first[i][:, None] != first[j])
+            x, y = minhash.spanning(near)
+            a.append(np.minimum(content[j[x]], content[j[y]]))
+            b.append(np.maximum(content[j[x]], content[j[y]]))
         while True:
-            left = np.flatnonzero(key[:-apart] == key[apart:])
+            left = np.flatnonzero((key[:-apart] == key[apart:]) & few[apart:])
             if not len(left):
                 break
-            for i in np.array_split(left, -(-len(left) // 8192)):
+            left = left[first[left] != first[left + apart]]
+            for i in np.array_split(left, -(-len(left) // 8192)) if len(left) else ():
                 j = i + apart
                 both = (sets[i][:, :, None] == sets[j][:, None, :]).sum((1, 2)) - blank[i] * blank[j]
                 near = both >= least * (size[i] + size[j] - both)
@@ -378,7 +398,7 @@ def _linked_in_small(rows: DataFrame, least: float) -> DataFrame:
         if wait is not None and wait.num_rows:
             yield linked(wait)
 
-    rows = rows.select("key", "content", "shingles").repartition("key").sortWithinPartitions("key")
+    rows = rows.select("key", "content", "shingles", "lo").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 

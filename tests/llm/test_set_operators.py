@@ -129,7 +129,23 @@ def test_substring_dedup(spark):
         assert got[i].text == before.rstrip(" ") + after and 0 <= got[i].class_ids[0] < i
 
 
-def test_near_contents_against_all_pairs(spark):
+def test_spanning_links_what_all_links_join():
+    rng = np.random.default_rng(4)
+    for n, m, p in ((1, 1, 1), (30, 40, 0.03), (64, 5, 0.2), (20, 20, 0.9), (3, 3, 0)):
+        near = rng.random((n, m)) < p
+
+        def classes(rows, columns):
+            up = list(range(n + m))
+            for i, j in zip(rows, columns, strict=True):
+                a, b = up[i], up[n + j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+            return up
+
+        rows, columns = minhash.spanning(near.copy())
+        assert len(rows) <= max(0, n + m - 1) and near[rows, columns].all() and classes(rows, columns) == classes(*np.nonzero(near))
+
+
+def test_near_contents_against_all_pairs(spark, monkeypatch):
     rng = random.Random(9)
     fresh = lambda n: [f"n{rng.randrange(10**7)}" for _ in range(n)]
     n, texts = substring_dedup.PARAGRAPH, {}
@@ -161,7 +177,8 @@ def test_near_contents_against_all_pairs(spark):
             up[y] = x
         return {i: find(i) for i in texts}
 
-    for last in (22, len(texts)):  # a small key and a large one
+    monkeypatch.setattr(substring_dedup, "LARGE", 100)
+    for last in (22, 80, len(texts)):  # a small key, a middling one and a large one
         members = spark.createDataFrame([(7, i) for i in range(last)], "key long, content long")
         links = [tuple(r) for r in substring_dedup.near_contents(members, keepers, docs, 0.8).collect()]
         want = [(x, y) for x in range(last) for y in range(x) if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
@@ -212,7 +229,7 @@ def test_shared_bands_over_batches(spark):
         (a, b)
         for a in sets
         for b in sets
-        if a < b and keys_of_content[a] & keys_of_content[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and len(docs_of[a] | docs_of[b]) > 1
+        if a < b and keys_of_content[a] & keys_of_content[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and min(docs_of[a]) != min(docs_of[b])
     ]
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     for size, large in (("1", 1024), ("2", 3), ("7", 2), (before, 1024), (before, 5)):
