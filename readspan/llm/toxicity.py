@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,9 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readspan.llm.common import mix, seeded
+
 _WORD = re.compile(r"\w+")
 #: Words whose sums a task remembers before it starts anew.
 MEMO_WORDS = 200_000
+#: Characters of text that are scored, and words that are cut into n-grams at a time.
+CHUNK_CHARS, CHUNK_WORDS = 1_000_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -42,16 +45,43 @@ class Settings:
     seed: int = 5
 
 
-def subwords(word: str, s: Settings) -> list[int]:
-    """Buckets of a word's character n-grams, its ends marked, and of the word itself."""
-    marked = f"<{word}>"
-    n = len(marked)
-    grams = [marked[i : i + k] for k in range(s.shortest, s.longest + 1) for i in range(n - k + 1)] or [marked]
-    return [zlib.crc32(g.encode()) % s.buckets for g in grams]
-
-
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The different words of a text, in order of their first place."""
+    return list(dict.fromkeys(_WORD.findall(text.lower())))
+
+
+def subwords(ws: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of each word, its ends marked, and how many each has; a shorter word is one n-gram."""
+    if not ws:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    size = np.fromiter(map(len, ws), np.int64, len(ws)) + 2
+    chars = mix(np.frombuffer("".join(f"<{w}>" for w in ws).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
+    owner = np.repeat(np.arange(len(ws)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(chars))  # characters from here to the word's end
+    begin = np.cumsum(size) - size
+    factor = seeded(s.longest, 61) | np.uint64(1)
+    total, found, of = np.zeros(len(chars), np.uint64), [], []
+    for k in range(1, s.longest + 1):
+        total[: max(len(chars) - k + 1, 0)] += chars[k - 1 :] * factor[k - 1]
+        at = np.flatnonzero(left >= k) if k >= s.shortest else begin[size == k]
+        found.append(mix(total[at] + np.uint64(k)) % np.uint64(s.buckets))
+        of.append(owner[at])
+    of_ = np.concatenate(of)
+    by = np.argsort(of_, kind="stable")
+    return np.concatenate(found)[by].astype(np.int32), np.bincount(of_, minlength=len(ws))
+
+
+def _chunks(texts: Iterator[str]) -> Iterator[list[str]]:
+    """Some texts at a time, CHUNK_CHARS or one longer."""
+    part, chars = [], 0
+    for text in texts:
+        if part and chars + len(text) > CHUNK_CHARS:
+            yield part
+            part, chars = [], 0
+        part.append(text)
+        chars += len(text)
+    if part:
+        yield part
 
 
 @dataclass(frozen=True)
@@ -63,22 +93,24 @@ class Model:
     bias: float
 
     def score(self, texts: Iterator[str], memo: dict[str, tuple[float, int]]) -> np.ndarray:
+        """The score of each text; ``memo`` holds the sums of words met before."""
         out = []
-        for text in texts:
-            ws = list(dict.fromkeys(words(text)))
-            new = [w for w in ws if w not in memo]
+        for part in _chunks(texts):
+            split = [words(t) for t in part]
+            new = {w for ws in split for w in ws if w not in memo}
             if new:
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
-                    new = ws
-                for w in new:
-                    ids = subwords(w, self.settings)
-                    memo[w] = (float(self.bucket_logit[ids].sum()), len(ids))
-            total = n = 0
-            for a, b in map(memo.__getitem__, ws):
-                total += a
-                n += b
-            out.append(total / max(n + self.settings.padding, 1) + self.bias)
+                    new = {w for ws in split for w in ws}
+                flat, size = subwords(list(new), self.settings)
+                sums = np.add.reduceat(self.bucket_logit[flat], np.cumsum(size) - size)
+                memo.update(zip(new, zip(sums.tolist(), size.tolist(), strict=True), strict=True))
+            for ws in split:
+                total = n = 0
+                for a, b in map(memo.__getitem__, ws):
+                    total += a
+                    n += b
+                out.append(total / max(n + self.settings.padding, 1) + self.bias)
         return 1 / (1 + np.exp(-np.clip(np.array(out, dtype=np.float64), -700, 700)))
 
 
@@ -87,17 +119,11 @@ class Vocabulary:
 
     def __init__(self, texts: list[str], s: Settings):
         number: dict[str, int] = {}
-        parts: list[np.ndarray] = []
-        self.texts: list[np.ndarray] = []
-        for text in texts:
-            own = list(dict.fromkeys(words(text)))
-            for w in own:
-                if w not in number:
-                    number[w] = len(number)
-                    parts.append(np.array(subwords(w, s), np.int32))
-            self.texts.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
-        self.grams = np.fromiter(map(len, parts), np.int64, len(parts))
-        self._set(np.concatenate(parts) if parts else np.zeros(0, np.int32), self.grams)
+        self.texts = [np.array([number.setdefault(w, len(number)) for w in words(t)], np.int32) for t in texts]
+        every = list(number)
+        parts = [subwords(every[lo : lo + CHUNK_WORDS], s) for lo in range(0, len(every), CHUNK_WORDS)]
+        self.grams = np.concatenate([np.zeros(0, np.int64), *(size for _, size in parts)])
+        self._set(np.concatenate([np.zeros(0, np.int32), *(flat for flat, _ in parts)]), self.grams)
 
     def _set(self, flat: np.ndarray, sizes: np.ndarray) -> None:
         self.flat, self.first = flat, np.concatenate(([0], np.cumsum(sizes)))
