@@ -30,25 +30,29 @@ def use_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     use_checkpoints(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder. A checkpoint keeps Spark's estimated sizes, which multiply at every join; a table has its own."""
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    A checkpoint keeps Spark's estimates of sizes, which multiply at every join until a loop's numbers fill the driver's
+    memory; a table has its own size. Rows keep no order: see ``checkpointed``.
+    """
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder: the rows of ``df`` with its partitions and the order in them."""
+    use_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 #: Ids (8 bytes each) up to which dropped rows are broadcast rather than joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

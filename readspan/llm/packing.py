@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readspan.llm.common import cut
+from readspan.llm.common import checkpointed, cut
 
 #: Words that a Python worker remembers before it starts anew.
 MEMO_WORDS = 200_000
@@ -140,7 +140,7 @@ def best_fit_pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
     if clash:
         raise ValueError(f"pieces has columns by the names of new ones: {sorted(clash)}")
     ranged = cut(pieces).repartitionByRange("length", "id", "piece").sortWithinPartitions("length", "id", "piece")
-    ranged = cut(ranged.withColumn("__range", F.spark_partition_id()))
+    ranged = checkpointed(ranged.withColumn("__range", F.spark_partition_id()))
     before: dict[tuple[int, int], int] = {}
     counts: dict[int, int] = {}
     for part, n, c in sorted(map(tuple, ranged.groupBy("__range", "length").count().collect())):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readspan.llm import minhash
-from readspan.llm.common import Words, components, cut, mix, seeded, slices, stored
+from readspan.llm.common import Words, components, cut, mix, seeded, slices
 
 #: Words in a shingle and in a paragraph, and shingles from which each paragraph start is chosen. A passage of 51
 #: words holds a whole paragraph wherever it stands: 24 + 4 words until the first start, 23 in the paragraph.
@@ -247,17 +247,17 @@ def shared_bands(docs: DataFrame, large: int = LARGE) -> DataFrame:
 
     rows = docs.mapInArrow(bands, "key long, content long, id long, sketch long")
     met = partial(_met, large=large)
-    first = stored(_sorted(rows).mapInArrow(met, _ROWS), "met")
+    first = cut(_sorted(rows).mapInArrow(met, _ROWS), "met")
     many = first.where("large")
     if many.isEmpty():
         return first.select("key", "content")
     parts = many.select("key", "content", "id", "sketch").mapInArrow(divided, "key long, content long, id long, sketch long")
-    second = stored(_sorted(parts).mapInArrow(met, _ROWS).select("key", "content").distinct(), "met")
+    second = cut(_sorted(parts).mapInArrow(met, _ROWS).select("key", "content").distinct(), "met")
     return first.where("not large").select("key", "content").unionByName(second)
 
 
 def _few(rows: DataFrame, lists: Column) -> bool:
-    """Whether ``rows`` (cut or stored) and the ``lists`` in them hold BROADCAST_NUMBERS numbers at most."""
+    """Whether ``rows`` (a table by now) and the ``lists`` in them hold BROADCAST_NUMBERS numbers at most."""
     rows_, items = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
     return 2 * rows_ + 4 * items <= BROADCAST_NUMBERS
 
@@ -320,8 +320,8 @@ def near_contents(members: DataFrame, keepers: DataFrame, docs: DataFrame, least
     if some.isEmpty():
         return some.select(F.col("content").alias("a"), F.col("content").alias("b"))
     asked = keepers.join(some.select("content").distinct(), "content").select("id", "pos", "content")
-    sets = stored(_shingle_sets(docs, asked).dropDuplicates(["content"]).join(asked.select("content", F.col("id").alias("lo")), "content"), "sets")
-    links = stored(_linked_in_small(some.where(F.col("n") <= LARGE).select("key", "content").join(sets, "content"), least), "links")
+    sets = cut(_shingle_sets(docs, asked).dropDuplicates(["content"]).join(asked.select("content", F.col("id").alias("lo")), "content"), "sets")
+    links = cut(_linked_in_small(some.where(F.col("n") <= LARGE).select("key", "content").join(sets, "content"), least), "links")
     large = cut(some.where(F.col("n") > LARGE).select("key", "content"))
     if large.isEmpty():
         return links
@@ -329,7 +329,7 @@ def near_contents(members: DataFrame, keepers: DataFrame, docs: DataFrame, least
     stars = large.withColumn("k", F.bitwise_not("key")).join(lead, "k").where("content <> a").select("a", F.col("content").alias("b")).distinct()
     stars = stars.join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("own")), "b").withColumn("k", F.bitwise_not("a"))
     stars = stars.join(sets.select(F.bitwise_not("content").alias("k"), F.col("shingles").alias("base")), "k").where(_jaccard(F.col("own"), F.col("base")) >= least)
-    links = stored(links.unionByName(stars.select("a", "b")), "links")
+    links = cut(links.unionByName(stars.select("a", "b")), "links")
     labelled = large.join(components(links).select(F.col("node").alias("content"), "component"), "content", "left")
     rest = cut(minhash._mixed(labelled.select("key", F.col("content").alias("id"), F.coalesce("component", "content").alias("label"))))
     held = sets.select(F.col("content").alias("id"), F.size("shingles").alias("n"), F.col("shingles").alias("shared"))
@@ -337,8 +337,8 @@ def near_contents(members: DataFrame, keepers: DataFrame, docs: DataFrame, least
     rows = cut(rest.join(held, "id").select("key", "id", "label", "n", F.explode("shared").alias("s")).withColumn("k", F.xxhash64("key", "s")))
     shared = rows.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.bitwise_not("k").alias("j"))
     able = rows.withColumn("j", F.bitwise_not("k")).join(shared, "j").groupBy("key", "id", "label").agg(F.count("*").alias("c"), F.min("n").alias("n"))
-    rest = stored(minhash._mixed(able.where(F.col("c") >= least * F.col("n")).select("key", "id", "label")), "rest")
-    return stored(links.unionByName(minhash.linked_in_blocks(rest, held, least)), "links")
+    rest = cut(minhash._mixed(able.where(F.col("c") >= least * F.col("n")).select("key", "id", "label")), "rest")
+    return cut(links.unionByName(minhash.linked_in_blocks(rest, held, least)), "links")
 
 
 def _linked_in_small(rows: DataFrame, least: float) -> DataFrame:
@@ -437,7 +437,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("id is not null")
     flat = cut_paragraphs(docs)
-    members = stored(shared_bands(docs), "members")
+    members = cut(shared_bands(docs), "members")
     alike = members.select("content").distinct().withColumn("alike", F.lit(True))
     # only contents that several documents have, or that share a band, go on
     classes = flat.groupBy("content").agg(F.min(F.struct("id", "pos")).alias("keeper"), F.max("id").alias("hi")).join(alike, "content", "left")
