@@ -21,7 +21,8 @@ POWER_OFF = ("lipc:evts:name=goingToScreenSaver, origin=com.lab126.powerd", "lip
 #: Lines are cut at so many characters.
 LINE_CAP = 65_536
 
-_POSITION = r"(?:YJPosition: [^:,;]*:|HTMLPosition:)(\d+)"
+#: A position's value runs up to a comma or semicolon; it is the last number in it, which stands first or after a colon or blank.
+_POSITION = r"[^:,;]*Position:(?:[^,;]*[: ])?(\d+)[^\d,;]*(?=[,;]|$)"
 
 
 def _none_if_empty(c: Column) -> Column:
@@ -54,24 +55,55 @@ def number(payload: Column, name: str) -> Column:
     return F.regexp_extract(payload, rf"(?:^|[,:]){name}:(\d+)", 1).try_cast("long")
 
 
+def ahead(payload: Column) -> Column:
+    """What stands before the chapter group."""
+    return F.substring_index(payload, "NextTOCEntry", 1)
+
+
 def share_left(payload: Column) -> Column:
-    left = F.regexp_extract(F.substring_index(payload, "NextTOCEntry", 1), r",%Left:([0-9.]+)", 1).try_cast("double")
+    """The share of the book that lies ahead, 0 to 1: the first that the payload states."""
+    left = F.regexp_extract(payload, r"%Left:([0-9.-]+)", 1).try_cast("double")
     return F.when(left.between(0, 1), left)
 
 
+def seconds_left(payload: Column) -> Column:
+    """The book's own time left; the one inside the chapter group is the chapter's."""
+    return number(ahead(payload), "NewTimeLeft")
+
+
+def words_a_minute(payload: Column) -> Column:
+    rate = number(payload, "TotalWPM")
+    return F.when(rate > 0, rate)
+
+
 def payloads(line: Column) -> Column:
     """The non-empty parts, ended by semicolons, after ``Information::``."""
     return F.filter(F.split(F.regexp_extract(line, r"(?s)Information::(.*)", 1), ";"), lambda x: F.trim(x) != "")
 
 
+def last_event(payload: Column) -> Column:
+    """The payload from its last ``PageStartPos`` on: the tail of an earlier event isn't this one's."""
+    last = F.regexp_extract(payload, r"(?s)^.*(?:^|[,:])(PageStartPos:.*)$", 1)
+    return F.when(last != "", last).otherwise(payload)
+
+
 def end_position(payload: Column) -> Column:
     """The book's end: the last ``EndPos`` ahead of the chapter group, or the first if there is no such group."""
-    ends = F.regexp_extract_all(F.substring_index(payload, "NextTOCEntry", 1), F.lit(r"EndPos:" + _POSITION), F.lit(1))
+    ends = F.regexp_extract_all(ahead(payload), F.lit(r"(?:^|[,:])EndPos:" + _POSITION), F.lit(1))
     return F.when(payload.contains("NextTOCEntry"), F.try_element_at(ends, F.lit(-1))).otherwise(F.try_element_at(ends, F.lit(1))).try_cast("long")
 
 
-def chapter_position(payload: Column) -> Column:
-    return F.regexp_extract(payload, r"NextTOCEntryPosition:" + _POSITION, 1).try_cast("long")
+def chapter_positions(payload: Column) -> Column:
+    """Every place that a payload names as a next chapter."""
+    found = F.regexp_extract_all(payload, F.lit(r"NextTOCEntryPosition:" + _POSITION), F.lit(1))
+    return F.transform(found, lambda x: x.try_cast("long"))
+
+
+def from_book(line: Column) -> Column:
+    """The book's extent that an opened book states; a position of the ``HTML`` kind is one less than the extent."""
+    kind = F.regexp_extract(line, r"BookEndPosition\.FromBook:([^:,;]*Position):", 1)
+    at = F.regexp_extract(line, r"BookEndPosition\.FromBook:" + _POSITION, 1).try_cast("long")
+    return at + (kind == "HTMLPosition").cast("long")
 
 
 def names(line: Column, event: str) -> Column:
@@ -88,13 +120,14 @@ def quoted_number(line: Column, name: str) -> Column:
 
 def opened_at(line: Column) -> Column:
     """Counter in ms that an opened book states; a stored ``null`` is zero."""
-    said = F.regexp_replace(F.regexp_extract(line, r"StoredBookData:TimeRead:([\d,]+) sec", 1), ",", "").try_cast("long")
-    return F.when(names(line, "OpenBook"), F.coalesce(said * 1000, F.when(line.contains("StoredBookData:null"), F.lit(0).cast("long"))))
+    said = F.regexp_replace(F.regexp_extract(line, r"StoredBookData:TimeRead:([\d,]+)", 1), ",", "").try_cast("long")
+    return F.when(line.contains("StoredBookData:null"), F.lit(0).cast("long")).otherwise(said * 1000)
 
 
 def wakes(line: Column) -> Column:
     """Reading resumed for a reason that has bit 2 or 8."""
-    return line.contains("Reading_Resumed") & ((F.coalesce(number(line, "Reason"), F.lit(0)).bitwiseAND(10)) != 0)
+    reason = F.regexp_extract(line, r"Reading_Resumed,Reason:(\d+)", 1).try_cast("long")
+    return F.coalesce(reason.bitwiseAND(10) != 0, F.lit(False))
 
 
 def metric(line: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Page dwell floor and cap, break gap and clock step in seconds, band width and count, intensity steps.
 PAGE_FLOOR, PAGE_CAP = 3, 120
 GAP, BACK_STEP = 1800, 60
+# Words a minute from which a page that the counter refused still counts.
+RATE = 40
 BAND, BANDS = 300, 25
 INTENSITY = (0.15, 0.4, 0.66)
 
@@ -16,6 +18,32 @@ def micros_between(a: Column, b: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b)
 
 
+def page_rate(words: Column, standing_ms: Column) -> Column:
+    """Words a minute; null if the page didn't stand."""
+    return F.try_divide(words * 60_000.0, standing_ms)
+
+
+def credits(total_ms: Column, interval_ms: Column, interval_words: Column, refused: Column, closes: Column) -> Column:
+    """``struct<counted_ms,counted_words,refused_ms>``: what the page that a line turned adds.
+
+    The counter takes a page unless the line refuses it or closes the book; such a page counts apart if it was read at
+    RATE or faster. Without a counter or an interval there is nothing.
+    """
+    words = F.greatest(F.coalesce(interval_words, F.lit(0)), F.lit(0)).cast("long")
+    states = (F.coalesce(interval_ms, F.lit(0)) > 0) & total_ms.isNotNull()
+    kept = F.coalesce(refused, F.lit(False)) | F.coalesce(closes, F.lit(False))
+    zero = F.lit(0).cast("long")
+    return F.struct(
+        F.when(states & ~kept, interval_ms).otherwise(zero).alias("counted_ms"),
+        F.when(states & ~kept, words).otherwise(zero).alias("counted_words"),
+        F.when(states & kept & (page_rate(words, interval_ms) >= RATE), interval_ms).otherwise(zero).alias("refused_ms"),
+    )
+
+
+def timed_ms(credit: Column) -> Column:
+    return credit["counted_ms"] + credit["refused_ms"]
+
+
 def dwell(seconds: Column) -> Column:
     """A page's credit: nothing under the floor, the cap at most."""
     return F.when(seconds.isNull() | (seconds < PAGE_FLOOR), F.lit(0)).otherwise(F.least(seconds, F.lit(PAGE_CAP))).cast("long")

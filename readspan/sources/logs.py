@@ -39,27 +39,49 @@ def kept(lines: DataFrame, watermark: str = "") -> DataFrame:
 
 
 def observations(lines: DataFrame) -> DataFrame:
-    """``lines`` with the columns that the sessioniser reads; one payload a timer line, the first that states a book's end."""
+    """``lines`` with the columns that the sessioniser reads; what a line doesn't state is null.
+
+    Of a timer line's payloads one is read: the first that states a counter and a book's end; else, where the line
+    names a page event, the first that states a book's end; else the first that also states where the reader is.
+    Fields are parsed only for lines of the family that can hold them.
+    """
     line = F.col("line")
-    found = F.transform(logline.payloads(line), lambda p: F.struct(p.alias("p"), logline.end_position(p).alias("position")))
-    rows = lines.withColumn("pay", F.try_element_at(F.filter(found, lambda x: x["position"].isNotNull()), F.lit(1)))
+    rows = lines.select("*", logline.stamp(line).alias("ts"), logline.family(line).alias("family"))
+    timer, other = F.col("family") == "timer", F.col("family") != "timer"
+    event = lambda p: F.struct(
+        p.alias("p"), logline.end_position(p).alias("position"), p.rlike(r"(?:^|[,:])TotalTime:\d").alias("counts"), p.rlike(r"(?:^|[,:])CurrentPos:[^:,;]*Position:").alias("stands")
+    )
+    parts = F.when(timer, logline.payloads(line))
+    rows = rows.withColumn("events", F.transform(F.transform(parts, logline.last_event), event))
+    named = logline.names(line, "(?:NextPage|PreviousPage|CloseBook|GoToPosition)")
+    some = lambda test: F.try_element_at(F.filter("events", lambda x: x["position"].isNotNull() & test(x)), F.lit(1))
+    rows = rows.withColumn("pay", F.coalesce(some(lambda x: x["counts"]), F.when(named, some(lambda x: F.lit(True))), some(lambda x: x["stands"])))
+    rows = rows.withColumn("position", F.col("pay.position"))
     p = F.col("pay.p")
+    of_book = F.transform(F.filter("events", lambda x: x["position"] == F.col("position")), lambda x: x["p"])
+    first = lambda read: F.try_element_at(F.filter(F.transform(of_book, read), lambda x: x.isNotNull()), F.lit(1))
+    in_group = F.filter(parts, lambda x: x.contains("NextTOCEntry"))
+    observed = F.col("position").isNotNull()
     return rows.select(
-        "*",
-        logline.stamp(line).alias("ts"),
-        logline.family(line).alias("family"),
-        F.col("pay.position").alias("position"),
-        logline.chapter_position(p).alias("chapter"),
+        *lines.columns, "ts", "family", "position",
+        F.flatten(F.transform(in_group, logline.chapter_positions)).alias("chapters"),
+        F.transform(F.transform(in_group, logline.last_event), logline.end_position).alias("chapter_books"),
         logline.number(p, "TotalTime").alias("total_ms"),
         logline.number(p, "TotalWords").alias("words"),
         logline.number(p, "IntervalTime").alias("interval_ms"),
         logline.number(p, "IntervalWords").alias("interval_words"),
-        logline.share_left(p).alias("left_share"),
-        logline.names(line, "(?:NextPage|PrevPage)").alias("page_turn"),
-        logline.names(line, "CloseBook").alias("closes"),
-        logline.names(line, "(?:GoToPosition|TapOnFooter)").alias("jumped"),
-        p.contains("Verdict:Refused").alias("refused"),
-        logline.metric(line).alias("metric"),
-        logline.content_key(line).alias("content_key"),
-        logline.power(line).alias("power"),
-    ).drop("pay")
+        F.when(observed, first(logline.share_left)).alias("left_share"),
+        F.when(observed, first(logline.seconds_left)).alias("time_left"),
+        F.when(observed, first(logline.words_a_minute)).alias("stated_wpm"),
+        (timer & logline.names(line, "NextPage")).alias("page_turn"),
+        (timer & logline.names(line, "CloseBook")).alias("closes"),
+        (timer & logline.names(line, "(?:GoToPosition|TapOnFooter)")).alias("jumped"),
+        p.rlike(r"(?:^|[,:])SkipAvgReason:").alias("refused"),
+        F.when(timer, logline.opened_at(line)).alias("opened_ms"),
+        (timer & logline.wakes(line)).alias("wakes"),
+        F.when(timer, logline.from_book(line)).alias("from_book"),
+        F.when(F.col("family") == "metric", logline.metric(line)).alias("metric"),
+        F.when(other & line.contains("SchemaName["), logline.content_key(line)).alias("content_key"),
+        F.when(other, logline.power(line)).alias("power"),
+        (other & line.contains(logline.POWER_CHANGE)).alias("power_metric"),
+    )
