@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +38,35 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder, so that a lost executor costs no recomputation.
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder, so that a lost executor costs no recomputation: the rows of ``df`` with its partitions and their order."""
+    use_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a table in the shared folder, for loops and small results.
 
     A checkpoint keeps Spark's estimates of sizes, which multiply at every join until a loop's numbers fill the driver's
-    memory; a table has its own size. Rows keep no order: see ``checkpointed``.
+    memory; a table has its own size. Rows keep no order.
     """
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: the rows of ``df`` with its partitions and the order in them."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint()
+def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; then the memory it is done with goes back to the system, as Python workers outlive their tasks."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
 
 
 #: Ids (8 bytes each) up to which dropped rows are broadcast rather than joined by a shuffle.
@@ -162,14 +178,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the graph to the roots. Stars, as the operators make them, end after one or two rounds. Only counts reach
     the driver; each round is written to the checkpoint folder. Null ends, loops and repeated edges are allowed.
     """
-    edges = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    edges = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     labels: DataFrame | None = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p")))
+        parents = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p")))
         while True:
             up = parents.select(F.col("node").alias("p"), F.col("p").alias("g"))
-            step = cut(parents.join(up, "p").select("node", "p", "g"))
+            step = stored(parents.join(up, "p").select("node", "p", "g"))
             moved = step.where("p <> g").limit(1).count()
             parents = step.select("node", F.col("g").alias("p"))
             if not moved:
@@ -178,11 +194,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             labels = parents.select("node", F.col("p").alias("component"))
         else:
             up = parents.select(F.col("node").alias("component"), "p")
-            labels = cut(labels.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
+            labels = stored(labels.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
         ends = parents.select(F.col("node").alias("a"), F.col("p").alias("pa"))
         edges = edges.join(ends, "a").select("pa", "b")
         ends = parents.select(F.col("node").alias("b"), F.col("p").alias("pb"))
-        edges = cut(edges.join(ends, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct())
+        edges = stored(edges.join(ends, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct())
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readspan.llm.common import cut, without
+from readspan.llm.common import cut, freed, without
 
 #: Characters of a text that splitters hold.
 PREFIX = 64
@@ -78,7 +78,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()
     rows = rows.withColumns({"sha": F.sha2(F.encode("t", "UTF-8"), 256), "start": F.left("t", F.lit(PREFIX))})
     ranged = rows.repartitionByRange("start", "sha", order).sortWithinPartitions("start", "sha", "t", order)
-    runs = cut(ranged.select("id", "t", "sha").mapInArrow(_runs, _RUNS))
+    runs = cut(ranged.select("id", "t", "sha").mapInArrow(freed(_runs), _RUNS))
     best = F.min("keep_id") if keep == "smallest" else F.max("keep_id")
     joined = runs.where("edge and head").groupBy("text_sha256").agg(best.alias("k"), F.sum("group_size").alias("n"))
     out = runs.join(F.broadcast(joined), "text_sha256", "left")  # at most two rows a range

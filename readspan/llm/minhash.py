@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readspan.llm.common import components, cut, folder, mix, seeded, slices, without
+from readspan.llm.common import components, cut, folder, freed, mix, seeded, slices, without
 
 #: Words in a shingle.
 WORDS = 5
@@ -107,7 +107,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows_ = docs.select("id", F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)).alias("digest"), text.alias("t"))
-    return rows_.mapInArrow(run, "id long, digest binary, words long, bands array<long>")
+    return rows_.mapInArrow(freed(run), "id long, digest binary, words long, bands array<long>")
 
 
 def bucketed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def held_elsewhere(texts: DataFrame, labels: DataFrame) -> DataFrame:
                 n = np.bincount(owner, minlength=words.n)[owner] if len(owner) else owner
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo + owner]), pa.array(n.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["id", "n", "s"])
 
-    rows = cut(texts.mapInArrow(run, "id long, n int, s long").join(labels, "id"))
+    rows = cut(texts.mapInArrow(freed(run), "id long, n int, s long").join(labels, "id"))
     shared = rows.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.bitwise_not("s").alias("k"))
     met = rows.withColumn("k", F.bitwise_not("s")).join(shared, "k").groupBy("id")
     return met.agg(F.min("n").alias("n"), F.collect_set("s").alias("shared")).withColumn("c", F.size("shared"))
@@ -229,7 +229,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], schema=schema)
 
-    return rows.select("a", "id", "kind", "t").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("a", "id", "kind", "t").mapInArrow(freed(run), "a long, b long").distinct()
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readspan.llm.common import checkpointed, cut
+from readspan.llm.common import cut, freed
 
 #: Words that a Python worker remembers before it starts anew.
 MEMO_WORDS = 200_000
@@ -87,7 +87,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int
                 of, piece, start, length, crc = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(of), piece.cast(pa.int32()), start, length, crc], names=["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, _PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(freed(run), _PIECES)
 
 
 def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -140,7 +140,7 @@ def best_fit_pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
     if clash:
         raise ValueError(f"pieces has columns by the names of new ones: {sorted(clash)}")
     ranged = cut(pieces).repartitionByRange("length", "id", "piece").sortWithinPartitions("length", "id", "piece")
-    ranged = checkpointed(ranged.withColumn("__range", F.spark_partition_id()))
+    ranged = cut(ranged.withColumn("__range", F.spark_partition_id()))
     before: dict[tuple[int, int], int] = {}
     counts: dict[int, int] = {}
     for part, n, c in sorted(map(tuple, ranged.groupBy("__range", "length").count().collect())):
@@ -172,7 +172,7 @@ def best_fit_pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
             kept = batch.drop_columns(["__range"])
             yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, more)], names=[*kept.schema.names, "sequence_id", "offset"])
 
-    return ranged.mapInArrow(place, ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long")
+    return ranged.mapInArrow(freed(place), ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readspan.llm import minhash
-from readspan.llm.common import Words, components, cut, mix, seeded, slices
+from readspan.llm.common import Words, components, cut, freed, mix, seeded, slices, stored
 
 #: Words in a shingle and in a paragraph, and shingles from which each paragraph start is chosen. A passage of 51
 #: words holds a whole paragraph wherever it stands: 24 + 4 words until the first start, 23 in the paragraph.
@@ -24,8 +24,8 @@ WORDS, PARAGRAPH, CHOICE = 5, 23, 24
 SMALLEST = 4
 #: Jaccard similarity of paragraphs that count as one.
 LEAST = 0.8
-#: Numbers (8 bytes each) in rows up to which ids, spans or requests are broadcast to the texts rather than joined by a shuffle.
-BROADCAST_NUMBERS = 2_000_000
+#: Numbers (8 bytes each, 96 MB in all) in rows up to which ids, spans or requests are broadcast to the texts rather than joined by a shuffle.
+BROADCAST_NUMBERS = 12_000_000
 #: Contents of a key up to which all its pairs are compared at once.
 SMALL = 64
 #: A content's sketch: the last byte of each of its SKETCH smallest shingles in order, then its band. Of two contents at 0.8
@@ -38,19 +38,20 @@ _BANDS = list(combinations(range(SMALLEST), 2))
 _NONE = np.uint64(2**64 - 1)
 
 
-def _least_of(x: np.ndarray, n: int) -> np.ndarray:
-    """Minimum of every ``n`` in a row."""
+def _sliding(best: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
+    """``best`` (minimum or maximum) of every ``n`` in a row."""
     width = 1
     while width * 2 <= n:
-        x, width = np.minimum(x[: len(x) - width], x[width:]), width * 2
-    return np.minimum(x[: len(x) - (n - width)], x[n - width :]) if width < n else x
+        x, width = best(x[: len(x) - width], x[width:]), width * 2
+    return best(x[: len(x) - (n - width)], x[n - width :]) if width < n else x
 
 
-def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def paragraphs(words: Words, places_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(doc, position, keys, content, sketch)`` of each paragraph: the text's index, the first word's place, the band keys, a hash of all words and SKETCH bytes.
 
     A paragraph starts at each shingle that has the smallest hash of some CHOICE shingles in a row, so equal
     passages are cut alike whatever stands around them. ``keys`` has a row a paragraph; a band without shingles is 0.
+    With ``places_only`` keys and sketches have no columns.
     """
     n = len(words.hash)
     if n < PARAGRAPH:
@@ -65,15 +66,21 @@ def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     span = CHOICE + WORDS - 1
     starts = np.zeros(0, np.int64)
     if n >= span:
-        best = _least_of(order, CHOICE)
+        best = _sliding(np.minimum, order, CHOICE)
         whole = doc[: len(best)] == doc[span - 1 : span - 1 + len(best)]
-        # a shingle is chosen if it equals the minimum of a whole window that holds it
-        chosen = np.zeros(len(order), bool)
-        for shift in range(CHOICE):
-            chosen[shift : shift + len(best)] |= (order[shift : shift + len(best)] == best) & whole
-        starts = np.flatnonzero(chosen)
+        # a shingle is chosen if it equals the minimum of a whole window that holds it: no such minimum is greater
+        edge = np.zeros(CHOICE - 1, np.uint64)
+        most = _sliding(np.maximum, np.concatenate((edge, np.where(whole, best, 0).astype(np.uint64), edge)), CHOICE)
+        starts = np.flatnonzero(most == order)
     starts = starts[starts + PARAGRAPH <= n]
     starts = starts[doc[starts] == doc[starts + PARAGRAPH - 1]]
+    powers = seeded(PARAGRAPH, 29) | np.uint64(1)
+    content = np.zeros(len(starts), np.uint64)
+    for j in range(PARAGRAPH):
+        content += words.hash[starts + j] * powers[j]
+    content, place = mix(content), starts - words.first[doc[starts]]
+    if places_only:
+        return doc[starts], place, np.zeros((len(starts), 0), np.uint64), content, np.zeros((len(starts), 0), np.uint8)
     ranks = mix(shingle + np.uint64(43))
     own = np.sort(np.lib.stride_tricks.sliding_window_view(ranks, _SHINGLES)[starts], axis=1)
     own[:, 1:][own[:, 1:] == own[:, :-1]] = _NONE
@@ -84,11 +91,7 @@ def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         keys[:, k] = mix(mix(own[:, i]) + own[:, j])
         # a single shingle is one band
         keys[(own[:, i] == _NONE) | (own[:, j] == _NONE) & (i + j > 1), k] = 0
-    powers = seeded(PARAGRAPH, 29) | np.uint64(1)
-    content = np.zeros(len(starts), np.uint64)
-    for j in range(PARAGRAPH):
-        content += words.hash[starts + j] * powers[j]
-    return doc[starts], starts - words.first[doc[starts]], keys, mix(content), sketch
+    return doc[starts], place, keys, content, sketch
 
 
 def cut_paragraphs(docs: DataFrame) -> DataFrame:
@@ -98,10 +101,10 @@ def cut_paragraphs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for lo, _, words in slices(batch.column("t")):
-                doc, pos, _, content, _ = paragraphs(words)
+                doc, pos, _, content, _ = paragraphs(words, places_only=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo + doc]), pa.array(pos.astype(np.int32)), pa.array(content.view(np.int64))], names=["id", "pos", "content"])
 
-    return docs.mapInArrow(run, "id long, pos int, content long")
+    return docs.mapInArrow(freed(run), "id long, pos int, content long")
 
 
 _ROWS = "key long, content long, id long, sketch long, large boolean"
@@ -245,19 +248,19 @@ def shared_bands(docs: DataFrame, large: int = LARGE) -> DataFrame:
                 part = batch.take(pa.array(some))
                 yield pa.RecordBatch.from_arrays([pa.array(third.view(np.int64)), part.column("content"), part.column("id"), part.column("sketch")], names=["key", "content", "id", "sketch"])
 
-    rows = docs.mapInArrow(bands, "key long, content long, id long, sketch long")
+    rows = docs.mapInArrow(freed(bands), "key long, content long, id long, sketch long")
     met = partial(_met, large=large)
-    first = cut(_sorted(rows).mapInArrow(met, _ROWS), "met")
+    first = stored(_sorted(rows).mapInArrow(freed(met), _ROWS), "met")
     many = first.where("large")
     if many.isEmpty():
         return first.select("key", "content")
-    parts = many.select("key", "content", "id", "sketch").mapInArrow(divided, "key long, content long, id long, sketch long")
-    second = cut(_sorted(parts).mapInArrow(met, _ROWS).select("key", "content").distinct(), "met")
+    parts = many.select("key", "content", "id", "sketch").mapInArrow(freed(divided), "key long, content long, id long, sketch long")
+    second = stored(_sorted(parts).mapInArrow(freed(met), _ROWS).select("key", "content").distinct(), "met")
     return first.where("not large").select("key", "content").unionByName(second)
 
 
 def _few(rows: DataFrame, lists: Column) -> bool:
-    """Whether ``rows`` (a table by now) and the ``lists`` in them hold BROADCAST_NUMBERS numbers at most."""
+    """Whether ``rows`` (cut or stored) and the ``lists`` in them hold BROADCAST_NUMBERS numbers at most."""
     rows_, items = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
     return 2 * rows_ + 4 * items <= BROADCAST_NUMBERS
 
@@ -299,7 +302,7 @@ def _shingle_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 new[:, 1:] = total[:, 1:] != total[:, :-1]
                 yield pa.RecordBatch.from_arrays([asked_.field("content"), _lists(total[new].view(np.int64), new.sum(1))], names=["content", "shingles"])
 
-    return rows.select("t", "asked").mapInArrow(run, "content long, shingles array<long>")
+    return rows.select("t", "asked").mapInArrow(freed(run), "content long, shingles array<long>")
 
 
 def _jaccard(a: Column, b: Column) -> Column:
@@ -320,8 +323,8 @@ def near_contents(members: DataFrame, keepers: DataFrame, docs: DataFrame, least
     if some.isEmpty():
         return some.select(F.col("content").alias("a"), F.col("content").alias("b"))
     asked = keepers.join(some.select("content").distinct(), "content").select("id", "pos", "content")
-    sets = cut(_shingle_sets(docs, asked).dropDuplicates(["content"]).join(asked.select("content", F.col("id").alias("lo")), "content"), "sets")
-    links = cut(_linked_in_small(some.where(F.col("n") <= LARGE).select("key", "content").join(sets, "content"), least), "links")
+    sets = stored(_shingle_sets(docs, asked).dropDuplicates(["content"]).join(asked.select("content", F.col("id").alias("lo")), "content"), "sets")
+    links = stored(_linked_in_small(some.where(F.col("n") <= LARGE).select("key", "content").join(sets, "content"), least), "links")
     large = cut(some.where(F.col("n") > LARGE).select("key", "content"))
     if large.isEmpty():
         return links
@@ -329,7 +332,7 @@ def near_contents(members: DataFrame, keepers: DataFrame, docs: DataFrame, least
     stars = large.withColumn("k", F.bitwise_not("key")).join(lead, "k").where("content <> a").select("a", F.col("content").alias("b")).distinct()
     stars = stars.join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("own")), "b").withColumn("k", F.bitwise_not("a"))
     stars = stars.join(sets.select(F.bitwise_not("content").alias("k"), F.col("shingles").alias("base")), "k").where(_jaccard(F.col("own"), F.col("base")) >= least)
-    links = cut(links.unionByName(stars.select("a", "b")), "links")
+    links = stored(links.unionByName(stars.select("a", "b")), "links")
     labelled = large.join(components(links).select(F.col("node").alias("content"), "component"), "content", "left")
     rest = cut(minhash._mixed(labelled.select("key", F.col("content").alias("id"), F.coalesce("component", "content").alias("label"))))
     held = sets.select(F.col("content").alias("id"), F.size("shingles").alias("n"), F.col("shingles").alias("shared"))
@@ -337,8 +340,8 @@ def near_contents(members: DataFrame, keepers: DataFrame, docs: DataFrame, least
     rows = cut(rest.join(held, "id").select("key", "id", "label", "n", F.explode("shared").alias("s")).withColumn("k", F.xxhash64("key", "s")))
     shared = rows.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.bitwise_not("k").alias("j"))
     able = rows.withColumn("j", F.bitwise_not("k")).join(shared, "j").groupBy("key", "id", "label").agg(F.count("*").alias("c"), F.min("n").alias("n"))
-    rest = cut(minhash._mixed(able.where(F.col("c") >= least * F.col("n")).select("key", "id", "label")), "rest")
-    return cut(links.unionByName(minhash.linked_in_blocks(rest, held, least)), "links")
+    rest = stored(minhash._mixed(able.where(F.col("c") >= least * F.col("n")).select("key", "id", "label")), "rest")
+    return stored(links.unionByName(minhash.linked_in_blocks(rest, held, least)), "links")
 
 
 def _linked_in_small(rows: DataFrame, least: float) -> DataFrame:
@@ -399,7 +402,7 @@ def _linked_in_small(rows: DataFrame, least: float) -> DataFrame:
             yield linked(wait)
 
     rows = rows.select("key", "content", "shingles", "lo").repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(freed(run), "a long, b long").distinct()
 
 
 def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
@@ -421,7 +424,7 @@ def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
                 columns = pa.array(ids[lo + row]), asked.field("at"), asked.field("side"), _lists(context[inside], inside.sum(1))
                 yield pa.RecordBatch.from_arrays(list(columns), names=["id", "at", "side", "context"])
 
-    return rows.select("id", "t", "asked").mapInArrow(run, "id long, at int, side int, context array<long>")
+    return rows.select("id", "t", "asked").mapInArrow(freed(run), "id long, at int, side int, context array<long>")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -437,7 +440,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("id is not null")
     flat = cut_paragraphs(docs)
-    members = cut(shared_bands(docs), "members")
+    members = stored(shared_bands(docs), "members")
     alike = members.select("content").distinct().withColumn("alike", F.lit(True))
     # only contents that several documents have, or that share a band, go on
     classes = flat.groupBy("content").agg(F.min(F.struct("id", "pos")).alias("keeper"), F.max("id").alias("hi")).join(alike, "content", "left")

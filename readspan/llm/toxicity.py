@@ -11,13 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readspan.llm.common import mix, seeded
+from readspan.llm.common import freed, mix, seeded
 
 _WORD = re.compile(r"\w+")
 #: Words whose sums a task remembers before it starts anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Characters of text that are scored, and words that are cut into n-grams at a time.
-CHUNK_CHARS, CHUNK_WORDS = 1_000_000, 20_000
+CHUNK_CHARS, CHUNK_WORDS = 500_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
         model = train(got["t"].tolist(), got["y"].to_numpy(), settings)
         yield pd.DataFrame({"logits": [model.bucket_logit.tobytes()], "bias": [model.bias]})
 
-    made = sample.mapInPandas(run, "logits binary, bias double").first()
+    made = sample.mapInPandas(freed(run), "logits binary, bias double").first()
     if made is None:  # an empty sample
         return train([], np.zeros(0, np.int64), settings)
     return Model(settings, np.frombuffer(made["logits"], np.float64), made["bias"])
@@ -256,7 +256,10 @@ def score_of(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
         for texts in batches:
             yield pd.Series(shared.value.score(("" if t is None else t for t in texts), memo))
 
-    return F.pandas_udf(run, "double")(F.col(text_col))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return freed(run)(batches)
+
+    return F.pandas_udf(score, "double")(F.col(text_col))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
