@@ -118,3 +118,69 @@ def sunday_week(day: Column) -> tuple[Column, Column]:
     year = F.year(F.date_add(first, 3))
     january = F.make_date(year, F.lit(1), F.lit(4))
     return year, intdiv(F.datediff(first, start(january)), 7).cast("int") + 1
+
+
+# ---------------------------------------------------------------- figures of a sitting and a book
+
+# Fixed value: per cent from which a book counts as read through.
+READ_THROUGH = 99.5
+
+
+def share_of(start: Column, end: Column, extent: Column) -> Column:
+    """The part of a book that a page's own span covers; nothing where a place or the extent isn't stated."""
+    sized = F.coalesce((extent > 0) & (start >= 0) & (end >= 0), F.lit(False))
+    return F.when(sized, F.try_divide(F.abs(end - start).cast("double"), extent)).otherwise(0.0)
+
+
+def reaches(measured: Column, counted: Column) -> Column:
+    return (measured > 0) & (measured >= counted)
+
+
+def by_pages(counted: Column, timed: Column, paged: Column, timed_seconds: Column, paged_seconds: Column, seconds: Column) -> Column:
+    """``timed`` or ``paged``, the first whose seconds reach the counted ones, else ``counted``."""
+    return F.when(reaches(timed_seconds, seconds), timed).when(reaches(paged_seconds, seconds), paged).otherwise(counted)
+
+
+def sitting_seconds(app: bool) -> Column:
+    """The seconds of a row of ``streaming.sittings``: what the device counted, or, for ``app``, what its pages state."""
+    seconds, timed, paged = F.col("seconds"), F.col("timed_seconds"), F.col("paged_seconds")
+    return by_pages(seconds, timed, paged, timed, paged, seconds) if app else seconds
+
+
+def sitting_words(app: bool) -> Column:
+    """The words beside ``sitting_seconds``, at least the counted ones."""
+    words = F.col("words")
+    if not app:
+        return words
+    return by_pages(words, F.greatest("timed_words", words), F.greatest("paged_words", words), F.col("timed_seconds"), F.col("paged_seconds"), F.col("seconds"))
+
+
+def time_left(finished: Column, percent: Column, read: Column, covered: Column, stated: Column | None = None) -> Column:
+    """Seconds left of a book: none if finished, what the device stated, else its rate over the share covered times the share ahead, truncated."""
+    projects = (percent >= 0.5) & (percent < READ_THROUGH) & (covered > 0) & (read > 0)
+    projected = F.when(projects, F.try_divide(read * ((100.0 - percent) / 100.0), covered).cast("long"))
+    return F.when(finished, F.lit(0).cast("long")).otherwise(projected if stated is None else F.coalesce(stated, projected))
+
+
+def words_a_minute(words: Column, seconds: Column, stated: Column | None = None) -> Column:
+    """The stated rate, else words over seconds; null without both."""
+    rate = F.when((words > 0) & (seconds > 0), intdiv(words * 60, F.greatest(seconds, F.lit(1))))
+    return rate if stated is None else F.coalesce(stated, rate)
+
+
+def times_finished(restarted_on: Column, finished: Column) -> Column:
+    """Readings that were banked, and the one that stands."""
+    return (F.coalesce(F.size(restarted_on), F.lit(0)) + F.coalesce(finished, F.lit(False)).cast("int")).cast("long")
+
+
+def read_through(percent: Column) -> Column:
+    return F.coalesce(percent >= READ_THROUGH, F.lit(False))
+
+
+def can_restart(percent: Column, finished: Column) -> Column:
+    return F.coalesce(finished | (whole_percent(percent) > 0), F.lit(False))
+
+
+def through(start: Column, extent: Column) -> Column:
+    """Where in a book a place is, 0 to 1; null if either isn't stated."""
+    return F.when((start >= 0) & (extent > 0), F.try_divide(start.cast("double"), extent))

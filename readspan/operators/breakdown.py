@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readspan.functions.scores import even_part
 from readspan.functions.text import folded
+from readspan.operators.lineage import pinned
 
 
 def ranked(items: DataFrame, item: str, values: str, seconds: str) -> DataFrame:
@@ -28,20 +29,68 @@ def even_split(items: DataFrame, item: str, values: str, seconds: str) -> DataFr
     return parts.groupBy("value").agg(F.sum(even_part(F.col(seconds), F.col("k"), F.col("at"))).alias("seconds"))
 
 
-def alias_classes(links: DataFrame, a: str, b: str, rounds: int = 20) -> DataFrame:
-    """``(name, class)``: names joined by links, directly or through others; folded equal names are one.
+def alias_classes(links: DataFrame, a: str, b: str) -> DataFrame:
+    """``(name, class)``: names joined by links, directly or through others; folded equal names are one, the least names the class.
 
-    Every round each name takes the smallest label of its neighbours; it ends when none changes. Links are the
-    hand-made alias table, small beside the facts.
+    Every round each name takes the smallest class of its neighbours and then its class's class, so that a chain of any
+    length is joined in rounds of about its length's logarithm; it ends when nothing changes. Rounds are checkpointed
+    where the session has a checkpoint folder. Links are the hand-made alias table, small beside the facts.
     """
     pairs = links.select(folded(F.col(a)).alias("a"), folded(F.col(b)).alias("b"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
-    labels = both.select(F.col("a").alias("name")).distinct().withColumn("class", F.col("name"))
-    for _ in range(rounds):
+    both = pinned(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = pinned(both.select(F.col("a").alias("name")).distinct().withColumn("class", F.col("name")))
+    while True:
         near = both.join(labels.select(F.col("name").alias("b"), "class"), "b").groupBy(F.col("a").alias("name")).agg(F.min("class").alias("c"))
-        step = labels.join(near, "name", "left").select("name", F.least("class", "c").alias("class"), (F.col("c") < F.col("class")).alias("moved")).cache()
-        moved = step.where("moved").limit(1).count()
+        hooked = pinned(labels.join(near, "name", "left").select("name", F.col("class").alias("was"), F.least("class", "c").alias("class")))
+        up = hooked.select(F.col("name").alias("class"), F.col("class").alias("up"))
+        step = pinned(hooked.join(up, "class", "left").select("name", F.least("class", "up").alias("class"), "was"))
         labels = step.select("name", "class")
-        if not moved:
-            break
-    return labels
+        if step.where("class <> was").isEmpty():
+            return labels
+
+
+def value_names(links: DataFrame, held: DataFrame) -> DataFrame:
+    """``(field, type, name, class, shown, n_books)``: every name that is held or linked, the value it belongs to and how that is shown.
+
+    ``links`` (field, type, first, names, edited): the latest row of a field, type and first name joins its names; one
+    whose names are null parts them again. ``held`` (book, field, type, name) are the values of books. Names are one by
+    folding too. A value is shown by the name that most books hold, the least of equals.
+    """
+    w = Window.partitionBy("field", "type", folded(F.col("first"))).orderBy(F.desc("edited"), F.col("names").cast("string"))
+    live = links.withColumn("__n", F.row_number().over(w)).where("__n = 1 and names is not null")
+    key = lambda c: F.concat_ws("\u0001", "field", F.coalesce("type", F.lit("")), folded(c))
+    joined = live.select("field", "type", "first", F.explode("names").alias("other"))
+    edges = joined.select(key(F.col("first")).alias("a"), key(F.col("other")).alias("b"))
+    own = held.select(key(F.col("name")).alias("a")).withColumn("b", F.col("a"))
+    classes = alias_classes(edges.unionByName(own), "a", "b").withColumnRenamed("name", "__k")
+    counts = held.groupBy("field", "type", "name").agg(F.countDistinct("book").alias("n_books"))
+    said = joined.select("field", "type", F.explode(F.array("first", "other")).alias("name")).distinct().join(counts, ["field", "type", "name"], "left_anti").withColumn("n_books", F.lit(0).cast("long"))
+    names = counts.unionByName(said).withColumn("__k", folded(key(F.col("name")))).join(classes, "__k", "left").drop("__k")
+    best = Window.partitionBy("field", "type", "class").orderBy(F.desc("n_books"), "name")
+    return names.withColumn("shown", F.first("name").over(best))
+
+
+def ranked_by_field(read: DataFrame, held: DataFrame, names: DataFrame) -> DataFrame:
+    """``(field, type, value, seconds, n_books, first_book, place)``: bars of every field and tag type, most seconds first, then by name.
+
+    ``read`` (book, seconds): a book counts once for a value however many of its names it holds, and books that hold no
+    value of a field are the null bar of that field. Books without seconds are left out.
+    """
+    books = read.where("seconds > 0")
+    shown = held.join(names.select("field", "type", "name", "shown"), ["field", "type", "name"]).select("book", "field", "type", F.col("shown").alias("value")).distinct()
+    fields = held.select("field", "type").distinct()
+    every = books.join(F.broadcast(fields), F.lit(True))  # a book's fields: a handful a book
+    rows = every.join(shown, ["book", "field", "type"], "left")
+    bars = rows.groupBy("field", "type", "value").agg(F.sum("seconds").alias("seconds"), F.countDistinct("book").alias("n_books"), F.min("book").alias("first_book"))
+    order = Window.partitionBy("field", "type").orderBy(F.desc("seconds"), F.col("value").asc_nulls_last())
+    return bars.withColumn("place", F.row_number().over(order))
+
+
+def monthly_split(read: DataFrame, held: DataFrame) -> DataFrame:
+    """``(month, value, seconds)``: a book's seconds of each month in whole parts over its distinct values (book, value), in their order.
+
+    ``read``: book, month, seconds. The first parts take what is left over.
+    """
+    values = held.groupBy("book").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("no", "value"))), lambda x: x["value"])).alias("v"))
+    rows = read.join(values, "book").select("month", "seconds", F.size("v").alias("k"), F.posexplode("v").alias("at", "value"))
+    return rows.groupBy("month", "value").agg(F.sum(even_part(F.col("seconds"), F.col("k"), F.col("at"))).alias("seconds"))

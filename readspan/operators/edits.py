@@ -50,3 +50,34 @@ def rename_value(rows: DataFrame, array: str, old: str, new: str) -> DataFrame:
 def edit_stamp(held: Column, now: Column) -> Column:
     """A stamp later than what is held, whatever the clock says."""
     return F.greatest(now, held + F.expr("interval 1 second"))
+
+
+def take_mark(books: DataFrame, marks: DataFrame, key: str = "cde_key") -> DataFrame:
+    """``books`` (read_state, finished, percent) with the states that the catalogue has now (``marks``: key, read_state).
+
+    A state speaks when it changes: read finishes a book, unread takes that back unless its progress says read through; a
+    state that says neither only is remembered.
+    """
+    from readspan.sources.catalog import says_read
+
+    rows = books.join(marks.select(key, F.col("read_state").alias("__s")), key, "left")
+    says = F.when(F.col("__s").isNotNull() & ~F.equal_null("__s", "read_state"), says_read(F.col("__s")))
+    through = F.coalesce(F.col("percent") >= 99.5, F.lit(False))
+    finished = F.when(says, True).when(~says, through).otherwise(F.col("finished"))
+    return rows.withColumns({"finished": finished, "read_state": F.coalesce("__s", "read_state")}).select(books.columns)
+
+
+def stronger(held: DataFrame, other: DataFrame, keys: list[str], most: list[str], either: list[str]) -> DataFrame:
+    """Two records' books as one: the greater of ``most`` columns, the or of ``either``, and what is held, else the other's, of the rest."""
+    columns = [c for c in held.columns if c not in keys]
+    both = held.select(*keys, F.struct(*columns).alias("h")).join(other.select(*keys, F.struct(*columns).alias("o")), keys, "full")
+
+    def one(c: str) -> Column:
+        h, o = F.col(f"h.{c}"), F.col(f"o.{c}")
+        if c in most:
+            return F.greatest(h, o).alias(c)
+        if c in either:
+            return (F.coalesce(h, F.lit(False)) | F.coalesce(o, F.lit(False))).alias(c)
+        return F.when(h.isNull() | (h.cast("string") == ""), F.coalesce(o, h)).otherwise(h).alias(c)
+
+    return both.select(*keys, *(one(c) for c in columns))

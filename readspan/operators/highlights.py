@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readspan.functions.text import normalised
+from readspan.functions.scores import intdiv
+from readspan.functions.text import bounded, normalised
+from readspan.operators.lineage import pinned
+from readspan.operators.matching import only_once, pair_in_order
+from readspan.sources.catalog import stem_of
+
+#: Characters in a row over which words meet.
+GRAM = 12
+# Kinds that are the reader's own words, and kinds that span a passage.
+OWN, PASSAGES = ("note", "sticky_note"), ("highlight", "note", "underline", "circle", "asterisk")
+COLUMNS = ("extent", "title", "kind", "at", "state", "start", "end", "location", "page", "colour", "body")
 
 
 def settle_exact(rows: DataFrame, book: str, start: str, end: str, at: str, *ties: Column) -> DataFrame:
@@ -14,17 +25,29 @@ def settle_exact(rows: DataFrame, book: str, start: str, end: str, at: str, *tie
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def settle_words(rows: DataFrame, group: list[str], id_col: str, body: str, at: str) -> DataFrame:
-    """Rows whose words no later row of the group holds as its own words or within them.
+def settle_words(rows: DataFrame, group: list[str], id_col: str, body: str, at: str, whole_words: bool = False) -> DataFrame:
+    """Rows whose words no later row of the group holds as its own words or within them, from the middle of a word too.
+
+    With ``whole_words`` the holding row must also have the held one's first word as a word of its own.
 
-    Rows meet over their first word wherever the other row has it, not in all pairs: a row that is held by
-    another begins with a word of that one. Equal words keep the latest row.
+    Words meet over GRAM characters in a row: of a row's own grams the one of the smallest hash, which any row that
+    holds its words has too, so that common beginnings bring no rows together. Only ids and hashes are joined; words
+    are fetched for the pairs that met. Rows under GRAM characters meet the longer ones of their group over a gram of
+    their own length. Equal words keep the latest row.
     """
-    clean = rows.withColumn("__b", normalised(F.col(body)))
-    short = clean.select(*group, F.col(id_col).alias("__i"), F.col(at).alias("__at"), F.col("__b").alias("__s"), F.substring_index("__b", " ", 1).alias("__w"))
-    long = clean.select(*group, F.col(id_col).alias("__j"), F.col(at).alias("__at2"), F.col("__b").alias("__l"), F.explode(F.array_distinct(F.split("__b", " "))).alias("__w"))
+    clean = rows.select(*group, F.col(id_col).alias("__i"), F.col(at).alias("__at"), normalised(F.col(body)).alias("__b")).where("__b <> ''")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("__b") - n + 1), lambda i: F.xxhash64(F.substr(F.col("__b"), i, n)))
+    size = F.least(F.length("__b"), F.lit(GRAM))
+    short = clean.select(*group, "__i", "__at", size.alias("__n"), F.array_min(grams(size)).alias("__g"))
+    sizes = short.groupBy(*group).agg(F.collect_set("__n").alias("__ns"))  # GRAM numbers at most
+    long = clean.join(sizes, group).select(*group, "__b", F.col("__i").alias("__j"), F.col("__at").alias("__at2"), F.explode("__ns").alias("__n")).where(F.col("__n") <= F.length("__b"))
+    long = long.select(*group, "__j", "__at2", "__n", F.explode(F.array_distinct(grams(F.col("__n")))).alias("__g"))
     later = (F.col("__at2") > F.col("__at")) | ((F.col("__at2") == F.col("__at")) & (F.col("__j") > F.col("__i")))
-    held = short.join(long, [*group, "__w"]).where((F.col("__i") != F.col("__j")) & later & F.col("__l").contains(F.col("__s")) & (F.col("__s") != ""))
+    met = short.join(long, [*group, "__n", "__g"]).where((F.col("__i") != F.col("__j")) & later).select("__i", "__j").distinct()
+    words = clean.select("__i", F.col("__b").alias("__s"))
+    held = met.join(words, "__i").join(words.select(F.col("__i").alias("__j"), F.col("__s").alias("__l")), "__j").where(F.col("__l").contains(F.col("__s")))
+    if whole_words:
+        held = held.where(F.array_contains(F.split("__l", " "), F.substring_index("__s", " ", 1)))
     return rows.join(held.select(F.col("__i").alias(id_col)).distinct(), id_col, "left_anti")
 
 
@@ -50,3 +73,208 @@ def journal(rows: DataFrame, at: str, book: str, *ties: str) -> DataFrame:
     newest = F.max(at).over(Window.partitionBy(book))
     by_day = Window.partitionBy(F.to_date(at)).orderBy(F.col(at).desc(), *ties)
     return rows.withColumns({"newest": newest, "day_place": F.row_number().over(by_day).cast("long")})
+
+
+# ---------------------------------------------------------------- clippings and annotations as one
+
+
+def identity(rows: DataFrame) -> Column:
+    """What names a highlight across passes: what a clipping states, and the place only where no clipping placed it."""
+    return F.struct("at", "kind", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("location", F.lit(-1)).alias("location"), F.when(F.coalesce("location", F.lit(-1)) < 0, F.coalesce("start", F.lit(-1))).otherwise(-1).alias("start"))
+
+
+def claimed(candidates: DataFrame) -> DataFrame:
+    """One-to-one pairs ``(clip_id, ann_id, rank)`` of ``candidates`` (with ``same``: of one book).
+
+    A clipping takes the best rank at which one annotation is left, or one of its own book; an annotation that several
+    take goes to the first by rank and id, and the others look again at what is left, until nothing is taken any more.
+    """
+    left, out = pinned(candidates), None
+    while True:
+        n = F.count("*").over(Window.partitionBy("clip_id", "rank"))
+        fits = left.withColumn("__n", n).where((F.col("__n") == 1) | F.col("same"))
+        first = fits.withColumn("__c", F.row_number().over(Window.partitionBy("clip_id").orderBy("rank", "ann_id"))).where("__c = 1")
+        taken = first.withColumn("__a", F.row_number().over(Window.partitionBy("ann_id").orderBy("rank", "clip_id"))).where("__a = 1").select("clip_id", "ann_id", "rank")
+        taken = pinned(taken)
+        if taken.isEmpty():
+            return out if out is not None else taken
+        out = taken if out is None else out.unionByName(taken)
+        left = pinned(left.join(taken.select("clip_id"), "clip_id", "left_anti").join(taken.select("ann_id"), "ann_id", "left_anti"))
+
+
+def merged(clippings: DataFrame, annotations: DataFrame, rosters: DataFrame, books: DataFrame, offsets: DataFrame) -> DataFrame:
+    """The highlights that clippings (clip_id, title, kind, at, start, page, body) and annotations (ann_id, file, kind, start, end, created, colour, body) state.
+
+    A clipping and an annotation of a kind are one if the annotation's second plus one of the ``offsets`` (offset_s, rank;
+    a handful) is the clipping's; what is left of a book and kind pairs in order if both sides have as many. Such a row
+    is ``live`` with the annotation's place and colour. A clipping without an annotation is ``retired`` if its book's
+    roster is trusted, else ``unconfirmed``. An annotation without a clipping is live and wordless. Columns: COLUMNS.
+    """
+    own = books.select("extent", "title", "location")
+    by_title = only_once(own.select(normalised(F.coalesce("title", F.lit(""))).alias("__t"), F.col("extent").alias("named")), ["__t"])
+    stems = own.where(F.coalesce("location", F.lit("")) != "").select(stem_of(F.col("location")).alias("file"), F.struct("location", "extent", "title").alias("__s")).groupBy("file").agg(F.min("__s").alias("__s"))
+    clips = pinned(clippings.withColumn("__t", F.when(F.col("title") != "", normalised(F.col("title")))).join(by_title, "__t", "left").drop("__t"))
+    notes = annotations.join(stems, "file", "left").select(annotations["*"], F.col("__s.extent").alias("of"), F.col("__s.title").alias("of_title"), intdiv(F.col("created") - F.pmod("created", F.lit(1000)), 1000).alias("second"))
+    wall = F.unix_seconds(F.col("at").cast("timestamp"))
+    notes = pinned(notes)
+    timed = notes.crossJoin(F.broadcast(offsets)).select("ann_id", "kind", "of", "rank", (F.col("second") + F.col("offset_s")).alias("wall"))  # a handful of offsets
+    met = clips.where("at is not null").select("clip_id", "kind", "named", wall.alias("wall")).join(timed, ["kind", "wall"])
+    pairs = claimed(met.select("clip_id", "ann_id", "rank", F.coalesce(F.col("named") == F.col("of"), F.lit(False)).alias("same"))).select("clip_id", "ann_id")
+    rest_c = clips.join(pairs, "clip_id", "left_anti").where("named is not null").select("clip_id", F.col("named").alias("of"), "kind", F.struct(F.col("start").isNull(), "start", "at", "clip_id").alias("c_order"))
+    rest_a = notes.join(pairs, "ann_id", "left_anti").where("of is not null").select("ann_id", "of", "kind", F.struct(F.col("start").isNull(), "start", "created", "ann_id").alias("a_order"))
+    pairs = pinned(pairs.unionByName(pair_in_order(rest_a, rest_c, ["of", "kind"], "a_order", "c_order").select("clip_id", "ann_id")))
+    a = notes.select("ann_id", F.struct("start", "end", "colour", "body", "of").alias("a"))
+    trusted = rosters.where("trusted").join(stems, "file").select(F.col("__s.extent").alias("named"), F.lit(True).alias("trusted")).distinct()
+    both = clips.join(pairs, "clip_id", "left").join(a, "ann_id", "left").join(trusted, "named", "left")
+    state = F.when(F.col("a").isNotNull(), "live").when(F.col("trusted"), "retired").otherwise("unconfirmed")
+    spoken = both.select(
+        F.coalesce("a.of", "named", F.lit(0)).cast("long").alias("extent"), "title", "kind", "at", state.alias("state"), F.col("a.start").alias("start"), F.col("a.end").alias("end"),
+        F.col("start").alias("location"), "page", F.coalesce("a.colour", F.lit("")).alias("colour"), F.coalesce(F.nullif("a.body", F.lit("")), "body").alias("body"),
+    )
+    best = offsets.orderBy("rank").limit(1).select(F.col("offset_s").alias("__o"))
+    alone = notes.join(pairs.select("ann_id"), "ann_id", "left_anti").join(F.broadcast(best), F.lit(True), "left")  # one row
+    wordless = alone.select(
+        F.coalesce("of", F.lit(0)).cast("long").alias("extent"), F.coalesce("of_title", "file").alias("title"), "kind", F.timestamp_seconds(F.col("second") + F.coalesce("__o", F.lit(0))).cast("timestamp_ntz").alias("at"),
+        F.lit("live").alias("state"), "start", "end", F.lit(None).cast("long").alias("location"), F.lit("").alias("page"), "colour", "body",
+    )
+    return spoken.unionByName(wordless)
+
+
+def _words_hold(a: str, b: str) -> bool:
+    return bool(a) and bool(b) and (a in b or b in a)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` (COLUMNS) with each highlight once: live rows by their place, others by words that hold each other.
+
+    The earliest row stays and takes the words of later ones, unless it is a live note, whose words the device states. A
+    row that isn't live goes if a live one of its title and kind holds its words. A title's rows of a kind, which one
+    reader made, are worked through in order in one group; words other than the reader's own are cut after.
+    """
+    order = ["at", "title", "kind", "start"]
+    rows = rows.withColumns({"__t": normalised(F.coalesce("title", F.lit(""))), "__id": F.monotonically_increasing_id()})
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values([*order, "__id"], na_position="first").reset_index(drop=True)
+        bodies, is_live, kind = group["body"].fillna("").tolist(), (group["state"] == "live").tolist(), group["kind"].tolist()
+        places = list(zip(group["extent"], group["start"], group["end"], strict=True))
+        standing: list[int] = []
+        placed: dict[tuple, int] = {}
+        for i in range(len(bodies)):
+            if is_live[i]:
+                held = placed.get(places[i]) if pd.notna(places[i][1]) else None
+            else:
+                held = next((j for j in standing if _words_hold(bodies[j], bodies[i])), None)
+            if held is None:
+                standing.append(i)
+                if is_live[i]:
+                    placed.setdefault(places[i], i)
+            elif bodies[i] and not (is_live[held] and kind[held] == "note"):
+                bodies[held] = bodies[i]
+        kept = [i for i in standing if is_live[i] or not bodies[i] or not any(is_live[j] and _words_hold(bodies[j], bodies[i]) for j in standing)]
+        return group.assign(body=bodies).iloc[kept]
+
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+    out = rows.groupBy("__t", "kind").applyInPandas(settle, kinds)
+    # the same place under two spellings of a title
+    place = Window.partitionBy("state", "extent", "kind", "start", "end").orderBy(*order, "__id")
+    words = F.last(F.nullif("body", F.lit("")), True).over(place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    alone = (F.col("state") != "live") | F.col("start").isNull()
+    once = out.withColumns({"__n": F.when(alone, 1).otherwise(F.row_number().over(place)), "__w": F.when(alone | (F.col("kind") == "note"), F.col("body")).otherwise(F.coalesce(words, "body"))}).where("__n = 1")
+    once = once.withColumn("body", F.col("__w"))
+    return once.withColumn("body", F.when(F.col("kind").isin(*OWN), F.col("body")).otherwise(bounded(F.col("body")))).select(*COLUMNS)
+
+
+def spoken_for(rows: DataFrame, spoken: DataFrame) -> DataFrame:
+    """``rows`` with ``spoke``: whether a trusted roster spoke for their book; ``spoken`` has extent (0 if none) and title."""
+    by_extent = spoken.where("extent <> 0").select("extent", F.lit(True).alias("__x")).distinct()
+    by_title = spoken.select(normalised(F.col("title")).alias("__t"), F.lit(True).alias("__y")).distinct()
+    out = rows.withColumn("__t", normalised(F.coalesce("title", F.lit("")))).join(by_extent, "extent", "left").join(by_title, "__t", "left")
+    return out.withColumn("spoke", F.coalesce(F.when(F.coalesce("extent", F.lit(0)) != 0, F.col("__x")).otherwise(F.col("__y")), F.lit(False))).drop("__t", "__x", "__y")
+
+
+def _filled(c: str, placed: Column) -> Column:
+    """A column of a fresh row ``f`` with what it lacks from the held row ``h``; ``placed`` if only their places met."""
+    f, h = F.col(f"f.{c}"), F.col(f"h.{c}")
+    blank = f.isNull() | (f.cast("string") == "")
+    if c in ("start", "end"):
+        return F.when(F.col("f.start").isNull(), h).otherwise(f)
+    if c in ("colour", "page"):
+        return F.when(blank, F.coalesce(h, f)).otherwise(f)
+    if c == "extent":
+        return F.when(F.coalesce(f, F.lit(0)) == 0, F.coalesce(h, f)).otherwise(f)
+    if c == "state":
+        return F.when(f == "unconfirmed", F.coalesce(h, f)).otherwise(f)
+    if c in ("at", "title", "location"):
+        return F.when(placed & F.col("f.location").isNull() & F.col("h.location").isNotNull(), h).otherwise(f)
+    return F.when(placed & blank, F.coalesce(h, f)).otherwise(f)
+
+
+def over(held: DataFrame, fresh: DataFrame, spoken: DataFrame) -> DataFrame:
+    """One pass's rows over those held (COLUMNS).
+
+    A fresh row takes what it lacks from the held row of its identity, else of its place, else the only one made in its
+    second where a clipping placed that. In a book that no trusted roster spoke for, a live held row stands against a
+    fresh one of its identity, a fresh row whose words a held one of its book and kind holds is left out, and held rows
+    that none replaced stay; in other books the pass's rows replace what was held.
+    """
+    h = spoken_for(held, spoken).withColumn("hid", F.monotonically_increasing_id())
+    h = pinned(h.select("hid", F.struct(*COLUMNS).alias("h"), identity(h).alias("__id"), "spoke", *COLUMNS))
+    f = spoken_for(fresh, spoken).withColumn("fid", F.monotonically_increasing_id())
+    f = pinned(f.select("fid", F.struct(*COLUMNS).alias("f"), identity(f).alias("__id"), "spoke", *COLUMNS))
+    first = lambda rows, keys, name: rows.groupBy(*keys).agg(F.min("hid").alias(name))
+    f = f.join(first(h, ["__id"], "h1"), "__id", "left")
+    place = ["extent", "kind", "start", "end"]
+    f = f.join(first(h.where("start is not null"), place, "h2"), place, "left")
+    stamped = only_once(h.where("location is not null").select("at", "kind", F.col("hid").alias("h3")), ["at", "kind"])
+    unplaced = F.count_if(F.col("location").isNull()).over(Window.partitionBy("at", "kind"))
+    f = f.withColumn("__u", unplaced).join(stamped, ["at", "kind"], "left")
+    other = F.coalesce("h2", F.when(F.col("location").isNull() & (F.col("__u") == 1), F.col("h3")))
+    f = f.withColumns({"hid": F.coalesce("h1", other), "placed": F.col("h1").isNull()})
+    f = pinned(f.join(h.select("hid", "h"), "hid", "left"))
+    stands = F.col("h1").isNotNull() & ~F.col("spoke") & (F.col("h.state") == "live")
+    lost = f.where(F.col("hid").isNull() & ~F.col("spoke") & (F.coalesce("body", F.lit("")) != ""))
+    book = lambda e, t: F.when(F.coalesce(e, F.lit(0)) == 0, normalised(F.coalesce(t, F.lit("")))).otherwise("")
+    theirs = h.select(F.coalesce("extent", F.lit(0)).alias("__e"), book(F.col("extent"), F.col("title")).alias("__t"), "kind", F.col("body").alias("__b")).where("__b <> ''")
+    held_words = lost.select("fid", F.coalesce("extent", F.lit(0)).alias("__e"), book(F.col("extent"), F.col("title")).alias("__t"), "kind", "body").join(theirs, ["__e", "__t", "kind"])
+    held_words = held_words.where(F.col("__b").contains(F.col("body")) | F.col("body").contains(F.col("__b"))).select("fid").distinct()
+    taken = f.where(~F.coalesce(stands, F.lit(False))).join(held_words, "fid", "left_anti")
+    new = pinned(taken.select("hid", *(F.when(F.col("hid").isNull(), F.col(f"f.{c}")).otherwise(_filled(c, F.col("placed"))).alias(c) for c in COLUMNS)))
+    stay = h.where(~F.col("spoke")).join(new.where("hid is not null").select("hid").distinct(), "hid", "left_anti")
+    return new.select(*COLUMNS).unionByName(stay.select(*COLUMNS))
+
+
+def corrected(rows: DataFrame, corrections: DataFrame) -> DataFrame:
+    """``rows`` with the words that the reader set: the latest correction of a highlight holds while its words are those it was made of.
+
+    ``corrections``: at, kind, title, location, start, edited, was, text; a null text takes the correction back.
+    """
+    named = corrections.withColumns({"__id": identity(corrections)})
+    w = Window.partitionBy("__id").orderBy(F.desc("edited"), "text")
+    last = named.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("__id", F.col("was").alias("__was"), F.col("text").alias("__text"))
+    out = rows.withColumn("__id", identity(rows)).join(last, "__id", "left")
+    holds = F.col("__text").isNotNull() & (F.col("__was").isNull() | (F.col("__was") == F.col("body")))
+    return out.withColumn("body", F.when(holds, F.col("__text")).otherwise(F.col("body"))).drop("__id", "__was", "__text")
+
+
+def with_notes(rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """``rows`` and, of ``notes``, each that isn't deleted as a row of kind ``note``: at the range its passage has now, else had when it was written.
+
+    ``notes``: written, edited, extent, key, state, at, kind, title, location, start, from, to, words, text; those of no
+    passage have no range. ``own`` tells the reader's notes from the device's.
+    """
+    live = notes.where("state <> 'deleted'")
+    now = rows.withColumn("__id", identity(rows)).groupBy("__id").agg(F.min(F.struct("start", "end", "extent")).alias("__p"))
+    placed = live.withColumn("__id", F.when(F.col("kind") != "", identity(live))).join(now, "__id", "left")
+    ranged = lambda now_, then: F.coalesce(F.col(f"__p.{now_}"), F.col(then))
+    written = placed.select(
+        F.coalesce("__p.extent", "extent").alias("extent"), "title", F.lit("note").alias("kind"), F.col("written").alias("at"), F.lit("live").alias("state"), ranged("start", "from").alias("start"),
+        ranged("end", "to").alias("end"), F.lit(None).cast("long").alias("location"), F.lit("").alias("page"), F.lit("").alias("colour"), F.col("text").alias("body"), F.lit(True).alias("own"),
+    )
+    return rows.select(*COLUMNS, F.lit(False).alias("own")).unionByName(written)
+
+
+def counted(paired: DataFrame, group: list[str]) -> DataFrame:
+    """Passages and notes of rows (kind, n_notes) by ``group``: a note that stands alone counts as a note."""
+    note = F.col("kind") == "note"
+    return paired.groupBy(*group).agg(F.count_if(~note).alias("passages"), F.sum(F.col("n_notes") + note.cast("int")).cast("long").alias("notes"))

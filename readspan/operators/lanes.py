@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def lanes(days: DataFrame, week: str = "week", day: str = "day", book: str = "book", seconds: str = "seconds") -> DataFrame:
-    """``(week, book, first_day, last_day, lane)``: runs of days of a book, in the lowest lane that is free all the run.
+def lanes(days: DataFrame, week: str = "week", day: str = "day", book: str = "book", seconds: str = "seconds", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(*keys, week, book, first_day, last_day, lane)``: runs of days of a book, in the lowest lane that is free all the run.
 
-    Greedy by first day, then by most seconds; a week is a handful of rows and one task each.
+    Greedy by first day, then by most seconds; a week of a reader (``keys``, such as the device) is a handful of rows.
     """
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
@@ -27,8 +27,9 @@ def lanes(days: DataFrame, week: str = "week", day: str = "day", book: str = "bo
             if lane == len(busy):
                 busy.append([])
             busy[lane].append((lo, hi))
-            out.append((rows[week].iloc[0], b, lo, hi, lane))
-        return pd.DataFrame(out, columns=[week, book, "first_day", "last_day", "lane"])
+            out.append((*(rows[c].iloc[0] for c in (*keys, week)), b, lo, hi, lane))
+        return pd.DataFrame(out, columns=[*keys, week, book, "first_day", "last_day", "lane"])
 
     kinds = dict(days.dtypes)
-    return days.groupBy(week).applyInPandas(place, f"{week} {kinds[week]}, {book} {kinds[book]}, first_day date, last_day date, lane int")
+    columns = ", ".join(f"{c} {kinds[c]}" for c in (*keys, week, book))
+    return days.groupBy(*keys, week).applyInPandas(place, f"{columns}, first_day date, last_day date, lane int")

@@ -63,7 +63,7 @@ def settle_exact(spark: SparkSession, d: str) -> DataFrame:
 def settle_words(spark: SparkSession, d: str) -> DataFrame:
     """First sentences of documents, dropped where a later document of the language holds them in its own."""
     rows = table(spark, d, "documents").select("doc_id", "lang", F.substring_index("text", ".", 1).alias("body"))
-    return highlights.settle_words(rows, ["lang"], "doc_id", "body", "doc_id").select("doc_id")
+    return highlights.settle_words(rows, ["lang"], "doc_id", "body", "doc_id", whole_words=True).select("doc_id")
 
 
 def match_offsets(spark: SparkSession, d: str) -> DataFrame:

@@ -35,9 +35,6 @@ def rows(columns, data):
 def test_query(spark, sql, name):
     df = QUERIES[name](spark, DIR)
     got = rows(df.columns, map(tuple, df.collect()))
-    if name not in ORACLES:
-        assert df.columns and len(got) >= 0
-        return
     want = sql.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(df.columns)
