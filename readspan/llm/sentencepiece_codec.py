@@ -5,18 +5,24 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readspan.llm.common import freed
+
 _SPACE = "▁"
 _WORD = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
 #: Words that a Python worker remembers, and characters of new words that one index covers.
-MEMO_WORDS, INDEX_CHARS = 500_000, 200_000
+MEMO_WORDS, INDEX_CHARS = 200_000, 50_000
+#: Characters of text that are encoded at a time (one longer text by itself).
+BATCH_CHARS = 1_000_000
 #: Characters from which a word is merged by a heap of its own rather than with the others.
 LONG_WORD = 128
 _NONE = np.int32(2**31 - 1)
@@ -55,33 +61,55 @@ class Codec:
         self.piece_id = np.array(normal, np.int32)
         self.piece_chars = np.array([len(self.pieces[i]) for i in normal])
         scores = np.array([sp.get_score(i) for i in normal])
-        self.rank = (np.unique(-scores, return_inverse=True)[1]).astype(np.int32)
+        # single characters are merged from nothing; of other pieces rank and length name one, also where scores are equal
+        self.rank = (np.unique(np.where(self.piece_chars > 1, -scores, np.inf), return_inverse=True)[1]).astype(np.int32)
+        singles = self.piece_chars == 1
+        self.rank[singles] += np.arange(int(singles.sum()), dtype=np.int32)
+        names = self.rank.astype(np.int64) * (self.width + 1) + self.piece_chars
+        by = np.argsort(names)
+        self.names, self.named = names[by], self.piece_id[by].astype(np.int64)
+        if (self.names[1:] == self.names[:-1]).any():
+            raise ValueError("pieces of equal score and length; a rank doesn't name its piece")
         self.memo: dict[str, bytes] = {}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.encode() for i, p in enumerate(self.pieces)]
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First character of each word, and by character and length of a piece there its rank and id."""
-        data = np.frombuffer("".join(words).encode(), np.uint8)
-        at = np.flatnonzero((data & 0xC0) != 0x80)  # characters
+    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First character of each word, and by character and length of a piece there its rank.
+
+        A word of more than INDEX_CHARS characters is indexed in windows that overlap by the longest piece, so that the
+        suffixes that are sorted at a time don't depend on it; what is kept of it is one number a character and length.
+        """
         first = np.concatenate(([0], np.cumsum([len(w) for w in words])))
-        ends = np.append(at, len(data))[first[1:]]
-        end = np.repeat(ends, np.diff(first))
+        rank = np.full((int(first[-1]), self.width + 1), _NONE, np.int32)
+        if first[-1] <= 2 * INDEX_CHARS:
+            self._index("".join(words), first[1:], rank)
+            return first, rank
+        (word,) = words  # a long word comes by itself
+        for lo in range(0, len(word), INDEX_CHARS):
+            part = word[lo : lo + INDEX_CHARS + self.width]
+            found = np.full((len(part), self.width + 1), _NONE, np.int32)
+            self._index(part, np.array([len(part)]), found)
+            rank[lo : lo + INDEX_CHARS] = found[: min(INDEX_CHARS, len(part))]
+        return first, rank
+
+    def _index(self, text: str, word_ends: np.ndarray, rank: np.ndarray) -> None:
+        """Sort the suffixes of some words laid end to end, find every piece in them, and note its rank where it stands."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = np.flatnonzero((data & 0xC0) != 0x80)  # characters
+        ends = np.append(at, len(data))[word_ends]
+        end = np.repeat(ends, np.diff(np.concatenate(([0], word_ends))))
         place = at[:, None] + np.arange(self.depth)
         keys = np.where(place < end[:, None], data[np.minimum(place, max(len(data) - 1, 0))], 0).astype(np.uint8)
         suffixes = np.ascontiguousarray(keys).view(f"S{self.depth}").ravel()
-        array = np.argsort(suffixes)
-        ordered = suffixes[array]
+        order = np.argsort(suffixes)
+        ordered = suffixes[order]
         lo, hi = np.searchsorted(ordered, self.low, "left"), np.searchsorted(ordered, self.high, "right")
         count = hi - lo
         hit = np.repeat(np.arange(len(lo)), count)
-        where = array[np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
+        where = order[np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
         by = np.lexsort((self.piece_chars[hit], where))
         hit, where = hit[by], where[by]
-        rank = np.full((len(at), self.width + 1), _NONE, np.int32)
-        ids = np.full((len(at), self.width + 1), -1, np.int32)
         rank[where, self.piece_chars[hit]] = self.rank[hit]
-        ids[where, self.piece_chars[hit]] = self.piece_id[hit]
-        return first, rank, ids
 
     def relax(self, first: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the tokens of words that begin at ``first``: each round merges one pair in every word."""
@@ -125,17 +153,18 @@ class Codec:
         return start[by], length[by]
 
     def relax_long(self, lo: int, hi: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for one word, by a heap."""
+        """The same for one word, by a heap; a link or two and a length for each character."""
         n = hi - lo
-        length, prev, after = [1] * n, list(range(-1, n - 1)), [*range(1, n), -1]
+        length, prev, after = array("i", [1]) * n, array("i", range(-1, n - 1)), array("i", [*range(1, n), -1])
         heap: list[tuple[int, int, int]] = []
 
         def offer(i: int) -> None:
             if i >= 0 and (j := after[i]) >= 0 and (both := length[i] + length[j]) <= self.width and (r := int(rank[lo + i, both])) != _NONE:
                 heapq.heappush(heap, (r, i, both))
 
-        for i in range(n):
-            offer(i)
+        two = rank[lo : hi - 1, 2]
+        heap += zip(two[two != _NONE].tolist(), np.flatnonzero(two != _NONE).tolist(), repeat(2))
+        heapq.heapify(heap)
         while heap:
             _, i, both = heapq.heappop(heap)
             j = after[i]
@@ -146,8 +175,9 @@ class Codec:
                 prev[after[j]] = i
             offer(prev[i])
             offer(i)
-        start = np.flatnonzero(length)
-        return lo + start, np.array(length)[start]
+        lengths = np.frombuffer(length, np.int32).astype(np.int64)
+        start = np.flatnonzero(lengths)
+        return lo + start, lengths[start]
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words into the memo."""
@@ -157,14 +187,16 @@ class Codec:
             while hi < len(words) and (hi == lo or chars + len(words[hi]) <= INDEX_CHARS):
                 chars, hi = chars + len(words[hi]), hi + 1
             part = words[lo:hi]
-            first, rank, ids = self.edges(part)
+            first, rank = self.edges(part)
             if max(map(len, part)) < LONG_WORD:
                 start, length = self.relax(first, rank)
             else:
                 found = [self.relax_long(a, b, rank) if b - a >= LONG_WORD else self.relax(np.array([0, b - a]), rank[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 found = [(s + (0 if b - a >= LONG_WORD else a), x) for (s, x), a, b in zip(found, first[:-1], first[1:], strict=True)]
                 start, length = np.concatenate([s for s, _ in found]), np.concatenate([x for _, x in found])
-            token = ids[start, length]
+            name = rank[start, length].astype(np.int64) * (self.width + 1) + length
+            place = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
+            token = np.where(self.names[place] == name, self.named[place], -1)
             cuts = np.searchsorted(start, first)
             unknown = np.flatnonzero(token < 0)
             flat = token.astype("<u4").tobytes()
@@ -192,7 +224,11 @@ class Codec:
         for words in split:
             new.update(words)
         self.learn(sorted(new.difference(self.memo), key=len))
-        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
+        out = [b"".join(map(self.memo.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) >= LONG_WORD:  # seldom met again
+                self.memo.pop(w, None)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text: pieces and bytes in turn, space marks as spaces, without the one that encoding puts first."""
@@ -213,17 +249,18 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     (U+2581) inside a text decodes to a space, as with the model itself.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(model)
         for batch in batches:
-            numbers, texts = batch["id"].to_numpy(), batch["t"].tolist()
-            at = 0
+            texts, at = batch.column("t"), 0
             while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= 2_000_000):
-                    chars, end = chars + len(texts[end]), end + 1
-                ids = known.encode(texts[at:end])
-                yield pd.DataFrame({"id": numbers[at:end], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [known.decode(x) for x in ids]})
-                at = end
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(run, _OUT).withColumnRenamed("id", id_col)
+                part, chars = [], 0
+                while at + len(part) < len(texts) and (not part or chars <= BATCH_CHARS):
+                    part.append(texts[at + len(part)].as_py())
+                    chars += len(part[-1])
+                ids = known.encode(part)
+                columns = batch.column("id").slice(at, len(part)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([known.decode(x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns), names=["id", "n_tokens", "ids", "decoded"])
+                at += len(part)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(freed(run), _OUT).withColumnRenamed("id", id_col)

@@ -127,6 +127,36 @@ def test_codec_equals_the_library(model):
         assert codec.decode(ids) == codec.model.decode(want)
 
 
+def test_codec_on_words_of_any_length(model):
+    """A word without spaces is indexed in windows; its ids are the library's, and it isn't remembered."""
+    codec = sentencepiece_codec.Codec(model)
+    rng = np.random.default_rng(5)
+    texts = ["ab" * 130_000, "".join(map(chr, rng.choice([*range(97, 123), 0xE9, 0x4E2D], 120_000))), "x " + "z" * 60_001]
+    for text, ids, want in zip(texts, codec.encode(texts), codec.model.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want and codec.decode(ids) == text
+    assert max(map(len, codec.memo)) < sentencepiece_codec.LONG_WORD
+
+
+def test_codec_keeps_ids_beside_null_ones(spark, model):
+    rows = [(2**53 + 1, "a b"), (None, "c"), (7, None)]
+    got = {r.doc_id: (r.decoded, r.n_tokens) for r in sentencepiece_codec.encode_decode(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got.keys() == {2**53 + 1, None, 7} and got[2**53 + 1][0] == "a b" and got[7] == ("", 0)
+    assert sentencepiece_codec.encode_decode(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_sentencepiece_query(spark, model):
+    """The query's columns against the library, text by text."""
+    import zlib
+
+    codec = sentencepiece_codec.Codec(model)
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{FIXTURE}/documents.parquet").to_pylist()}
+    for r in queries.op6_sentencepiece(spark, FIXTURE).collect():
+        ids = codec.model.encode(texts[r.doc_id])
+        said = codec.model.decode(ids)
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (r.decoded_chars, r.decoded_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
 def test_codec_operator(spark, model):
     rows = [(1, "one two", "x"), (2, None, "x"), (2, "", None), (3, "one two", "x")]
     got = sorted((r.doc_id, r.n_tokens, r.decoded) for r in sentencepiece_codec.encode_decode(spark.createDataFrame(rows, "doc_id long, text string, ids string"), model).collect())
