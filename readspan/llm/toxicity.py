@@ -170,7 +170,7 @@ def fit_network(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
     A text is kept as its different words and a word as its buckets, so memory goes with the vocabulary.
     """
     labels = np.asarray(labels, dtype=np.int64)
-    share = (labels.sum() + 1) / (len(labels) + 2)
+    share = (labels.sum() + 1) / (len(labels) + 3)  # without any evidence nothing is toxic
     if not len(labels) or labels.min() == labels.max():
         return Model(s, np.zeros(s.buckets), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(s.seed)

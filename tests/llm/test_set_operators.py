@@ -334,6 +334,91 @@ def test_packing_of_documents(spark):
     assert lengths[1] == lengths[2] == [(0, 0, 1)] and sorted(lengths[3]) == [(0, 0, 4096), (1, 4096, 4096), (2, 8192, 1809)] and len(lengths[5]) == 2
 
 
+def test_packing_query(spark):
+    """The query's pieces against the tokenizer itself, and how many sequences it takes."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{FIXTURE}/documents.parquet").to_pylist()}
+    got = queries.op9_best_fit_packing(spark, FIXTURE).collect()
+    want, total = set(), 0
+    for i, text in texts.items():
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        total += len(ids)
+        want |= {(i, k, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096))}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    assert check_packed(got, 4096) <= -(-total // 4096) * 1.02 + 1
+
+
+def test_packing_edge_cases(spark):
+    rows = [(2**53 + 1, "one"), (None, "two"), (7, None)]
+    got = {r.doc_id for r in packing.pack_documents(frame(spark, rows), queries.tokenizer_path("word_bpe_49k.json")).collect()}
+    assert got == {2**53 + 1, None, 7}
+    pieces = spark.createDataFrame([(1, 0, 3, "x")], "id long, piece int, length long, `range` string")
+    assert packing.best_fit_pack(pieces, 8).first()["range"] == "x"
+    with pytest.raises(ValueError, match="offset"):
+        packing.best_fit_pack(pieces.withColumn("offset", F.lit(1)), 8)
+    with pytest.raises(ValueError, match="length 9"):
+        packing.best_fit_pack(pieces.withColumn("length", F.lit(9).cast("long")), 8)
+
+
+def test_sharding_query(spark):
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{FIXTURE}/documents.parquet").to_pylist()}
+    got = queries.op7_sharding(spark, FIXTURE).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in got} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode()), "rows", None) for i, t in texts.items()} and len(got) == len(texts)
+    counts = [sorted(r.slot for r in got if r.shard == s) for s in range(8)]
+    assert all(c == list(range(len(c))) for c in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1
+    # a uniform shuffle: neighbours by id aren't neighbours in a shard
+    order = {r.doc_id: (r.shard, r.slot) for r in got}
+    close = sum(order[i][0] == order[i + 1][0] and abs(order[i][1] - order[i + 1][1]) == 1 for i in order if i + 1 in order)
+    assert close < len(order) * 0.05
+
+
+def test_sharding_spreads_null_ids(spark):
+    rows = [(None, f"text {i}") for i in range(400)] + [(1, None), (1, None)]
+    got = sharding.shard_rows(frame(spark, rows), 8).collect()
+    assert len(got) == 402 and sorted(len([r for r in got if r.shard == s]) for s in range(8)) == [50] * 6 + [51] * 2
+
+
+def test_exact_dedup_of_null_ids(spark):
+    rows = [(2**53 + 1, "a"), (None, "a"), (None, "b"), (None, "b"), (3, "c")]
+    for keep in ("largest", "smallest"):
+        got = sorted((r.text_sha256, r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(frame(spark, rows), keep=keep).collect())
+        assert {(d, k, n, kept) for _, d, k, n, kept in got} == {(2**53 + 1, 2**53 + 1, 2, True), (0, 2**53 + 1, 2, False), (0, None, 2, True), (3, 3, 1, True)}
+
+
+def test_toxicity_score_columns(spark):
+    model = toxicity.train([], np.zeros(0, int), toxicity.Settings())
+    with pytest.raises(ValueError, match="score"):
+        toxicity.score(frame(spark, [(1, "a")]).withColumn("Score", F.lit(1)), model)
+    assert toxicity.score(frame(spark, [(1, "a")]), model, score_col="s2").first().s2 == pytest.approx(1 / 3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
+    rows = [(i, None if i % 7 == 0 else f"w{i % 2}") for i in range(40)] + [(1, "w1"), (3, "z" * 200_000), (None, "q")]
+    model = toxicity.fit(frame(spark, rows), labels, toxicity.Settings(least_docs=1))
+    assert all(0 <= r.score <= 1 for r in toxicity.score(frame(spark, rows), model).collect())
+
+
+def test_no_module_defines_a_name_twice():
+    import ast
+    import pathlib
+
+    for path in pathlib.Path("readspan").rglob("*.py"):
+        names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, ast.FunctionDef | ast.ClassDef)]
+        assert len(names) == len(set(names)), path
+
+
+def test_pipeline_without_documents(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = spark.createDataFrame([(900_001, None, None, None, None), (900_002, "", "", "", 0), (900_003, " one two ", "en", "s", 9), (900_004, " one two ", None, "s", 9)], empty.schema)
+    for docs, left in ((empty, 0), (odd, 2)):
+        for name, stage in corpus_pipeline.STAGES:
+            path = common.folder(spark, f"test-{name}")
+            stage(spark, docs, FIXTURE).write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert docs.count() == left
+
+
 def test_toxicity_finds_unseen_spellings(spark):
     rng = random.Random(6)
     plain = lambda n: " ".join("".join(rng.choice("aeioultnrs") for _ in range(5)) for _ in range(n))

@@ -177,6 +177,26 @@ def test_media_query_round_trip(spark):
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), media.describe(payload))
 
 
+def test_media_features_by_a_plain_count():
+    import math
+    import statistics
+
+    data = media.padded(bytes(range(256)) * 3 + b"aab")
+    p = [data.count(v) / len(data) for v in range(256)]
+    entropy = -sum(x * math.log2(x) for x in p if x)
+    want = f"mean={statistics.fmean(data):.4f};std={statistics.pstdev(data):.4f};entropy={entropy:.4f};high={sum(b > 127 for b in data) / len(data):.4f}"
+    assert media.describe(data) == want
+
+
+def test_media_edge_cases(spark):
+    rows = [(1, None, "x"), (1, "", "x"), (2, "text", "x"), (2, "text", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, media string").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    got = {r.n_bytes: r.payload_bytes for r in media.media_features(media.store_media(docs, "digest", "text")).collect()}
+    assert got == {0: 576, 4: 576}
+    empty = docs.limit(0)
+    assert media.media_features(media.store_media(empty, "digest", "text")).count() == 0
+
+
 def test_interleaved_items(spark):
     digest = hashlib.sha256(b"p").hexdigest()
     page = f"<p>before</p><figure><img src='digest:{digest}' alt=a><figcaption>the <b>cap</b>tion</figcaption></figure>after<img alt='x &amp; y' src=\"digest:{'0' * 64}\"><p>end"
