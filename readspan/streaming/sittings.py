@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from readspan.functions import logline
 from readspan.functions.scores import GAP, broken, credits, dwell, intdiv, share
+from readspan.operators.figures import busiest, spread_over
 from readspan.operators.intervals import overlap_seconds
 from readspan.sources.logs import kept, observations
 
@@ -19,7 +20,7 @@ SLACK, WAKE_LAG = 60, 5
 SITTING = (
     "device string, started_at timestamp_ntz, ended_at timestamp_ntz, end_position long, seconds long, page_turns long, words long, measure string, content_key string, progress double, "
     "start_counter_ms long, end_counter_ms long, start_words long, end_words long, time_left long, stated_wpm long, awake_seconds long, paged_seconds long, paged_words long, "
-    "timed_seconds long, timed_words long, covered double, stretches array<struct<from:double,to:double>>"
+    "timed_seconds long, timed_words long, covered double, stretches array<struct<from:double,to:double>>, hours array<struct<h:int,s:bigint>>"
 )
 
 
@@ -68,7 +69,7 @@ def read_rows(lines: DataFrame, device: str = "device", held: DataFrame | None =
     sleeping = (F.col("since.state") == "idle") & F.col("ends").isNotNull()
     rows = rows.withColumns({
         "asleep": F.coalesce(F.sum("slept").over(upto), F.lit(0)) + F.when(sleeping, F.greatest(F.col("t") - F.col("since.t"), F.lit(0))).otherwise(0),
-        "sleeps": F.sum(((F.col("turned.state") == "idle") & F.col("ends").isNotNull()).cast("long")).over(upto),
+        "sleeps": F.sum(F.coalesce((F.col("turned.state") == "idle") & F.col("ends").isNotNull(), F.lit(False)).cast("long")).over(upto),
         "obs_no": F.coalesce(F.sum(F.col("observed").cast("long")).over(before), F.lit(0)), "open_no": F.sum(F.col("opened_ms").isNotNull().cast("long")).over(upto), "wake_no": F.sum(F.col("wakes").cast("long")).over(upto),
     })
     # an observation takes the last open: with a counter always, without one on the same day within a gap
@@ -166,7 +167,7 @@ def _pages(rows: DataFrame, device: str) -> DataFrame:
     c = F.col("closing")
     stood = F.greatest(c["t"] - F.col("t") - (c["asleep"] - F.col("asleep")), F.lit(0))
     earned = F.when(page & (c["metric"]["kind"] == "page"), dwell(stood)).otherwise(0)
-    rows = rows.withColumn("page_secs", earned)
+    rows = rows.withColumns({"page_secs": earned, "page_end": c["t"]})
     again = F.coalesce((c["metric"]["start"] >= 0) & (c["metric"]["start"] == F.col("metric.start")), F.lit(False))
     counts = (F.col("page_secs") > 0) & ~again
     span = F.abs(F.col("metric.end") - F.col("metric.start")) / F.col("book")
@@ -200,7 +201,13 @@ def _folded(rows: DataFrame, device: str) -> DataFrame:
     obs, counted = F.col("observed"), F.col("observed") & F.col("total_ms").isNotNull()
     c = lambda name: F.coalesce(F.col(f"credit.{name}"), F.lit(0))
     timed = c("counted_ms") + c("refused_ms")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    last_t = F.last(F.when(obs, F.col("t")), True).over(before)
+    last_ms = F.last(F.when(counted, F.col("total_ms")), True).over(before)
+    rows = rows.withColumns({"last_t": last_t, "gained": F.when(counted, F.col("total_ms") - last_ms), "turned": F.when(obs, timed)})
     order = F.struct("ts", "line")
+    span = lambda a, b, ms: F.struct(a.alias("a"), b.alias("b"), ms.cast("long").alias("ms"))
+    start_t = F.coalesce(F.col("last_t"), _secs(F.col("began")), F.col("t"))
     at = F.struct("total_ms", "words", "t", "asleep", c("counted_ms").alias("credit_ms"), c("counted_words").alias("credit_words"))
     when = lambda test, x: F.when(test, x)
     point = F.struct("ts", "line", (1 - F.col("left_share")).alias("at"), "jumped")
@@ -217,6 +224,8 @@ def _folded(rows: DataFrame, device: str) -> DataFrame:
         F.sum(timed).alias("timed_ms"), F.sum(when(timed > 0, F.greatest(F.coalesce("interval_words", F.lit(0)), F.lit(0)))).alias("timed_words"),
         F.sum("page_secs").alias("paged"), F.sum("page_words").alias("paged_words"), F.sum("page_span").alias("covered"),
         last("content_key").alias("content_key"), last("left_share").alias("left_share"), last("time_left").alias("time_left"), last("stated_wpm").alias("stated_wpm"),
+        F.collect_list(when(F.col("gained") > 0, span(F.col("last_t"), F.col("t"), F.col("gained")))).alias("counted_spans"), F.collect_list(when(F.col("turned") > 0, span(start_t, F.col("t"), F.col("turned")))).alias("timed_spans"),
+        F.collect_list(when(F.col("page_secs") > 0, span(F.col("t"), F.col("page_end"), F.col("page_secs") * 1000))).alias("paged_spans"),
         stretches(F.sort_array(F.collect_list(when(obs & F.col("left_share").isNotNull(), point)))).alias("stretches"),
     )
 
@@ -302,6 +311,24 @@ def _settled(sat: DataFrame, device: str, held: DataFrame | None) -> DataFrame:
     })
 
 
+def hours_of(spans: Column, seconds: Column) -> Column:
+    """``array<struct<h,s>>`` that adds up to ``seconds``: milliseconds of ``spans`` (a, b, ms) over the clock hours they ran through.
+
+    A span is spread evenly and its first hour takes what is left over; hours become seconds by the truncated running
+    sum, and the busiest takes the rest.
+    """
+    inside = F.flatten(F.transform(spans, lambda x: spread_over(x["ms"], F.pmod(x["a"], F.lit(86_400)), F.pmod(x["a"], F.lit(86_400)) + F.greatest(x["b"] - x["a"], F.lit(0)))))
+    total = lambda h: F.aggregate(F.filter(inside, lambda x: x["h"] == h), F.lit(0).cast("long"), lambda a, x: a + x["s"])
+    start = F.expr("named_struct('run', 0L, 'given', 0L, 'out', cast(array() as array<struct<h:int,s:bigint>>))")
+
+    def whole(acc: Column, h: Column) -> Column:
+        run = acc["run"] + total(h)
+        secs = intdiv(run, 1000) - acc["given"]
+        return F.struct(run.alias("run"), (acc["given"] + secs).alias("given"), F.when(secs > 0, F.concat(acc["out"], F.array(F.struct(h.alias("h"), secs.alias("s"))))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(23)), start, whole, lambda acc: F.transform(acc["out"], lambda x, i: F.struct(x["h"].alias("h"), (x["s"] + F.when(i == busiest(acc["out"]), seconds - acc["given"]).otherwise(0)).alias("s"))))
+
+
 def awake_spans(rows: DataFrame, device: str = "device") -> DataFrame:
     """``(device, from_at, to_at)``: when the device was awake and something was read (rows of ``read_rows``).
 
@@ -344,11 +371,23 @@ def sittings(lines: DataFrame, device: str = "device", held: DataFrame | None =
     measure = F.when(F.col("counted") > 0, "counted").when(F.col("timed") > 0, "timed").when(F.col("paged") > 0, "paged").when(F.col("overlap") > 0, "awake")
     sat = sat.withColumn("measure", measure).where("measure is not null")
     seconds = F.when(F.col("measure") == "counted", F.col("counted")).when(F.col("measure") == "timed", F.col("timed")).when(F.col("measure") == "paged", F.col("paged")).otherwise(F.col("overlap"))
+    # what stands around the lines: from the start to the first counter, to a midnight, and what came late
+    edge = lambda a, b, ms: F.array(F.struct(a.alias("a"), b.alias("b"), F.coalesce(F.greatest(ms, F.lit(0)), F.lit(0)).cast("long").alias("ms")))
+    day_end = F.col("last_obs.t") - F.pmod("last_obs.t", F.lit(86_400)) + 86_400
+    spans = (
+        F.when(F.col("measure") == "counted", F.concat(
+            edge(F.col("began_t"), F.col("first_stated.t"), F.col("first_stated.total_ms") - F.col("start_counter_ms")), "counted_spans",
+            edge(F.col("last_obs.t"), day_end, F.col("cut_ms") - F.col("last_stated.total_ms")), edge(F.coalesce("last_stated.t", "began_t"), F.col("end.t"), F.col("top_ms")),
+        )).when(F.col("measure") == "timed", F.concat("timed_spans", edge(F.col("last_obs.t"), day_end, F.col("cut_timed"))))
+        .when(F.col("measure") == "paged", F.col("paged_spans")).otherwise(edge(F.col("began_t"), F.col("end.t"), F.col("overlap") * 1000))
+    )
+    sat = sat.withColumn("seconds", seconds.cast("long"))
     return sat.select(
-        device, F.col("began").alias("started_at"), "ended_at", "end_position", seconds.cast("long").alias("seconds"), F.when(F.col("obs_turns") > 0, F.col("obs_turns")).otherwise(F.col("metric_turns")).alias("page_turns"),
+        device, F.col("began").alias("started_at"), "ended_at", "end_position", "seconds", F.when(F.col("obs_turns") > 0, F.col("obs_turns")).otherwise(F.col("metric_turns")).alias("page_turns"),
         F.coalesce(F.nullif(F.col("end_words") - F.col("start_words"), F.lit(0)), "paged_words").cast("long").alias("words"), "measure", "content_key", (1 - F.col("left_share")).alias("progress"),
         "start_counter_ms", "end_counter_ms", "start_words", "end_words", "time_left", "stated_wpm", "awake_seconds", F.col("paged").cast("long").alias("paged_seconds"), F.col("paged_words").cast("long").alias("paged_words"),
         F.col("timed").alias("timed_seconds"), F.coalesce("timed_words", F.lit(0)).cast("long").alias("timed_words"), "covered", "stretches",
+        hours_of(F.filter(spans, lambda x: x["ms"] > 0), F.col("seconds")).alias("hours"),
     )
 
 
@@ -375,10 +414,10 @@ def absorb(held: DataFrame, lines: DataFrame, cuts: DataFrame, device: str = "de
     """Incremental batch: sittings before each device's cut stay, later ones come from ``lines`` parsed from the cut on.
 
     What is parsed again is lent the counters and books at which the ``held`` sittings opened. ``cuts`` has one row a
-    device; a device without one keeps all it holds and reads all its lines.
+    device; a null cut replaces all that the device holds, a device without a row keeps it and reads all its lines.
     """
-    from_cut = F.col("cut").isNull() | (F.col("ts") >= F.col("cut"))
-    fresh = lines.join(cuts, device, "left").where(from_cut).drop("cut")
+    cuts = cuts.withColumn("cut", F.coalesce("cut", F.lit("0001-01-01").cast("timestamp_ntz")))
+    fresh = lines.join(cuts, device, "left").where(F.col("cut").isNull() | (F.col("ts") >= F.col("cut"))).drop("cut")
     both = held.join(cuts, device, "left")
     later = both.where(F.col("started_at") >= F.col("cut")).drop("cut")
     parsed = sittings(fresh, device, later)

@@ -134,6 +134,13 @@ def test_midnight_shares_the_page_that_stands_over_it(sits):
     assert (b.seconds, b.timed_seconds, b.started_at, b.start_counter_ms) == (30, 30, at("000000", 12), 5_060_000)
 
 
+def test_hours_add_up(sits):
+    hours = lambda r: [tuple(x) for x in r.hours]
+    assert [hours(r) for r in sits["midnight"]] == [[(23, 60)], [(0, 30)]] and [hours(r) for r in sits["step back"]] == [[(6, 40)], [(10, 40)]]
+    assert [hours(r) for r in sits["silence with pages"]] == [[(8, 1667), (9, 1233)]] and [hours(r) for r in sits["left open"]] == [[(12, 110)]]
+    assert all(sum(s for _, s in hours(r)) == r.seconds for rows in sits.values() for r in rows)
+
+
 def test_page_metrics_go_past_midnight(sits):
     got = sits["metrics past midnight"]
     assert [(r.started_at, r.ended_at) for r in got] == [(at("235000"), at("235959")), (at("000000", 12), at("000500", 12))]
@@ -215,7 +222,7 @@ def rows_of(df):
 
 def test_schema_of_sittings(spark):
     got = stream.sittings(logs.observations(spark.createDataFrame([], "device string, line string")))
-    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in spark.createDataFrame([], stream.SITTING).schema]
+    assert got.dtypes == spark.createDataFrame([], stream.SITTING).dtypes
 
 
 def test_batches_of_files_equal_the_whole_log(spark, tmp_path):
