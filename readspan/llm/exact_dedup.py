@@ -22,6 +22,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _RUNS.split(", ")]
     text, sha, ids, first = None, "", [], True
 
+    def copied(part: pa.Array) -> pa.Array:
+        return pa.concat_arrays([part.slice(0, 0), part])  # a slice would hold its whole batch, texts too
+
     def rows(ids: pa.Array, at: np.ndarray, sizes: np.ndarray, sha: pa.Array, edge: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([ids, ids.take(pa.array(at)), pa.array(sizes), sha, pa.array(edge), pa.array(head)], names=names)
 
@@ -40,7 +43,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(new)
         begin = int(starts[0]) if len(starts) else n
         if begin:
-            ids.append(own.slice(0, begin))
+            ids.append(copied(own.slice(0, begin)))
         if not len(starts):
             continue
         if ids:
@@ -53,7 +56,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge[: sizes[0]] = first
             first = False
             yield rows(own.slice(begin, last - begin), np.repeat(starts[:-1] - begin, sizes), np.repeat(sizes, sizes), batch.column("sha").slice(begin, last - begin), edge, new[begin:last])
-        text, sha, ids = texts[last].as_py(), batch.column("sha")[last].as_py(), [own.slice(last)]
+        text, sha, ids = texts[last].as_py(), batch.column("sha")[last].as_py(), [copied(own.slice(last))]
     if ids:
         yield closed(True)
 
