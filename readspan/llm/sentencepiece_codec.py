@@ -22,7 +22,7 @@ _WORD = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
 #: Words that a Python worker remembers, and characters of new words that one index covers.
 MEMO_WORDS, INDEX_CHARS = 500_000, 200_000
 #: Characters of text that are encoded at a time (one longer text by itself).
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 2_000_000
 #: Characters from which a word is merged by a heap of its own rather than with the others.
 LONG_WORD = 128
 _NONE = np.int32(2**31 - 1)
