@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readspan.llm import chat_format, exact_dedup, html_extract, media, minhash, packing, sentencepiece_codec, sharding, substring_dedup, toxicity
+from readspan.llm import chat_format, divergence, exact_dedup, html_extract, media, minhash, mixing, packing, prefix_trie, sentencepiece_codec, sharding, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ, and in which terms."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared opening of the conversations, rebuilt from their families."""
+    return prefix_trie.family_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a mix of one and a half times their words, sources weighing 3, 1 and 2 in turn."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_html_extraction": op2_html_extraction,
@@ -110,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
@@ -131,4 +149,62 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
         from d
     """,
+    "op11_source_divergence": r"""
+        with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as t, row_number() over () as row from documents),
+        w as (select row, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+        kept as (select lang, term, count(*) as total from w group by lang, term having count(distinct row) >= 3),
+        g as (select distinct lang, source from d),
+        v as (select lang, count(*) as v, sum(total) as n from kept group by lang),
+        c as (select lang, source, term, count(*) as c from w group by all),
+        n as (select lang, source, sum(c) as n from c join kept using (lang, term) group by all),
+        s as (select g.lang, g.source, k.term, coalesce(c.c, 0) as c, k.total, coalesce(n.n, 0) as n, v.v, v.n as nl
+              from g join kept k on k.lang = g.lang join v on v.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term left join n on n.lang = g.lang and n.source = g.source),
+        p as (select lang, source, term, c, (1 + 1000000000::hugeint * (c + 1) // (n + v))::bigint as p, (1 + 1000000000::hugeint * (total + 1) // (nl + v))::bigint as q from s),
+        f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+        pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0) as value
+                 from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+        term as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value from p where c > 0 and p > q),
+        r as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from (select * from pair union all select * from term))
+        select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 200
+    """,
+    "op12_prefix_trie": """
+        with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+                     row_number() over (partition by conv_id order by turn nulls first, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos
+                   from conversations where conv_id is not null),
+        c as (select conv_id, conv_id - conv_id % 5 as base,
+                xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda x: [cast(ascii(x) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                  lambda a, b: case when b >= 0 then xor(a, b) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295) % 9 as h
+              from (select distinct conv_id from t)),
+        r as (select c.conv_id, t.pos, t.role, t.text from c join t on t.conv_id = c.base and t.pos < c.h
+              union all select c.conv_id, t.pos + 1000000, t.role, t.text from c join t on t.conv_id = c.conv_id and t.pos >= c.h),
+        s as (select conv_id, row_number() over (partition by conv_id order by pos) as depth, strlen(text) as bytes,
+                list(struct_pack(role := role, text := text)) over (partition by conv_id order by pos) as path from r),
+        m as (select conv_id, 0 as depth, 0 as bytes, cast([] as struct(role varchar, text varchar)[]) as path from c union all select conv_id, depth, bytes, path from s),
+        ends as (select path, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids from (select conv_id, arg_max(path, depth) as path from m group by conv_id) group by path),
+        n as (select path, any_value(depth) as depth, any_value(bytes) as bytes, min(conv_id) as conv_id, count(*) as n_convs from m group by path),
+        k as (select n.*, (select count(*) from n x where x.depth = n.depth + 1 and x.path[:n.depth] = n.path) as n_children from n),
+        sub as (select a.path, count(*) filter (where b.n_children = 0) as n_leaves, sum((b.n_convs - 1) * b.bytes) as saved
+                from (select k.*, unnest(range(0, k.depth + 1)) as up from k) b join k a on a.depth = b.up and a.path = b.path[:b.up] group by a.path)
+        select k.conv_id, cast(k.depth as bigint) as depth, p.conv_id as parent_conv_id, k.n_convs, k.n_children, sub.n_leaves, cast(sub.saved as bigint) as saved_tokens, sha256(coalesce(ends.ids, '')) as ends_sha256
+        from k join sub on sub.path = k.path left join ends on ends.path = k.path left join k p on k.depth > 0 and p.depth = k.depth - 1 and p.path = k.path[:k.depth - 1]
+    """,
+    "op13_source_mixing": r"""
+        with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+        s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank from d group by source),
+        w as (select *, [3, 1, 2][rank % 3 + 1] as weight, 2 * source_size as cap from s),
+        l as (select *, (1.5::double * (sum(source_size) over ())::double - (coalesce(sum(cap) over before, 0))::double) / (sum(weight) over () - coalesce(sum(weight) over before, 0))::double as level
+              from w window before as (order by cap::double / weight, rank rows between unbounded preceding and 1 preceding)),
+        x as (select coalesce(max(level) filter (where level <= cap::double / weight), 1e300) as top from l),
+        t as (select source, source_size, rank, least(cap::double, top * weight) as target from l, x),
+        q as (select doc_id, size, source_size, target, rank,
+                (sum(size) over (partition by rank order by md5(coalesce(cast(doc_id as varchar), '')), doc_id nulls first, size rows unbounded preceding) - size)::bigint as pos
+              from d join t on d.source is not distinct from t.source where size > 0),
+        e as (select *, unnest(range(0, 2)) as turn from q),
+        k as (select *, greatest(1, floor(target / 1000))::bigint as packet, unnest(range(0, size, greatest(1, floor(target / 1000))::bigint)) as lo from e),
+        y as (select *, least(lo + packet, size) - lo as length, (turn * source_size + pos + least(lo + packet, size))::double / target as finish from k),
+        z as (select *, (sum(length) over (order by finish, rank, turn, pos, lo rows unbounded preceding) - length)::bigint as before, (select floor(sum(source_size) * 1.5)::bigint from s) as budget from y)
+        select doc_id, size, source_size, target, sum(greatest(0, least(length, budget - before)))::bigint as taken, min(before) filter (where turn = 0 and lo = 0 and before < budget) as first_at
+        from z group by doc_id, size, source_size, target, rank, pos
+        union all select doc_id, size, source_size, target, 0, null from d join t on d.source is not distinct from t.source where size = 0
+    """,
 }
