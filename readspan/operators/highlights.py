@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readspan.functions.scores import intdiv
 from readspan.functions.text import bounded, normalised
+from readspan.operators.grams import holding
 from readspan.operators.lineage import pinned
 from readspan.operators.matching import only_once, pair_in_order
+from readspan.operators.ordered import placed
 from readspan.sources.catalog import stem_of
 
-#: Characters in a row over which words meet.
-GRAM = 12
 # Kinds that are the reader's own words, and kinds that span a passage.
 OWN, PASSAGES = ("note", "sticky_note"), ("highlight", "note", "underline", "circle", "asterisk")
 COLUMNS = ("extent", "title", "kind", "at", "state", "start", "end", "location", "page", "colour", "body")
@@ -30,25 +29,16 @@ def settle_words(rows: DataFrame, group: list[str], id_col: str, body: str, at:
 
     With ``whole_words`` the holding row must also have the held one's first word as a word of its own.
 
-    Words meet over GRAM characters in a row: of a row's own grams the one of the smallest hash, which any row that
-    holds its words has too, so that common beginnings bring no rows together. Only ids and hashes are joined; words
-    are fetched for the pairs that met. Rows under GRAM characters meet the longer ones of their group over a gram of
-    their own length. Equal words keep the latest row.
+    Words meet as ``grams.holding`` has it. Equal words keep the latest row.
     """
-    clean = rows.select(*group, F.col(id_col).alias("__i"), F.col(at).alias("__at"), normalised(F.col(body)).alias("__b")).where("__b <> ''")
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("__b") - n + 1), lambda i: F.xxhash64(F.substr(F.col("__b"), i, n)))
-    size = F.least(F.length("__b"), F.lit(GRAM))
-    short = clean.select(*group, "__i", "__at", size.alias("__n"), F.array_min(grams(size)).alias("__g"))
-    sizes = short.groupBy(*group).agg(F.collect_set("__n").alias("__ns"))  # GRAM numbers at most
-    long = clean.join(sizes, group).select(*group, "__b", F.col("__i").alias("__j"), F.col("__at").alias("__at2"), F.explode("__ns").alias("__n")).where(F.col("__n") <= F.length("__b"))
-    long = long.select(*group, "__j", "__at2", "__n", F.explode(F.array_distinct(grams(F.col("__n")))).alias("__g"))
-    later = (F.col("__at2") > F.col("__at")) | ((F.col("__at2") == F.col("__at")) & (F.col("__j") > F.col("__i")))
-    met = short.join(long, [*group, "__n", "__g"]).where((F.col("__i") != F.col("__j")) & later).select("__i", "__j").distinct()
-    words = clean.select("__i", F.col("__b").alias("__s"))
-    held = met.join(words, "__i").join(words.select(F.col("__i").alias("__j"), F.col("__s").alias("__l")), "__j").where(F.col("__l").contains(F.col("__s")))
+    clean = pinned(rows.select(*group, F.col(id_col).alias("id"), F.col(at).alias("__at"), normalised(F.col(body)).alias("body")).where("body <> ''"))
+    when = clean.select("id", "__at")
+    held = holding(clean, clean, group).where(F.col("s") != F.col("l"))
+    held = held.join(when.select(F.col("id").alias("s"), F.col("__at").alias("__a")), "s").join(when.select(F.col("id").alias("l"), F.col("__at").alias("__b")), "l")
+    held = held.where((F.col("__b") > F.col("__a")) | ((F.col("__b") == F.col("__a")) & (F.col("l") > F.col("s"))))
     if whole_words:
         held = held.where(F.array_contains(F.split("__l", " "), F.substring_index("__s", " ", 1)))
-    return rows.join(held.select(F.col("__i").alias(id_col)).distinct(), id_col, "left_anti")
+    return rows.join(held.select(F.col("s").alias(id_col)).distinct(), id_col, "left_anti")
 
 
 def match_offsets(clips: DataFrame, notes: DataFrame, kind: str, clip_at: str, note_at: str, offsets: DataFrame) -> DataFrame:
@@ -140,49 +130,94 @@ def merged(clippings: DataFrame, annotations: DataFrame, rosters: DataFrame, boo
     return spoken.unionByName(wordless)
 
 
-def _words_hold(a: str, b: str) -> bool:
-    return bool(a) and bool(b) and (a in b or b in a)
+#: Columns of a row's class: the place of the row that opened it, and whether that row's words are never replaced.
+_CLASS = ("root", "own")
+
+
+def _blocks(lo: Column, hi: Column, levels: int) -> Column:
+    """The fewest blocks (level, no), each 2**level places from no * 2**level on, that make up the places from ``lo`` to ``hi`` - 1."""
+    start = F.struct(lo.alias("lo"), F.greatest(lo, hi).alias("hi"), F.expr("cast(array() as array<struct<level:int,no:bigint>>)").alias("out"))
+
+    def step(acc: Column, level: Column) -> Column:
+        low, high = acc["lo"] % 2 == 1, acc["hi"] % 2 == 1
+        left = (acc["lo"] < acc["hi"]) & low
+        right = (acc["lo"] + left.cast("long") < acc["hi"]) & high
+        block = lambda test, no: F.when(test, F.array(F.struct(level.alias("level"), no.alias("no")))).otherwise(F.expr("cast(array() as array<struct<level:int,no:bigint>>)"))
+        out = F.concat(acc["out"], block(left, acc["lo"]), block(right, acc["hi"] - 1))
+        return F.struct(F.shiftright(acc["lo"] + left.cast("long"), 1).alias("lo"), F.shiftright(acc["hi"] - right.cast("long"), 1).alias("hi"), out.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda acc: acc["out"])
+
+
+def _classes(rows: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """``(no, root)`` of ``rows`` (no, body_id, sits, root, own): the first class, by the row that opened it, whose words at that time hold the row's or are held.
+
+    A class's words are those of its last row so far. What a row joins depends on rows before it alone, so any guess that is
+    worked out again from itself until nothing changes ends at what one by one would give: each round settles at
+    least the rows whose earlier holders are settled, and most at once. A row's words stand for their class from the next
+    place up to that of the row after it; these spans are cut into blocks of places by powers of two, of which a row
+    lies in one a level, so a row meets at most one class a block for each text that holds its own, however many rows repeat a text.
+    """
+    levels = max(n, 1).bit_length()
+    rows = pinned(rows)
+    fixed = rows.where("sits")
+    asks = pinned(rows.where("not sits").join(edges, "body_id").select("no", "by", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).withColumn("block", F.expr("shiftright(no, level)")))
+    while True:
+        givers = rows.where((F.col("no") == F.col("root")) | ~F.col("own"))
+        givers = givers.withColumn("until", F.coalesce(F.lead("no").over(Window.partitionBy("root").orderBy("no")) + 1, F.lit(n).cast("long")))
+        spans = givers.select("body_id", *_CLASS, F.explode(_blocks(F.col("no") + 1, F.col("until"), levels)).alias("b"))
+        first = spans.groupBy(F.col("body_id").alias("by"), F.col("b.level").alias("level"), F.col("b.no").alias("block")).agg(F.min(F.struct(*_CLASS)).alias("c"))
+        joined = asks.join(first, ["by", "level", "block"]).groupBy("no").agg(F.min("c").alias("c"))
+        free = rows.where("not sits").join(joined, "no", "left")
+        new = pinned(free.select("no", "body_id", "sits", F.coalesce("c.root", "no").alias("root"), F.coalesce("c.own", F.lit(False)).alias("own"), (F.coalesce("c.root", "no") != F.col("root")).alias("moved")))
+        rows = fixed.unionByName(new.drop("moved"))
+        if new.where("moved").isEmpty():
+            return rows.select("no", "root")
 
 
 def settled(rows: DataFrame) -> DataFrame:
     """``rows`` (COLUMNS) with each highlight once: live rows by their place, others by words that hold each other.
 
-    The earliest row stays and takes the words of later ones, unless it is a live note, whose words the device states. A
-    row that isn't live goes if a live one of its title and kind holds its words. A title's rows of a kind, which one
-    reader made, are worked through in order in one group; words other than the reader's own are cut after.
+    In order of time, title, kind and start a row joins the first that holds or is held by its words as they stand by then, and
+    gives it its own; a live row joins the first live one of its place, and a live note keeps the words the device
+    states. The row that opened a class stays. One that isn't live goes if a live one of its title and kind holds its words
+    in the end or is held. Words other than the reader's own are cut after. Rows alike in all columns are one if they have words.
+
+    Texts that hold each other meet by their grams (``grams.holding``), once for each different text of a title and kind; the order
+    is worked out over sorted ranges and classes by rounds (``_classes``), so a title of any size is spread over tasks.
     """
-    order = ["at", "title", "kind", "start"]
-    rows = rows.withColumns({"__t": normalised(F.coalesce("title", F.lit(""))), "__id": F.monotonically_increasing_id()})
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([*order, "__id"], na_position="first").reset_index(drop=True)
-        bodies, is_live, kind = group["body"].fillna("").tolist(), (group["state"] == "live").tolist(), group["kind"].tolist()
-        places = list(zip(group["extent"], group["start"], group["end"], strict=True))
-        standing: list[int] = []
-        placed: dict[tuple, int] = {}
-        for i in range(len(bodies)):
-            if is_live[i]:
-                held = placed.get(places[i]) if pd.notna(places[i][1]) else None
-            else:
-                held = next((j for j in standing if _words_hold(bodies[j], bodies[i])), None)
-            if held is None:
-                standing.append(i)
-                if is_live[i]:
-                    placed.setdefault(places[i], i)
-            elif bodies[i] and not (is_live[held] and kind[held] == "note"):
-                bodies[held] = bodies[i]
-        kept = [i for i in standing if is_live[i] or not bodies[i] or not any(is_live[j] and _words_hold(bodies[j], bodies[i]) for j in standing)]
-        return group.assign(body=bodies).iloc[kept]
-
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
-    out = rows.groupBy("__t", "kind").applyInPandas(settle, kinds)
-    # the same place under two spellings of a title
-    place = Window.partitionBy("state", "extent", "kind", "start", "end").orderBy(*order, "__id")
-    words = F.last(F.nullif("body", F.lit("")), True).over(place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    alone = (F.col("state") != "live") | F.col("start").isNull()
-    once = out.withColumns({"__n": F.when(alone, 1).otherwise(F.row_number().over(place)), "__w": F.when(alone | (F.col("kind") == "note"), F.col("body")).otherwise(F.coalesce(words, "body"))}).where("__n = 1")
-    once = once.withColumn("body", F.col("__w"))
-    return once.withColumn("body", F.when(F.col("kind").isin(*OWN), F.col("body")).otherwise(bounded(F.col("body")))).select(*COLUMNS)
+    clean = lambda c: F.coalesce(c, F.lit(""))
+    first = [F.col(c).asc_nulls_first() for c in ("at", "title", "kind", "start", "end", "extent", "state", "location", "page", "colour", "body")]
+    rows = placed(rows.select(*COLUMNS), first, "no")
+    rows = rows.withColumns({"t": normalised(clean(F.col("title"))), "live": F.coalesce(F.col("state") == "live", F.lit(False)), "k": clean(F.col("kind")), "b": clean(F.col("body"))})
+    seat = Window.partitionBy("extent", "k", "start", "end")
+    sits = F.col("live") & F.col("start").isNotNull()
+    opened = F.min(F.when(sits, F.struct("no", "t"))).over(seat)
+    rows = rows.withColumns({"sits": F.col("live") | (F.col("b") == ""), "opened": F.when(sits, opened)})
+    rows = pinned(rows.withColumns({"t": F.coalesce("opened.t", "t"), "root": F.coalesce("opened.no", "no"), "own": F.col("live") & (F.col("k") == "note")}).drop("opened"))
+    n = rows.count()
+    texts = rows.where("b <> ''").groupBy("t", "k", "b").agg(F.min("no").alias("id"), F.min_by("own", "no").alias("own"))
+    texts = pinned(texts.withColumnRenamed("b", "body"))
+    met = holding(texts.drop("own"), texts.drop("own"), ["t", "k"]).select("s", "l")
+    edges = pinned(met.unionByName(met.select(F.col("l").alias("s"), F.col("s").alias("l"))).distinct().toDF("body_id", "by"))
+    guess = edges.groupBy("body_id").agg(F.min("by").alias("least")).join(texts.select(F.col("id").alias("least"), F.col("own").alias("least_own")), "least")
+    worded = rows.where("b <> ''").join(texts.select("t", "k", F.col("body").alias("b"), F.col("id").alias("body_id")), ["t", "k", "b"]).join(guess, "body_id")
+    ahead = ~F.col("sits") & (F.col("least") < F.col("no"))
+    worded = pinned(worded.select("no", "body_id", "sits", F.when(ahead, F.col("least")).otherwise(F.col("root")).alias("root"), F.when(ahead, F.col("least_own")).otherwise(F.col("own")).alias("own")))
+    classes = pinned(_classes(worded, edges, n))
+    # the words a class ends with: of its last row that gives any, or its own
+    kept = classes.join(rows.select(F.col("no").alias("root"), F.col("own").alias("keeps")), "root").where(~F.col("keeps") | (F.col("no") == F.col("root")))
+    ends = kept.groupBy("root").agg(F.max("no").alias("last"))
+    said = rows.select(F.col("no").alias("last"), F.col("body").alias("said")).join(worded.select(F.col("no").alias("last"), "body_id"), "last")
+    ends = ends.join(said, "last").select(F.col("root").alias("no"), "said", "body_id")
+    joined = classes.select("no", F.col("root").alias("joined"))
+    roots = rows.join(joined, "no", "left").where(F.coalesce("joined", "root") == F.col("no")).drop("root", "joined")
+    roots = pinned(roots.join(ends, "no", "left"))
+    spoken = roots.where("live and body_id is not null").select(F.col("body_id").alias("by")).distinct()
+    gone = edges.join(spoken, "by").select("body_id").distinct()
+    late = roots.where("not live").join(gone, "body_id", "left_semi").select("no")
+    out = roots.join(late, "no", "left_anti").withColumn("body", F.coalesce("said", "body"))
+    return out.withColumn("body", F.when(F.col("kind").isin(*OWN), F.col("body")).otherwise(bounded(F.col("body")))).select(*COLUMNS)
 
 
 def spoken_for(rows: DataFrame, spoken: DataFrame) -> DataFrame:
@@ -234,10 +269,10 @@ def over(held: DataFrame, fresh: DataFrame, spoken: DataFrame) -> DataFrame:
     f = pinned(f.join(h.select("hid", "h"), "hid", "left"))
     stands = F.col("h1").isNotNull() & ~F.col("spoke") & (F.col("h.state") == "live")
     lost = f.where(F.col("hid").isNull() & ~F.col("spoke") & (F.coalesce("body", F.lit("")) != ""))
-    book = lambda e, t: F.when(F.coalesce(e, F.lit(0)) == 0, normalised(F.coalesce(t, F.lit("")))).otherwise("")
-    theirs = h.select(F.coalesce("extent", F.lit(0)).alias("__e"), book(F.col("extent"), F.col("title")).alias("__t"), "kind", F.col("body").alias("__b")).where("__b <> ''")
-    held_words = lost.select("fid", F.coalesce("extent", F.lit(0)).alias("__e"), book(F.col("extent"), F.col("title")).alias("__t"), "kind", "body").join(theirs, ["__e", "__t", "kind"])
-    held_words = held_words.where(F.col("__b").contains(F.col("body")) | F.col("body").contains(F.col("__b"))).select("fid").distinct()
+    book = [F.coalesce("extent", F.lit(0)).alias("e"), F.when(F.coalesce("extent", F.lit(0)) == 0, normalised(F.coalesce("title", F.lit("")))).otherwise("").alias("t"), F.coalesce("kind", F.lit("")).alias("k"), "body"]
+    ours, theirs = lost.select(F.col("fid").alias("id"), *book), h.select(F.col("hid").alias("id"), *book)
+    ours, theirs = pinned(ours), pinned(theirs.where("body <> ''").join(ours.select("e", "t", "k").distinct(), ["e", "t", "k"], "left_semi"))
+    held_words = holding(ours, theirs, ["e", "t", "k"]).select(F.col("s").alias("fid")).unionByName(holding(theirs, ours, ["e", "t", "k"]).select(F.col("l").alias("fid"))).distinct()
     taken = f.where(~F.coalesce(stands, F.lit(False))).join(held_words, "fid", "left_anti")
     new = pinned(taken.select("hid", *(F.when(F.col("hid").isNull(), F.col(f"f.{c}")).otherwise(_filled(c, F.col("placed"))).alias(c) for c in COLUMNS)))
     stay = h.where(~F.col("spoke")).join(new.where("hid is not null").select("hid").distinct(), "hid", "left_anti")

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder that the session names in ``spark.checkpoint.dir``; without one, its rows are cached.
+    """``df`` as a checkpoint in the folder that the session names in ``spark.checkpoint.dir``, which a lost executor doesn't take with it.
 
-    Steps that read a table several times, round after round, would else repeat its whole plan in each.
+    Steps that read a table several times, round after round, would else repeat its whole plan in each. A local session without the
+    setting takes a folder of its own; a cluster's is refused, as its executors share no such folder.
     """
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            path = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(path)
+    return df.checkpoint()

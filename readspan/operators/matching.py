@@ -81,20 +81,20 @@ def contained(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> D
     """Pairs whose text contains the needle, any that isn't empty.
 
     Needles of five words and more meet by an equi-join on three of their inner words in a row, those of the smallest
-    hash, which are whole words of any text that contains the needle; only hashes are joined, and texts fetched for what
-    met. Others (shorter, or with other white space) have no such key and are looked for in every text, by a broadcast
-    while they are few.
+    hash, which are whole words of any text that contains the needle. Each text is named by its hash and length once,
+    below the step that lists its words in threes; names are joined, and texts fetched for what met. Others (shorter, or with
+    other white space) have no such key and are looked for in every text, by a broadcast while they are few.
     """
     three = r"\S+[ \n]+\S+[ \n]+\S+"
     windows = lambda c: F.transform(F.regexp_extract_all(c, F.lit(rf"(?<!\S)(?=({three}))"), F.lit(1)), lambda x: F.xxhash64(x))
     inner = F.regexp_extract(needle, r"(?s)^\S+[ \n]+(.*\S)[ \n]+\S+\s*$", 1)
     plain = ~F.col(needle).rlike(r"^\s|[\t\r\f\x0B]")
     needles = needles.where(F.col(needle) != "").withColumn("__k", F.when(plain, F.array_min(windows(inner))))
-    id_of = lambda c: F.struct(F.xxhash64(c).alias("h"), F.length(c).alias("n"))
-    keys = texts.select(id_of(F.col(text)).alias("__t"), F.explode(F.array_distinct(windows(F.col(text)))).alias("__k")).distinct()
+    named = texts.withColumn("__t", F.struct(F.xxhash64(F.col(text)).alias("h"), F.length(text).alias("n")))
+    keys = named.select("__t", F.array_distinct(windows(F.col(text))).alias("__ks")).select("__t", F.explode("__ks").alias("__k"))
     long = needles.where("__k is not null")
-    hits = long.select(F.col(needle).alias("__w"), "__k").distinct().join(keys, "__k").select("__w", "__t").distinct()
-    met = hits.join(texts.withColumn("__t", id_of(F.col(text))), "__t").where(F.col(text).contains(F.col("__w"))).drop("__t")
+    hits = keys.join(long.select(F.col(needle).alias("__w"), "__k").distinct(), "__k").select("__w", "__t").distinct()
+    met = hits.join(named, "__t").where(F.col(text).contains(F.col("__w"))).drop("__t")
     found = long.drop("__k").join(met, F.col(needle) == F.col("__w")).drop("__w")
     short = needles.where("__k is null").drop("__k")
     few = short.limit(SHORT_NEEDLES + 1).count() <= SHORT_NEEDLES

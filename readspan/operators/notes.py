@@ -6,35 +6,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readspan.operators.edits import edit_stamp
 from readspan.operators.highlights import identity
+from readspan.operators.lineage import pinned
 
 LIVE, DELETED = "live", "deleted"
 
 
-def add_notes(notes: DataFrame, new: DataFrame) -> DataFrame:
-    """``notes`` and ``new`` ones, each at the first second from its own on in which none is written yet.
+def add_notes(notes: DataFrame, new: DataFrame, device: str = "device") -> DataFrame:
+    """``notes`` and ``new`` ones, each at the first second from its own on in which its ``device`` has none yet.
 
-    Seconds are given out in order: the n-th of new notes that ask for taken seconds in a row goes to the n-th free one.
-    New notes are few (what a reader wrote since), so their free seconds are looked for in one group a device's notes.
+    Seconds are given out in order of what is asked for. Counted in free seconds, the n-th note of a device goes to its own
+    place or to that after the note before it, whichever is later, so its place less n is a running maximum; and a free
+    second is its number plus the taken ones before it. Both are windows over one device's sorted seconds, which spill; no
+    list of them is built. Notes that ask for the same second go in any order.
     """
-    taken = notes.select(F.col("written").alias("w")).distinct().agg(F.sort_array(F.collect_list(F.unix_seconds(F.col("w").cast("timestamp")))).alias("taken"))
-    asked = new.withColumn("__no", F.monotonically_increasing_id())
-    queue = asked.agg(F.sort_array(F.collect_list(F.struct(F.unix_seconds(F.col("written").cast("timestamp")).alias("t"), F.col("__no").alias("no")))).alias("q"))
-    start = F.expr("named_struct('last', cast(-1 as bigint), 'out', cast(array() as array<struct<no:bigint,t:bigint>>))")
-
-    def give(acc: Column, x: Column) -> Column:
-        low = F.greatest(x["t"], acc["last"] + 1)
-        later = F.filter("taken", lambda s: s >= low)
-        held = F.aggregate(later, low, lambda at, s: F.when(s == at, at + 1).otherwise(at))
-        return F.struct(held.alias("last"), F.concat(acc["out"], F.array(F.struct(x["no"].alias("no"), held.alias("t")))).alias("out"))
-
-    placed = queue.crossJoin(taken).select(F.explode(F.aggregate("q", start, give)["out"]).alias("p"))  # one row each
-    at = F.timestamp_seconds("p.t").cast("timestamp_ntz")
-    own = asked.join(placed.select(F.col("p.no").alias("__no"), at.alias("__at")), "__no").withColumns({"written": F.col("__at"), "edited": F.col("__at"), "state": F.lit(LIVE)})
+    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    w = Window.partitionBy(device).orderBy("s", "what")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = notes.select(device, second("written").alias("s")).distinct().select(device, "s", F.lit(1).alias("what"), F.lit(None).cast("long").alias("id"))
+    asked = pinned(new.withColumn("__id", F.monotonically_increasing_id()))
+    asks = asked.select(device, second("written").alias("s"), F.lit(0).alias("what"), F.col("__id").alias("id"))
+    lines = taken.unionByName(asks).withColumn("full", F.coalesce(F.sum("what").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    order = Window.partitionBy(device).orderBy("s", "id")
+    queue = lines.where("what = 0").select(device, "id", "s", (F.col("s") - F.col("full")).alias("free")).withColumn("n", F.row_number().over(order))
+    queue = queue.withColumn("free", F.col("n") + F.max(F.col("free") - F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # a taken second is passed by every free place from its own number on
+    passed = lines.where("what = 1").select(device, (F.col("s") - F.col("full")).alias("s"), F.lit(0).alias("what"), F.lit(None).cast("long").alias("id"))
+    both = passed.unionByName(queue.select(device, F.col("free").alias("s"), F.lit(1).alias("what"), "id"))
+    found = both.withColumn("at", F.col("s") + F.sum(1 - F.col("what")).over(upto)).where("what = 1").select(F.col("id").alias("__id"), F.timestamp_seconds("at").cast("timestamp_ntz").alias("__at"))
+    own = asked.join(found, "__id").withColumns({"written": F.col("__at"), "edited": F.col("__at"), "state": F.lit(LIVE)})
     return notes.unionByName(own.select(notes.columns))
 
 

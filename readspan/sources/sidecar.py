@@ -73,8 +73,8 @@ def decode(data: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def read_sidecars(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(file, path, value)`` of all readable sidecars; a malformed file gives one row whose path is ``error``."""
+def decoded(contents: DataFrame) -> DataFrame:
+    """``(file, path, value)`` of the sidecars in ``contents`` (path, content); a malformed file gives one row whose path is ``error``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,8 +86,12 @@ def read_sidecars(spark: SparkSession, paths: list[str]) -> DataFrame:
                     rows.append((name, "error", str(e)))
             yield pd.DataFrame(rows, columns=["file", "path", "value"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
-    return files.mapInPandas(run, "file string, path string, value string")
+    return contents.mapInPandas(run, "file string, path string, value string")
+
+
+def read_sidecars(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``decoded`` of all files under ``paths``; ``manifest.refresh`` reads only those that changed."""
+    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content"))
 
 
 def counters(values: DataFrame) -> DataFrame:

@@ -78,7 +78,8 @@ def test_corrections_and_notes(spark):
     assert [(r.edited, r.text) for r in back.collect()] == [(at(101), None)]
     held = spark.createDataFrame([(at(5), at(5), 5, "K", "live", at(1), "highlight", "T", 1, None, 10, 19, "teh", "my note"), (at(6), at(6), 5, "K", "deleted", None, "", "", None, None, None, None, "", "")], NOTE)
     new = spark.createDataFrame([(at(5), at(5), 5, "K", "live", None, "", "", None, None, None, None, "", "second"), (at(5), at(5), 5, "K", "live", None, "", "", None, None, None, None, "", "third")], NOTE)
-    both = notes.add_notes(held, new)
+    lit = lambda rows: rows.withColumn("device", F.lit("d"))
+    both = notes.add_notes(lit(held), lit(new)).drop("device")
     assert sorted((r.written, r.text) for r in both.collect()) == [(at(5), "my note"), (at(6), ""), (at(7), "second"), (at(8), "third")]
     edited = notes.reword(both, spark.createDataFrame([(at(7), "2nd"), (at(6), "no")], "written timestamp_ntz, text string"), F.lit(at(3)))
     gone = notes.delete(edited, spark.createDataFrame([(at(8),)], "written timestamp_ntz"), F.lit(at(90)))
