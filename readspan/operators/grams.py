@@ -45,16 +45,42 @@ def hashes(text: str, size: int, powers: _Powers) -> np.ndarray:
     return _mixed((sums[size:] - sums[:-size]) * powers.down[: n - size + 1]).view(np.int64)
 
 
-def _least(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    powers = _Powers()
-    for texts, sizes in batches:
-        yield pd.Series([int(h.min()) if len(h := hashes(t or "", n, powers)) else None for t, n in zip(texts, sizes, strict=True)], dtype="Int64")
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
-def _all(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    powers = _Powers()
-    for texts, sizes in batches:
-        yield pd.Series([np.unique(hashes(t or "", n, powers)) for t, n in zip(texts, sizes, strict=True)])
+def word_hashes(text: str, words: int, powers: _Powers) -> np.ndarray:
+    """A hash of every ``words`` words in a row of ``text``, whatever white space parts them."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    edges = np.diff(np.concatenate(([False], ~_SPACE[data], [False])).astype(np.int8))
+    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    n = len(start) - words + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    powers.upto(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers.up[: len(data)])))
+    one = _mixed((sums[end] - sums[start]) * powers.down[start])
+    row = np.zeros(n, np.uint64)
+    for k in range(words):
+        row = row * np.uint64(_FACTOR) + one[k : k + n]
+    return _mixed(row).view(np.int64)
+
+
+def _least(of):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        powers = _Powers()
+        for texts, sizes in batches:
+            yield pd.Series([int(h.min()) if len(h := of(t or "", n, powers)) else None for t, n in zip(texts, sizes, strict=True)], dtype="Int64")
+
+    return F.pandas_udf(run, "bigint").asNondeterministic()
+
+
+def _all(of):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        powers = _Powers()
+        for texts, sizes in batches:
+            yield pd.Series([np.unique(of(t or "", n, powers)) for t, n in zip(texts, sizes, strict=True)])
+
+    return F.pandas_udf(run, "array<bigint>").asNondeterministic()
 
 
 def least_gram(text: Column, size: Column) -> Column:
@@ -62,12 +88,22 @@ def least_gram(text: Column, size: Column) -> Column:
 
     As a key of a join it isn't worked out again in the filters that Spark infers from one: those stay above it.
     """
-    return F.pandas_udf(_least, "bigint").asNondeterministic()(text, size)
+    return _least(hashes)(text, size)
 
 
 def all_grams(text: Column, size: Column) -> Column:
     """The different hashes of ``size`` characters in a row of ``text``."""
-    return F.pandas_udf(_all, "array<bigint>").asNondeterministic()(text, size)
+    return _all(hashes)(text, size)
+
+
+def least_words(text: Column, words: int = 3) -> Column:
+    """The smallest hash of ``words`` words in a row of ``text``; null if it has fewer."""
+    return _least(word_hashes)(text, F.lit(words))
+
+
+def all_words(text: Column, words: int = 3) -> Column:
+    """The different hashes of ``words`` words in a row of ``text``."""
+    return _all(word_hashes)(text, F.lit(words))
 
 
 def holding(short: DataFrame, long: DataFrame, group: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readspan.functions.scores import intdiv, micros_between
+from readspan.operators.grams import all_words, least_words
 
 
 def only(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -85,13 +86,11 @@ def contained(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> D
     below the step that lists its words in threes; names are joined, and texts fetched for what met. Others (shorter, or with
     other white space) have no such key and are looked for in every text, by a broadcast while they are few.
     """
-    three = r"\S+[ \n]+\S+[ \n]+\S+"
-    windows = lambda c: F.transform(F.regexp_extract_all(c, F.lit(rf"(?<!\S)(?=({three}))"), F.lit(1)), lambda x: F.xxhash64(x))
     inner = F.regexp_extract(needle, r"(?s)^\S+[ \n]+(.*\S)[ \n]+\S+\s*$", 1)
     plain = ~F.col(needle).rlike(r"^\s|[\t\r\f\x0B]")
-    needles = needles.where(F.col(needle) != "").withColumn("__k", F.when(plain, F.array_min(windows(inner))))
+    needles = needles.where(F.col(needle) != "").withColumn("__k", least_words(F.when(plain, inner).otherwise("")))
     named = texts.withColumn("__t", F.struct(F.xxhash64(F.col(text)).alias("h"), F.length(text).alias("n")))
-    keys = named.select("__t", F.array_distinct(windows(F.col(text))).alias("__ks")).select("__t", F.explode("__ks").alias("__k"))
+    keys = named.select("__t", all_words(F.col(text)).alias("__ks")).select("__t", F.explode("__ks").alias("__k"))
     long = needles.where("__k is not null")
     hits = keys.join(long.select(F.col(needle).alias("__w"), "__k").distinct(), "__k").select("__w", "__t").distinct()
     met = hits.join(named, "__t").where(F.col(text).contains(F.col("__w"))).drop("__t")
