@@ -27,17 +27,52 @@ def as_of(points: DataFrame, changes: DataFrame, at: str, since: str, value: str
     """``points`` with the ``value`` in force at ``at``; before the first change the first value holds.
 
     Points and changes are one sorted sequence by key, in which each point takes the last change before it: one
-    shuffle and no range join. A change at the same instant is in force.
+    shuffle and no range join. A change at the same instant is in force. Raises without keys: the sequence would be one task's.
     """
+    if not keys:
+        raise ValueError("as_of needs a key that parts its rows")
     p = points.withColumns({"__at": F.col(at), "__kind": F.lit(1), "__v": F.lit(None).cast(changes.schema[value].dataType)})
     c = changes.select(*keys, F.col(since).alias("__at"), F.lit(0).alias("__kind"), F.col(value).alias("__v"))
-    w = Window.partitionBy(*keys).orderBy("__at", "__kind") if keys else Window.orderBy("__at", "__kind")
+    w = Window.partitionBy(*keys).orderBy("__at", "__kind")
     both = p.unionByName(c, allowMissingColumns=True)
     last = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     first = F.first("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return both.withColumn(value, F.coalesce(last, first)).where("__kind = 1").drop("__at", "__kind", "__v")
 
 
+def spans_inside(sittings: DataFrame, spans: DataFrame, key: str, id_col: str, start: str = "started_at", end: str = "ended_at", s_start: str = "from_at", s_end: str = "to_at") -> DataFrame:
+    """``sittings`` with ``inside``: the parts of its key's spans within each, in order, as array<struct<a,b>> of epoch seconds.
+
+    Sittings and spans meet by key and day, and a pair counts on the first day that both have; spans of a key don't
+    overlap, so the array is as long as the changes during one sitting. From it wall time is mapped to span time and back.
+    """
+    days = lambda a, b: F.explode(F.sequence(F.to_date(a), F.to_date(b)))
+    left = sittings.select(id_col, key, F.col(start).alias("__s"), F.col(end).alias("__e"), days(start, end).alias("__d"))
+    right = spans.select(key, F.col(s_start).alias("__a"), F.col(s_end).alias("__b"), days(s_start, s_end).alias("__d"))
+    low, high = F.greatest("__s", "__a"), F.least("__e", "__b")
+    met = left.join(right, [key, "__d"]).where((low < high) & (F.col("__d") == F.to_date(low)))
+    secs = lambda c: F.unix_seconds(c.cast("timestamp"))
+    part = F.struct(secs(low).alias("a"), secs(high).alias("b"))
+    found = met.groupBy(id_col).agg(F.sort_array(F.collect_list(part)).alias("inside"))
+    return sittings.join(found, id_col, "left").withColumn("inside", F.coalesce("inside", F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")))
+
+
+def seconds_in(spans: Column, start: Column, end: Column) -> Column:
+    """Seconds of ``spans`` (array of a and b) between two epoch seconds."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + F.greatest(F.least(x["b"], end) - F.greatest(x["a"], start), F.lit(0)))
+
+
+def shared_over(spans: Column, start: Column, end: Column, amount: Column) -> Column:
+    """``array<struct<a,b,ms>>``: ``amount`` over the parts of ``spans`` between two epoch seconds by their length, truncated; the first part's start takes the rest. Without such parts all of it goes to the whole."""
+    piece = lambda a, b, ms: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), ms.cast("long").alias("ms"))
+    total = seconds_in(spans, start, end)
+    parts = F.filter(F.transform(spans, lambda x: F.struct(F.greatest(x["a"], start).alias("a"), F.least(x["b"], end).alias("b"))), lambda x: x["b"] > x["a"])
+    shared = F.transform(parts, lambda x: piece(x["a"], x["b"], intdiv(amount * (x["b"] - x["a"]), F.greatest(total, F.lit(1)))))
+    given = F.aggregate(shared, F.lit(0).cast("long"), lambda acc, x: acc + x["ms"])
+    first = F.try_element_at(parts, F.lit(1))["a"]
+    return F.when(total <= 0, F.array(piece(start, end, amount))).otherwise(F.concat(shared, F.array(piece(first, first, amount - given))))
+
+
 def overlap_seconds(sittings: DataFrame, spans: DataFrame, key: str, id_col: str, start: str = "started_at", end: str = "ended_at", s_start: str = "from_at", s_end: str = "to_at") -> DataFrame:
     """``sittings`` with ``overlap``: whole seconds of each that spans of its key cover (spans of a key don't overlap)."""
     days = lambda a, b: F.explode(F.sequence(F.to_date(a), F.to_date(b)))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from readspan.functions import logline
 from readspan.functions.scores import GAP, broken, credits, dwell, intdiv, share
 from readspan.operators.figures import busiest, spread_over
-from readspan.operators.intervals import overlap_seconds
+from readspan.operators.intervals import seconds_in, shared_over, spans_inside
+from readspan.operators.lineage import pinned
 from readspan.sources.logs import kept, observations
 
 # Seconds by which a counter may outrun the clock, and by which a power line may trail a wake.
@@ -32,7 +33,48 @@ def _midnight(ts: Column) -> Column:
     return F.to_date(ts).cast("timestamp_ntz")
 
 
-def read_rows(lines: DataFrame, device: str = "device", held: DataFrame | None = None) -> DataFrame:
+def without_chapters(lines: DataFrame, device: str = "device") -> DataFrame:
+    """``lines`` with a stamp; an end position that only ever ends a chapter is none."""
+    rows = lines.where("ts is not null")
+    group = rows.where("chapters is not null")
+    chapters = group.select(device, F.explode("chapters").alias("position")).distinct()
+    books = group.select(device, F.explode("chapter_books").alias("position")).distinct()
+    only = chapters.join(books, [device, "position"], "left_anti").withColumn("chapter_only", F.lit(True))
+    rows = rows.join(only, [device, "position"], "left").withColumn("position", F.when(F.col("chapter_only").isNull(), F.col("position")))
+    return rows.drop("chapter_only", "chapters", "chapter_books")
+
+
+def last_statements(rows: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, position, total_ms, words, ts)``: the last counter that lines (of ``without_chapters``) state of each book."""
+    stated = rows.where("position is not null and total_ms is not null and words is not null")
+    last = F.max_by(F.struct("total_ms", "words", "ts"), F.struct("ts", "line"))
+    return stated.groupBy(*keys, "position").agg(last.alias("s")).select(*keys, "position", "s.*")
+
+
+def named_opens(rows: DataFrame, counters: DataFrame | None, device: str) -> DataFrame:
+    """``(device, open_no, named)``: opens that no observation takes before the next, and the one book whose counter stands at what they state.
+
+    Every statement of a book is in force until the book's next one; ``counters`` are in force before the first. An open and the
+    statements of its second are joined by that second, and those count that are in force when the open is given up,
+    at the next open or the log's end. Two books with such a counter name none.
+    """
+    w = Window.partitionBy(device, "position").orderBy("ts", "line")
+    columns = [device, "position", "total_ms", "ts", "line"]
+    said = rows.where("observed and total_ms is not null and words is not null").select(columns)
+    if counters is not None:
+        said = said.unionByName(counters.select(device, "position", "total_ms", F.lit("0001-01-01").cast("timestamp_ntz").alias("ts"), F.lit("").alias("line")))
+    said = said.withColumns({"from": F.struct("ts", "line"), "until": F.lead(F.struct("ts", "line")).over(w), "second": intdiv(F.col("total_ms"), 1000)})
+    opens = rows.where("open_no > 0").groupBy(device, "open_no").agg(
+        F.max("takes").alias("taken"), F.min(F.when(F.col("opened_ms").isNotNull(), F.struct("ts", "line", "opened_ms"))).alias("open"), F.max(F.col("metric.kind") == "page").alias("paged")
+    )
+    nxt = F.lead(F.struct("open.ts", "open.line")).over(Window.partitionBy(device).orderBy("open_no"))
+    opens = opens.withColumn("given_up", nxt).where("not taken and paged and open.opened_ms > 0").withColumn("second", intdiv(F.col("open.opened_ms"), 1000))
+    met = opens.join(said.select(device, "second", "position", "from", "until"), [device, "second"])
+    in_force = (F.col("given_up").isNull() | (F.col("from") < F.col("given_up"))) & (F.col("until").isNull() | (F.col("given_up").isNotNull() & (F.col("until") >= F.col("given_up"))))
+    return met.where(in_force).groupBy(device, "open_no").agg(F.min("position").alias("named"), F.max("position").alias("__last")).where("named = __last").drop("__last")
+
+
+def read_rows(lines: DataFrame, device: str = "device", held: DataFrame | None = None, counters: DataFrame | None = None) -> DataFrame:
     """``lines`` (see ``sources.logs.observations``) with what stands around each in its device's log, by stamp and line.
 
     ``observed`` and ``reads`` (a page or turn metric) tell what a line is; ``gap_no`` counts the jumps of the clock (over
@@ -42,12 +84,7 @@ def read_rows(lines: DataFrame, device: str = "device", held: DataFrame | None =
     """
     w = Window.partitionBy(device).orderBy("ts", "line")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines.where("ts is not null")
-    group = rows.where("chapters is not null")
-    chapters = group.select(device, F.explode("chapters").alias("position")).distinct()
-    books = group.select(device, F.explode("chapter_books").alias("position")).distinct()
-    only = chapters.join(books, [device, "position"], "left_anti").withColumn("chapter_only", F.lit(True))
-    rows = rows.join(only, [device, "position"], "left").withColumn("position", F.when(F.col("chapter_only").isNull(), F.col("position"))).drop("chapter_only", "chapters", "chapter_books")
+    rows = without_chapters(lines, device)
     rows = rows.withColumn("held_book", F.lit(None).cast("long"))
     if held is not None:
         at_wake = held.groupBy(device, F.col("started_at").alias("ts")).agg(F.min("end_position").alias("of"))
@@ -80,6 +117,7 @@ def read_rows(lines: DataFrame, device: str = "device", held: DataFrame | None =
     rows = rows.withColumn("takes", F.coalesce(takes, F.lit(False)))
     taken = F.max(F.when(F.col("takes"), F.col("open_no"))).over(before)
     rows = rows.withColumn("opened", F.when(taken.isNull() | (taken < F.col("open_no")), F.col("open")))
+    rows = rows.join(named_opens(rows, counters, device), [device, "open_no"], "left")
     # a wake stands until an observation or an open; it lapses if the clock jumps once something was read after it
     last_wake = F.last(F.when(F.col("wakes"), F.struct("ts", "t", "asleep", "sleeps", "obs_no", "open_no", "gap_no", "held_book")), True).over(upto)
     after = Window.partitionBy(device, "wake_no").orderBy("ts", "line").rowsBetween(Window.unboundedPreceding, 0)
@@ -99,26 +137,30 @@ def numbered(rows: DataFrame, device: str = "device") -> DataFrame:
     open or the wake that stands before it, at midnight if it goes on from the day before, else at its first line.
     Metrics name no book: they go to the sitting that is read on within a gap, else to the next that begins before them.
     A page metric after midnight cuts the sitting it goes to, and one after a wake begins a sitting of the book left open.
+    Metrics after an open that no line takes are a sitting of the book that the open's counter names, if there is one.
     """
     w = Window.partitionBy(device).orderBy("ts", "line")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     reading = F.col("observed") | F.col("reads")
     far = F.coalesce(broken(F.col("t") - F.last(F.when(reading, F.col("t")), True).over(before)), F.lit(False))
     last_obs = F.last(F.when(F.col("observed"), F.struct("position", "closes", "gap_no", "open_no", "total_ms")), True).over(before)
-    rows = rows.withColumn("far", far)
+    since_open = Window.partitionBy(device, "open_no").orderBy("ts", "line")
+    named = F.col("reads") & F.col("named").isNotNull()
+    at_counter = named & (F.sum(named.cast("long")).over(since_open.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    rows = rows.withColumns({"far": far, "at_counter": F.coalesce(at_counter, F.lit(False)), "counted_on": F.coalesce(named & ~at_counter, F.lit(False))})
     rows = rows.withColumns({"chain": F.sum((reading & F.col("far")).cast("long")).over(upto), "left": last_obs})
     held = F.col("left").isNotNull() & ~F.col("left.closes") & (F.col("left.open_no") == F.col("open_no"))
     lent = F.col("left").isNull() & F.col("wake.held_book").isNotNull()  # a batch that reads from a wake on knows its book from the held sitting
     begins = F.col("reads") & F.col("wake").isNotNull() & F.coalesce((held & (F.col("left.gap_no") < F.col("gap_no"))) | lent, F.lit(False))
-    rows = rows.withColumns({"held": F.coalesce(held, F.lit(False)), "begins": F.coalesce(begins, F.lit(False))})
+    rows = rows.withColumns({"held": F.coalesce(held, F.lit(False)), "begins": (F.coalesce(begins, F.lit(False)) & F.col("named").isNull()) | F.col("at_counter")})
     inside = Window.partitionBy(device, "chain").orderBy("ts", "line").rowsBetween(Window.unboundedPreceding, -1)
     joined = F.coalesce(F.max(F.col("observed") | F.col("begins")).over(inside), F.lit(False))
     day_before = F.last(F.when(reading, F.to_date("ts")), True).over(inside)
     begun = F.coalesce(F.max("begins").over(inside), F.lit(False)) & F.col("left").isNull()
-    rows = rows.withColumn("live", ((F.col("held") & joined) | begun) & ~F.col("far"))
-    rows = rows.withColumns({"begins": F.col("begins") & ~F.col("live"), "passes": F.col("reads") & F.col("live") & (day_before < F.to_date("ts"))})
+    rows = rows.withColumn("live", F.when(F.col("named").isNotNull(), F.col("counted_on")).otherwise(((F.col("held") & joined) | begun) & ~F.col("far")))
+    rows = rows.withColumns({"begins": F.col("begins") & ~F.col("live"), "passes": F.col("reads") & F.col("live") & ~F.col("counted_on") & (day_before < F.to_date("ts"))})
     anchors = F.col("observed") | F.col("begins") | F.col("passes")
-    book = F.coalesce("position", "left.position", "wake.held_book", F.last("wake.held_book", True).over(inside))
+    book = F.coalesce("position", F.when(F.col("reads"), F.col("named")), "left.position", "wake.held_book", F.last("wake.held_book", True).over(inside))
     anchor = F.last(F.when(anchors, F.struct(book.alias("position"), F.when(F.col("observed"), F.col("closes")).otherwise(False).alias("closes"), "gap_no", F.to_date("ts").alias("day"))), True).over(before)
     rows = rows.withColumns({"book": book, "anchor": anchor})
     p = F.col("anchor")
@@ -136,7 +178,7 @@ def numbered(rows: DataFrame, device: str = "device") -> DataFrame:
     vouched = F.col("observed") & (F.to_date(o["ts"]) == F.to_date("ts")) & gain.between(0, (F.col("t") - o["t"] + SLACK) * 1000)
     floored = F.col("observed") & F.col("total_ms").isNull() & F.col("takes") & o.isNotNull()
     how = (
-        F.when(midnight, "midnight").when(F.col("passes"), "passed").when(F.col("begins"), "wake").when(vouched, "open").when(floored, "floor")
+        F.when(midnight, "midnight").when(F.col("passes"), "passed").when(F.col("at_counter"), "floor").when(F.col("begins"), "wake").when(vouched, "open").when(floored, "floor")
         .when(F.col("observed") & F.col("wake").isNotNull(), "wake").otherwise("line")
     )
     rows = rows.withColumn("how", F.when(F.col("starts"), how))
@@ -151,7 +193,7 @@ def numbered(rows: DataFrame, device: str = "device") -> DataFrame:
     no = F.when(F.col("observed") | F.col("begins") | F.col("live"), F.col("own_no")).otherwise(pended)
     rows = rows.withColumn("no", no).where("no > 0")
     rows = rows.withColumn("book", F.max(F.when(F.col("starts"), F.col("book"))).over(Window.partitionBy(device, "no")))
-    return rows.drop("far", "own_no", "live", "held", "left", "anchor", "goes_on", "opened", "wake", "chain", "begins", "passes")
+    return rows.drop("far", "own_no", "live", "held", "left", "anchor", "goes_on", "opened", "wake", "chain", "begins", "passes", "named", "at_counter", "counted_on")
 
 
 def _pages(rows: DataFrame, device: str) -> DataFrame:
@@ -230,7 +272,7 @@ def _folded(rows: DataFrame, device: str) -> DataFrame:
     )
 
 
-def _settled(sat: DataFrame, device: str, held: DataFrame | None) -> DataFrame:
+def _settled(sat: DataFrame, device: str, held: DataFrame | None, counters: DataFrame | None = None) -> DataFrame:
     """Sittings with their counters: what an open, a wake, a midnight or a late statement of the book makes of them.
 
     A sitting without page turns that is read on after its last counter is owing: the next sitting of the book that states
@@ -257,7 +299,15 @@ def _settled(sat: DataFrame, device: str, held: DataFrame | None) -> DataFrame:
     # the book's latest counter, and the sittings that owe since
     states = F.col("last_stated").isNotNull()
     owing = ~F.coalesce(F.col("nxt.how") == "midnight", F.lit(False)) & (F.col("obs_turns") == 0) & (~states | (F.col("last_seen.t") > F.col("last_stated.t")))
-    sat = sat.withColumns({"owing": owing, "stated": F.last("last_stated", True).over(before), "since": F.last("last_stated", True).over(w), "group": F.sum(states.cast("long")).over(w)})
+    stated, since = F.last("last_stated", True).over(before), F.last("last_stated", True).over(w)
+    sat = sat.withColumn("stated_here", stated)
+    if counters is not None:
+        kind = sat.schema["last_stated"].dataType.simpleString()
+        zero = F.lit(0).cast("long")
+        prior = F.struct("total_ms", "words", _secs(F.col("ts")).alias("t"), zero.alias("asleep"), zero.alias("credit_ms"), zero.alias("credit_words")).cast(kind)
+        sat = sat.join(counters.select(device, F.col("position").alias("end_position"), prior.alias("prior")), [device, "end_position"], "left")
+        stated, since = F.coalesce(stated, "prior"), F.coalesce(since, "prior")
+    sat = sat.withColumns({"owing": owing, "stated": stated, "since": since, "group": F.sum(states.cast("long")).over(w)})
     from_t, from_asleep = F.greatest("began_t", "since.t"), F.when(F.coalesce(F.col("since.t") > F.col("began_t"), F.lit(False)), F.col("since.asleep")).otherwise(F.col("began_asleep"))
     awake = F.greatest(F.col("end.t") - from_t - (F.col("end.asleep") - from_asleep), F.lit(0))
     sat = sat.withColumn("weight", F.when(F.col("owing"), awake).otherwise(0))
@@ -271,8 +321,10 @@ def _settled(sat: DataFrame, device: str, held: DataFrame | None) -> DataFrame:
         opened = held.groupBy(device, "end_position", F.col("started_at").alias("began")).agg(F.first("start_counter_ms", True).alias("lent_ms"), F.first("start_words", True).alias("lent_words"))
         sat = sat.join(opened, [device, "end_position", "began"], "left")
         lent_ms, lent_words = F.col("lent_ms"), F.col("lent_words")
-    floor_ms = F.when(F.col("how") == "floor", F.col("read_ms")).when(F.col("how").isin("wake", "passed"), F.coalesce(s["total_ms"], lent_ms))
-    floor_words = F.when(F.col("how").isin("wake", "passed"), F.when(s.isNotNull(), s["words"]).otherwise(lent_words))
+    # what these lines state, then what the sitting was held with, then what earlier lines stated
+    here, at_wake = F.col("stated_here"), F.col("how").isin("wake", "passed")
+    floor_ms = F.when(F.col("how") == "floor", F.col("read_ms")).when(at_wake, F.coalesce(here["total_ms"], lent_ms, s["total_ms"]))
+    floor_words = F.when(at_wake, F.when(here.isNotNull(), here["words"]).when(lent_ms.isNotNull(), lent_words).otherwise(s["words"]))
     step = F.when(F.col("how") == "floor", 1000).otherwise(1)
     after = F.greatest(f["t"] - F.col("began_t") - (f["asleep"] - F.col("began_asleep")), F.lit(0))
     owed = F.when(F.col("how") == "floor", 0).otherwise(F.col("owed_before"))
@@ -311,13 +363,19 @@ def _settled(sat: DataFrame, device: str, held: DataFrame | None) -> DataFrame:
     })
 
 
-def hours_of(spans: Column, seconds: Column) -> Column:
+def hours_of(spans: Column, seconds: Column, awake: Column | None = None) -> Column:
     """``array<struct<h,s>>`` that adds up to ``seconds``: milliseconds of ``spans`` (a, b, ms) over the clock hours they ran through.
 
-    A span is spread evenly and its first hour takes what is left over; hours become seconds by the truncated running
-    sum, and the busiest takes the rest.
+    A span is first shared over the parts of ``awake`` (a and b, in order) inside it, if there are any. Each part is spread
+    evenly and its first hour takes what is left over; hours become seconds by the truncated running sum, and the
+    busiest takes the rest. What lies past the midnight after a span's start counts at that midnight.
     """
-    inside = F.flatten(F.transform(spans, lambda x: spread_over(x["ms"], F.pmod(x["a"], F.lit(86_400)), F.pmod(x["a"], F.lit(86_400)) + F.greatest(x["b"] - x["a"], F.lit(0)))))
+    if awake is not None:
+        spans = F.flatten(F.transform(spans, lambda x: F.transform(shared_over(awake, x["a"], x["b"], x["ms"]), lambda p: F.struct((x["a"] - F.pmod(x["a"], F.lit(86_400))).alias("day"), p["a"].alias("a"), p["b"].alias("b"), p["ms"].alias("ms")))))
+        clip = lambda at, x: F.least(F.greatest(at - x["day"], F.lit(0)), F.lit(86_400))
+        inside = F.flatten(F.transform(spans, lambda x: spread_over(x["ms"], clip(x["a"], x), clip(x["b"], x))))
+    else:
+        inside = F.flatten(F.transform(spans, lambda x: spread_over(x["ms"], F.pmod(x["a"], F.lit(86_400)), F.pmod(x["a"], F.lit(86_400)) + F.greatest(x["b"] - x["a"], F.lit(0)))))
     total = lambda h: F.aggregate(F.filter(inside, lambda x: x["h"] == h), F.lit(0).cast("long"), lambda a, x: a + x["s"])
     start = F.expr("named_struct('run', 0L, 'given', 0L, 'out', cast(array() as array<struct<h:int,s:bigint>>))")
 
@@ -351,7 +409,7 @@ def awake_spans(rows: DataFrame, device: str = "device") -> DataFrame:
     return spans.where(F.col("to_at").isNotNull() & F.col("read") & (lead | (F.col("state") == "active"))).select(device, "from_at", "to_at")
 
 
-def sittings(lines: DataFrame, device: str = "device", held: DataFrame | None = None) -> DataFrame:
+def sittings(lines: DataFrame, device: str = "device", held: DataFrame | None = None, counters: DataFrame | None = None) -> DataFrame:
     """Sittings of each device from its observations (see ``sources.logs``), in order of stamp and line.
 
     Seconds are the first of four measures that has any: ``counted``, the span of the book's counter with what late
@@ -361,13 +419,15 @@ def sittings(lines: DataFrame, device: str = "device", held: DataFrame | None =
     The work is windows over one shuffle by device and, on the far fewer sittings, by device and book; a device's log
     is sorted with spilling and never held whole. Rows with the same stamp and line count once each; null stamps are
     left out; an empty log gives no sittings. ``held`` are sittings that ``lines`` restate: one that opens at a wake
-    lends the book and counter that lines before the wake stated.
+    lends the book and counter that lines before the wake stated. ``counters`` (device, position, total_ms, words, ts: one row a book)
+    are what lines before these stated last; the first of these lines go on from them.
     """
-    rows = read_rows(lines, device, held)
-    sat = _settled(_folded(_pages(numbered(rows, device), device), device), device, held)
+    rows = read_rows(lines, device, held, counters)
+    sat = _settled(_folded(_pages(numbered(rows, device), device), device), device, held, counters)
     sat = sat.withColumns({"counted": intdiv(F.col("end_counter_ms") - F.col("start_counter_ms"), 1000), "timed": intdiv(F.col("timed_ms"), 1000), "ended_at": F.when(F.col("is_cut"), F.date_add(F.to_date("last_seen.ts"), 1).cast("timestamp_ntz") - F.expr("interval 1 second")).otherwise(F.col("end.ts"))})
     sat = sat.withColumns({"id": F.struct(device, "no"), "end_at": F.col("end.ts"), "awake_seconds": F.greatest(F.col("end.t") - F.col("began_t") - (F.col("end.asleep") - F.col("began_asleep")), F.lit(0))})
-    sat = overlap_seconds(sat, awake_spans(rows, device), device, "id", "began", "end_at")
+    sat = spans_inside(sat.withColumn("until", F.greatest("end_at", "ended_at")), awake_spans(rows, device), device, "id", "began", "until")
+    sat = sat.withColumn("overlap", seconds_in(F.col("inside"), F.col("began_t"), F.col("end.t")))
     measure = F.when(F.col("counted") > 0, "counted").when(F.col("timed") > 0, "timed").when(F.col("paged") > 0, "paged").when(F.col("overlap") > 0, "awake")
     sat = sat.withColumn("measure", measure).where("measure is not null")
     seconds = F.when(F.col("measure") == "counted", F.col("counted")).when(F.col("measure") == "timed", F.col("timed")).when(F.col("measure") == "paged", F.col("paged")).otherwise(F.col("overlap"))
@@ -387,7 +447,7 @@ def sittings(lines: DataFrame, device: str = "device", held: DataFrame | None =
         F.coalesce(F.nullif(F.col("end_words") - F.col("start_words"), F.lit(0)), "paged_words").cast("long").alias("words"), "measure", "content_key", (1 - F.col("left_share")).alias("progress"),
         "start_counter_ms", "end_counter_ms", "start_words", "end_words", "time_left", "stated_wpm", "awake_seconds", F.col("paged").cast("long").alias("paged_seconds"), F.col("paged_words").cast("long").alias("paged_words"),
         F.col("timed").alias("timed_seconds"), F.coalesce("timed_words", F.lit(0)).cast("long").alias("timed_words"), "covered", "stretches",
-        hours_of(F.filter(spans, lambda x: x["ms"] > 0), F.col("seconds")).alias("hours"),
+        hours_of(F.filter(spans, lambda x: x["ms"] > 0), F.col("seconds"), F.col("inside")).alias("hours"),
     )
 
 
@@ -410,17 +470,18 @@ def resume_at(held: DataFrame, watermark: DataFrame, device: str = "device") ->
     return out.select(device, (F.greatest(cut, F.col("reset_at")) if "reset_at" in watermark.columns else cut).alias("cut"))
 
 
-def absorb(held: DataFrame, lines: DataFrame, cuts: DataFrame, device: str = "device") -> DataFrame:
+def absorb(held: DataFrame, lines: DataFrame, cuts: DataFrame, device: str = "device", counters: DataFrame | None = None) -> DataFrame:
     """Incremental batch: sittings before each device's cut stay, later ones come from ``lines`` parsed from the cut on.
 
-    What is parsed again is lent the counters and books at which the ``held`` sittings opened. ``cuts`` has one row a
+    What is parsed again is lent the counters and books at which the ``held`` sittings opened, and goes on from ``counters`` (see
+    ``sittings``), those that each device's books stood at by its cut. ``cuts`` has one row a
     device; a null cut replaces all that the device holds, a device without a row keeps it and reads all its lines.
     """
     cuts = cuts.withColumn("cut", F.coalesce("cut", F.lit("0001-01-01").cast("timestamp_ntz")))
     fresh = lines.join(cuts, device, "left").where(F.col("cut").isNull() | (F.col("ts") >= F.col("cut"))).drop("cut")
     both = held.join(cuts, device, "left")
     later = both.where(F.col("started_at") >= F.col("cut")).drop("cut")
-    parsed = sittings(fresh, device, later)
+    parsed = sittings(fresh, device, later, counters)
     old = both.where(F.col("cut").isNull() | (F.col("started_at") < F.col("cut"))).drop("cut")
     return old.unionByName(parsed, allowMissingColumns=True)
 
@@ -432,14 +493,24 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     return kept(rows)
 
 
+#: Devices that a batch names up to which their partitions are listed by name; beyond it all are read and joined.
+NAMED_DEVICES = 10_000
+_STATE = "position long, total_ms long, words long, ts timestamp_ntz, epoch long, device string, day date"
+
+
 def run_available(spark: SparkSession, path: str, lines_table: str, out_table: str, checkpoint: str) -> None:
     """Read what is new (``AvailableNow``), add its lines to ``lines_table`` and bring the sittings of the devices it names up to date.
 
-    ``lines_table`` lies by device and day, so that a batch reads only its devices' days from their cut on: a gap before the
-    earliest new line, or the start of the sitting that this line may belong to. (A counter that only lines before the cut
-    state, none of them in a sitting, is not seen again.) Lines are a set and a batch overwrites its own files,
-    so a batch that runs again after a failure changes nothing. ``out_table`` is a new version a batch
-    (``version=<epoch>``), so a reader never sees half of one; it copies the sittings of other devices from the last.
+    Three tables lie by device, and a batch reads and writes only those of the devices that it names:
+
+    * ``lines_table``, by device and day too: of it the days from the earliest cut on, a gap before the earliest new line or
+      the start of the sitting that this line may belong to;
+    * ``<out_table>_state``: the last counter that each day's lines state of a book. What days before the cut state comes from here, so
+      counters stated only before the cut count without their lines being read again;
+    * ``out_table``: the sittings, a version a batch of its devices (see ``read_sittings``).
+
+    Lines are a set and a batch overwrites its own files, so one that runs again after a failure changes nothing; which version of
+    a device counts is written last, in ``<out_table>_versions``, so a reader never sees half of one.
     """
 
     def batch(rows: DataFrame, epoch: int) -> None:
@@ -447,28 +518,49 @@ def run_available(spark: SparkSession, path: str, lines_table: str, out_table: s
         stamped = rows.dropDuplicates(["device", "line"]).withColumn("at", logline.stamp(F.col("line"))).where("at is not null")
         stamped.withColumn("day", F.to_date("at")).write.mode("overwrite").partitionBy("device", "day").parquet(f"{lines_table}/batch={epoch}")
         added = session.read.schema("line string, at timestamp_ntz, batch long, device string, day date").parquet(lines_table)
-        named = added.where(F.col("batch") == epoch).groupBy("device").agg((F.min("at") - F.make_dt_interval(secs=F.lit(GAP))).cast("timestamp_ntz").alias("watermark"))
-        held = _newest(session, out_table, epoch)
-        if held is None:
-            held = session.createDataFrame([], SITTING)
-        ours = held.join(named, "device")
-        cuts = resume_at(ours.where(F.col("started_at") <= F.col("watermark")).drop("watermark"), named)
-        lines = added.join(cuts, "device").where(F.col("cut").isNull() | (F.col("day") >= F.to_date("cut")))
-        fresh = observations(lines.select("device", "line").distinct())
-        others = held.join(named, "device", "left_anti")
-        absorb(ours.drop("watermark"), fresh, cuts).unionByName(others).write.mode("overwrite").parquet(f"{out_table}/version={epoch}")
+        new = added.where(F.col("batch") == epoch)
+        named = new.groupBy("device").agg((F.min("at") - F.make_dt_interval(secs=F.lit(GAP))).cast("timestamp_ntz").alias("watermark"), F.min("day").alias("first_day"))
+        named = pinned(named)
+        devices = [r[0] for r in named.select("device").limit(NAMED_DEVICES + 1).collect()]
+        of = F.col("device").isin(devices) if len(devices) <= NAMED_DEVICES else F.lit(True)
+        held = read_sittings(session, out_table, epoch).where(of)
+        ours = held.join(named.select("device", "watermark"), "device")
+        cuts = pinned(resume_at(ours.where(F.col("started_at") <= F.col("watermark")).drop("watermark"), named.select("device", "watermark")))
+        first = cuts.agg(F.count_if(F.col("cut").isNull()), F.min(F.to_date("cut"))).first()
+        since = F.lit(True) if first[0] or first[1] is None else F.col("day") >= F.lit(first[1])
+        read = added.where(of & since).join(cuts, "device").where(F.col("cut").isNull() | (F.col("day") >= F.to_date("cut")))
+        fresh = observations(read.select("device", "line", "cut", "day").distinct())
+        stated = without_chapters(fresh)
+        kept = _table(session, f"{out_table}_state", _STATE).where(of & (F.col("epoch") < epoch))
+        last = kept.withColumn("__l", F.max("epoch").over(Window.partitionBy("device", "day"))).where("epoch = __l").drop("__l")
+        known = last.join(cuts, "device").where(F.col("day") < F.to_date("cut")).select("device", "position", "total_ms", "words", "ts")
+        earlier = last_statements(stated.where(F.col("ts") < F.col("cut")), "device").select("device", "position", "total_ms", "words", "ts")
+        counters = known.unionByName(earlier).groupBy("device", "position").agg(F.max_by(F.struct("total_ms", "words", "ts"), "ts").alias("s")).select("device", "position", "s.*")
+        result = absorb(ours.drop("watermark"), fresh.drop("cut", "day"), cuts, counters=pinned(counters))
+        by_day = last_statements(stated, "device", "day").withColumn("epoch", F.lit(epoch).cast("long"))
+        by_day.write.mode("overwrite").partitionBy("epoch", "device", "day").option("partitionOverwriteMode", "dynamic").parquet(f"{out_table}_state")
+        result.write.mode("overwrite").partitionBy("device").parquet(f"{out_table}/version={epoch}")
+        named.select("device", F.lit(epoch).cast("long").alias("version")).write.mode("overwrite").parquet(f"{out_table}_versions/epoch={epoch}")
 
     query = stream_lines(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def _newest(spark: SparkSession, out_table: str, epoch: int) -> DataFrame | None:
-    """The last version before ``epoch``; none if there is none."""
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``; an empty one if there is none yet."""
     try:
-        versions = spark.read.parquet(out_table)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
-    last = versions.where(F.col("version") < epoch).agg(F.max("version")).first()[0]
-    return None if last is None else versions.where(F.col("version") == last).drop("version")
+        return spark.createDataFrame([], schema)
+
+
+def read_sittings(spark: SparkSession, out_table: str, before: int | None = None) -> DataFrame:
+    """The sittings of every device as of its last version (before batch ``before``); only those versions' folders are read."""
+    versions = _table(spark, f"{out_table}_versions", "device string, version long, epoch long")
+    if before is not None:
+        versions = versions.where(F.col("epoch") < before)
+    last = versions.groupBy("device").agg(F.max("version").alias("version"))
+    rows = _table(spark, out_table, f"{SITTING}, version long")
+    return rows.join(last, ["device", "version"]).select(rows.drop("version").columns)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readspan.functions import logline, scores
+from readspan.operators import intervals
 from readspan.sources import logs
 from readspan.streaming import late
 from readspan.streaming import sittings as stream
@@ -86,6 +87,19 @@ LOGS = {
     ],
     "a": [turn("100000", 1000, 0), turn("100040", 41000), turn("100040", 41000), None],
     "b": [turn("100010", 900_000, 0), turn("100020", 910_000)],
+    "counter names": [
+        turn("220000", 604_250, 40_000, 2_400), turn("220100", 604_250, 100, 2_400, event="CloseBook"), opens("221500", "TimeRead:604 sec."), page("221503"), page("221603"), page("221950"), page("222330"), timer("222400", "OldTimeLeft:900"),
+        opens("230000", "TimeRead:1,010 sec."), turn("230020", 1_010_400, 400, 4_100, event="CloseBook"),
+    ],
+    "counter names, alone": [
+        turn("220000", 604_250, 40_000, 2_400), turn("220100", 604_250, 100, 2_400, event="CloseBook"), opens("221500", "TimeRead:604 sec."), page("221503"), page("221603"), page("221950"), page("222330"), timer("222400", "OldTimeLeft:900"),
+    ],
+    "counter names none": [turn("220000", 604_250, 100, 2_400, event="CloseBook"), opens("221500", "TimeRead:605 sec."), page("221503"), page("221603")],
+    "counter names two": [turn("220000", 604_250, 100, 2_400, event="CloseBook"), turn("220100", 604_900, 100, 10, book=OTHER, event="CloseBook"), opens("221500", "TimeRead:604 sec."), page("221503"), page("221603")],
+    "counter named by then": [turn("220000", 604_250, 100, 2_400, event="CloseBook"), turn("220100", 704_900, 100, 2_500, event="CloseBook"), opens("221500", "TimeRead:604 sec."), page("221503"), page("221603"), opens("230000", "null")],
+    "held across a sleep": [
+        power("105000", True), turn("105003", 7_000_000, 0), page("105010"), turn("105020", 7_000_000, 0), power("105200", False), power("111000", True), page("111500"), turn("111510", 7_000_000, 0), power("111600", False),
+    ],
     "step back": [turn("104500", 7_000_000), turn("104540", 7_040_000), turn("064620", 7_080_000), turn("064700", 7_120_000)],
 }
 
@@ -240,7 +254,7 @@ def test_batches_of_files_equal_the_whole_log(spark, tmp_path):
             (tmp_path / "in" / device).mkdir(parents=True, exist_ok=True)
             (tmp_path / "in" / device / f"f{n}").write_text("\n".join(lines[device][lo:hi]) + "\n")
         stream.run_available(spark, *args)
-    assert rows_of(spark.read.parquet(f"{args[2]}/version={len(cuts) - 1}")) == whole
+    assert rows_of(stream.read_sittings(spark, args[2])) == whole
 
 
 def test_pass_from_a_wake_takes_the_held_counter(spark):
@@ -260,6 +274,50 @@ def sitting(spark, *rows):
     return spark.createDataFrame([("d", *r) for r in rows], "device string, started_at timestamp_ntz, ended_at timestamp_ntz, end_position long, seconds long, content_key string, progress double")
 
 
+def test_an_open_that_no_line_takes_is_named_by_its_counter(sits):
+    a = sits["counter names"][-1]
+    assert (a.started_at, a.ended_at, a.end_position, a.paged_seconds) == (at("221500"), at("222330"), BOOK, 300)
+    assert (a.start_counter_ms, a.end_counter_ms, a.seconds, a.measure) == (604_250, 1_010_000, 405, "counted")
+    alone = sits["counter names, alone"][-1]
+    assert (alone.started_at, alone.seconds, alone.measure, alone.end_position) == (at("221500"), 300, "paged", BOOK)
+    for name in ("counter names none", "counter names two", "counter named by then"):
+        assert all(r.started_at < at("221500") for r in sits[name]), name
+
+
+def test_counters_before_the_cut_name_and_begin_sittings(spark):
+    lines = [opens("221500", "TimeRead:604 sec."), page("221503"), page("221603"), page("221950"), opens("230000", "null"), wake("231500"), power("231500", True), turn("232500", 1_607_000, 9_000, 8_000, book=OTHER, event="CloseBook")]
+    rows = logs.observations(spark.createDataFrame([("d", x) for x in lines], "device string, line string"))
+    counters = spark.createDataFrame([("d", BOOK, 604_250, 2_400, at("090000")), ("d", OTHER, 1_303_000, 6_510, at("090000")), ("e", OTHER, 604_000, 1, at("090000"))], "device string, position long, total_ms long, words long, ts timestamp_ntz")
+    a, b = sorted(stream.sittings(rows, counters=counters).collect(), key=lambda r: r.started_at)
+    assert (a.end_position, a.measure, a.seconds) == (BOOK, "paged", 180)
+    assert (b.start_counter_ms, b.seconds, b.measure, b.start_words) == (1_303_000, 304, "counted", 6_510)
+    assert [r.end_position for r in stream.sittings(rows).collect()] == [OTHER]
+
+
+def test_gains_count_where_the_device_was_awake(sits):
+    (r,) = sits["held across a sleep"]
+    assert (r.measure, [tuple(h) for h in r.hours], r.seconds) == ("paged", [(10, 32), (11, 88)], 120)
+
+
+def test_amounts_over_spans(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        cuts = sorted(rng.sample(range(4000), 6))
+        a, b = sorted((rng.randrange(4000), rng.randrange(4000)))
+        rows.append((i, [{"a": x, "b": y} for x, y in zip(cuts[::2], cuts[1::2])], a, b, rng.randrange(1, 9000)))
+    df = spark.createDataFrame(rows, "i int, s array<struct<a:long,b:long>>, a long, b long, ms long")
+    got = {r.i: [tuple(p) for p in r.p if p.ms] for r in df.select("i", intervals.shared_over(F.col("s"), F.col("a"), F.col("b"), F.col("ms")).alias("p")).collect()}
+    for i, spans, a, b, ms in rows:
+        parts = [(max(x["a"], a), min(x["b"], b)) for x in spans if min(x["b"], b) > max(x["a"], a)]
+        total = sum(y - x for x, y in parts)
+        want = [(x, y, ms * (y - x) // total) for x, y in parts]
+        want = [*want, (parts[0][0], parts[0][0], ms - sum(w[2] for w in want))] if parts else [(a, b, ms)]
+        assert got[i] == [w for w in want if w[2]]
+
+
 def test_heal_rebuild_and_merge(spark):
     held = sitting(spark, (at("100000"), at("101000"), 1, 100, "K", 0.5), (at("110010"), at("111000"), 1, 50, None, None), (at("120000"), at("121000"), 2, 9, None, 0.1), (at("130000"), at("131000"), 3, 5, None, None))
     whole = sitting(spark, (at("100000"), at("100900"), 1, 120, None, 0.6), (at("110000"), at("111000"), 1, 60, None, None), (at("130000"), at("131000"), 3, 5, None, None), (at("140000"), at("141000"), 4, 7, None, None))
