@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readspan.llm.common import folder
+from readspan.llm.common import folder, freed
 
 #: Samples in a row of a stored image.
 WIDTH = 576
@@ -163,14 +164,17 @@ def parse_items(page: str) -> list[tuple[str, str, str, str]]:
 
 
 def page_items(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """One row an item of each page. Null html counts as empty and gives none."""
+    """One row an item of each page; ids of any kind, null ones too, go along as they are. Null html counts as empty and gives none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, k, *item) for i, page in zip(batch["id"], batch["html"], strict=True) for k, item in enumerate(parse_items(page))]
-            yield pd.DataFrame(out, columns=["id", "position", "kind", "text", "digest", "caption"])
+            out = [(i, k, *item) for i, page in enumerate(batch.column("html").to_pylist()) for k, item in enumerate(parse_items(page))]
+            if out:
+                of, position, *said = zip(*out, strict=True)
+                columns = [batch.column("id").take(pa.array(of)), pa.array(position, pa.int32()), *(pa.array(c, pa.string()) for c in said)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "position", "kind", "text", "digest", "caption"])
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInPandas(run, _ITEMS)
+    return pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(freed(run), _ITEMS)
 
 
 def interleave(items: DataFrame, media: DataFrame) -> DataFrame:

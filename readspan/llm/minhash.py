@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comparison a member and bucket.
 
     Null text counts as empty. Texts without words are linked only with equal texts. Rows that repeat an id are
-    one document with several rows. An empty table gives no rows; other columns are ignored.
+    one document with several rows. A row without an id is in the class of the rows with its text that have one, and not kept;
+    a text that only such rows have is compared with none: their ``class_id`` is null and they are kept. An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sigs = cut(signed(docs, bands, rows))
@@ -283,10 +284,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_text = copies.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").join(ends.select(F.col("id").alias("rep"), "count"), "rep", "left")
     per_text = cut(per_text.select("digest", F.coalesce("component", "rep").alias("class_id"), F.coalesce("count", F.lit(0)).cast("long").alias("n_links")))
     out = sigs.select("id", "digest").join(per_text, "digest")
-    return out.select(F.col("id").alias(id_col), "class_id", "n_links", (F.col("id") == F.col("class_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "class_id", "n_links", F.equal_null("id", "class_id").alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each class, with all their columns."""
+    """The rows of ``docs`` that stay, one document of each class, with all their columns. Rows without an id stay."""
     copies = near_duplicates(docs, id_col, text_col, **settings).where("not kept").select(id_col)
     return without(docs, copies, id_col)

@@ -79,14 +79,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a stored image; a page that shows it names it by digest, and the join resolves what was read back."""
+    """Every text as a stored image; a page a row shows it between two texts and names it by digest, and the join resolves what was read back.
+
+    Pages are numbered by row, so rows without an id and rows that repeat one have a page each.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("digest", F.sha2(F.encode("text", "UTF-8"), 256))
-    features = media.media_features(media.store_media(docs, "digest", "text"))
-    page = F.concat(F.lit('<figure><img src="digest:'), F.col("digest"), F.lit('"><figcaption>'), F.col("doc_id").cast("string"), F.lit("</figcaption></figure>"))
-    items = media.page_items(docs.select("doc_id", page.alias("html")), "doc_id", "html")
-    item = F.explode(F.filter("items", lambda x: x["kind"] == "media"))
-    return media.interleave(items, features).select(item.alias("i")).select(F.col("i.caption").cast("long").alias("doc_id"), "i.media.*")
+    docs = docs.withColumns({"digest": F.sha2(F.encode("text", "UTF-8"), 256), "page": F.monotonically_increasing_id()})
+    features = media.media_features(media.store_media(docs.select("digest", "text"), "digest", "text"))
+    shown = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    page = F.concat(F.lit('<p>before</p><figure><img src="digest:'), F.col("digest"), F.lit('"><figcaption>'), shown, F.lit("</figcaption></figure><p>after</p>"))
+    pages = media.interleave(media.page_items(docs.select("page", page.alias("html")), "page", "html"), features)
+    item = F.element_at("items", 2)  # between its texts
+    return pages.select(F.nullif(item["caption"], F.lit("")).cast("long").alias("doc_id"), item["media"].alias("m")).select("doc_id", "m.*")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,15 +200,16 @@ ORACLES: dict[str, str] = {
               from w window before as (order by cap::double / weight, rank rows between unbounded preceding and 1 preceding)),
         x as (select coalesce(max(level) filter (where level <= cap::double / weight), 1e300) as top from l),
         t as (select source, source_size, rank, least(cap::double, top * weight) as target from l, x),
-        q as (select doc_id, size, source_size, target, rank,
-                (sum(size) over (partition by rank order by md5(coalesce(cast(doc_id as varchar), '')), doc_id nulls first, size rows unbounded preceding) - size)::bigint as pos
-              from d join t on d.source is not distinct from t.source where size > 0),
+        g as (select doc_id, size, source_size, target, rank, count(*) as n, (size * count(*))::bigint as words from d join t on d.source is not distinct from t.source where size > 0 group by doc_id, size, source_size, target, rank),
+        q as (select *, (sum(words) over (partition by rank order by md5(coalesce(cast(doc_id as varchar), '')), doc_id nulls first, size rows unbounded preceding) - words)::bigint as pos from g),
         e as (select *, unnest(range(0, 2)) as turn from q),
-        k as (select *, greatest(1, floor(target / 1000))::bigint as packet, unnest(range(0, size, greatest(1, floor(target / 1000))::bigint)) as lo from e),
-        y as (select *, least(lo + packet, size) - lo as length, (turn * source_size + pos + least(lo + packet, size))::double / target as finish from k),
-        z as (select *, (sum(length) over (order by finish, rank, turn, pos, lo rows unbounded preceding) - length)::bigint as before, (select floor(sum(source_size) * 1.5)::bigint from s) as budget from y)
-        select doc_id, size, source_size, target, sum(greatest(0, least(length, budget - before)))::bigint as taken, min(before) filter (where turn = 0 and lo = 0 and before < budget) as first_at
-        from z group by doc_id, size, source_size, target, rank, pos
+        k as (select *, greatest(1, floor(target / 1000))::bigint as packet, unnest(range(0, words, greatest(1, floor(target / 1000))::bigint)) as lo from e),
+        y as (select *, least(lo + packet, words) - lo as length, (turn * source_size + pos + least(lo + packet, words))::double / target as finish from k),
+        z as (select *, (sum(length) over (order by finish, rank, turn, pos, lo rows unbounded preceding) - length)::bigint as before, (select floor(sum(source_size) * 1.5)::bigint from s) as budget from y),
+        m as (select doc_id, size, n, source_size, target, rank, pos, turn, sum(greatest(0, least(length, budget - before)))::bigint as took, min(before) filter (where turn = 0 and lo = 0 and before < budget) as begins from z group by doc_id, size, n, source_size, target, rank, pos, turn),
+        c as (select *, unnest(range(0, n)) as copy from m)
+        select doc_id, size, source_size, target, sum(greatest(0, least(size, took - copy * size)))::bigint as taken, case when copy = 0 and sum(greatest(0, least(size, took))) > 0 then min(begins) end as first_at
+        from c group by doc_id, size, source_size, target, rank, pos, copy
         union all select doc_id, size, source_size, target, 0, null from d join t on d.source is not distinct from t.source where size = 0
     """,
 }

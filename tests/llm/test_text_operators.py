@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -177,6 +178,22 @@ def test_media_query_round_trip(spark):
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), media.describe(payload))
 
 
+def test_media_query_keeps_every_row(spark, tmp_path):
+    rows = [(2**53 + 1, "a"), (None, "b"), (None, "b"), (None, None), (7, "c"), (7, "d"), (8, "")]
+    spark.createDataFrame([(*r, "clash", b"x") for r in rows], "doc_id long, text string, digest string, media binary").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_media_columns(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.tail_crc32) for r in got), key=str) == sorted(((i, len((t or "").encode()), zlib.crc32(media.padded((t or "").encode())[-32:])) for i, t in rows), key=str)
+
+
+def test_stored_media_is_a_png_to_others(spark, tmp_path):
+    payload = media.padded(bytes(range(256)) * 5 + b"text")
+    (tmp_path / "x.png").write_bytes(media.to_png(payload))
+    image = spark.read.format("image").load(str(tmp_path / "x.png")).select("image.*").first()  # decoded by Java
+    data = np.frombuffer(bytes(image.data), np.uint8).reshape(image.height, image.width, image.nChannels)
+    flat = data[..., ::-1].tobytes() if image.nChannels == 3 and len(data.tobytes()) == len(payload) else data[..., 0].tobytes()
+    assert flat == payload
+
+
 def test_media_features_by_a_plain_count():
     import math
     import statistics
