@@ -56,8 +56,8 @@ class Codec:
         raw = [self.pieces[i].encode() for i in normal]
         self.depth = max(map(len, raw))
         self.width = max(len(self.pieces[i]) for i in normal)
-        self.low = np.array(raw, dtype=f"S{self.depth}")
-        self.high = np.array([x + b"\xff" * (self.depth - len(x)) for x in raw], dtype=f"S{self.depth}")
+        self.raw, self.raw_bytes = np.array(raw, dtype=f"S{self.depth}"), np.array([len(x) for x in raw])
+        self.bounds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.piece_id = np.array(normal, np.int32)
         self.piece_chars = np.array([len(self.pieces[i]) for i in normal])
         scores = np.array([sp.get_score(i) for i in normal])
@@ -97,20 +97,31 @@ class Codec:
         data = np.frombuffer(text.encode(), np.uint8)
         at = np.flatnonzero((data & 0xC0) != 0x80)  # characters
         ends = np.append(at, len(data))[word_ends]
-        end = np.repeat(ends, np.diff(np.concatenate(([0], word_ends))))
-        place = at[:, None] + np.arange(self.depth)
-        keys = np.where(place < end[:, None], data[np.minimum(place, max(len(data) - 1, 0))], 0).astype(np.uint8)
-        suffixes = np.ascontiguousarray(keys).view(f"S{self.depth}").ravel()
+        left = np.repeat(ends, np.diff(np.concatenate(([0], word_ends)))) - at
+        depth = min(self.depth, int(left.max(initial=1)))
+        rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(depth, np.uint8))), depth)[at]
+        rows[np.arange(depth) >= left[:, None]] = 0
+        suffixes = rows.view(f"S{depth}").ravel()
+        pieces, low, high = self._bounds(depth)
         order = np.argsort(suffixes)
         ordered = suffixes[order]
-        lo, hi = np.searchsorted(ordered, self.low, "left"), np.searchsorted(ordered, self.high, "right")
+        lo, hi = np.searchsorted(ordered, low, "left"), np.searchsorted(ordered, high, "right")
         count = hi - lo
-        hit = np.repeat(np.arange(len(lo)), count)
+        hit = np.repeat(pieces, count)
         where = order[np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
-        by = np.lexsort((self.piece_chars[hit], where))
-        hit, where = hit[by], where[by]
+        edges = np.sort(where.astype(np.int64) << 32 | hit)  # by position
+        where, hit = edges >> 32, edges & 0xFFFFFFFF
         rank[where, self.piece_chars[hit]] = self.rank[hit]
 
+    def _bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of at most ``depth`` bytes, and the first and last text of so many bytes that begins with each."""
+        if depth not in self.bounds:
+            some = np.flatnonzero(self.raw_bytes <= depth)
+            low = self.raw[some].astype(f"S{depth}")
+            high = np.where(np.arange(depth) < self.raw_bytes[some][:, None], np.ascontiguousarray(low).view(np.uint8).reshape(-1, depth), 255).astype(np.uint8)
+            self.bounds[depth] = some, low, high.view(f"S{depth}").ravel()
+        return self.bounds[depth]
+
     def relax(self, first: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the tokens of words that begin at ``first``: each round merges one pair in every word."""
         n = int(first[-1])
