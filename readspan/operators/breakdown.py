@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readspan.functions.scores import even_part
 from readspan.functions.text import folded
-from readspan.operators.lineage import pinned
+from readspan.operators.lineage import few, pinned
 
 
 def ranked(items: DataFrame, item: str, values: str, seconds: str) -> DataFrame:
@@ -79,7 +79,7 @@ def ranked_by_field(read: DataFrame, held: DataFrame, names: DataFrame) -> DataF
     books = read.where("seconds > 0")
     shown = held.join(names.select("field", "type", "name", "shown"), ["field", "type", "name"]).select("book", "field", "type", F.col("shown").alias("value")).distinct()
     fields = held.select("field", "type").distinct()
-    every = books.join(F.broadcast(fields), F.lit(True))  # a book's fields: a handful a book
+    every = books.join(few(fields), F.lit(True))  # fields and types of tags, as a reader makes them
     rows = every.join(shown, ["book", "field", "type"], "left")
     bars = rows.groupBy("field", "type", "value").agg(F.sum("seconds").alias("seconds"), F.countDistinct("book").alias("n_books"), F.min("book").alias("first_book"))
     order = Window.partitionBy("field", "type").orderBy(F.desc("seconds"), F.col("value").asc_nulls_last())

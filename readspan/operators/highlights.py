@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readspan.functions.scores import intdiv
 from readspan.functions.text import bounded, normalised
 from readspan.operators.grams import holding
-from readspan.operators.lineage import pinned
+from readspan.operators.lineage import few, pinned
 from readspan.operators.matching import only_once, pair_in_order
 from readspan.operators.ordered import placed
 from readspan.sources.catalog import stem_of
@@ -48,7 +48,7 @@ def match_offsets(clips: DataFrame, notes: DataFrame, kind: str, clip_at: str, n
     best rank, and a pair stands if each is the other's first choice. ``state`` is live, unconfirmed or wordless.
     """
     secs = lambda c: F.unix_seconds(F.date_trunc("second", F.col(c).cast("timestamp")))
-    n = notes.crossJoin(F.broadcast(offsets)).withColumn("__t", secs(note_at) + F.col("offset_s"))  # a handful of offsets
+    n = notes.crossJoin(few(offsets)).withColumn("__t", secs(note_at) + F.col("offset_s"))  # a handful of offsets
     c = clips.withColumn("__t", secs(clip_at))
     met = c.select(kind, "__t", "clip_id").join(n.select(kind, "__t", "note_id", "rank"), [kind, "__t"])
     first = lambda side, other: F.row_number().over(Window.partitionBy(side).orderBy("rank", other)) == 1
@@ -107,7 +107,7 @@ def merged(clippings: DataFrame, annotations: DataFrame, rosters: DataFrame, boo
     notes = annotations.join(stems, "file", "left").select(annotations["*"], F.col("__s.extent").alias("of"), F.col("__s.title").alias("of_title"), intdiv(F.col("created") - F.pmod("created", F.lit(1000)), 1000).alias("second"))
     wall = F.unix_seconds(F.col("at").cast("timestamp"))
     notes = pinned(notes)
-    timed = notes.crossJoin(F.broadcast(offsets)).select("ann_id", "kind", "of", "rank", (F.col("second") + F.col("offset_s")).alias("wall"))  # a handful of offsets
+    timed = notes.crossJoin(few(offsets)).select("ann_id", "kind", "of", "rank", (F.col("second") + F.col("offset_s")).alias("wall"))  # a handful of offsets
     met = clips.where("at is not null").select("clip_id", "kind", "named", wall.alias("wall")).join(timed, ["kind", "wall"])
     pairs = claimed(met.select("clip_id", "ann_id", "rank", F.coalesce(F.col("named") == F.col("of"), F.lit(False)).alias("same"))).select("clip_id", "ann_id")
     rest_c = clips.join(pairs, "clip_id", "left_anti").where("named is not null").select("clip_id", F.col("named").alias("of"), "kind", F.struct(F.col("start").isNull(), "start", "at", "clip_id").alias("c_order"))
@@ -296,7 +296,7 @@ def with_notes(rows: DataFrame, notes: DataFrame) -> DataFrame:
     """``rows`` and, of ``notes``, each that isn't deleted as a row of kind ``note``: at the range its passage has now, else had when it was written.
 
     ``notes``: written, edited, extent, key, state, at, kind, title, location, start, from, to, words, text; those of no
-    passage have no range. ``own`` tells the reader's notes from the device's.
+    passage have no range. ``own`` tells the reader's notes from the device's, ``on`` is the identity of the passage a note names.
     """
     live = notes.where("state <> 'deleted'")
     now = rows.withColumn("__id", identity(rows)).groupBy("__id").agg(F.min(F.struct("start", "end", "extent")).alias("__p"))
@@ -304,9 +304,10 @@ def with_notes(rows: DataFrame, notes: DataFrame) -> DataFrame:
     ranged = lambda now_, then: F.coalesce(F.col(f"__p.{now_}"), F.col(then))
     written = placed.select(
         F.coalesce("__p.extent", "extent").alias("extent"), "title", F.lit("note").alias("kind"), F.col("written").alias("at"), F.lit("live").alias("state"), ranged("start", "from").alias("start"),
-        ranged("end", "to").alias("end"), F.lit(None).cast("long").alias("location"), F.lit("").alias("page"), F.lit("").alias("colour"), F.col("text").alias("body"), F.lit(True).alias("own"),
+        ranged("end", "to").alias("end"), F.lit(None).cast("long").alias("location"), F.lit("").alias("page"), F.lit("").alias("colour"), F.col("text").alias("body"), F.lit(True).alias("own"), F.col("__id").alias("on"),
     )
-    return rows.select(*COLUMNS, F.lit(False).alias("own")).unionByName(written)
+    none = F.lit(None).cast(written.schema["on"].dataType)
+    return rows.select(*COLUMNS, F.lit(False).alias("own"), none.alias("on")).unionByName(written)
 
 
 def counted(paired: DataFrame, group: list[str]) -> DataFrame:

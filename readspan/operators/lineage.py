@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -23,3 +24,14 @@ def pinned(df: DataFrame) -> DataFrame:
             path = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(path)
     return df.checkpoint()
+
+
+#: Rows up to which a table that every row meets is sent to all tasks.
+FEW = 10_000
+
+
+def few(df: DataFrame, limit: int = FEW) -> DataFrame:
+    """``df``, counted to hold at most ``limit`` rows, to be broadcast; raises if it holds more, as every row is to meet all of it."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"a table that every row meets holds more than {limit} rows")
+    return F.broadcast(df)

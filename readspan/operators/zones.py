@@ -64,8 +64,9 @@ def localised(rows: DataFrame, zone: DataFrame, epoch: str) -> DataFrame:
 
 
 def next_change(rows: DataFrame, zone: DataFrame, epoch: str) -> DataFrame:
-    """``rows`` with ``changes_at``, the first change after ``epoch``; null after the last."""
-    whole = zone.where("since is not null").select("since").limit(CHANGES + 1).agg(F.sort_array(F.collect_list("since")).alias("__z"))
+    """``rows`` with ``changes_at``, the first change after ``epoch``; null after the last. Raises if ``zone`` has more changes than CHANGES."""
+    whole = zone.where("since is not null").select("since").limit(CHANGES + 1).agg(F.sort_array(F.collect_list("since")).alias("__z"), F.count("*").alias("__n"))
+    whole = whole.select(F.when(F.col("__n") <= CHANGES, F.col("__z")).otherwise(F.raise_error(F.lit("more changes than a zone has"))).alias("__z"))
     after = F.filter("__z", lambda z: z > F.col(epoch))
     return rows.join(F.broadcast(whole), F.lit(True)).withColumn("changes_at", F.try_element_at(after, F.lit(1))).drop("__z")  # one row
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readspan.functions import dates, languages
-from readspan.operators import aliases, changes, grams, highlights, intervals, links, notes, ordered
+from readspan.operators import aliases, bookpage, changes, grams, highlights, intervals, links, notes, ordered
 from readspan.operators.lineage import pinned
 from readspan.plans.figure_queries import _SIT, _sittings
 from readspan.plans.tables import table
@@ -257,6 +257,38 @@ def links_in_force(spark: SparkSession, d: str) -> DataFrame:
     return links.standing(rows).select("first", F.array_join("names", ",").alias("names"), "edited")
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    base = F.to_timestamp_ntz(F.lit("2026-01-01 00:00:00"))
+    extent = F.col("o_custkey") % 20 + 1
+    own = {"extent": extent, "title": F.concat(F.lit("T"), extent.cast("string")), "location": _null("long"), "page": F.lit(""), "colour": F.lit(""), "state": F.lit("live")}
+    of = lambda rows, **more: rows.select(*((more | own)[c].alias(c) if c not in more else more[c].alias(c) for c in highlights.COLUMNS))
+    start, at = key % 500, dates.moved(base, key)
+    body = F.concat(F.lit("w "), key.cast("string"))
+    rows = of(o, kind=F.when(key % 17 == 0, "bookmark").otherwise("highlight"), at=at, start=start, end=start + key % 40, body=body)
+    rows = rows.unionByName(of(o.where("o_orderkey % 3 = 0"), kind=F.lit("note"), at=dates.moved(base, key + 1_000_000), start=key * 7 % 600, end=key * 7 % 600, body=F.concat(F.lit("d "), key.cast("string"))))
+    name = [at.alias("at"), F.lit("highlight").alias("kind"), own["title"].alias("title"), own["location"].alias("location"), start.alias("start")]
+    fixes = o.where("o_orderkey % 4 = 0").select(*name, F.lit("1").alias("edited"), body.alias("was"), F.upper(body).alias("text"))
+    said = o.where("o_orderkey % 10 = 0").select(*name, dates.moved(base, key + 2_000_000).alias("written"), dates.moved(base, key).alias("edited"), extent.alias("extent"), F.lit("").alias("key"), F.when(key % 20 == 0, "deleted").otherwise("live").alias("state"), start.alias("from"), start.alias("to"), F.lit("").alias("words"), F.concat(F.lit("n "), key.cast("string")).alias("text"))
+    books = spark.range(1, 16).select((F.col("id") * 10).alias("book"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(0).alias("extent"), F.concat(F.lit(" t"), F.col("id").cast("string")).alias("title"), F.col("id").alias("order"))
+    return bookpage.book_pages(rows, fixes, said, books)
+
+
+def book_page(spark: SparkSession, d: str) -> DataFrame:
+    """The passages of all books with the reader's words, and the notes under each."""
+    bodies = F.array_join(F.transform("notes", lambda x: x["body"]), ", ")
+    return _pages(spark, d).select("book", "extent", "at", "kind", "body", F.size("notes").cast("long").alias("n_notes"), bodies.alias("notes"))
+
+
+def book_page_figures(spark: SparkSession, d: str) -> DataFrame:
+    return bookpage.page_figures(_pages(spark, d))
+
+
+def listing_search(spark: SparkSession, d: str) -> DataFrame:
+    """What a list shows of passages that hold a number, in their words or in a note's."""
+    return bookpage.listing(_pages(spark, d), "17", ["highlight", "note"]).select("place", "extent", "at", "kind", "body")
+
+
 def _record(spark: SparkSession, d: str, tag: str, rows: DataFrame) -> DataFrame:
     return records.decode(records.encode(rows, tag), tag).select(rows.columns)
 
@@ -298,7 +330,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         settled_highlights, texts_held, awake_shares, counter_opens, last_counters, free_seconds, journal_page, order_places, version_changes, version_report, version_fields, version_undone, version_applied, restored_rows,
-        newest_backup, superseded_backups, files_compared, value_aliases, healed_sittings, rebuilt_sittings, one_pass_over, words_corrected, notes_edited, links_in_force, record_highlights, record_corrections, record_links,
+        newest_backup, superseded_backups, files_compared, value_aliases, healed_sittings, rebuilt_sittings, one_pass_over, words_corrected, notes_edited, links_in_force, book_page, book_page_figures, listing_search, record_highlights, record_corrections, record_links,
         record_counters, record_keys, record_metadata,
     )
 }
@@ -314,7 +346,24 @@ _LINES = """e as (select user_id as device, date_trunc('second', ts) as ts, lpad
   l as (select *, row_number() over (partition by device order by ts, line) as n, cast(sum(case when opened_ms is not null then 1 else 0 end) over (partition by device order by ts, line rows unbounded preceding) as bigint) as open_no from e)"""
 _PARSES = f"""{_SIT}, h as (select * from s2 where id % 4 <> 0), w as (select *, started_at + to_seconds(id % 2) as begun, seconds + 1 as secs, case when id % 5 <> 0 then time_left + 1 end as left_ from s2 where id % 3 <> 0)"""
 
+_PAGES = f"""o as (select o_orderkey as k, o_custkey % 20 + 1 as extent from orders),
+  h as (select k, extent, case when k % 17 = 0 then 'bookmark' else 'highlight' end as kind, {_BASE} + to_seconds(k) as tm, k % 500 as s, k % 500 + k % 40 as e, case when k % 4 = 0 and k % 17 <> 0 then upper('w ' || k) else 'w ' || k end as body from o),
+  p as (select * from h where kind = 'highlight'),
+  d as (select k, extent, {_BASE} + to_seconds(k + 1000000) as tm, k * 7 % 600 as s, 'd ' || k as body from o where k % 3 = 0),
+  u as (select d.k, d.extent, d.tm, d.body, p.k as over from d left join p on p.extent = d.extent and d.s between p.s and p.e qualify row_number() over (partition by d.k order by p.e - p.s, abs(epoch(p.tm) - epoch(d.tm)), p.tm desc) = 1),
+  w as (select o.k, o.extent, {_BASE} + to_seconds(o.k + 2000000) as tm, 'n ' || o.k as body, case when o.k % 17 <> 0 then o.k end as named, o.k % 500 as s from o where o.k % 10 = 0 and o.k % 20 <> 0),
+  x as (select w.k, w.extent, w.tm, w.body, coalesce(w.named, p.k) as over from w left join p on w.named is null and p.extent = w.extent and w.s between p.s and p.e qualify row_number() over (partition by w.k order by p.e - p.s, abs(epoch(p.tm) - epoch(w.tm)), p.tm desc) = 1),
+  n as (select * from u union all select * from x),
+  l as (select over, count(*) as n_notes, string_agg(body, ', ' order by tm desc) as notes, list(body) as bodies from n where over is not null group by over),
+  r as (select extent, tm, 'highlight' as kind, body, s, coalesce(n_notes, 0) as n_notes, coalesce(notes, '') as notes, coalesce(bodies, []) as bodies from p left join l on l.over = p.k
+    union all select extent, tm, 'note', body, null, 0, '', [] from n where over is null),
+  z as (select *, case when extent <= 15 then extent * 10 end as book from r)"""
+
 ORACLES = {
+    "book_page": f"with {_PAGES} select book, extent, tm as at, kind, body, n_notes, notes from z",
+    "book_page_figures": f"with {_PAGES} select book, cast(count(*) filter (where kind <> 'note') as bigint) as passages, cast(sum(n_notes) + count(*) filter (where kind = 'note') as bigint) as notes, max(tm) as newest from z where book is not null group by book",
+    "listing_search": f"""with {_PAGES}, q as (select * from z where contains(body, '17') or len(list_filter(bodies, lambda b: contains(b, '17'))) > 0)
+      select row_number() over (order by tm desc, book nulls first, body) - 1 as place, extent, tm as at, kind, body from q""",
     "settled_highlights": f"""with recursive t as (select conv_id, turn, coalesce(left(text, 60), '') as t, {_BASE} + to_seconds(conv_id * 1000 + turn * 10) as s from conversations),
       m as (select conv_id, s as tm, case when turn % 2 = 0 then 'live' else 'unconfirmed' end as state, case when turn % 2 = 0 then turn end as start, left(t, 40) as body from t
         union all select conv_id, s + interval 1 second, 'unconfirmed', null, substring(t, 5, 20) from t union all select conv_id, s + interval 500 second, 'retired', null, t from t
