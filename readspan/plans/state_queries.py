@@ -289,6 +289,31 @@ def listing_search(spark: SparkSession, d: str) -> DataFrame:
     return bookpage.listing(_pages(spark, d), "17", ["highlight", "note"]).select("place", "extent", "at", "kind", "body")
 
 
+def awake_spans(spark: SparkSession, d: str) -> DataFrame:
+    """When each user's device was awake and something was read: signups wake it, errors send it to sleep."""
+    kind = F.col("event_type")
+    ts = F.date_trunc("second", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    rows = table(spark, d, "events").select(
+        F.col("user_id").alias("device"), ts.alias("ts"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("line"), F.unix_seconds(ts.cast("timestamp")).alias("t"), (kind == "view").alias("observed"),
+        F.struct(F.when(kind == "click", "page").alias("kind")).alias("metric"), F.when(kind == "signup", "active").when(kind == "error", "idle").alias("state"),
+    )
+    return stream.awake_spans(rows)
+
+
+def merged_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Clippings and annotations of orders as highlights: by time an hour apart, then in order within a book."""
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    base, epoch = F.to_timestamp_ntz(F.lit("2026-01-01 00:00:00")), 1767225600
+    n = F.col("o_custkey") % 20 + 1
+    clips = o.where("o_orderkey % 2 = 0").select(key.alias("clip_id"), F.concat(F.lit("t"), n.cast("string")).alias("title"), F.lit("highlight").alias("kind"), dates.moved(base, key).alias("at"), key.alias("start"), F.lit("").alias("page"), F.concat(F.lit("c "), key.cast("string")).alias("body"))
+    anns = o.where("o_orderkey % 3 = 0").select(key.alias("ann_id"), F.concat(F.lit("f"), n.cast("string")).alias("file"), F.lit("highlight").alias("kind"), (key * 10).alias("start"), (key * 10 + 5).alias("end"), ((key + epoch - 3600) * 1000).alias("created"), F.lit("yellow").alias("colour"), F.when(key % 9 == 0, "own").otherwise("").alias("body"))
+    i = F.col("id")
+    books = spark.range(1, 21).select(i.alias("extent"), F.concat(F.lit("T"), i.cast("string")).alias("title"), F.concat(F.lit("/d/f"), i.cast("string"), F.lit(".kfx")).alias("location"))
+    rosters = spark.range(1, 21).select(F.concat(F.lit("f"), i.cast("string")).alias("file"), (i % 2 == 0).alias("trusted"))
+    offsets = spark.createDataFrame([(3600, 0), (-7, 1)], "offset_s long, rank int")
+    return highlights.merged(clips, anns, rosters, books, offsets).select("extent", "title", "at", "state", "start", "end", "location", "colour", "body")
+
+
 def _record(spark: SparkSession, d: str, tag: str, rows: DataFrame) -> DataFrame:
     return records.decode(records.encode(rows, tag), tag).select(rows.columns)
 
@@ -330,7 +355,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         settled_highlights, texts_held, awake_shares, counter_opens, last_counters, free_seconds, journal_page, order_places, version_changes, version_report, version_fields, version_undone, version_applied, restored_rows,
-        newest_backup, superseded_backups, files_compared, value_aliases, healed_sittings, rebuilt_sittings, one_pass_over, words_corrected, notes_edited, links_in_force, book_page, book_page_figures, listing_search, record_highlights, record_corrections, record_links,
+        newest_backup, superseded_backups, files_compared, value_aliases, healed_sittings, rebuilt_sittings, one_pass_over, words_corrected, notes_edited, links_in_force, book_page, book_page_figures, listing_search, awake_spans, merged_sources, record_highlights, record_corrections, record_links,
         record_counters, record_keys, record_metadata,
     )
 }
@@ -360,6 +385,22 @@ _PAGES = f"""o as (select o_orderkey as k, o_custkey % 20 + 1 as extent from ord
   z as (select *, case when extent <= 15 then extent * 10 end as book from r)"""
 
 ORACLES = {
+    "awake_spans": """with e as (select user_id as device, date_trunc('second', ts) as ts, lpad(cast(event_id as varchar), 12, '0') as line, cast(epoch(date_trunc('second', ts)) as bigint) as t, event_type in ('view', 'click') as mark,
+        case event_type when 'signup' then 'active' when 'error' then 'idle' end as state from events),
+      a as (select * from e where mark or state is not null), b as (select *, last_value(state ignore nulls) over (partition by device order by ts, line rows between unbounded preceding and 1 preceding) as was from a),
+      c as (select *, sum(case when state is not null and (was is null or was <> state) then 1 else 0 end) over (partition by device order by ts, line rows unbounded preceding) as span from b),
+      f as (select *, t - lag(t) over (partition by device, span order by ts, line) > 1800 as far from c),
+      g as (select device, span, first(state order by ts, line) filter (where state is not null and (was is null or was <> state)) as state, min(ts) as from_at, max(t) as last_t, bool_or(mark) as read, coalesce(bool_or(far), false) as far from f group by 1, 2),
+      h as (select *, lead(from_at) over (partition by device order by span) as to_at, lead(state) over (partition by device order by span) as next from g)
+      select device, from_at, to_at from h where to_at is not null and read and (state = 'active' or (span = 0 and next = 'idle' and not far and epoch(to_at) - last_t <= 1800))""",
+    "merged_sources": f"""with o as (select o_orderkey as k, o_custkey % 20 + 1 as n from orders), c as (select * from o where k % 2 = 0), a as (select *, case when k % 9 = 0 then 'own' else '' end as body from o where k % 3 = 0),
+      t as (select c.k as ck, a.k as ak from c join a on a.k = c.k), t2 as (select c.k as ck, a.k as ak from c join a on a.k - 3607 = c.k where c.k not in (select ck from t) and a.k not in (select ak from t)),
+      t3 as (select * from t union all select * from t2),
+      rc as (select n, k, row_number() over (partition by n order by k) as pos, count(*) over (partition by n) as m from c where k not in (select ck from t3)), ra as (select n, k, row_number() over (partition by n order by k) as pos, count(*) over (partition by n) as m from a where k not in (select ak from t3)),
+      p as (select * from t3 union all select rc.k, ra.k from rc join ra on ra.n = rc.n and ra.m = rc.m and ra.pos = rc.pos)
+      select coalesce(a.n, c.n) as extent, 't' || c.n as title, {_BASE} + to_seconds(c.k) as at, case when a.k is not null then 'live' when c.n % 2 = 0 then 'retired' else 'unconfirmed' end as state, a.k * 10 as start, a.k * 10 + 5 as "end", c.k as location,
+        case when a.k is not null then 'yellow' else '' end as colour, coalesce(nullif(a.body, ''), 'c ' || c.k) as body from c left join p on p.ck = c.k left join a on a.k = p.ak
+      union all select n, 'T' || n, {_BASE} + to_seconds(k), 'live', k * 10, k * 10 + 5, null, 'yellow', body from a where k not in (select ak from p)""",
     "book_page": f"with {_PAGES} select book, extent, tm as at, kind, body, n_notes, notes from z",
     "book_page_figures": f"with {_PAGES} select book, cast(count(*) filter (where kind <> 'note') as bigint) as passages, cast(sum(n_notes) + count(*) filter (where kind = 'note') as bigint) as notes, max(tm) as newest from z where book is not null group by book",
     "listing_search": f"""with {_PAGES}, q as (select * from z where contains(body, '17') or len(list_filter(bodies, lambda b: contains(b, '17'))) > 0)
