@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import cache
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from readspan.functions.scores import intdiv
@@ -109,3 +111,36 @@ def month_name(day: Column) -> Column:
 def numbered_day(day: Column) -> Column:
     """The form of languages that write year, month and day with their signs."""
     return F.concat(F.year(day).cast("string"), F.lit("年"), F.month(day).cast("string"), F.lit("月"), F.dayofmonth(day).cast("string"), F.lit("日"))
+
+
+# Languages that dates are written in, and those of them that put the year first.
+LANGUAGES, YEAR_FIRST = ("en", "de", "zh-CN", "zh-TW", "ja"), ("zh-CN", "zh-TW", "ja")
+
+
+@cache
+def _symbols(language: str) -> dict[str, list[str]]:
+    """Names of months and days in ``language``, from the locale data of the JVM."""
+    jvm = SparkSession.active()._jvm
+    said = jvm.java.text.DateFormatSymbols.getInstance(jvm.java.util.Locale.forLanguageTag(language))
+    return {"months": list(said.getMonths())[:12], "short": list(said.getShortMonths())[:12], "days": list(said.getShortWeekdays())[1:8]}
+
+
+def day_in(day: Column, language: Column, form: str) -> Column:
+    """A day in the ``language`` that each row names, null for others: ``short`` (Aug 9, 8月9日), ``year`` (Aug 9, 2026), ``long`` (Sun, 9 August 2026; 2026年8月9日 日) or ``month`` (August 2026)."""
+
+    def one(code: str) -> Column:
+        names = _symbols(code)
+        of = lambda which, n: F.element_at(F.array(*map(F.lit, names[which])), n)
+        month, short, d, y, weekday = of("months", F.month(day)), of("short", F.month(day)), F.dayofmonth(day).cast("string"), F.year(day).cast("string"), of("days", F.dayofweek(day))
+        if code in YEAR_FIRST:
+            written = {"short": ("{m}", "{d}日"), "year": ("{y}年", "{m}", "{d}日"), "long": ("{y}年", "{m}", "{d}日 ", "{w}"), "month": ("{y}年", "{m}")}[form]
+            month = short
+        else:
+            written = {"short": ("{s} ", "{d}"), "year": ("{s} ", "{d}, ", "{y}"), "long": ("{w}, ", "{d} ", "{m} ", "{y}"), "month": ("{m} ", "{y}")}[form]
+        value = {"m": month, "s": short, "d": d, "y": y, "w": weekday}
+        return F.concat(*(F.concat(value[part[1]], F.lit(part[3:])) for part in written))
+
+    out = F.lit(None).cast("string")
+    for code in reversed(LANGUAGES):
+        out = F.when(language == code, one(code)).otherwise(out)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readspan.functions import dates, languages
-from readspan.operators import aliases, bookpage, changes, grams, highlights, intervals, links, notes, ordered
+from readspan.operators import aliases, bookpage, changes, devices, grams, highlights, intervals, links, notes, ordered
 from readspan.operators.lineage import pinned
 from readspan.plans.figure_queries import _SIT, _sittings
 from readspan.plans.tables import table
@@ -314,6 +314,22 @@ def merged_sources(spark: SparkSession, d: str) -> DataFrame:
     return highlights.merged(clips, anns, rosters, books, offsets).select("extent", "title", "at", "state", "start", "end", "location", "colour", "body")
 
 
+def days_in_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Order days in the language that each row names."""
+    language = F.element_at(F.array(*map(F.lit, ("en", "ja", "zh-TW", "xx"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    day = F.to_date("o_orderdate")
+    month = dates.day_in(day, F.when(F.col("o_orderkey") % 8 == 0, "de").otherwise(language), "month")
+    return table(spark, d, "orders").select("o_orderkey", dates.day_in(day, language, "short").alias("short"), dates.day_in(day, language, "year").alias("year_day"), dates.day_in(day, language, "long").alias("long_day"), month.alias("month"))
+
+
+def devices_apart(spark: SparkSession, d: str) -> DataFrame:
+    """Positions and keys of three devices in spaces of their own, and read back."""
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 3).cast("int").alias("device"), (F.col("p_size").cast("long") - 5).alias("position"), F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit("K@"), "p_brand")).otherwise("").alias("key"))
+    moved = devices.apart(p, "device", ["position"], ["key"])
+    back = devices.read_back(moved, "device", ["position"], ["key"])
+    return moved.select("p_partkey", F.col("position").alias("moved"), F.col("key").alias("marked")).join(back, "p_partkey")
+
+
 def _record(spark: SparkSession, d: str, tag: str, rows: DataFrame) -> DataFrame:
     return records.decode(records.encode(rows, tag), tag).select(rows.columns)
 
@@ -355,7 +371,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         settled_highlights, texts_held, awake_shares, counter_opens, last_counters, free_seconds, journal_page, order_places, version_changes, version_report, version_fields, version_undone, version_applied, restored_rows,
-        newest_backup, superseded_backups, files_compared, value_aliases, healed_sittings, rebuilt_sittings, one_pass_over, words_corrected, notes_edited, links_in_force, book_page, book_page_figures, listing_search, awake_spans, merged_sources, record_highlights, record_corrections, record_links,
+        newest_backup, superseded_backups, files_compared, value_aliases, healed_sittings, rebuilt_sittings, one_pass_over, words_corrected, notes_edited, links_in_force, book_page, book_page_figures, listing_search, awake_spans, merged_sources, days_in_languages, devices_apart, record_highlights, record_corrections, record_links,
         record_counters, record_keys, record_metadata,
     )
 }
@@ -385,6 +401,12 @@ _PAGES = f"""o as (select o_orderkey as k, o_custkey % 20 + 1 as extent from ord
   z as (select *, case when extent <= 15 then extent * 10 end as book from r)"""
 
 ORACLES = {
+    "days_in_languages": """with o as (select o_orderkey, cast(o_orderdate as date) as d, ['en', 'ja', 'zh-TW', 'xx'][o_orderkey % 4 + 1] as l from orders), w as (select *, year(d) || '年' || month(d) || '月' as ym, month(d) || '月' || day(d) || '日' as md from o)
+      select o_orderkey, case l when 'en' then strftime(d, '%b %-d') when 'xx' then null else md end as short, case l when 'en' then strftime(d, '%b %-d, %Y') when 'xx' then null else year(d) || '年' || md end as year_day,
+        case l when 'en' then strftime(d, '%a, %-d %B %Y') when 'ja' then year(d) || '年' || md || ' ' || '日月火水木金土'[dayofweek(d) + 1] when 'zh-TW' then year(d) || '年' || md || ' 週' || '日一二三四五六'[dayofweek(d) + 1] end as long_day,
+        case when o_orderkey % 8 = 0 then ['Januar', 'Februar', 'März', 'April', 'Mai', 'Juni', 'Juli', 'August', 'September', 'Oktober', 'November', 'Dezember'][month(d)] || ' ' || year(d) when l = 'en' then strftime(d, '%B %Y') when l = 'xx' then null else ym end as month from w""",
+    "devices_apart": """with p as (select p_partkey, cast(p_partkey % 3 as int) as n, cast(p_size as bigint) - 5 as position, case when p_partkey % 7 <> 0 then 'K@' || p_brand else '' end as key from part)
+      select p_partkey, case when position > 0 then position + (n + 1) * 1099511627776 else position end as moved, case when key <> '' then key || '@' || n else key end as marked, case when position > 0 or key <> '' then n end as device, position, key from p""",
     "awake_spans": """with e as (select user_id as device, date_trunc('second', ts) as ts, lpad(cast(event_id as varchar), 12, '0') as line, cast(epoch(date_trunc('second', ts)) as bigint) as t, event_type in ('view', 'click') as mark,
         case event_type when 'signup' then 'active' when 'error' then 'idle' end as state from events),
       a as (select * from e where mark or state is not null), b as (select *, last_value(state ignore nulls) over (partition by device order by ts, line rows between unbounded preceding and 1 preceding) as was from a),
