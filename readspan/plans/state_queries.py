@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readspan.functions import dates, languages
-from readspan.operators import aliases, bookpage, changes, devices, grams, highlights, intervals, links, notes, ordered
+from readspan.operators import aliases, bookpage, changes, devices, grams, highlights, identify, intervals, links, notes, ordered
 from readspan.operators.lineage import pinned
-from readspan.plans.figure_queries import _SIT, _sittings
+from readspan.plans.figure_queries import _AROUND, _SIT, _sittings, _spans, _witnesses
 from readspan.plans.tables import table
 from readspan.sources import manifest, records
 from readspan.streaming import late
@@ -330,6 +330,39 @@ def devices_apart(spark: SparkSession, d: str) -> DataFrame:
     return moved.select("p_partkey", F.col("position").alias("moved"), F.col("key").alias("marked")).join(back, "p_partkey")
 
 
+def identified_books(spark: SparkSession, d: str) -> DataFrame:
+    """Books that lookups name, and then clippings what lookups left."""
+    clips = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("wid"), dates.at_second(F.to_date("o_orderdate"), F.col("o_orderkey") * 37 % 80_000 + 20).alias("at"), F.concat(F.lit("Clip "), (F.col("o_orderkey") % 2).cast("string")).alias("title"),
+        F.lit("B").alias("author"), F.lit("").alias("key"), _null("long").alias("pos"),
+    )
+    none = lambda schema: spark.createDataFrame([], schema)
+    sources = [(identify.CLIPPINGS, clips), (identify.LOOKUPS, _witnesses(spark, d))]
+    books, _, _ = identify.identify(_spans(spark, d), none("extent long, cde_key string, title string, author string, identified_by int"), none("extent long, key string"), none("extent long, file string"), sources)
+    return books.select("extent", "cde_key", "author", "identified_by")
+
+
+def tags_respelled(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of customers as most of them spell them."""
+    c = table(spark, d, "customer")
+    tag = lambda a, b: F.struct(a.alias("type"), b.alias("tag"))
+    name = F.when(F.col("c_custkey") % 3 == 0, F.upper("c_mktsegment")).otherwise(F.initcap("c_mktsegment"))
+    rows = c.select("c_custkey", F.array(tag(F.lit("segment"), name), tag(F.when(F.col("c_custkey") % 5 == 0, "Segment").otherwise("segment"), F.lower("c_mktsegment")), tag(F.lit("nation"), F.col("c_nationkey").cast("string"))).alias("tags"))
+    out = links.respelled(rows, "tags", links.spelled(rows, "c_custkey", "tags"))
+    return out.select("c_custkey", F.array_join(F.transform("tags", lambda x: F.concat(x["type"], F.lit("/"), x["tag"])), ", ").alias("tags"), "changed")
+
+
+def links_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Links of nations after requests that join some of them: what stands then."""
+    n = table(spark, d, "nation")
+    base = F.to_timestamp_ntz(F.lit("2026-01-01 00:00:00"))
+    row = lambda which, first, names: n.where(which).select(F.lit("tag").alias("field"), F.lit("place").alias("type"), first.alias("first"), F.array(names).alias("names"))
+    held = row("n_nationkey % 2 = 0", F.col("n_name"), F.concat("n_name", F.lit(" x"))).withColumn("edited", dates.moved(base, F.col("first").isNull().cast("long")))
+    asked = row("n_nationkey % 4 = 0", F.concat(F.lit("New "), "n_name"), F.col("n_name"))
+    after, _ = links.link(held, asked, F.lit("2026-02-01 00:00:00").cast("timestamp_ntz"))
+    return links.standing(after).select("first", F.array_join(F.array_sort("names"), ", ").alias("names"), "edited")
+
+
 def _record(spark: SparkSession, d: str, tag: str, rows: DataFrame) -> DataFrame:
     return records.decode(records.encode(rows, tag), tag).select(rows.columns)
 
@@ -371,7 +404,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         settled_highlights, texts_held, awake_shares, counter_opens, last_counters, free_seconds, journal_page, order_places, version_changes, version_report, version_fields, version_undone, version_applied, restored_rows,
-        newest_backup, superseded_backups, files_compared, value_aliases, healed_sittings, rebuilt_sittings, one_pass_over, words_corrected, notes_edited, links_in_force, book_page, book_page_figures, listing_search, awake_spans, merged_sources, days_in_languages, devices_apart, record_highlights, record_corrections, record_links,
+        newest_backup, superseded_backups, files_compared, value_aliases, healed_sittings, rebuilt_sittings, one_pass_over, words_corrected, notes_edited, links_in_force, book_page, book_page_figures, listing_search, awake_spans, merged_sources, days_in_languages, devices_apart, identified_books, tags_respelled, links_joined, record_highlights, record_corrections, record_links,
         record_counters, record_keys, record_metadata,
     )
 }
@@ -401,6 +434,20 @@ _PAGES = f"""o as (select o_orderkey as k, o_custkey % 20 + 1 as extent from ord
   z as (select *, case when extent <= 15 then extent * 10 end as book from r)"""
 
 ORACLES = {
+    "identified_books": f"""with {_SIT}, {_AROUND},
+      one as (select extent, min(name) as name, count(distinct name) as n from a where seconds >= 60 and pos <= extent group by extent),
+      v as (select o_orderkey as wid, cast(cast(o_orderdate as date) as timestamp) + to_seconds(o_orderkey * 37 % 80000 + 20) as at_, 'Clip ' || o_orderkey % 2 as name from orders),
+      b as (select wid, min(extent) as extent, max(seconds) as seconds, any_value(name) as name from v join s2 on v.at_ between s2.started_at and s2.ended_at group by wid having count(distinct extent) = 1)
+      select extent, 'T' || name[2:] as cde_key, 'A' as author, 1 as identified_by from one where n = 1
+      union all select extent, min(name), 'B', 2 from b where seconds >= 60 and extent not in (select extent from one) group by extent having count(distinct name) = 1""",
+    "tags_respelled": """with c as (select c_custkey as k, c_mktsegment as s, c_nationkey as n, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) as i from customer),
+      t as (select k, 1 as p, 'segment' as type, case when k % 3 = 0 then upper(s) else i end as tag from c union all select k, 2, case when k % 5 = 0 then 'Segment' else 'segment' end, lower(s) from c union all select k, 3, 'nation', n::varchar from c),
+      m as (select type, tag, count(distinct k) as b from t group by 1, 2), f as (select lower(type) as a, lower(tag) as z, first(type order by b desc, type, tag) as type, first(tag order by b desc, type, tag) as tag from m group by 1, 2),
+      r as (select t.k, t.p, t.type || '/' || t.tag as old, f.type || '/' || f.tag as new from t join f on f.a = lower(t.type) and f.z = lower(t.tag)),
+      g as (select k, new, min(p) as p from r group by 1, 2)
+      select k as c_custkey, string_agg(new, ', ' order by p) as tags, string_agg(new, ', ' order by p) <> (select string_agg(old, ', ' order by p) from r where r.k = g.k) as changed from g group by k""",
+    "links_joined": """select case when n_nationkey % 4 = 0 then 'New ' || n_name else n_name end as first, case when n_nationkey % 4 = 0 then n_name || ', ' else '' end || n_name || ' x' as names,
+      case when n_nationkey % 4 = 0 then timestamp '2026-02-01' else timestamp '2026-01-01' end as edited from nation where n_nationkey % 2 = 0""",
     "days_in_languages": """with o as (select o_orderkey, cast(o_orderdate as date) as d, ['en', 'ja', 'zh-TW', 'xx'][o_orderkey % 4 + 1] as l from orders), w as (select *, year(d) || '年' || month(d) || '月' as ym, month(d) || '月' || day(d) || '日' as md from o)
       select o_orderkey, case l when 'en' then strftime(d, '%b %-d') when 'xx' then null else md end as short, case l when 'en' then strftime(d, '%b %-d, %Y') when 'xx' then null else year(d) || '年' || md end as year_day,
         case l when 'en' then strftime(d, '%a, %-d %B %Y') when 'ja' then year(d) || '年' || md || ' ' || '日月火水木金土'[dayofweek(d) + 1] when 'zh-TW' then year(d) || '年' || md || ' 週' || '日一二三四五六'[dayofweek(d) + 1] end as long_day,
