@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readspan.llm import divergence, minhash, mixing, ordered, prefix_trie, queries
-from tests.llm.brute import FIXTURE
+from tests.llm.brute import FIXTURE, near_classes
 
 NEW = ["op11_source_divergence", "op12_prefix_trie", "op13_source_mixing"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, item string, size string, rank string"
@@ -204,3 +204,31 @@ def test_near_duplicates_without_ids(spark):
     rows = [(1, text), (None, text), (None, "alone here"), (None, "alone here"), (3, text + " more"), (None, None)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.class_id, r.kept) for r in got), key=str) == sorted([(1, 1, True), (None, 1, False), (None, None, True), (None, None, True), (3, 1, False), (None, None, True)], key=str)
+
+
+def test_mixed_buckets_in_many_blocks(spark, monkeypatch):
+    """Clusters around one text that none of them is near: their buckets hold many labels, which meet block by block."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(90)]
+
+    def changed(words, n):
+        out = list(words)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = f"v{rng.randrange(10**6)}"
+        return out
+
+    rows = [(0, " ".join(base))]
+    for c in range(40):
+        middle = changed(base, 3)
+        rows += [(1 + 5 * c + k, " ".join(changed(middle, k % 2))) for k in range(5)]
+    seen = []
+    blocks = minhash.linked_in_blocks
+
+    def counted(rest, held, least):
+        seen.append(rest.groupBy("key").count().where("count > 8").count())
+        return blocks(rest, held, least)
+
+    monkeypatch.setattr(minhash, "linked_in_blocks", counted)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == near_classes(dict(rows)) and seen[0] > 0
