@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readspan.functions.text import folded, holds, normalised
-from readspan.operators.highlights import COLUMNS, PASSAGES, corrected, identity, with_notes
+from readspan.operators.highlights import COLUMNS, PASSAGES, blocks, corrected, identity, with_notes
 from readspan.operators.lineage import pinned
 from readspan.operators.ordered import placed
 
@@ -38,6 +38,41 @@ def held_by(rows: DataFrame, books: DataFrame) -> DataFrame:
     return out.join(by_extent, "__e", "left").join(by_title, "__t", "left").withColumn("book", F.coalesce("__x", "__y")).drop("__e", "__t", "__x", "__y")
 
 
+def _nearest(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(__no, __under)``: of the spans (extent, s, e, made, over) that hold a point (extent, p, said, __no) the shortest, of equals the one made nearest to it in time, then the latest, then the first by ``over``.
+
+    Ranges are cut into blocks by powers of two, of which a point lies in one a level, so the least length at a place is that of the
+    blocks it lies in. Spans of that length and points of a block are then one sequence by time, in which a point takes the span
+    before it and the one after: work goes with spans and points, however many spans hold a place and notes stand there.
+    """
+    level = lambda n: F.ceil(F.log2((n + 1).cast("double"))).cast("int")
+    ranges = spans.where("e >= s").select("extent", "s", "e", (F.col("e") - F.col("s")).alias("n")).distinct()
+    cut = ranges.select("*", F.explode(blocks(F.col("s"), F.col("e") + 1, level(F.col("n")) + 1)).alias("b")).select("extent", "s", "e", "n", "b.*")
+    cut = pinned(cut)
+    least = cut.groupBy("extent", "level", "no").agg(F.min("n").alias("n"))
+    places = points.select("extent", "p").distinct().join(cut.select("extent", "level").distinct(), "extent").withColumn("no", F.expr("shiftright(p, level)"))
+    asked = places.join(least, ["extent", "level", "no"]).groupBy("extent", "p").agg(F.min("n").alias("n"))
+    asked = asked.withColumn("level", F.explode(F.sequence(F.lit(0), level(F.col("n"))))).withColumn("no", F.expr("shiftright(p, level)"))
+    block = ["extent", "n", "level", "no"]
+    asked = pinned(asked.join(cut.select(*block).distinct(), block, "left_semi"))
+    secs = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    made = F.unix_micros(F.col("made").cast("timestamp"))
+    givers = spans.join(cut.join(asked.select(*block).distinct(), block, "left_semi"), ["extent", "s", "e"])
+    givers = givers.select(*block, secs("made").alias("t"), made.alias("us"), "over", F.lit(0).alias("point"))
+    takers = points.join(asked, ["extent", "p"]).select(*block, secs("said").alias("t"), "__no", F.lit(1).alias("point"))
+    rows = givers.unionByName(takers, allowMissingColumns=True)
+    # spans without a time come first, points without one last
+    rows = rows.withColumn("o", F.coalesce("t", F.when(F.col("point") == 1, F.lit((1 << 63) - 1)).otherwise(F.lit(-(1 << 63)))))
+    by = lambda *order: Window.partitionBy(*block).orderBy(*order, "point", F.col("us").asc_nulls_first(), F.desc("over")).rowsBetween(Window.unboundedPreceding, 0)
+    span = F.when((F.col("point") == 0) & F.col("t").isNotNull(), F.struct("t", "us", "over"))
+    timeless = F.min(F.when((F.col("point") == 0) & F.col("t").isNull(), F.col("over"))).over(by("o"))
+    rows = rows.withColumns({"z": timeless, "a": F.last(span, True).over(by("o"))}).withColumn("b", F.last(span, True).over(by(F.desc("o")))).where("point = 1")
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("t")).alias("g"), (-F.col(f"{c}.us")).alias("m"), F.col(f"{c}.over").alias("over")))
+    none = F.lit(None).cast("bigint")
+    best = F.least(near("a"), near("b"), F.when(F.col("z").isNotNull(), F.struct(none.alias("g"), none.alias("m"), F.col("z").alias("over"))))
+    return rows.where("a is not null or b is not null or z is not null").groupBy("__no").agg(F.min(best)["over"].alias("__under"))
+
+
 def paired(rows: DataFrame) -> DataFrame:
     """``rows`` (COLUMNS, own, on) with ``notes``, the notes under each passage, latest first; a note under a passage is no row of its own.
 
@@ -52,9 +87,7 @@ def paired(rows: DataFrame) -> DataFrame:
     named = notes.where("on is not null").join(names, "on").select("__no", "__named")
     spans = passages.where("start is not null and end is not null").select("extent", F.col("start").alias("s"), F.col("end").alias("e"), F.col("at").alias("made"), F.col("__no").alias("over"))
     points = notes.where("start is not null").select("extent", F.col("start").alias("p"), F.col("at").alias("said"), "__no").join(named, "__no", "left_anti")
-    gap = F.abs(F.unix_seconds(F.col("made").cast("timestamp")) - F.unix_seconds(F.col("said").cast("timestamp")))
-    near = F.struct((F.col("e") - F.col("s")).alias("n"), gap.alias("g"), (-F.unix_micros(F.col("made").cast("timestamp"))).alias("m"), "over")
-    inside = covering(points, spans, ["extent"], "p", "s", "e").groupBy("__no").agg(F.min(near)["over"].alias("__under"))
+    inside = _nearest(points, spans)
     under = pinned(named.select("__no", F.col("__named").alias("__under")).unionByName(inside))
     said = F.struct(F.col("at"), F.col("__no").alias("no"), "body", "own")
     lists = notes.join(under, "__no").groupBy("__under").agg(F.sort_array(F.collect_list(said), asc=False).alias("notes")).withColumnRenamed("__under", "__no")

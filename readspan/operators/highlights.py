@@ -134,19 +134,19 @@ def merged(clippings: DataFrame, annotations: DataFrame, rosters: DataFrame, boo
 _CLASS = ("root", "own")
 
 
-def _blocks(lo: Column, hi: Column, levels: int) -> Column:
-    """The fewest blocks (level, no), each 2**level places from no * 2**level on, that make up the places from ``lo`` to ``hi`` - 1."""
+def blocks(lo: Column, hi: Column, levels: Column) -> Column:
+    """The fewest blocks (level, no), each 2**level places from no * 2**level on, that make up the places from ``lo`` to ``hi`` - 1; ``levels`` is the highest that they may need."""
     start = F.struct(lo.alias("lo"), F.greatest(lo, hi).alias("hi"), F.expr("cast(array() as array<struct<level:int,no:bigint>>)").alias("out"))
 
     def step(acc: Column, level: Column) -> Column:
-        low, high = acc["lo"] % 2 == 1, acc["hi"] % 2 == 1
+        low, high = acc["lo"].bitwiseAND(1) == 1, acc["hi"].bitwiseAND(1) == 1
         left = (acc["lo"] < acc["hi"]) & low
         right = (acc["lo"] + left.cast("long") < acc["hi"]) & high
         block = lambda test, no: F.when(test, F.array(F.struct(level.alias("level"), no.alias("no")))).otherwise(F.expr("cast(array() as array<struct<level:int,no:bigint>>)"))
         out = F.concat(acc["out"], block(left, acc["lo"]), block(right, acc["hi"] - 1))
         return F.struct(F.shiftright(acc["lo"] + left.cast("long"), 1).alias("lo"), F.shiftright(acc["hi"] - right.cast("long"), 1).alias("hi"), out.alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(F.lit(0), levels), start, step, lambda acc: acc["out"])
 
 
 def _classes(rows: DataFrame, edges: DataFrame, n: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _classes(rows: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     while True:
         givers = rows.where((F.col("no") == F.col("root")) | ~F.col("own"))
         givers = givers.withColumn("until", F.coalesce(F.lead("no").over(Window.partitionBy("root").orderBy("no")) + 1, F.lit(n).cast("long")))
-        spans = givers.select("body_id", *_CLASS, F.explode(_blocks(F.col("no") + 1, F.col("until"), levels)).alias("b"))
+        spans = givers.select("body_id", *_CLASS, F.explode(blocks(F.col("no") + 1, F.col("until"), F.lit(levels))).alias("b"))
         first = spans.groupBy(F.col("body_id").alias("by"), F.col("b.level").alias("level"), F.col("b.no").alias("block")).agg(F.min(F.struct(*_CLASS)).alias("c"))
         joined = asks.join(first, ["by", "level", "block"]).groupBy("no").agg(F.min("c").alias("c"))
         free = rows.where("not sits").join(joined, "no", "left")

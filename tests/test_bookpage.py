@@ -33,3 +33,18 @@ def test_notes_lie_under_their_passages(spark):
     assert shown(bookpage.listing(pages, kinds=["highlight"])) == ["", "by title", "as narrow", "NARROW", "wide"]
     assert shown(bookpage.listing(pages, "DEVICE")) == ["as narrow"] and shown(bookpage.listing(pages, "narrow", newest_first=False)) == ["NARROW", "as narrow"]
     assert bookpage.listing(pages.where(F.lit(False))).count() == 0
+
+
+def test_nearest_equals_all_pairs(spark):
+    rng = random.Random(5)
+    time = lambda: rng.choice([None, *range(1, 9)])
+    stamp = lambda t: t and f"2026-01-01 00:00:0{t}.{rng.randrange(3)}"
+    spans = [(rng.choice("ab"), s := rng.randrange(-9, 40), s + rng.choice([-1, 0, 2, 3, 7, 30]), stamp(time()), i) for i in range(400)]
+    points = [(rng.choice("abc"), rng.randrange(-9, 60), stamp(time()), i) for i in range(300)]
+    p = spark.createDataFrame(points, "extent string, p long, said string, __no long").withColumn("said", F.col("said").cast("timestamp_ntz"))
+    s = spark.createDataFrame(spans, "extent string, s long, e long, made string, over long").withColumn("made", F.col("made").cast("timestamp_ntz"))
+    gap = F.abs(F.unix_seconds(F.col("made").cast("timestamp")) - F.unix_seconds(F.col("said").cast("timestamp")))
+    near = F.struct((F.col("e") - F.col("s")).alias("n"), gap.alias("g"), (-F.unix_micros(F.col("made").cast("timestamp"))).alias("m"), "over")
+    want = p.join(s, "extent").where("p between s and e").groupBy("__no").agg(F.min(near)["over"].alias("under"))
+    got = bookpage._nearest(p, s).collect()
+    assert len(got) > 150 and sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
