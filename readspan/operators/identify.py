@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readspan.functions.text import flat, normalised
-from readspan.operators.intervals import covering
+from readspan.operators.intervals import covering, hour_of
 from readspan.operators.lineage import pinned
 from readspan.operators.matching import only, only_once
 
@@ -56,12 +56,40 @@ def wanting(sittings: DataFrame, books: DataFrame, keys: DataFrame, pairs: DataF
     return rows.where(F.col("slot").isNull() | (F.col("__r") > rank)).select("extent").distinct()
 
 
+def _alone(points: DataFrame, spans: DataFrame, wid: str) -> DataFrame:
+    """``points`` (wid, at) that spans (started_at, ended_at, extent) of one extent alone hold, with ``extent``; a ``wid`` of several rows has one extent in all.
+
+    Spans of an extent that meet are one first, so the extents at an instant are as many as spans that began and didn't end: a
+    running count over the hour's starts, points and ends in order of time. Work goes with points and hours of spans, however many overlap.
+    """
+    began = Window.partitionBy("extent").orderBy("started_at", "ended_at")
+    reached = F.max("ended_at").over(began.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(F.col("started_at") > reached, F.lit(True)).cast("long")
+    runs = spans.where("extent is not null and ended_at >= started_at").select("extent", "started_at", "ended_at", new.alias("__new"))
+    runs = runs.withColumn("__run", F.sum("__new").over(began.rowsBetween(Window.unboundedPreceding, 0))).groupBy("extent", "__run").agg(F.min("started_at").alias("s"), F.max("ended_at").alias("e"))
+    hours = runs.withColumn("h", F.explode(F.sequence(hour_of(F.col("s")), hour_of(F.col("e")), F.expr("interval 1 hour"))))
+    whole = F.col("extent").cast("decimal(20,0)")
+    edge = lambda t, kind, n: F.struct(t.alias("t"), F.lit(kind).alias("kind"), F.lit(n).cast("long").alias("n"), (whole if n > 0 else -whole).alias("x"))
+    edges = hours.select("h", F.explode(F.array(edge(F.greatest("s", "h"), 0, 1), F.when(hour_of(F.col("e")) == F.col("h"), edge(F.col("e"), 2, -1)))).alias("x")).where("x is not null")
+    edges = edges.select("h", "x.*", F.lit(None).cast(points.schema[wid].dataType).alias(wid))
+    marks = points.where("at is not null").select(hour_of(F.col("at")).alias("h"), F.col("at").alias("t"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(20,0)").alias("x"), wid)
+    so_far = Window.partitionBy("h").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = edges.unionByName(marks).withColumns({"n": F.sum("n").over(so_far), "x": F.sum("x").over(so_far)}).where("kind = 1 and n > 0")
+    own = Window.partitionBy(wid)
+    held = seen.select(wid, F.col("t").alias("at"), "n", F.when(F.col("n") == 1, F.col("x").cast("long")).alias("extent"))
+    held = held.withColumns({"__n": F.max("n").over(own), "__lo": F.min("extent").over(own), "__hi": F.max("extent").over(own)})
+    return held.where("__n = 1 and __lo = __hi").select(wid, "at", "extent")
+
+
 def around(witnesses: DataFrame, sittings: DataFrame, wid: str = "wid") -> DataFrame:
-    """``(wid, extent, key, seconds)`` of the witnesses that sittings of one extent alone span, with their longest and a key they carry."""
-    spans = sittings.select("started_at", "ended_at", "extent", F.col("key").alias("__key"), F.col("seconds").alias("__secs"))
-    met = covering(witnesses.select(wid, "at"), spans, "at", "started_at", "ended_at")
-    out = met.groupBy(wid).agg(F.countDistinct("extent").alias("__n"), F.min("extent").alias("extent"), F.max_by("__key", F.when(F.col("__key").isNotNull(), F.col("started_at"))).alias("key"), F.max("__secs").alias("seconds"))
-    return out.where("__n = 1").drop("__n")
+    """``(wid, extent, key, seconds)`` of the witnesses that sittings of one extent alone span, with their longest and a key they carry.
+
+    Sittings without an extent speak for none. Only what is of one extent meets its sittings, and those of an extent alone.
+    """
+    alone = _alone(witnesses.select(wid, "at"), sittings, wid)
+    spans = sittings.where("ended_at >= started_at").select("started_at", "ended_at", "extent", F.col("key").alias("__key"), F.col("seconds").alias("__secs"))
+    met = covering(alone, spans, "at", "started_at", "ended_at", ("extent",))
+    return met.groupBy(wid).agg(F.min("extent").alias("extent"), F.max_by("__key", F.when(F.col("__key").isNotNull(), F.col("started_at"))).alias("key"), F.max("__secs").alias("seconds"))
 
 
 def claims(witnesses: DataFrame, sittings: DataFrame, wanted: DataFrame, contested: DataFrame, wid: str = "wid") -> DataFrame:

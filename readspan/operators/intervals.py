@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readspan.functions.scores import intdiv, micros_between
 
 
-def _hour(ts: Column) -> Column:
+def hour_of(ts: Column) -> Column:
     return F.date_trunc("hour", ts).cast("timestamp_ntz")
 
 
@@ -18,8 +18,8 @@ def covering(points: DataFrame, spans: DataFrame, at: str, start: str, end: str,
     A span is repeated once for each hour it touches, so work goes with points and hours of spans, not with
     their product; a span-point pair meets in exactly one hour.
     """
-    p = points.withColumn("__h", _hour(F.col(at)))
-    s = spans.withColumn("__h", F.explode(F.sequence(_hour(F.col(start)), _hour(F.col(end)), F.expr("interval 1 hour"))))
+    p = points.withColumn("__h", hour_of(F.col(at)))
+    s = spans.withColumn("__h", F.explode(F.sequence(hour_of(F.col(start)), hour_of(F.col(end)), F.expr("interval 1 hour"))))
     return p.join(s, ["__h", *keys]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("__h")
 
 
@@ -95,7 +95,7 @@ def state_spans(changes: DataFrame, key: str, at: str, state: str, on: str, orde
 
 def hour_split(sittings: DataFrame, id_col: str, amount: str, start: str = "started_at", end: str = "ended_at") -> DataFrame:
     """``(id, hour_at, part)``: ``amount`` over the clock hours by overlap, truncated; the first hour takes the rest."""
-    hours = F.explode(F.sequence(_hour(F.col(start)), _hour(F.col(end)), F.expr("interval 1 hour"))).alias("hour_at")
+    hours = F.explode(F.sequence(hour_of(F.col(start)), hour_of(F.col(end)), F.expr("interval 1 hour"))).alias("hour_at")
     rows = sittings.select(id_col, amount, start, end, hours)
     length = micros_between(F.col(start), F.col(end))
     inside = micros_between(F.greatest(F.col(start), F.col("hour_at")), F.least(F.col(end), F.col("hour_at") + F.expr("interval 1 hour")))

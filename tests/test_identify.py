@@ -1,6 +1,7 @@
 """Which book a sitting is of, on small cases."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -98,3 +99,28 @@ def test_lookups(spark):
     got = sorted((r.epoch, r.title, r.author, r.key, r.pos) for r in catalog.lookups(looked, infos).collect())
     assert got == [(5, "Title", "Auth", "ASIN", None), (1_700_000_000, "Title", "Auth", "ASIN", 77)]
     assert [r.x for r in spark.createDataFrame([("/a/b.kfx",), ("/a/run.SH",), ("/d/My Clippings.txt",), ("plain",)], "l string").select(catalog.is_reading(F.col("l")).alias("x")).collect()] == [True, False, False, True]
+
+
+def test_around_equals_all_pairs(spark):
+    rng = random.Random(3)
+    time = lambda n: at(0) + dt.timedelta(minutes=10 * n)
+    spans = [(time(a := rng.randrange(90)), time(a + rng.choice([0, 1, 2, 3, 20])), rng.randrange(25), rng.choice([None, "K"]) and f"K{i}", i) for i in range(45)]
+    points = [(rng.choice([i, i, i, 7]), time(rng.randrange(100)) + dt.timedelta(seconds=rng.choice([0, 0, 1]))) for i in range(400)]
+    s = spark.createDataFrame(spans, "started_at timestamp_ntz, ended_at timestamp_ntz, extent long, key string, seconds long")
+    got = {r.wid: (r.extent, r.seconds) for r in identify.around(spark.createDataFrame(points, "wid long, at timestamp_ntz"), s).collect()}
+    met = {}
+    for wid, p in points:
+        met.setdefault(wid, []).extend((x[2], x[4]) for x in spans if x[0] <= p <= x[1])
+    want = {wid: (rows[0][0], max(r[1] for r in rows)) for wid, rows in met.items() if len({r[0] for r in rows}) == 1}
+    assert len(want) > 50 and got == want
+
+
+def test_extents_are_counted_not_paired(spark):
+    """Twelve thousand sittings that overlap and as many witnesses within them: 144 million pairs, none of one extent alone but the last."""
+    n = 12_000
+    ids = spark.range(n).withColumns({"started_at": F.lit(at(5)), "ended_at": F.lit(at(5, 50)), "extent": F.col("id"), "key": F.lit("K"), "seconds": F.lit(600).cast("long")})
+    alone = spark.createDataFrame([(-1, at(9), at(9, 9), n, "L", 60)], ids.schema)
+    marks = spark.range(n).select(F.col("id").alias("wid"), F.lit(at(5, 30)).alias("at")).unionByName(spark.createDataFrame([(-1, at(9, 5))], "wid long, at timestamp_ntz"))
+    stamps = {c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")}
+    met = identify.around(marks.withColumn("at", F.col("at").cast("timestamp_ntz")), ids.unionByName(alone).withColumns(stamps))
+    assert [tuple(r) for r in met.collect()] == [(-1, n, "L", 60)]
