@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters in a row over which texts meet.
-GRAM = 12
+from readspan.operators.lineage import pinned
+
+#: Characters in a row over which texts meet, the length from which a text's grams leave SPARE of its characters out, and the widest window of grams.
+GRAM, SHORT, SPARE, WIDEST = 12, 8, 3, 64
+#: Grams up to which they are sent to all tasks.
+FEW_GRAMS = 100_000
 # An odd factor and its inverse modulo 2**64.
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -91,9 +95,31 @@ def least_gram(text: Column, size: Column) -> Column:
     return _least(hashes)(text, size)
 
 
-def all_grams(text: Column, size: Column) -> Column:
-    """The different hashes of ``size`` characters in a row of ``text``."""
-    return _all(hashes)(text, size)
+def all_grams(text: Column, size: Column, window: Column) -> Column:
+    """The hashes of ``size`` characters in a row of ``text`` that are the smallest of some ``window`` of them in a row.
+
+    A text of ``window`` grams or more that ``text`` holds has its smallest among them, as the grams about it stand there too;
+    those of a wider window are some of a narrower one's.
+    """
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        powers = _Powers()
+        for texts, sizes, windows in batches:
+            yield pd.Series([np.unique(_smallest(hashes(t or "", n, powers), w)) for t, n, w in zip(texts, sizes, windows, strict=True)])
+
+    return F.pandas_udf(run, "array<bigint>").asNondeterministic()(text, size, window)
+
+
+def _smallest(row: np.ndarray, window: int) -> np.ndarray:
+    """The smallest of every ``window`` numbers in a row."""
+    if len(row) < window:
+        return row[:0]
+    done = 1
+    while done < window:
+        step = min(done, window - done)
+        row = np.minimum(row[:-step], row[step:])
+        done += step
+    return row
 
 
 def least_words(text: Column, words: int = 3) -> Column:
@@ -109,14 +135,21 @@ def all_words(text: Column, words: int = 3) -> Column:
 def holding(short: DataFrame, long: DataFrame, group: list[str]) -> DataFrame:
     """``(s, l)``: ids of texts of ``short`` and those of ``long`` (each: ``group``, id, body) of the same group that hold them, from the middle of a word too. A text holds itself; empty ones hold and are held by none.
 
-    A text is looked for by the one of its grams with the smallest hash, so common beginnings bring none together; under GRAM
-    characters its gram is the whole of it. Only ids and hashes are joined; texts are fetched for what met and compared in full.
+    A text is looked for by the one of its grams with the smallest hash, so common beginnings bring none together. Its grams have GRAM
+    characters, fewer in a short text, and a text is found by the smallest of each window as long as the least that is looked for:
+    of long texts a part of the grams is listed. Only ids and hashes are joined; texts are fetched for what met and compared in
+    full. Grams that are looked for are broadcast while they are few, else both sides are shuffled.
     """
-    size = F.least(F.length("body"), F.lit(GRAM))
-    asked = short.where("body <> ''").withColumn("__n", size).select(*group, F.col("id").alias("s"), "__n", least_gram(F.col("body"), F.col("__n")).alias("__g"))
-    sizes = asked.select(*group, "__n").distinct()  # GRAM numbers a group at most
-    index = long.where("body <> ''").join(sizes, group).where(F.length("body") >= F.col("__n")).select(*group, F.col("id").alias("l"), "__n", all_grams(F.col("body"), F.col("__n")).alias("__gs"))
+    n = F.length("body")
+    size = F.when(n < SHORT, n).otherwise(F.least(n - SPARE, F.lit(GRAM)))
+    asked = short.where("body <> ''").withColumn("__n", size).select(*group, F.col("id").alias("s"), "__n", (n - F.col("__n") + 1).alias("__w"), least_gram(F.col("body"), F.col("__n")).alias("__g"))
+    sizes = asked.groupBy(*group, "__n").agg(F.least(F.min("__w"), F.lit(WIDEST)).alias("__w"))  # GRAM numbers a group at most
+    index = long.where("body <> ''").join(sizes, group).where(n >= F.col("__n") + F.col("__w") - 1).select(*group, F.col("id").alias("l"), "__n", all_grams(F.col("body"), F.col("__n"), F.col("__w")).alias("__gs"))
     index = index.select(*group, "l", "__n", F.explode("__gs").alias("__g"))
-    met = asked.join(index, [*group, "__n", "__g"]).select("s", "l").distinct()
+    keys = [*group, "__n", "__g"]
+    wanted = pinned(asked.select(*keys).distinct())
+    if wanted.limit(FEW_GRAMS + 1).count() <= FEW_GRAMS:
+        index = pinned(index.join(F.broadcast(wanted), keys, "left_semi"))
+    met = asked.join(index, keys).select("s", "l").distinct()
     met = met.join(short.select(F.col("id").alias("s"), F.col("body").alias("__s")), "s").join(long.select(F.col("id").alias("l"), F.col("body").alias("__l")), "l")
     return met.where(F.col("__l").contains(F.col("__s"))).select("s", "l", "__s", "__l")

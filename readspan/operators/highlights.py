@@ -29,16 +29,21 @@ def settle_words(rows: DataFrame, group: list[str], id_col: str, body: str, at:
 
     With ``whole_words`` the holding row must also have the held one's first word as a word of its own.
 
-    Words meet as ``grams.holding`` has it. Equal words keep the latest row.
+    Words meet as ``grams.holding`` has it, each different text of a group once: of a text only its latest row can hold others. Equal
+    words keep the latest row; a row without a time neither holds nor is held.
     """
-    clean = pinned(rows.select(*group, F.col(id_col).alias("id"), F.col(at).alias("__at"), normalised(F.col(body)).alias("body")).where("body <> ''"))
-    when = clean.select("id", "__at")
-    held = holding(clean, clean, group).where(F.col("s") != F.col("l"))
-    held = held.join(when.select(F.col("id").alias("s"), F.col("__at").alias("__a")), "s").join(when.select(F.col("id").alias("l"), F.col("__at").alias("__b")), "l")
-    held = held.where((F.col("__b") > F.col("__a")) | ((F.col("__b") == F.col("__a")) & (F.col("l") > F.col("s"))))
+    clean = pinned(rows.select(*group, F.col(id_col).alias("id"), F.col(at).alias("__at"), normalised(F.col(body)).alias("body")).where("body <> '' and __at is not null"))
+    late = F.struct("__at", "id")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes of text are much work, so they aren't left to few tasks
+    texts = clean.repartition(n, *group, "body").groupBy(*group, "body").agg(F.max(late).alias("last"))
+    texts = pinned(texts.withColumn("id", F.monotonically_increasing_id()))
+    held = holding(texts.drop("last"), texts.drop("last"), group).where(F.col("s") != F.col("l"))
     if whole_words:
         held = held.where(F.array_contains(F.split("__l", " "), F.substring_index("__s", " ", 1)))
-    return rows.join(held.select(F.col("s").alias(id_col)).distinct(), id_col, "left_anti")
+    ends = held.select("s", "l").join(texts.select(F.col("id").alias("l"), F.col("last").alias("end")), "l").groupBy(F.col("s").alias("id")).agg(F.max("end").alias("end"))
+    ends = texts.join(ends, "id", "left").select(*group, "body", F.greatest("last", "end").alias("end"))
+    gone = clean.join(ends, [*group, "body"]).where(F.struct("__at", "id") < F.col("end")).select(F.col("id").alias(id_col))
+    return rows.join(gone.distinct(), id_col, "left_anti")
 
 
 def match_offsets(clips: DataFrame, notes: DataFrame, kind: str, clip_at: str, note_at: str, offsets: DataFrame) -> DataFrame:

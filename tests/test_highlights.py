@@ -1,6 +1,7 @@
 """Highlights of two sources, notes, corrections and links on small cases."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -120,3 +121,38 @@ def test_tags_respelled(spark):
     assert [t.tag for t in links.retag(rows, "tags", ("genre", "OLD"), None).where("book = 1").first().tags] == ["Sci-Fi"]
     assert links.rename_type(rows, "tags", "genre", "Kind").first().tags[0].type == "Kind"
     assert links.spell(spark.createDataFrame([("GENRE", "SCI-FI"), ("x", "y")], "type string, tag string"), spellings).select("spelt.tag").collect()[0].tag in ("Sci-Fi", "y")
+
+
+def test_copies_settle_once_a_text(spark):
+    """Six thousand copies of one text and a later one that holds it: 18 million pairs of rows, one of texts."""
+    from readspan.operators import grams, highlights
+
+    n = 6000
+    rows = spark.range(n).select(F.lit("g").alias("g"), "id", F.col("id").alias("at"), F.lit("A passage of some words").alias("body"))
+    rows = rows.unionByName(spark.createDataFrame([("g", n, 7, "the passage of some words, once"), ("g", n + 1, 9, "passage  of some"), ("g", n + 2, None, "passage"), (None, n + 3, 1, "x"), (None, n + 4, 2, "x")], "g string, id long, at long, body string"))
+    met = []
+    whole, grams_holding = highlights.holding, grams.holding
+    highlights.holding = lambda *a: met.append(grams_holding(*a)) or met[-1]
+    try:
+        left = highlights.settle_words(rows, ["g"], "id", "body", "at")
+        assert sorted(r.id for r in left.collect()) == [n - 1, n, n + 2, n + 3, n + 4]
+    finally:
+        highlights.holding = whole
+    assert met[0].count() == 5
+
+
+def test_windows_of_grams_find_all_that_is_held(spark):
+    from readspan.operators import grams
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.choice([30, 90, 300]))).strip() or "a" for _ in range(60)]
+    parts = [t[(a := rng.randrange(len(t))) : a + rng.choice([1, 2, 5, 8, 9, 12, 15, 16, 40, 90])] for t in texts for _ in range(4)]
+    short = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(parts)], "g int, id long, body string")
+    long = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(texts)], "g int, id long, body string")
+    want = sorted((i, j) for i, s in enumerate(parts) for j, t in enumerate(texts) if i % 2 == j % 2 and s and s in t)
+    assert sorted((r.s, r.l) for r in grams.holding(short, long, ["g"]).collect()) == want
+    few, grams.FEW_GRAMS = grams.FEW_GRAMS, 3
+    try:
+        assert sorted((r.s, r.l) for r in grams.holding(short, long, ["g"]).collect()) == want
+    finally:
+        grams.FEW_GRAMS = few
