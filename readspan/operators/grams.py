@@ -13,8 +13,8 @@ from readspan.operators.lineage import pinned
 
 #: Characters in a row over which texts meet, the length from which a text's grams leave SPARE of its characters out, and the widest window of grams.
 GRAM, SHORT, SPARE, WIDEST = 12, 8, 3, 64
-#: Grams up to which they are sent to all tasks.
-FEW_GRAMS = 100_000
+#: Grams, or groups, up to which they are sent to all tasks, and texts of both sides up to which a group's are compared with each other.
+FEW_GRAMS, FEW_TEXTS = 100_000, 128
 # An odd factor and its inverse modulo 2**64.
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -135,6 +135,29 @@ def all_words(text: Column, words: int = 3) -> Column:
 def holding(short: DataFrame, long: DataFrame, group: list[str]) -> DataFrame:
     """``(s, l)``: ids of texts of ``short`` and those of ``long`` (each: ``group``, id, body) of the same group that hold them, from the middle of a word too. A text holds itself; empty ones hold and are held by none.
 
+    In a group of FEW_TEXTS or fewer, each text of a side meets those of the other: that is less to move than their grams, and no more than
+    that number a text. Larger groups meet by grams (``_by_grams``), so no large group's pairs are listed.
+    """
+    short, long = short.where("body <> ''"), long.where("body <> ''")
+    sizes = short.select(*group).unionByName(long.select(*group)).groupBy(*group).count()
+    large = pinned(sizes.where(F.col("count") > FEW_TEXTS).select(*group))
+    n = large.limit(FEW_GRAMS + 1).count()
+    if n == 0:
+        return _all_pairs(short, long, group)
+    large = F.broadcast(large) if n <= FEW_GRAMS else large
+    rest, found = (f(*(side.join(large, group, how) for side in (short, long)), group) for f, how in ((_all_pairs, "left_anti"), (_by_grams, "left_semi")))
+    return rest.unionByName(found)
+
+
+def _all_pairs(short: DataFrame, long: DataFrame, group: list[str]) -> DataFrame:
+    """``holding`` by comparing all texts of a group."""
+    met = short.select(*group, F.col("id").alias("s"), F.col("body").alias("__s")).join(long.select(*group, F.col("id").alias("l"), F.col("body").alias("__l")), group)
+    return met.where(F.col("__l").contains(F.col("__s"))).select("s", "l", "__s", "__l")
+
+
+def _by_grams(short: DataFrame, long: DataFrame, group: list[str]) -> DataFrame:
+    """``holding`` by grams.
+
     A text is looked for by the one of its grams with the smallest hash, so common beginnings bring none together. Its grams have GRAM
     characters, fewer in a short text, and a text is found by the smallest of each window as long as the least that is looked for:
     of long texts a part of the grams is listed. Only ids and hashes are joined; texts are fetched for what met and compared in
@@ -142,9 +165,9 @@ def holding(short: DataFrame, long: DataFrame, group: list[str]) -> DataFrame:
     """
     n = F.length("body")
     size = F.when(n < SHORT, n).otherwise(F.least(n - SPARE, F.lit(GRAM)))
-    asked = short.where("body <> ''").withColumn("__n", size).select(*group, F.col("id").alias("s"), "__n", (n - F.col("__n") + 1).alias("__w"), least_gram(F.col("body"), F.col("__n")).alias("__g"))
+    asked = short.withColumn("__n", size).select(*group, F.col("id").alias("s"), "__n", (n - F.col("__n") + 1).alias("__w"), least_gram(F.col("body"), F.col("__n")).alias("__g"))
     sizes = asked.groupBy(*group, "__n").agg(F.least(F.min("__w"), F.lit(WIDEST)).alias("__w"))  # GRAM numbers a group at most
-    index = long.where("body <> ''").join(sizes, group).where(n >= F.col("__n") + F.col("__w") - 1).select(*group, F.col("id").alias("l"), "__n", all_grams(F.col("body"), F.col("__n"), F.col("__w")).alias("__gs"))
+    index = long.join(sizes, group).where(n >= F.col("__n") + F.col("__w") - 1).select(*group, F.col("id").alias("l"), "__n", all_grams(F.col("body"), F.col("__n"), F.col("__w")).alias("__gs"))
     index = index.select(*group, "l", "__n", F.explode("__gs").alias("__g"))
     keys = [*group, "__n", "__g"]
     wanted = pinned(asked.select(*keys).distinct())

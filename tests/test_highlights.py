@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from readspan.operators import highlights, links, notes
+from readspan.operators import grams, highlights, links, notes
 
 ROW = "extent long, title string, kind string, at timestamp_ntz, state string, start long, end long, location long, page string, colour string, body string"
 NOTE = "written timestamp_ntz, edited timestamp_ntz, extent long, key string, state string, at timestamp_ntz, kind string, title string, location long, start long, `from` long, `to` long, words string, text string"
@@ -156,3 +156,15 @@ def test_windows_of_grams_find_all_that_is_held(spark):
         assert sorted((r.s, r.l) for r in grams.holding(short, long, ["g"]).collect()) == want
     finally:
         grams.FEW_GRAMS = few
+
+
+def test_small_groups_meet_without_grams(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [(i % 7 or None, i, "".join(rng.choice("ab ") for _ in range(rng.randint(0, 9))) + ("x" * 15 if i % 5 == 0 else "")) for i in range(60)]
+    df = spark.createDataFrame(texts, "g int, id int, body string")
+    want = sorted((a, b) for g, a, x in texts for h, b, y in texts if g is not None and g == h and x and x in y)
+    found = grams.holding(df, df, ["g"])
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().toString()
+    for few in (128, 17, 0):  # all groups are small, some are, none is
+        monkeypatch.setattr(grams, "FEW_TEXTS", few)
+        assert sorted((r.s, r.l) for r in grams.holding(df, df, ["g"]).collect()) == want
