@@ -32,17 +32,17 @@ def settle_words(rows: DataFrame, group: list[str], id_col: str, body: str, at:
     Words meet as ``grams.holding`` has it, each different text of a group once: of a text only its latest row can hold others. Equal
     words keep the latest row; a row without a time neither holds nor is held.
     """
-    clean = pinned(rows.select(*group, F.col(id_col).alias("id"), F.col(at).alias("__at"), normalised(F.col(body)).alias("body")).where("body <> '' and __at is not null"))
-    late = F.struct("__at", "id")
+    clean = rows.select(*group, F.col(id_col).alias("id"), F.col(at).alias("__at"), normalised(F.col(body)).alias("body"), F.monotonically_increasing_id().alias("__r"))
+    clean = clean.where("body <> '' and __at is not null").dropna(subset=group)
+    late, same = F.struct("__at", "id"), Window.partitionBy(*group, "body")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes of text are much work, so they aren't left to few tasks
-    texts = clean.repartition(n, *group, "body").groupBy(*group, "body").agg(F.max(late).alias("last"))
-    texts = pinned(texts.withColumn("id", F.monotonically_increasing_id()))
+    clean = pinned(clean.repartition(n, *group, "body").withColumns({"last": F.max(late).over(same), "text": F.min("__r").over(same)}))
+    texts = clean.where("text = __r").select(*group, F.col("text").alias("id"), "body", "last")
     held = holding(texts.drop("last"), texts.drop("last"), group).where(F.col("s") != F.col("l"))
     if whole_words:
         held = held.where(F.array_contains(F.split("__l", " "), F.substring_index("__s", " ", 1)))
-    ends = held.select("s", "l").join(texts.select(F.col("id").alias("l"), F.col("last").alias("end")), "l").groupBy(F.col("s").alias("id")).agg(F.max("end").alias("end"))
-    ends = texts.join(ends, "id", "left").select(*group, "body", F.greatest("last", "end").alias("end"))
-    gone = clean.join(ends, [*group, "body"]).where(F.struct("__at", "id") < F.col("end")).select(F.col("id").alias(id_col))
+    ends = held.select("s", "l").join(texts.select(F.col("id").alias("l"), F.col("last").alias("end")), "l").groupBy(F.col("s").alias("text")).agg(F.max("end").alias("end"))
+    gone = clean.select("id", "__at", "last", "text").join(ends, "text", "left").where(late < F.greatest("last", "end")).select(F.col("id").alias(id_col))
     return rows.join(gone.distinct(), id_col, "left_anti")
 
 

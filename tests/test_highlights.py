@@ -168,3 +168,11 @@ def test_small_groups_meet_without_grams(spark, monkeypatch):
     for few in (128, 17, 0):  # all groups are small, some are, none is
         monkeypatch.setattr(grams, "FEW_TEXTS", few)
         assert sorted((r.s, r.l) for r in grams.holding(df, df, ["g"]).collect()) == want
+
+
+def test_settling_words_fetches_rows_by_number(spark):
+    rows = spark.createDataFrame([(1, 1, "a b", 1), (1, 2, "a b", 2), (1, 3, "x a b", 1), (2, 4, "a b", 1), (None, 5, "a b", 1), (None, 6, "a b", 2), (1, 7, "later", None)], "g int, id int, body string, at int")
+    left = highlights.settle_words(rows, ["g"], "id", "body", "at")
+    assert sorted(r.id for r in left.collect()) == [2, 3, 4, 5, 6, 7]
+    joins = [x for x in left._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any("body" in x for x in joins)
