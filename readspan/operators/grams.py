@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from readspan.operators.lineage import pinned
 
 #: Characters in a row over which texts meet, the length from which a text's grams leave SPARE of its characters out, and the widest window of grams.
 GRAM, SHORT, SPARE, WIDEST = 12, 8, 3, 64
+#: Hashes that a task lists at a time.
+SLICE = 1 << 16
 #: Grams, or groups, up to which they are sent to all tasks, and texts of both sides up to which a group's are compared with each other.
 FEW_GRAMS, FEW_TEXTS = 100_000, 128
 # An odd factor and its inverse modulo 2**64.
@@ -78,15 +82,6 @@ def _least(of):
     return F.pandas_udf(run, "bigint").asNondeterministic()
 
 
-def _all(of):
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        powers = _Powers()
-        for texts, sizes in batches:
-            yield pd.Series([np.unique(of(t or "", n, powers)) for t, n in zip(texts, sizes, strict=True)])
-
-    return F.pandas_udf(run, "array<bigint>").asNondeterministic()
-
-
 def least_gram(text: Column, size: Column) -> Column:
     """The smallest hash of ``size`` characters in a row of ``text``, which every text that holds it has too; null for shorter ones.
 
@@ -127,9 +122,40 @@ def least_words(text: Column, words: int = 3) -> Column:
     return _least(word_hashes)(text, F.lit(words))
 
 
-def all_words(text: Column, words: int = 3) -> Column:
-    """The different hashes of ``words`` words in a row of ``text``."""
-    return _all(word_hashes)(text, F.lit(words))
+def listed_words(texts: DataFrame, keys: list[str], text: str, words: int = 3) -> DataFrame:
+    """``keys`` of ``texts`` and ``__k``: a row for each different hash of ``words`` words in a row of ``text``.
+
+    Texts are read one by one and their hashes go on SLICE rows at a time, so a task holds one Arrow batch and one text's sums.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
+        for batch in batches:
+            column, ids, places, found, n = batch.column(len(keys)), batch.select(keys), [], [], 0
+            for i in range(len(column)):
+                row = np.unique(word_hashes(column[i].as_py() or "", words, powers))
+                for lo in range(0, len(row), SLICE):
+                    part = row[lo : lo + SLICE]
+                    places.append(np.full(len(part), i))
+                    found.append(part)
+                    n += len(part)
+                    if n >= SLICE:
+                        yield _rows(ids, places, found)
+                        places, found, n = [], [], 0
+            if n:
+                yield _rows(ids, places, found)
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # Python workers outlive their tasks
+            trim(0)
+
+    rows = texts.select(*keys, text)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}, __k long")
+
+
+def _rows(ids: pa.RecordBatch, places: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+    at = pa.array(np.concatenate(places))
+    return pa.RecordBatch.from_arrays([c.take(at) for c in ids.columns] + [pa.array(np.concatenate(found))], names=[*ids.schema.names, "__k"])
 
 
 def holding(short: DataFrame, long: DataFrame, group: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readspan.functions.scores import intdiv, micros_between
-from readspan.operators.grams import all_words, least_words
+from readspan.operators.grams import least_words, listed_words
 
 
 def only(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -89,11 +89,11 @@ def contained(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> D
     inner = F.regexp_extract(needle, r"(?s)^\S+[ \n]+(.*\S)[ \n]+\S+\s*$", 1)
     plain = ~F.col(needle).rlike(r"^\s|[\t\r\f\x0B]")
     needles = needles.where(F.col(needle) != "").withColumn("__k", least_words(F.when(plain, inner).otherwise("")))
-    named = texts.withColumn("__t", F.struct(F.xxhash64(F.col(text)).alias("h"), F.length(text).alias("n")))
-    keys = named.select("__t", all_words(F.col(text)).alias("__ks")).select("__t", F.explode("__ks").alias("__k"))
+    named = texts.withColumns({"__h": F.xxhash64(F.col(text)), "__n": F.length(text)})
+    keys = listed_words(named, ["__h", "__n"], text)
     long = needles.where("__k is not null")
-    hits = keys.join(long.select(F.col(needle).alias("__w"), "__k").distinct(), "__k").select("__w", "__t").distinct()
-    met = hits.join(named, "__t").where(F.col(text).contains(F.col("__w"))).drop("__t")
+    hits = keys.join(long.select(F.col(needle).alias("__w"), "__k").distinct(), "__k").select("__w", "__h", "__n").distinct()
+    met = hits.join(named, ["__h", "__n"]).where(F.col(text).contains(F.col("__w"))).drop("__h", "__n")
     found = long.drop("__k").join(met, F.col(needle) == F.col("__w")).drop("__w")
     short = needles.where("__k is null").drop("__k")
     few = short.limit(SHORT_NEEDLES + 1).count() <= SHORT_NEEDLES
