@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from readspan.functions.text import flat, normalised
 from readspan.operators.intervals import covering, hour_of
-from readspan.operators.lineage import pinned
+from readspan.operators.lineage import few, pinned, tasks
 from readspan.operators.matching import only, only_once
 
 # Seconds of a sitting that can be claimed, and characters of a key that can be looked for in a file's name.
 CLAIM_SECONDS, KEY_CHARS = 60, 10
+#: Names of files that a task looks for keys in, and keys up to which they are sent to all tasks.
+NAMES_A_TASK, FEW_KEYS = 250_000, 100_000
 # Sources in the order in which they may speak, the strongest first.
 LIBRARY, LOOKUPS, CLIPPINGS, SIDECARS = range(4)
 
@@ -174,13 +176,26 @@ def counters_of(sittings: DataFrame, counters: DataFrame) -> DataFrame:
 def named_in(files: DataFrame, books: DataFrame) -> DataFrame:
     """``(file, cde_key)``: the one book without an extent whose key of KEY_CHARS or more characters a file's name contains.
 
-    Files meet books over every KEY_CHARS characters in a row of their name, an equi-join; the whole key is compared after.
+    Files meet books over every run of characters of their name that is as long as some key, an equi-join on whole keys. Keys are broadcast
+    while they are few. Else their beginnings are, as long as they stay few, and only runs that begin like a key are shuffled. A task gets
+    about NAMES_A_TASK names, however many there are.
     """
-    cut = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - KEY_CHARS + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(KEY_CHARS)))
-    keys = books.where((F.coalesce("extent", F.lit(0)) == 0) & (F.length("cde_key") >= KEY_CHARS)).select("cde_key", F.left("cde_key", F.lit(KEY_CHARS)).alias("__s")).distinct()
-    rows = files.select("file").distinct().withColumn("__s", F.explode(F.array_distinct(cut("file"))))
-    met = rows.join(keys, "__s").where(F.col("file").contains(F.col("cde_key")))
-    return only(met, ["file"], "cde_key")
+    keys = pinned(books.where((F.coalesce("extent", F.lit(0)) == 0) & (F.length("cde_key") >= KEY_CHARS)).select("cde_key").distinct())
+    n = tasks(files, NAMES_A_TASK)
+    names = files.select("file").repartition(n, "file").distinct()
+    lengths = few(keys.select(F.length("cde_key").alias("__n")).distinct())
+    runs = F.transform(F.sequence(F.lit(1), F.length("file") - F.col("__n") + 1), lambda i: F.substr(F.col("file"), i, F.col("__n")))
+    rows = names.join(lengths, F.length("file") >= F.col("__n")).select("file", F.explode(runs).alias("cde_key"))
+    if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+        met = rows.join(F.broadcast(keys), "cde_key")
+    else:
+        begin = lambda k: F.left("cde_key", F.lit(k))
+        kinds = keys.agg(*(F.approx_count_distinct(begin(k)) for k in range(1, KEY_CHARS + 1))).first()
+        k = sum(x <= FEW_KEYS for x in kinds)
+        if k:
+            rows = rows.join(F.broadcast(keys.select(begin(k).alias("__b")).distinct()), begin(k) == F.col("__b"), "left_semi")
+        met = rows.repartition(n, "cde_key").join(keys.repartition(n, "cde_key").hint("shuffle_hash"), "cde_key").repartition(n, "file")
+    return met.groupBy("file").agg(F.min("cde_key").alias("cde_key"), F.max("cde_key").alias("__last")).where("cde_key = __last").drop("__last")
 
 
 def recover(sidecars: DataFrame, sittings: DataFrame, counters: DataFrame, ends: DataFrame, books: DataFrame, keys: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

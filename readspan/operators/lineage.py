@@ -35,3 +35,8 @@ def few(df: DataFrame, limit: int = FEW) -> DataFrame:
     if df.limit(limit + 1).count() > limit:
         raise ValueError(f"a table that every row meets holds more than {limit} rows")
     return F.broadcast(df)
+
+
+def tasks(df: DataFrame, rows: int) -> int:
+    """As many tasks as give each ``rows`` rows of ``df`` or fewer, but no fewer than the session's partitions: for steps that keep their rows in memory."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
