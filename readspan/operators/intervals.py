@@ -40,21 +40,26 @@ def as_of(points: DataFrame, changes: DataFrame, at: str, since: str, value: str
     return both.withColumn(value, F.coalesce(last, first)).where("__kind = 1").drop("__at", "__kind", "__v")
 
 
-def spans_inside(sittings: DataFrame, spans: DataFrame, key: str, id_col: str, start: str = "started_at", end: str = "ended_at", s_start: str = "from_at", s_end: str = "to_at") -> DataFrame:
+def spans_inside(sittings: DataFrame, spans: DataFrame, key: str, id_col: str, start: str = "started_at", end: str = "ended_at", s_start: str = "from_at", s_end: str = "to_at", n: int | None = None) -> DataFrame:
     """``sittings`` with ``inside``: the parts of its key's spans within each, in order, as array<struct<a,b>> of epoch seconds.
 
     Sittings and spans meet by key and day, and a pair counts on the first day that both have; spans of a key don't
     overlap, so the array is as long as the changes during one sitting. From it wall time is mapped to span time and back.
+    With ``n`` rows meet in as many tasks, and if there are no spans they aren't moved.
     """
+    none = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
+    if n and spans.isEmpty():
+        return sittings.withColumn("inside", none)
+    dealt = lambda df, *keys: df.repartition(n, *keys) if n else df
     days = lambda a, b: F.explode(F.sequence(F.to_date(a), F.to_date(b)))
     left = sittings.select(id_col, key, F.col(start).alias("__s"), F.col(end).alias("__e"), days(start, end).alias("__d"))
     right = spans.select(key, F.col(s_start).alias("__a"), F.col(s_end).alias("__b"), days(s_start, s_end).alias("__d"))
     low, high = F.greatest("__s", "__a"), F.least("__e", "__b")
-    met = left.join(right, [key, "__d"]).where((low < high) & (F.col("__d") == F.to_date(low)))
+    met = dealt(left, key, "__d").join(dealt(right, key, "__d"), [key, "__d"]).where((low < high) & (F.col("__d") == F.to_date(low)))
     secs = lambda c: F.unix_seconds(c.cast("timestamp"))
     part = F.struct(secs(low).alias("a"), secs(high).alias("b"))
-    found = met.groupBy(id_col).agg(F.sort_array(F.collect_list(part)).alias("inside"))
-    return sittings.join(found, id_col, "left").withColumn("inside", F.coalesce("inside", F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")))
+    found = dealt(met, id_col).groupBy(id_col).agg(F.sort_array(F.collect_list(part)).alias("inside"))
+    return dealt(sittings, id_col).join(found, id_col, "left").withColumn("inside", F.coalesce("inside", none))
 
 
 def seconds_in(spans: Column, start: Column, end: Column) -> Column:

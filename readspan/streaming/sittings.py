@@ -10,11 +10,13 @@ from readspan.functions import logline
 from readspan.functions.scores import GAP, broken, credits, dwell, intdiv, share
 from readspan.operators.figures import busiest, spread_over
 from readspan.operators.intervals import seconds_in, shared_over, spans_inside
-from readspan.operators.lineage import pinned
+from readspan.operators.lineage import pinned, tasks
 from readspan.sources.logs import kept, observations
 
 # Seconds by which a counter may outrun the clock, and by which a power line may trail a wake.
 SLACK, WAKE_LAG = 60, 5
+#: Lines that a task sorts.
+LINES_A_TASK = 150_000
 
 
 #: What ``sittings`` returns.
@@ -33,14 +35,23 @@ def _midnight(ts: Column) -> Column:
     return F.to_date(ts).cast("timestamp_ntz")
 
 
-def without_chapters(lines: DataFrame, device: str = "device") -> DataFrame:
-    """``lines`` with a stamp; an end position that only ever ends a chapter is none."""
+def beside(rows: DataFrame, few: DataFrame, keys: list[str], n: int, device: str) -> DataFrame:
+    """``rows`` with what ``few`` has for their ``keys``, in ``n`` tasks by device; where ``few`` has nothing, nothing is moved for it."""
+    few = pinned(few)
+    if few.isEmpty():
+        return rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in few.schema if f.name not in keys})
+    return rows.repartition(n, *keys).join(few.repartition(n, *keys), keys, "left").repartition(n, device)
+
+
+def without_chapters(lines: DataFrame, device: str = "device", n: int | None = None) -> DataFrame:
+    """``lines`` with a stamp; an end position that only ever ends a chapter is none. With ``n`` they stay in as many tasks by device."""
     rows = lines.where("ts is not null")
     group = rows.where("chapters is not null")
-    chapters = group.select(device, F.explode("chapters").alias("position")).distinct()
-    books = group.select(device, F.explode("chapter_books").alias("position")).distinct()
-    only = chapters.join(books, [device, "position"], "left_anti").withColumn("chapter_only", F.lit(True))
-    rows = rows.join(only, [device, "position"], "left").withColumn("position", F.when(F.col("chapter_only").isNull(), F.col("position")))
+    said = lambda column, book: F.transform(F.coalesce(column, F.array()), lambda x: F.struct(x.cast("long").alias("position"), F.lit(book).alias("book")))
+    ends = group.select(device, F.explode(F.concat(said("chapters", False), said("chapter_books", True))).alias("x")).select(device, "x.*")
+    only = ends.where(F.col("position").isNotNull()).groupBy(device, "position").agg(F.max("book").alias("chapter_only")).where("not chapter_only")
+    keys = [device, "position"]
+    rows = (rows.join(only, keys, "left") if n is None else beside(rows, only, keys, n, device)).withColumn("position", F.when(F.col("chapter_only").isNull(), F.col("position")))
     return rows.drop("chapter_only", "chapters", "chapter_books")
 
 
@@ -74,21 +85,23 @@ def named_opens(rows: DataFrame, counters: DataFrame | None, device: str) -> Dat
     return met.where(in_force).groupBy(device, "open_no").agg(F.min("position").alias("named"), F.max("position").alias("__last")).where("named = __last").drop("__last")
 
 
-def read_rows(lines: DataFrame, device: str = "device", held: DataFrame | None = None, counters: DataFrame | None = None) -> DataFrame:
+def read_rows(lines: DataFrame, device: str = "device", held: DataFrame | None = None, counters: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """``lines`` (see ``sources.logs.observations``) with what stands around each in its device's log, by stamp and line.
 
     ``observed`` and ``reads`` (a page or turn metric) tell what a line is; ``gap_no`` counts the jumps of the clock (over
     30 minutes on or 60 seconds back) between any lines but power changes; ``asleep`` is the seconds slept so far, over
     sleeps that end, ``sleeps`` how many began; ``opened`` and ``wake`` are the open and the wake that no observation
-    has taken yet. All windows share one shuffle by device.
+    has taken yet. All windows share one shuffle by device, into ``n`` tasks (as many as give each
+    LINES_A_TASK lines), as a task's sorts keep its lines in memory while they can.
     """
+    n = n or tasks(lines, LINES_A_TASK)
     w = Window.partitionBy(device).orderBy("ts", "line")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = without_chapters(lines, device)
+    rows = without_chapters(lines.repartition(n, device), device, n)
     rows = rows.withColumn("held_book", F.lit(None).cast("long"))
     if held is not None:
         at_wake = held.groupBy(device, F.col("started_at").alias("ts")).agg(F.min("end_position").alias("of"))
-        rows = rows.join(at_wake, [device, "ts"], "left").withColumn("held_book", F.when(F.col("wakes"), F.col("of"))).drop("of")
+        rows = beside(rows, at_wake, [device, "ts"], n, device).withColumn("held_book", F.when(F.col("wakes"), F.col("of"))).drop("of")
     kind = F.col("metric.kind")
     rows = rows.withColumns({"observed": F.col("position").isNotNull(), "reads": F.coalesce(kind.isin("page", "forward", "back"), F.lit(False)), "t": _secs(F.col("ts"))})
     moves = F.when(F.col("power").isNull(), F.col("t"))
@@ -117,7 +130,7 @@ def read_rows(lines: DataFrame, device: str = "device", held: DataFrame | None =
     rows = rows.withColumn("takes", F.coalesce(takes, F.lit(False)))
     taken = F.max(F.when(F.col("takes"), F.col("open_no"))).over(before)
     rows = rows.withColumn("opened", F.when(taken.isNull() | (taken < F.col("open_no")), F.col("open")))
-    rows = rows.join(named_opens(rows, counters, device), [device, "open_no"], "left")
+    rows = beside(rows, named_opens(rows, counters, device), [device, "open_no"], n, device)
     # a wake stands until an observation or an open; it lapses if the clock jumps once something was read after it
     last_wake = F.last(F.when(F.col("wakes"), F.struct("ts", "t", "asleep", "sleeps", "obs_no", "open_no", "gap_no", "held_book")), True).over(upto)
     after = Window.partitionBy(device, "wake_no").orderBy("ts", "line").rowsBetween(Window.unboundedPreceding, 0)
@@ -422,11 +435,12 @@ def sittings(lines: DataFrame, device: str = "device", held: DataFrame | None =
     lends the book and counter that lines before the wake stated. ``counters`` (device, position, total_ms, words, ts: one row a book)
     are what lines before these stated last; the first of these lines go on from them.
     """
-    rows = read_rows(lines, device, held, counters)
+    n = tasks(lines, LINES_A_TASK)
+    rows = read_rows(lines, device, held, counters, n)
     sat = _settled(_folded(_pages(numbered(rows, device), device), device), device, held, counters)
     sat = sat.withColumns({"counted": intdiv(F.col("end_counter_ms") - F.col("start_counter_ms"), 1000), "timed": intdiv(F.col("timed_ms"), 1000), "ended_at": F.when(F.col("is_cut"), F.date_add(F.to_date("last_seen.ts"), 1).cast("timestamp_ntz") - F.expr("interval 1 second")).otherwise(F.col("end.ts"))})
     sat = sat.withColumns({"id": F.struct(device, "no"), "end_at": F.col("end.ts"), "awake_seconds": F.greatest(F.col("end.t") - F.col("began_t") - (F.col("end.asleep") - F.col("began_asleep")), F.lit(0))})
-    sat = spans_inside(sat.withColumn("until", F.greatest("end_at", "ended_at")), awake_spans(rows, device), device, "id", "began", "until")
+    sat = spans_inside(sat.withColumn("until", F.greatest("end_at", "ended_at")), pinned(awake_spans(rows, device)), device, "id", "began", "until", n=n)
     sat = sat.withColumn("overlap", seconds_in(F.col("inside"), F.col("began_t"), F.col("end.t")))
     measure = F.when(F.col("counted") > 0, "counted").when(F.col("timed") > 0, "timed").when(F.col("paged") > 0, "paged").when(F.col("overlap") > 0, "awake")
     sat = sat.withColumn("measure", measure).where("measure is not null")

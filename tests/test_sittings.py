@@ -343,3 +343,15 @@ def test_next_pass_starts_where_the_chain_over_midnight_does(spark):
     mark = lambda t, day: spark.createDataFrame([("d", at(t, day)), ("n", at(t, day))], "device string, watermark timestamp_ntz")
     cut = lambda t, day: {r.device: r.cut for r in stream.resume_at(held, mark(t, day)).collect()}
     assert cut("002000", 12) == {"d": at("230000"), "n": None} and cut("050000", 12)["d"] == at("050000", 12)
+
+
+def test_tasks_grow_with_the_lines(spark, monkeypatch):
+    lines = [(f"d{i}", turn(f"10{m:02d}00", m * 40_000)) for i in range(12) for m in range(6)]
+    for i in range(0, 12, 3):  # chapters, opens that name a book, and power lines: every table that lines meet
+        lines += [(f"d{i}", x) for x in LOGS["chapter"] + LOGS["counter names"]]
+    rows = logs.observations(spark.createDataFrame(lines, "device string, line string"))
+    whole = sorted(map(str, stream.sittings(rows).collect()))
+    monkeypatch.setattr(stream, "LINES_A_TASK", 30)
+    n = -(-len(lines) // 30)
+    assert n > 4 and stream.read_rows(rows).rdd.getNumPartitions() == n
+    assert sorted(map(str, stream.sittings(rows).collect())) == whole
