@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,30 +156,56 @@ def blocks(lo: Column, hi: Column, levels: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), levels), start, step, lambda acc: acc["out"])
 
 
+#: Rows of a text up to which the places at which a class has its words are met one by one, not by blocks.
+FEW_ROWS = 32
+
+
 def _classes(rows: DataFrame, edges: DataFrame, n: int) -> DataFrame:
-    """``(no, root)`` of ``rows`` (no, body_id, sits, root, own): the first class, by the row that opened it, whose words at that time hold the row's or are held.
+    """``(no, root)`` of ``rows`` (g, no, body_id, sits, root, own): the first class, by the row that opened it, whose words at that time hold the row's or are held.
 
     A class's words are those of its last row so far. What a row joins depends on rows before it alone, so any guess that is
     worked out again from itself until nothing changes ends at what one by one would give: each round settles at
-    least the rows whose earlier holders are settled, and most at once. A row's words stand for their class from the next
-    place up to that of the row after it; these spans are cut into blocks of places by powers of two, of which a row
-    lies in one a level, so a row meets at most one class a block for each text that holds its own, however many rows repeat a text.
+    least the rows whose earlier holders are settled, and most at once. Rows meet those of their own ``g`` alone, so a round is of
+    the ``g`` in which the one before changed something.
+
+    A row's words stand for their class from the next place up to that of the row after it. A text that FEW_ROWS or fewer
+    rows have has no more of these spans, and rows that its words hold or are held by meet all of them. Spans of other texts are cut
+    into blocks of places by powers of two, of which a row lies in one a level, so a row meets at most one class a block for each text
+    that holds its own, however many rows repeat a text.
     """
     levels = max(n, 1).bit_length()
     rows = pinned(rows)
-    fixed = rows.where("sits")
-    asks = pinned(rows.where("not sits").join(edges, "body_id").select("no", "by", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).withColumn("block", F.expr("shiftright(no, level)")))
+    many = pinned(rows.groupBy(F.col("body_id").alias("by")).count().where(F.col("count") > FEW_ROWS).select("by"))
+    fixed, free, done = rows.where("sits"), rows.where("not sits"), [rows.where("sits").select("no", "root")]
+    asks = free.join(edges, "body_id").select("g", "no", "by")
+    in_blocks = None
+    if not many.isEmpty():
+        in_blocks = asks.join(many, "by", "left_semi").select("g", "no", "by", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+        in_blocks = pinned(in_blocks.withColumn("block", F.expr("shiftright(no, level)")))
+        asks = asks.join(many, "by", "left_anti")
+    asks, size = pinned(asks), free.count()
     while True:
-        givers = rows.where((F.col("no") == F.col("root")) | ~F.col("own"))
+        givers = fixed.unionByName(free).where((F.col("no") == F.col("root")) | ~F.col("own"))
         givers = givers.withColumn("until", F.coalesce(F.lead("no").over(Window.partitionBy("root").orderBy("no")) + 1, F.lit(n).cast("long")))
-        spans = givers.select("body_id", *_CLASS, F.explode(blocks(F.col("no") + 1, F.col("until"), F.lit(levels))).alias("b"))
-        first = spans.groupBy(F.col("body_id").alias("by"), F.col("b.level").alias("level"), F.col("b.no").alias("block")).agg(F.min(F.struct(*_CLASS)).alias("c"))
-        joined = asks.join(first, ["by", "level", "block"]).groupBy("no").agg(F.min("c").alias("c"))
-        free = rows.where("not sits").join(joined, "no", "left")
-        new = pinned(free.select("no", "body_id", "sits", F.coalesce("c.root", "no").alias("root"), F.coalesce("c.own", F.lit(False)).alias("own"), (F.coalesce("c.root", "no") != F.col("root")).alias("moved")))
-        rows = fixed.unionByName(new.drop("moved"))
-        if new.where("moved").isEmpty():
-            return rows.select("no", "root")
+        givers = givers.select(F.col("body_id").alias("by"), F.col("no").alias("since"), "until", F.struct(*_CLASS).alias("c"))
+        met = asks.join(givers, "by").where("since < no and no < until").select("no", "c")
+        if in_blocks is not None:
+            spans = givers.join(many, "by", "left_semi").select("by", "c", F.explode(blocks(F.col("since") + 1, F.col("until"), F.lit(levels))).alias("b"))
+            first = spans.groupBy("by", F.col("b.level").alias("level"), F.col("b.no").alias("block")).agg(F.min("c").alias("c"))
+            met = met.unionByName(in_blocks.join(first, ["by", "level", "block"]).select("no", "c"))
+        joined = free.join(met.groupBy("no").agg(F.min("c").alias("c")), "no", "left")
+        root = F.coalesce("c.root", "no")
+        new = pinned(joined.select("g", "no", "body_id", "sits", root.alias("root"), F.coalesce("c.own", F.lit(False)).alias("own"), (root != F.col("root")).alias("moved")))
+        free = new.drop("moved")
+        moving = new.groupBy("g").agg(F.count("*").alias("n"), F.max("moved").alias("moved")).where("moved")
+        left = moving.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if left == 0:
+            return reduce(DataFrame.unionByName, done, free.select("no", "root"))
+        if 2 * left <= size:  # halved each time, so all rounds' leaving costs no more than a round or two
+            moving, size = pinned(moving.select("g")), left
+            done.append(pinned(free.join(moving, "g", "left_anti").select("no", "root")))
+            fixed, free, asks = (pinned(x.join(moving, "g", "left_semi")) for x in (fixed, free, asks))
+            in_blocks = None if in_blocks is None else pinned(in_blocks.join(moving, "g", "left_semi"))
 
 
 def settled(rows: DataFrame) -> DataFrame:
@@ -208,7 +236,7 @@ def settled(rows: DataFrame) -> DataFrame:
     guess = edges.groupBy("body_id").agg(F.min("by").alias("least")).join(texts.select(F.col("id").alias("least"), F.col("own").alias("least_own")), "least")
     worded = rows.where("b <> ''").join(texts.select("t", "k", F.col("body").alias("b"), F.col("id").alias("body_id")), ["t", "k", "b"]).join(guess, "body_id")
     ahead = ~F.col("sits") & (F.col("least") < F.col("no"))
-    worded = pinned(worded.select("no", "body_id", "sits", F.when(ahead, F.col("least")).otherwise(F.col("root")).alias("root"), F.when(ahead, F.col("least_own")).otherwise(F.col("own")).alias("own")))
+    worded = pinned(worded.select(F.xxhash64("t", "k").alias("g"), "no", "body_id", "sits", F.when(ahead, F.col("least")).otherwise(F.col("root")).alias("root"), F.when(ahead, F.col("least_own")).otherwise(F.col("own")).alias("own")))
     classes = pinned(_classes(worded, edges, n))
     # the words a class ends with: of its last row that gives any, or its own
     kept = classes.join(rows.select(F.col("no").alias("root"), F.col("own").alias("keeps")), "root").where(~F.col("keeps") | (F.col("no") == F.col("root")))

@@ -119,3 +119,37 @@ def test_settled_spreads_a_large_title(spark):
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
     want = 1 + len({i // 2 for i in range(30_000) if i % 3})
     assert got.count() == want
+
+
+def _unconfirmed(bodies):
+    """A row a second of each (title, body)."""
+    return [dict(extent=0, title=t, kind="highlight", at=EPOCH + dt.timedelta(seconds=i), state="unconfirmed", start=None, end=None, location=None, page="", colour="", body=b) for i, (t, b) in enumerate(bodies)]
+
+
+def _settles(spark, rows):
+    names = [c.split()[0] for c in ROW.split(", ")]
+    show = lambda r: tuple(str(r[c]) for c in ("at", "title", "body"))
+    got = highlights.settled(spark.createDataFrame([tuple(r[c] for c in names) for r in rows], ROW)).collect()
+    return sorted(map(show, got)) == sorted(map(show, _loop(rows)))
+
+
+def test_settling_rounds_grow_with_what_moves(spark, monkeypatch):
+    """300 titles that one round settles beside one of eight links, each of which settles a round after the one before it."""
+    word = lambda i: f"{i * 7919 % 1000:03d}-{i}"
+    chain = [("chain", word(i // 2) + word(i // 2 + 1) * (i % 2)) for i in range(8)]
+    rows = _unconfirmed([(f"t{i}", f"words {i}" + x) for i in range(300) for x in ("", " more", " more still", "")] + chain)
+    made, whole = [], highlights.pinned
+    monkeypatch.setattr(highlights, "pinned", lambda df: made.append(whole(df)) or made[-1])
+    assert _settles(spark, rows)
+    asked = [df.count() for df in made if {"no", "by"} <= set(df.columns)]
+    assert asked[0] <= 3 * len(rows), "a row meets each text once, not once a level of blocks"
+    worked = [df.count() for df in made if "moved" in df.columns]
+    assert len(worked) > 3 and worked[0] == len(rows) and worked[-1] == len(chain), "settled titles leave the rounds"
+
+
+def test_settling_by_rows_and_by_blocks_is_one(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = _unconfirmed([(rng.choice("TU"), "abcdefgh"[(a := rng.randrange(7)) : a + rng.choice([1, 1, 2, 3])]) for _ in range(80)])
+    for few in (0, 4, 1000):  # all texts meet by blocks, some do, none does
+        monkeypatch.setattr(highlights, "FEW_ROWS", few)
+        assert _settles(spark, rows), few
